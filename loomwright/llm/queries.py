@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import common, line_dedup, mixing, quality, sharding
+from loomwright.llm import common, line_dedup, mixing, parity_join, quality, sharding
 
 SHARDS = 40
 
@@ -27,6 +27,10 @@ def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text")
@@ -38,7 +42,7 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op3_mixed_sources, op9_repetition_rules, op10_common_lines)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op3_mixed_sources, op6_parity_sketch_join, op9_repetition_rules, op10_common_lines)}
 
 BLANK_SET = r"[\x20\x09-\x0D]"
 
