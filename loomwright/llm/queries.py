@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm import common, line_dedup, mixing, parity_join, quality, sharding
+from loomwright.llm import common, line_dedup, mixing, neighbours, parity_join, quality, sharding, simhash
 
 SHARDS = 40
 
@@ -19,6 +20,27 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    led = neighbours.with_next(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
+    moved = F.floor(F.col("n_chars") / 4).cast("int")
+    changed = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - moved), F.substr("next_text", F.lit(1), moved))
+    edited = led.withColumn("edited", F.when(F.col("edge") == 0, changed))
+    hashed = edited.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    key = ["range", "row", "edge", "doc_id", "n_chars", "edited_sha256"]
+    versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))
+    texts = hashed.select(*key, F.explode(versions).alias("x")).select(*key, "x.v", F.col("x.t").alias("body")).filter("v = 0 or edge = 0")
+    found = simhash.fingerprints(texts, [*key, "v"], "body")
+    rows = found.groupBy(*key).agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("changed"))
+    following = F.lead("own").over(W.partitionBy("range").orderBy("row"))
+    done = rows.withColumn("after", following).filter("edge = 0")
+    as_text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
+        simhash.likeness(F.col("own"), F.col("changed")).alias("near_edited"), simhash.likeness(F.col("own"), F.col("after")).alias("near_next"),
+    )
+
+
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.char_length("text").alias("chars"))
@@ -42,7 +64,7 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op3_mixed_sources, op6_parity_sketch_join, op9_repetition_rules, op10_common_lines)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op6_parity_sketch_join, op9_repetition_rules, op10_common_lines)}
 
 BLANK_SET = r"[\x20\x09-\x0D]"
 
