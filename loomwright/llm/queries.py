@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm import common, line_dedup, mixing, neighbours, parity_join, quality, sharding, simhash
+from loomwright.llm import common, line_dedup, mixing, neighbours, parity_join, quality, sharding, simhash, token_store, warc_store
 
 SHARDS = 40
 
@@ -53,6 +54,19 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.fresh_path(spark, "warc")
+    warc_store.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc_store.read_archive(spark, path).drop("url")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.fresh_path(spark, "tokens")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    token_store.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_token_files(spark, path).drop("ids")
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text")
@@ -64,7 +78,7 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op6_parity_sketch_join, op9_repetition_rules, op10_common_lines)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines)}
 
 BLANK_SET = r"[\x20\x09-\x0D]"
 
@@ -120,4 +134,14 @@ ORACLES = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
         FROM kept GROUP BY rid""",
+    "op7_warc_archive": r"""
+        WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        facts AS (SELECT page_id, b, octet_length(b) AS payload_bytes, sha1(b) AS h FROM bodies),
+        coded AS (
+            SELECT page_id, payload_bytes, b, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), lambda x, y: x || y) AS payload_digest FROM facts),
+        firsts AS (SELECT b, max(page_id) AS response FROM bodies GROUP BY b)
+        SELECT c.page_id, CAST(c.payload_bytes AS BIGINT) AS payload_bytes, c.payload_digest, CASE WHEN c.page_id = f.response THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN c.page_id <> f.response THEN f.response END AS refers_to
+        FROM coded c JOIN firsts f ON c.b = f.b""",
 }
