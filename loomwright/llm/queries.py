@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm import common, line_dedup, mixing, neighbours, parity_join, quality, sharding, simhash, token_store, warc_store
+from loomwright.llm import common, language_id, line_dedup, mixing, neighbours, parity_join, quality, sentence_pieces, sharding, simhash, token_store, warc_store
 
 SHARDS = 40
 
@@ -50,6 +50,30 @@ def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    done = sentence_pieces.decode_pieces(sentence_pieces.encode_pieces(docs, model), model)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    model = language_id.fit_text_model(docs, "text", "lang", "doc_id")
+    host = language_id.host_of(F.col("url"))
+    found = language_id.identify(
+        pages.select("page_id", language_id.declared_language(F.col("html")).alias("declared"), host.alias("host"), language_id.domain_of(host).alias("domain"), language_id.suffix_of(F.col("url"), host).alias("suffix"), F.col("html").alias("text")),
+        model, markup=True,
+    )
+    own = language_id.identify(docs.select("doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("documents").alias("domain"), "text"), model, markup=False)
+    columns = ["doc_id", "page_id", "language", "confidence", "text_language", "text_confidence", "declared", "host"]
+    pick = lambda df, none: df.withColumn(none, F.lit(None).cast("long")).select(*columns)
+    return pick(found, "doc_id").unionByName(pick(own, "page_id"))
+
+
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -78,7 +102,7 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op4_sentence_pieces, op5_language_id, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines)}
 
 BLANK_SET = r"[\x20\x09-\x0D]"
 
