@@ -1,8 +1,67 @@
-"""The corpus pipeline (being built)."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and gives the next
+stage what it reads back.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.llm import common, line_dedup, mixing, parity_join, quality, sentence_pieces
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the repetition rules keep."""
+    return quality.quality_rules(docs).filter("kept").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the lines that at least ten documents hold; documents stay, with their new text and length."""
+    done = line_dedup.drop_common_lines(docs)
+    return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group linked by shingle sets; documents without an id or words stay."""
+    groups = parity_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = common.stash(groups, "pipeline-near")
+    return docs.join(common.small(gone, gone.count(), parity_join.PICK_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it; those that it does not take go."""
+    sized = docs.withColumn("__size", common.word_count(F.col("text")))
+    mixed = mixing.mix_sources(sized, size="__size", quality=mixing.quality_by_word_length(F.col("text"), F.col("__size")), weights=[5.0, 2.0, 1.0])
+    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds each text's ids and their number."""
+    encoded = sentence_pieces.encode_pieces(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.withColumn("n_ids", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources", mixing_stage),
+    ("SentencePiece ids", pieces_stage),
+]
+
+#: SQL cannot express the transducer and the sketch join; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = common.fresh_path(spark, f"pipeline-{name.split()[0]}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
