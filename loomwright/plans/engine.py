@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import uuid
@@ -228,7 +227,9 @@ class Engine:
                 return [parts.whole()]
             return parts.range_slices(by.columns[0], parts.range_bounds(values, by.partitions), with_null)
         seed = None if by.partitions else self.run_id
-        keys = parts.numbered_keys(keys_from, by.columns, seed).cache()
+        place = f"{self.store.root}/keys/{uuid.uuid4().hex}"
+        parts.numbered_keys(keys_from, by.columns, seed).write.parquet(place)
+        keys = self.spark.read.parquet(place)
         return parts.key_slices(self.spark, keys, by.columns, by.partitions or 1, f"__keys_{model.name}_{uuid.uuid4().hex[:8]}")
 
     # -- runs ------------------------------------------------------------------------
@@ -398,6 +399,3 @@ def content_hash(df: DataFrame) -> DataFrame:
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("hash"))
 
-
-def stable_id(*parts_: object) -> str:
-    return hashlib.md5("|".join(map(str, parts_)).encode()).hexdigest()
