@@ -168,4 +168,47 @@ ORACLES = {
         SELECT c.page_id, CAST(c.payload_bytes AS BIGINT) AS payload_bytes, c.payload_digest, CASE WHEN c.page_id = f.response THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN c.page_id <> f.response THEN f.response END AS refers_to
         FROM coded c JOIN firsts f ON c.b = f.b""",
+    "op6_parity_sketch_join": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM split),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+        SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id""",
 }
+
+
+def _quality_oracle() -> str:
+    """Repetition rules with windows over words: one column a length for grams, their repeats and the words that these cover."""
+    lengths = sorted({3, *(n for n in quality.COVERAGE if n)})
+    grams = ", ".join(f"CASE WHEN lead(w, {n - 1}) OVER p IS NOT NULL THEN " + " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER p" for k in range(1, n))]) + f" END AS g{n}" for n in lengths)
+    repeats = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY rid, g{n}) > 1 AS r{n}" for n in lengths)
+    covers = ", ".join(f"coalesce(bool_or(r{n}) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS c{n}" for n in lengths)
+    limits = {n: x for n, x in quality.COVERAGE.items() if n}
+    shares = ", ".join(f"coalesce(sum(length(w)) FILTER (c{n}), 0) / sum(length(w)) AS s{n}" for n in limits)
+    return rf"""
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+        words AS (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT rid, regexp_extract_all(body, '[^ 	-]+') AS l FROM docs)),
+        grams AS (SELECT rid, pos, w, {grams} FROM words WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+        repeats AS (SELECT rid, pos, w, {repeats} FROM grams),
+        covers AS (SELECT rid, w, {covers} FROM repeats),
+        facts AS (SELECT rid, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, {shares} FROM covers GROUP BY rid),
+        lines AS (SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid, line),
+        dups AS (SELECT rid, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines, coalesce(sum(c * length(regexp_replace(line, '[ 	-]', '', 'g'))) FILTER (c > 1), 0) AS dup_chars FROM lines GROUP BY rid),
+        base AS (
+            SELECT d.doc_id, coalesce(f.n_words, 0) AS n_words, coalesce(f.word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(d.body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(f.n_repeat_words, 0) AS n_repeat_words,
+                coalesce(f.n_words, 0) < 50 OR 100 * f.n_repeat_words > 50 * f.n_words AS base_failed,
+                CAST(coalesce(greatest({", ".join(f"s{n}" for n in limits)}), 0) AS DOUBLE) AS coverage, CAST(coalesce(u.dup_chars / f.word_chars, 0) AS DOUBLE) AS dup_line_share,
+                {" AND ".join(f"coalesce(s{n}, 0) <= {x}" for n, x in limits.items())} AS fine
+            FROM docs d LEFT JOIN facts f USING (rid) LEFT JOIN dups u USING (rid))
+        SELECT * EXCLUDE (fine), NOT base_failed AND fine AND dup_line_share <= {quality.COVERAGE[0]} AS kept FROM base"""
+
+
+ORACLES["op9_repetition_rules"] = _quality_oracle()
