@@ -164,4 +164,6 @@ def table_config(config: Mapping[str, Any]) -> TableConfig:
         if name == "tags":
             value = [dict(t) for t in value if isinstance(t, Mapping) and {"tag", "value"} <= set(t)]
         found[name] = value
+    if given.get("tmp_relation_type") not in (None, "table", "view"):
+        warnings.append(f"tmp_relation_type: {given['tmp_relation_type']!r} is ignored")
     return TableConfig(found, bool(given.get("transient", False)), bool(given.get("copy_grants", False)), tuple(warnings))

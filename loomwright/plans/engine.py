@@ -134,6 +134,11 @@ class Engine:
             df = df.filter(self.policies[policy["policy"]](role, *[F.col(c) for c in policy["columns"]]))
         return df
 
+    def append(self, name: str, df: DataFrame) -> list[str]:
+        """Add rows to a model's table; new columns only where the model has enable_schema_evolution."""
+        relation = self.relation(name)
+        return self.store.append(relation, df, bool((self.store.metadata(relation) or {}).get("enable_schema_evolution")))
+
     def grouped(self, name: str, keys: list[str], *aggregates: Column) -> DataFrame:
         """An aggregate of a table; where an aggregation policy names entity keys, they may not be grouping keys."""
         policy = (self.store.metadata(self.relation(name)) or {}).get("aggregation_policy") or {}
@@ -370,6 +375,8 @@ class Engine:
         if self.relation_type(model.name) not in (None, kind):
             self.drop_relation(model.name)
         body = self.render(model.body) if isinstance(model.body, str) else model.body
+        if model.config.get("sql_header"):
+            self.spark.sql(self.render(model.config["sql_header"]))
         routine, verb = self.routines.define(kind, model.name, model.config, body, full_refresh=full_refresh, resolve=self.resolve, comment=model.description)
         wanted = model.config.get("overload_version")
         if wanted is True:

@@ -15,7 +15,7 @@ from loomwright.functions import text as txt
 from loomwright.operators.grants import grants_delta_table
 from loomwright.operators.partitioning import range_bounds, sample_values
 from loomwright.plans.config import config_dict, config_list
-from loomwright.plans.engine import Engine
+from loomwright.plans.engine import Engine, content_hash
 from loomwright.plans.helpers import hierarchy, new_objects
 from loomwright.plans.model import Context, Model
 from loomwright.streaming.merge_stream import stream_changes
@@ -221,6 +221,25 @@ def table_change_tracking(spark, sf_dir):
     return e.store.changes(e.relation("states"), 1, 2)
 
 
+@query("""
+    select r_regionkey, r_name, cast(null as varchar) as note from region
+    union all select n_nationkey + 100, null, n_name from nation where n_regionkey = 1""")
+def table_schema_evolution(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    build(e, "places", "select r_regionkey, r_name from {{source:tpch.region}}", enable_schema_evolution=True)
+    e.append("places", e.source("tpch", "nation").filter("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("r_regionkey"), F.col("n_name").alias("note")))
+    return e.ref("places")
+
+
+@query("select true as same, false as differs")
+def table_content_hash(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    a = build(e, "a", "select o_orderkey, o_orderstatus from {{source:tpch.orders}}")
+    b = build(e, "b", "select o_orderkey, o_orderstatus from {{source:tpch.orders}} where {{partition_filter}}", partition_by={"from": "tpch.orders", "columns": ["o_orderstatus"], "async": True})
+    one, two, three = (content_hash(df).first() for df in (a, b, b.filter("o_orderkey > 1")))
+    return spark.createDataFrame([(one == two, one["hash"] == three["hash"])], "same boolean, differs boolean")
+
+
 # -- merging -------------------------------------------------------------------------
 
 

@@ -10,9 +10,11 @@ import json
 import re
 import tempfile
 import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomwright.plans.relation import Relation
@@ -117,6 +119,23 @@ class TableStore:
         default = f" default collation {collation}" if collation else ""
         self.spark.sql(f"create table {relation.sql} ({columns}) using parquet options (recursiveFileLookup 'true') location '{path}'{default} tblproperties ({pairs})")
 
+    def append(self, relation: Relation, df: DataFrame, evolve: bool) -> list[str]:
+        """Add rows to the current version in a folder of their own; returns the columns that were added.
+
+        Columns are matched by name and absent ones are null.  New columns need `evolve`, else ValueError.
+        """
+        known = self.read(relation).schema
+        fresh = [f for f in df.schema.fields if f.name.lower() not in {k.name.lower() for k in known.fields}]
+        if fresh and not evolve:
+            raise ValueError(f"{relation.sql} has no columns {[f.name for f in fresh]}")
+        there = {c.lower() for c in df.columns}
+        columns = [F.col(f"`{f.name}`").cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in known.fields]
+        df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]).write.parquet(f"{self.folder(relation)}/v_{self.current(relation)}/append_{uuid.uuid4().hex[:12]}")
+        if fresh:
+            self.spark.sql(f"alter table {relation.sql} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fresh)})")
+        self.spark.catalog.refreshTable(f"{relation.schema}.{relation.bare}")
+        return [f.name for f in fresh]
+
     def drop(self, relation: Relation) -> None:
         """Drop a table or view by its actual kind; its versions stay on disk."""
         if kind := self.kind(relation):

@@ -204,3 +204,12 @@ def test_empty_and_sliced_equal_whole(engine):
     engine.run("whole", "part0", "part1")
     want = content_hash(engine.ref("whole").select("o_custkey", "k")).first()
     assert all(content_hash(engine.ref(f"part{k}").select("o_custkey", "k")).first() == want for k in (0, 1))
+
+
+def test_append_and_evolution(engine, spark):
+    engine.add(Model("t", "select 1 as k, 'a' as v", config={"enable_schema_evolution": True}), Model("u", "select 1 as k"))
+    engine.run()
+    assert engine.append("t", spark.sql("select 2 as K, true as fresh")) == ["fresh"] and engine.append("t", spark.sql("select 'b' as v")) == []
+    assert sorted(map(str, (tuple(r) for r in engine.ref("t").collect()))) == ["(1, 'a', None)", "(2, None, True)", "(None, 'b', None)"]
+    with pytest.raises(ValueError, match="no columns"):
+        engine.append("u", spark.sql("select 2 as k, 3 as other"))
