@@ -79,6 +79,59 @@ def unit_hash(text: Column) -> Column:
     return (hash52(text).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lower the session's Arrow batches to `rows` rows, so that a batch of long texts fits into a small Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
+def sample_by_hash(df: DataFrame, key: str, wanted: int, rows: int) -> DataFrame:
+    """About `wanted` of `rows` rows, those of least key hash (added as __h): a filter, so no task holds more than its share."""
+    return df.withColumn("__h", hash52(key_string(F.col(key)))).filter(F.col("__h") < int((1 << 52) * min(1.0, wanted / max(1, rows))))
+
+
+class KeyRanges:
+    """Cuts an integer key into about `ranges` ranges in key order, at most LIMIT.
+
+    Up to CUTS bounds with about as many rows between them are collected; each of those ranges is then cut evenly by
+    value.  `index` gives a row's range from 0 and never decreases with the key; nulls are in range 0.
+    """
+
+    CUTS, LIMIT = 1024, 1 << 20
+
+    def __init__(self, df: DataFrame, key: str, ranges: int):
+        ranges = max(1, min(ranges, self.LIMIT))
+        coarse = min(ranges, self.CUTS)
+        self.parts = -(-ranges // coarse)
+        shares = [i / coarse for i in range(coarse + 1)]
+        got = df.agg(F.percentile_approx(F.col(key).cast("long"), shares, max(10_000, 20 * coarse)).alias("cuts")).first()["cuts"] if ranges > 1 else None
+        edges = sorted(set(got or [0]))
+        self.bounds = edges[1:-1]
+        self.edges = [edges[0], *self.bounds, edges[-1] + 1]
+        self.count = (len(self.edges) - 1) * self.parts
+
+    def coarse(self, key: Column) -> Column:
+        """How many bounds are at most the key.  By halving, so many bounds stay cheap."""
+
+        def pick(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(key >= F.lit(self.bounds[mid]), pick(mid + 1, high)).otherwise(pick(low, mid))
+
+        return pick(0, len(self.bounds)).cast("int")
+
+    def index(self, key: Column) -> Column:
+        main = self.coarse(key)
+        if self.parts == 1:
+            return main
+        edges = F.array(*[F.lit(float(e)) for e in self.edges])
+        left, right = F.get(edges, main), F.get(edges, main + 1)
+        inner = F.floor((key.cast("double") - left) / (right - left) * self.parts)
+        return main * self.parts + F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.lit(self.parts - 1)), F.lit(0)).cast("int")
+
+
 def key_ranges(df: DataFrame, key: str, ranges: int) -> list[int]:
     """Ascending bounds that cut an integer key into about equal ranges; at most ranges - 1 numbers reach the driver."""
     if ranges < 2:
