@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import text_batches
+
 BLANK = "▁"
 #: Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -80,6 +83,7 @@ class Transducer:
         if normaliser.get(2):
             raise ValueError("models with a character map of their own are not compiled")
         self.prefix, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
+        self.texts = [t.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else t for t, k in zip(self.texts, self.types, strict=True)]
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.types, strict=True)) if k in (NORMAL, USER_DEFINED)}
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.types, strict=True)) if k == BYTE}
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
@@ -88,14 +92,13 @@ class Transducer:
             for k in range(1, len(text)):
                 self.arcs.setdefault(text[:k], -1)
             self.arcs[text] = i
-        self.apart = not any(re.search(f"[^{BLANK}]{BLANK}", t) for t in self.ids)
-        self.alone = "\n" not in "".join(self.ids)
-        edge = "\n" if self.alone else ""
-        self.part = re.compile(f"{BLANK}*[^{BLANK}{edge}]+|{BLANK}+|\n") if self.apart else re.compile("(?s).+")
+        apart = self.escape and not any(re.search("[^ ] ", t) for t in self.ids)
+        edge = "" if "\n" in "".join(self.ids) else "\n"
+        self.part = re.compile(f" *[^ {edge}]+| +|\n") if apart else re.compile("(?s).+")
+        self.inside = {pair for t in self.ids for pair in zip(t, t[1:])}
         self.follows: dict[int, bool] = {}
         self.built: dict[int, tuple[list[float], list[str], list[str]]] = {}
-        self.held, self.known = held, {}
-        self.spoken = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(BLANK, " ").encode() for t, k in zip(self.texts, self.types, strict=True)]
+        self.held, self.known, self.cores = held, {}, {}
 
     # -- the parts of the composition ------------------------------------------------
 
@@ -105,7 +108,7 @@ class Transducer:
         if not text:
             return ""
         text = f" {text}" if self.prefix else text
-        return text.replace(" ", BLANK) if self.escape else text
+        return text.replace(BLANK, " ") if self.escape else text
 
     def steps(self, piece: int) -> tuple[list[float], list[str], list[str]]:
         """How merging builds a piece: each merge's score, and before each merge and at the end the first and last parts."""
@@ -128,7 +131,7 @@ class Transducer:
         """Whether merging the joined text of two pieces gives just them: no merge across their border comes first."""
         key = left << 32 | right
         if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 500_000:
                 self.follows = {}
             a_scores, _, a_last = self.steps(left)
             b_scores, b_first, _ = self.steps(right)
@@ -164,6 +167,8 @@ class Transducer:
 
     def path(self, part: str) -> list[int]:
         """Ids of the path of least weight over a part of normalised text."""
+        if self.kind == BPE and (straight := self.straight_path(part)) is not None:
+            return straight
         out: list[int] = []
         for at, end, piece in self.bpe_path(part) if self.kind == BPE else self.unigram_path(part):
             if piece != -2:
@@ -174,6 +179,27 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
+    def straight_path(self, part: str) -> list[int] | None:
+        """The path of always the longest arc that may follow, if it arrives without turning back and without bytes."""
+        arcs, follows, size, at, last, out = self.arcs.get, self.follows.get, len(part), 0, -1, []
+        while at < size:
+            found, end = [], at + 1
+            while end <= size and (piece := arcs(part[at:end])) is not None:
+                if piece >= 0:
+                    found.append((end, piece))
+                end += 1
+            for end, piece in reversed(found):
+                if last < 0:
+                    break
+                known = follows(last << 32 | piece)
+                if known or (known is None and self.may_follow(last, piece)):
+                    break
+            else:
+                return None
+            out.append(piece)
+            at, last = end, piece
+        return out
+
     def bpe_path(self, part: str) -> list[tuple[int, int, int]]:
         """Depth first, longest arcs first: every path of finite weight weighs 0, so the first to arrive is least."""
         size, dead = len(part), set()
@@ -227,23 +253,55 @@ class Transducer:
         parts = self.part.findall(self.normalise(text or ""))
         if len(self.known) > self.held:
             self.known = {}
-        known = self.known
+        known, long = self.known, []
         for p in set(parts):
             if p not in known:
-                known[p] = np.array(self.path(p), "<u4").tobytes()
+                known[p] = self.encode_part(p)
+                if len(p) > 64:
+                    long.append(p)
         out = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
-        for p in parts if len(parts) < 64 else set(parts):
-            if len(p) > 64:
-                known.pop(p, None)
+        for p in long:
+            del known[p]
         return out
 
+    def encode_part(self, part: str) -> bytes:
+        """Ids of a part as bytes.  It falls apart where no piece holds the two characters that meet; what is left is remembered."""
+        if len(self.cores) > self.held:
+            self.cores = {}
+        inside, cores, start, out = self.inside, self.cores, 0, []
+        cuts = [k for k, pair in enumerate(zip(part, part[1:]), 1) if pair not in inside]
+        for at in [*cuts, len(part)]:
+            core = part[start:at]
+            if (ids := cores.get(core)) is None:
+                ids = array("I", self.path(core)).tobytes()
+                if len(core) <= 32:
+                    cores[core] = ids
+            out.append(ids)
+            start = at
+        return out[0] if len(out) == 1 else b"".join(out)
+
+
+class Speller:
+    """The way back: pieces of ids as bytes."""
+
+    def __init__(self, model: bytes):
+        self.prefix, self.said = True, []
+        for number, value in _fields(model):
+            if number == 1:
+                piece = dict(_fields(value))
+                text, kind = piece[1].decode("utf-8"), piece.get(3, NORMAL)
+                self.said.append(bytes([int(text[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else text.replace(BLANK, " ").encode())
+            elif number == 3:
+                self.prefix = bool(dict(_fields(value)).get(3, 1))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the dummy prefix; bytes that are no UTF-8 become replacement characters."""
-        said = b"".join(map(self.spoken.__getitem__, ids)).decode("utf-8", "replace")
+        said = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
         return said[1:] if self.prefix and said[:1] == " " else said
 
 
 def _shared(df: DataFrame, model_path: str):
+    text_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -267,8 +325,8 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = Transducer(model.value)
+        speller = Speller(model.value)
         for lists in batches:
-            yield pd.Series(["" if x is None else compiled.decode(x.tolist() if hasattr(x, "tolist") else list(x)) for x in lists], dtype=object)
+            yield pd.Series(["" if x is None else speller.decode(x.tolist() if hasattr(x, "tolist") else list(x)) for x in lists], dtype=object)
 
     return df.withColumn(out, decode(F.col(ids)))
