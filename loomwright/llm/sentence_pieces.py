@@ -156,21 +156,23 @@ class Transducer:
 
     def from_here(self, part: str, at: int) -> list[tuple[int, int]]:
         """Arcs that leave a position, (end, piece), longest first; where no piece covers its character, bytes (piece -2)."""
-        arcs, size, found, end = self.arcs, len(part), [], at + 1
-        while end <= size and (piece := arcs.get(part[at:end])) is not None:
+        arcs, size, found, end = self.arcs.get, len(part), [], at + 1
+        while end <= size and (piece := arcs(part[at:end])) is not None:
             if piece >= 0:
                 found.append((end, piece))
             end += 1
         if not found or found[0][0] > at + 1:
             found.insert(0, (at + 1, -2))
-        return found[::-1]
+        found.reverse()
+        return found
 
     def path(self, part: str) -> list[int]:
         """Ids of the path of least weight over a part of normalised text."""
-        if self.kind == BPE and (straight := self.straight_path(part)) is not None:
-            return straight
+        ends, pieces = self.bpe_path(part) if self.kind == BPE else self.unigram_path(part)
+        if -2 not in pieces:
+            return pieces
         out: list[int] = []
-        for at, end, piece in self.bpe_path(part) if self.kind == BPE else self.unigram_path(part):
+        for at, end, piece in zip([0, *ends], ends, pieces):
             if piece != -2:
                 out.append(piece)
             elif self.bytes:
@@ -179,57 +181,44 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def straight_path(self, part: str) -> list[int] | None:
-        """The path of always the longest arc that may follow, if it arrives without turning back and without bytes."""
-        arcs, follows, size, at, last, out = self.arcs.get, self.follows.get, len(part), 0, -1, []
+    def bpe_path(self, part: str) -> tuple[list[int], list[int]]:
+        """Ends and pieces of the path.  Depth first, longest arcs first: every path of finite weight weighs 0, so the first to arrive is least."""
+        follows, size = self.follows.get, len(part)
+        arcs: list[list[tuple[int, int]] | None] = [None] * size
+        dead: set[tuple[int, int]] = set()
+        ends: list[int] = []
+        pieces: list[int] = []
+        turns: list[int] = []
+        at, last, turn = 0, -1, 0
         while at < size:
-            found, end = [], at + 1
-            while end <= size and (piece := arcs(part[at:end])) is not None:
-                if piece >= 0:
-                    found.append((end, piece))
-                end += 1
-            for end, piece in reversed(found):
-                if last < 0:
-                    break
-                known = follows(last << 32 | piece)
-                if known or (known is None and self.may_follow(last, piece)):
-                    break
-            else:
-                return None
-            out.append(piece)
-            at, last = end, piece
-        return out
-
-    def bpe_path(self, part: str) -> list[tuple[int, int, int]]:
-        """Depth first, longest arcs first: every path of finite weight weighs 0, so the first to arrive is least."""
-        size, dead = len(part), set()
-        path: list[tuple[int, int, int]] = []
-        arcs = {0: self.from_here(part, 0)} if size else {}
-        turns = [0]
-        while path or turns[0] < len(arcs.get(0, ())):
-            at, last = (path[-1][1], path[-1][2]) if path else (0, -1)
-            if at == size:
-                break
-            if at not in arcs:
-                arcs[at] = self.from_here(part, at)
-            options, turn = arcs[at], turns[-1]
-            while turn < len(options):
-                end, piece = options[turn]
+            if (options := arcs[at]) is None:
+                options = arcs[at] = self.from_here(part, at)
+            for end, piece in options[turn:] if turn else options:
                 turn += 1
-                if (end, piece) not in dead and (last < 0 or piece < 0 or self.may_follow(last, piece)):
-                    turns[-1] = turn
-                    path.append((at, end, piece))
-                    turns.append(0)
-                    break
+                if last >= 0 and piece >= 0:
+                    known = follows(last << 32 | piece)
+                    if known is None:
+                        known = self.may_follow(last, piece)
+                    if not known:
+                        continue
+                if dead and (end, piece) in dead:
+                    continue
+                ends.append(end)
+                pieces.append(piece)
+                turns.append(turn)
+                at, last, turn = end, piece, 0
+                break
             else:
                 dead.add((at, last))
-                if not path:
+                if not ends:
                     break
-                path.pop()
-                turns.pop()
-        return path
+                ends.pop()
+                pieces.pop()
+                turn = turns.pop()
+                at, last = (ends[-1], pieces[-1]) if ends else (0, -1)
+        return ends, pieces
 
-    def unigram_path(self, part: str) -> list[tuple[int, int, int]]:
+    def unigram_path(self, part: str) -> tuple[list[int], list[int]]:
         size = len(part)
         best: list[tuple[float, int, int] | None] = [(0.0, 0, 0)] + [None] * size
         unknown = 10.0 - min(self.scores)
@@ -239,12 +228,13 @@ class Transducer:
                 total = weight + (unknown if piece == -2 else -self.scores[piece])
                 if best[end] is None or total < best[end][0]:
                     best[end] = (total, at, piece)
-        path, at = [], size
+        ends, pieces, at = [], [], size
         while at:
             _, back, piece = best[at]
-            path.append((back, at, piece))
+            ends.append(at)
+            pieces.append(piece)
             at = back
-        return path[::-1]
+        return ends[::-1], pieces[::-1]
 
     # -- whole texts -----------------------------------------------------------------
 
