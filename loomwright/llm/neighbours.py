@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import key_ranges, range_of, small, stash
+from loomwright.llm.common import KeyRanges, small, stash
 
 
-def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 20_000) -> DataFrame:
+def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 2_000) -> DataFrame:
     """Add next_<value>: the value in the next row by (key, value), nulls first; the first row's after the last.
 
     Columns added besides: `range` and `row`, which number the rows in that order, and `edge`.  Rows are cut into ranges
@@ -18,11 +18,11 @@ def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 20_000)
     the end.  A single row is its own next; an empty table gives no rows.
     """
     names = df.columns
-    ranges = max(1, -(-df.count() // rows_per_range))
-    placed = df.withColumn("range", range_of(F.col(key), key_ranges(df, key, ranges)))
+    ranges = KeyRanges(df, key, -(-df.count() // rows_per_range))
+    placed = df.withColumn("range", ranges.index(F.col(key)))
     least = placed.groupBy("range").agg(F.when(F.max(F.col(key).isNull()), None).otherwise(F.min(key)).alias("__least"))
     least = stash(least.select(F.col("range").alias("__range"), "__least"), "next-least")
-    heads = placed.select(key, value, "range").join(small(least, ranges), (F.col("range") == F.col("__range")) & F.col(key).eqNullSafe(F.col("__least")))
+    heads = placed.select(key, value, "range").join(small(least, ranges.count), (F.col("range") == F.col("__range")) & F.col(key).eqNullSafe(F.col("__least")))
     heads = stash(heads.groupBy("range", key).agg(F.max(F.col(value).isNull()).alias("__none"), F.min(value).alias("__min")), "next-heads")
     used = W.partitionBy().orderBy("range")
     before = F.coalesce(F.lag("range").over(used), F.max("range").over(W.partitionBy()))
