@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import hash52, key_string, small, stash
+from loomwright.llm.common import sample_by_hash, small, stash
 
 BUCKETS = 1 << 16
-#: The text model is fitted on so many labelled documents, those of least key hash.
+#: The text model is fitted on about so many labelled documents, those of least key hash.
 SAMPLE_DOCS = 8_000
 _MARKUP = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 
@@ -54,10 +54,9 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, text: str, language: str, key: str, sample: int = SAMPLE_DOCS, smoothing: float = 0.5) -> TextModel:
-    """Trigram log probabilities of each language, from at most `sample` labelled rows; at most languages x BUCKETS counts reach the driver."""
-    order = hash52(key_string(F.col(key)))
-    rows = labelled.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"), order.alias("h"))
-    chosen = rows.orderBy("h", "lang").limit(sample).repartition(16, "h").select("lang", "text")
+    """Trigram log probabilities of each language, from about `sample` labelled rows; at most languages x BUCKETS counts reach the driver."""
+    rows = labelled.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
+    chosen = sample_by_hash(rows, key, sample, rows.count()).select(F.col(language).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
