@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BLANKS, ascii_lower, fresh_path, key_ranges, remove_path, stash
+from loomwright.llm.common import BLANKS, KeyRanges, ascii_lower, fresh_path, remove_path, stash
 
 HASH = ["h1", "h2"]
 
@@ -95,7 +95,7 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", mi
     spark = df.sparkSession
     hashes = stash(line_hashes(df, text, key, min_chars), "line-hashes")
     runs = LineRuns(spark, min_docs, fanout)
-    bounds = key_ranges(hashes, "__id", batches)
+    bounds = KeyRanges(hashes, "__id", batches).bounds
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = hashes
         if low is not None:
