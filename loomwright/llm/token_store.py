@@ -10,7 +10,9 @@ its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import hash52, key_ranges, key_string, range_of, small
+from loomwright.llm.common import KeyRanges, sample_by_hash, small, text_batches
 
 MAGIC = b"TIDS0001"
 FILES = "file int, part int, n_docs long, n_tokens long, data binary"
@@ -33,16 +35,55 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 1 << 16
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
 
-    At most `held` words are remembered, so memory is bounded; words beyond 64 bytes are not remembered.
+    A word goes through the whole tokenizer, unless the tokenizer is of the known kind below and the word holds only
+    printable ASCII and Latin letters.  Such a word's pre-tokens are its runs of letters, single digits and runs of the
+    rest in lower case, so the library's model gets each distinct run once.  At most `held` words and `held` runs are
+    remembered, so memory is bounded; words beyond 64 bytes are not remembered.
     """
 
+    #: What is known of the tokenizers whose words may be taken apart.
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LATIN = "À-ÖØ-öø-įĲ-ſ"
+
     def __init__(self, tokenizer_json: str, end_id: int, held: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.held = Tokenizer.from_str(tokenizer_json), held
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.simple = re.compile(rf"(?!.*<\|)[!-&(-~{self.LATIN}]+").fullmatch if self._is_known_kind(json.loads(tokenizer_json)) else lambda _: None
+        self.split = re.compile(rf"[a-z{self.LATIN}]+|[0-9]|[^a-z0-9{self.LATIN}]+").findall
+        self.letter = self._byte_letters()
+
+    def _is_known_kind(self, spec: dict) -> bool:
+        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = len(steps) == 2 and steps[0].get("pattern") == {"Regex": self.SPLIT} and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        special = all(t["content"].startswith("<|") and t["special"] for t in spec.get("added_tokens", []))
+        return kinds == self.NORMALIZERS and plain and special
+
+    @staticmethod
+    def _byte_letters() -> list[str]:
+        """The letter that byte-level models use for each byte: itself if printable, else one from 256 on."""
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        spare = iter(range(256, 512))
+        return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+    def _by_runs(self, word: str) -> bytes:
+        """Ids of a simple word, run by run."""
+        out = []
+        for run in self.split(word.lower()):
+            if (ids := self.runs.get(run)) is None:
+                if len(self.runs) > self.held:
+                    self.runs = {}
+                letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
+                ids = self.runs[run] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as bytes of unsigned 32-bit integers."""
@@ -51,14 +92,22 @@ class WordEncoder:
         for words in split:
             if len(self.known) > self.held:
                 self.known = {}
-            known = self.known
-            if missing := [w for w in set(words) if w not in known]:
-                got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-                known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, got, strict=True)}
+            known, rest, long = self.known, {}, []
+            for w in set(words):
+                if w not in known:
+                    word = w.decode("utf-8", "replace")
+                    if len(w) > 64:
+                        long.append(w)
+                    if len(w) <= 64 and self.simple(word):
+                        known[w] = self._by_runs(word)
+                    else:
+                        rest[w] = word
+            if rest:
+                got = self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False)
+                known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, got, strict=True)}
             out.append(b"".join(map(known.__getitem__, words)) + self.end)
-            for w in missing:
-                if len(w) > 64:
-                    del known[w]
+            for w in long:
+                del known[w]
         return out
 
 
@@ -112,15 +161,16 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     shuffled.  An empty table writes no files.
     """
     spark = df.sparkSession
+    text_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
-    sample = df.filter(F.char_length(text) <= SAMPLE_CHARS).select(hash52(key_string(F.col(key))).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    rows = df.count()
+    sample = sample_by_hash(df.filter(F.char_length(text) <= SAMPLE_CHARS), key, SAMPLE_DOCS, rows).select(F.col(text).alias("t"), "__h").orderBy("__h", "t").limit(SAMPLE_DOCS)
     data = train_dictionary(WordEncoder(tokenizer.value, end_id).encode([r["t"] for r in sample.collect()]))
     dictionary_hash = hashlib.sha256(data).digest()
     dictionary = spark.sparkContext.broadcast(data)
     spark.createDataFrame([(dictionary_hash.hex(), bytearray(data))], "sha256 string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    files = max(1, -(-df.count() // docs_per_file))
-    bounds = key_ranges(df, key, files)
+    files = KeyRanges(df, key, -(-rows // docs_per_file))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordEncoder(tokenizer.value, end_id)
@@ -150,9 +200,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         if held:
             yield done()
 
-    placed = df.select(range_of(F.col(key), bounds).alias("file"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    placed = df.select(files.index(F.col(key)).alias("file"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     frames = placed.mapInPandas(encode, "file int, doc_id long, n long, frame binary")
-    dealt = frames.repartition(max(1, min(files, 4096)), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "frame")
+    dealt = frames.repartition(min(files.count, 4096), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "frame")
     dealt.mapInPandas(pack, FILES).write.parquet(f"{path}/files")
 
 
