@@ -37,8 +37,9 @@ class WordEncoder:
 
     A word goes through the whole tokenizer, unless the tokenizer is of the known kind below and the word holds only
     printable ASCII and Latin letters.  Such a word's pre-tokens are its runs of letters, single digits and runs of the
-    rest in lower case, so the library's model gets each distinct run once.  At most `held` words and `held` runs are
-    remembered, so memory is bounded; words beyond 64 bytes are not remembered.
+    rest in lower case, so the library's model gets each distinct run once.  Words and runs are remembered in two
+    generations of at most `held`: when the younger one is full it becomes the older, which is forgotten.  So memory is
+    bounded and what comes often stays; words beyond 64 bytes are not remembered.
     """
 
     #: What is known of the tokenizers whose words may be taken apart.
@@ -46,7 +47,7 @@ class WordEncoder:
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     LATIN = "À-ÖØ-öø-įĲ-ſ"
 
-    def __init__(self, tokenizer_json: str, end_id: int, held: int = 300_000):
+    def __init__(self, tokenizer_json: str, end_id: int, held: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,7 +55,9 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
         self.simple = re.compile(rf"(?!.*<\|)[!-&(-~{self.LATIN}]+").fullmatch if self._is_known_kind(json.loads(tokenizer_json)) else lambda _: None
         self.split = re.compile(rf"[a-z{self.LATIN}]+|[0-9]|[^a-z0-9{self.LATIN}]+").findall
         self.letter = self._byte_letters()
@@ -79,9 +82,11 @@ class WordEncoder:
         for run in self.split(word.lower()):
             if (ids := self.runs.get(run)) is None:
                 if len(self.runs) > self.held:
-                    self.runs = {}
-                letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
-                ids = self.runs[run] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                    self.older_runs, self.runs = self.runs, {}
+                if (ids := self.older_runs.get(run)) is None:
+                    letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
+                    ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                self.runs[run] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -91,10 +96,14 @@ class WordEncoder:
         out = []
         for words in split:
             if len(self.known) > self.held:
-                self.known = {}
-            known, rest, long = self.known, {}, []
+                self.older, self.known = self.known, {}
+            known, older, rest, long = self.known, self.older, {}, []
             for w in set(words):
-                if w not in known:
+                if w in known:
+                    continue
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                else:
                     word = w.decode("utf-8", "replace")
                     if len(w) > 64:
                         long.append(w)
