@@ -59,9 +59,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Transducer:
-    """A compiled model.  `held` bounds the parts whose encodings are remembered."""
+    """A compiled model.  Encodings of parts are remembered in two generations of at most `held`: what comes often stays."""
 
-    def __init__(self, model: bytes, held: int = 300_000):
+    def __init__(self, model: bytes, held: int = 150_000):
         self.texts: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -99,6 +99,8 @@ class Transducer:
         self.follows: dict[int, bool] = {}
         self.built: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.held, self.known, self.cores = held, {}, {}
+        self.older: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
 
     # -- the parts of the composition ------------------------------------------------
 
@@ -242,11 +244,11 @@ class Transducer:
         """Ids of a text as unsigned 32-bit integers; null and empty give none."""
         parts = self.part.findall(self.normalise(text or ""))
         if len(self.known) > self.held:
-            self.known = {}
-        known, long = self.known, []
+            self.older, self.known = self.known, {}
+        known, older, long = self.known, self.older, []
         for p in set(parts):
             if p not in known:
-                known[p] = self.encode_part(p)
+                known[p] = ids if (ids := older.get(p)) is not None else self.encode_part(p)
                 if len(p) > 64:
                     long.append(p)
         out = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
@@ -257,13 +259,14 @@ class Transducer:
     def encode_part(self, part: str) -> bytes:
         """Ids of a part as bytes.  It falls apart where no piece holds the two characters that meet; what is left is remembered."""
         if len(self.cores) > self.held:
-            self.cores = {}
+            self.older_cores, self.cores = self.cores, {}
         inside, cores, start, out = self.inside, self.cores, 0, []
         cuts = [k for k, pair in enumerate(zip(part, part[1:]), 1) if pair not in inside]
         for at in [*cuts, len(part)]:
             core = part[start:at]
             if (ids := cores.get(core)) is None:
-                ids = array("I", self.path(core)).tobytes()
+                if (ids := self.older_cores.get(core)) is None:
+                    ids = array("I", self.path(core)).tobytes()
                 if len(core) <= 32:
                     cores[core] = ids
             out.append(ids)
