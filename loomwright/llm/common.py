@@ -130,24 +130,3 @@ class KeyRanges:
         left, right = F.get(edges, main), F.get(edges, main + 1)
         inner = F.floor((key.cast("double") - left) / (right - left) * self.parts)
         return main * self.parts + F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.lit(self.parts - 1)), F.lit(0)).cast("int")
-
-
-def key_ranges(df: DataFrame, key: str, ranges: int) -> list[int]:
-    """Ascending bounds that cut an integer key into about equal ranges; at most ranges - 1 numbers reach the driver."""
-    if ranges < 2:
-        return []
-    cuts = [i / ranges for i in range(1, ranges)]
-    got = df.agg(F.percentile_approx(key, cuts, max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"]
-    return sorted(set(got or []))
-
-
-def range_of(key: Column, bounds: list[int]) -> Column:
-    """The range of a key: how many bounds are at most the key (nulls go to range 0).  Halving, so wide lists stay cheap."""
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key >= F.lit(bounds[mid]), pick(mid + 1, high)).otherwise(pick(low, mid))
-
-    return pick(0, len(bounds)).cast("int")
