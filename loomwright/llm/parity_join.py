@@ -74,7 +74,7 @@ class ParityJoin:
     # -- texts and sets of some nodes -------------------------------------------------
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of each node's first document."""
+        """(node, text) of each node's first document: one row for each row of that doc_id, whose text may also be another node's."""
         wanted = stash(nodes.join(self.contents.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("__id")), "parity-wanted")
         docs = self.df.select(F.col(self.key).cast("long").alias("__id"), F.col(self.text).alias("text"))
         return docs.join(small(wanted, wanted.count(), PICK_ROWS), "__id").select("node", "text")
@@ -142,11 +142,14 @@ class ParityJoin:
                 out = []
                 for node, body in zip(batch["node"], batch["text"], strict=True):
                     hashes = shingle_set(body, words)
+                    if set_digest(hashes)[0] != node:  # another text of the same doc_id
+                        continue
                     for band in bands.tables(len(hashes)):
                         out.append((node, band, bands.prefix(len(hashes), band), bands.part_keys(hashes, band).view(np.int64)))
                 yield pd.DataFrame(out, columns=["node", "band", "most", "keys"])
 
-        all_parts = stash(self.texts(nodes).mapInPandas(parts, "node long, band int, most int, keys array<long>"), "parity-parts")
+        all_parts = self.texts(nodes).mapInPandas(parts, "node long, band int, most int, keys array<long>")
+        all_parts = stash(all_parts.dropDuplicates(["node", "band"]), "parity-parts")
         each = all_parts.select("node", "band", "most", F.explode("keys").alias("sig"))
         counts = stash(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "parity-counts")
         ordered = each.join(counts, "sig").groupBy("node", "band").agg(F.array_sort(F.collect_list(F.struct("c", "sig"))).alias("p"), F.first("most").alias("most"))

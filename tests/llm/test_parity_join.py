@@ -56,6 +56,24 @@ def test_components_against_brute_force(spark, seed, direct, block):
     assert found == brute(rows)
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_large_family_of_repeated_rows(spark, clash):
+    """Far members link with the base alone, by parts that more than `direct` nodes share; repeated rows must not hide those parts."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(184)]
+    variant = lambda f, at: " ".join(f"f{f}e{k}" if k in at else w for k, w in enumerate(base))
+    rows = [(0, " ".join(base))] + [(f, variant(f, {rng.randrange(184)})) for f in range(1, 31)]
+    rows += [(f, variant(f, {rng.randrange(10) + 40 * k + 10 for k in range(4)})) for f in range(31, 51)]
+    want = brute(rows)
+    assert {c for _, c in want.values()} == {0}
+    other = lambda f: " ".join(f"other{f}n{k}" for k in range(30 + 7 * f))
+    again = [(f, other(f)) for f, _ in rows] if clash else rows
+    df = spark.createDataFrame(rows + again, "doc_id long, text string")
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(df).collect()]
+    extra = [(f, len(sets_of(t)), f) for f, t in again] if clash else [(f, *want[f]) for f in want]
+    assert sorted(found) == sorted([(f, *want[f]) for f in want] + extra)
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE  two"), (6, "one two three"), (None, "one two"), (7, "a b c d e f"), (7, "a b c d e f"), (8, "word " * 50_000), (9, "word " * 60_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("n_shingles", F.lit(0))
