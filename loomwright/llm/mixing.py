@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, with DataFrame functions only.
 
 Every source has a target number of words.  Whole epochs of the source come first; what is left of the target is
-filled in the order of the keys u ** (1 / quality), largest first, u being a hash of the document's key.  The order is
-cut by a prefix sum: a document enters when its middle word does not pass the target.
+filled in the order of the keys u ** (1 / quality), largest first, u being a hash of the document's key.  The keys are
+held as -ln(u) / quality, least first: the same order, and no quality is so low that keys underflow and tie.  The order
+is cut by a prefix sum: a document enters when its middle word does not pass the target.
 
-No task sorts a source.  Keys fall into bins of their value; the bins' sums show the bin in which the cut lies, and only
-that bin's rows are sorted.  The documents themselves are never shuffled: they meet one row per source.
+No task sorts a source.  Keys fall into bins with about as many rows each, between quantiles of all keys; the bins' sums
+show the bin in which the cut lies, and only that bin's rows are sorted.  The documents themselves are never shuffled: they meet one row per source.
 """
 
 from __future__ import annotations
@@ -45,6 +46,18 @@ def source_targets(sources: DataFrame, weights: list[float], cap: float) -> Data
     return filled.select("__src", "source_size", F.when(F.col("__full"), F.col("__cap")).otherwise(total * F.col("__w") / open_weight).alias("target"))
 
 
+def key_bin(df: DataFrame, draw: str, bins: int) -> Column:
+    """The bin of a key, of at most `bins`: how many of the quantiles of all keys are at most the key.  It never decreases with the key."""
+    shares = [i / bins for i in range(1, bins)]
+    got = df.agg(F.percentile_approx(draw, shares, max(10_000, 10 * bins)).alias("cuts")).first()["cuts"] if shares else None
+    cuts = sorted(set(got or []))
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= F.col(draw), at + step).otherwise(at))
+
+
 def mix_sources(df: DataFrame, *, size: str, quality: Column, weights: list[float], source: str = "source", key: str = "doc_id", cap: float = 3.0, seed: str = "mix", bins: int = 4096) -> DataFrame:
     """Add source_size (long), target (double) and copies (long): how often the mixture takes each document.
 
@@ -54,9 +67,12 @@ def mix_sources(df: DataFrame, *, size: str, quality: Column, weights: list[floa
     """
     names = [c for c in df.columns if c not in ("source_size", "target", "copies")]
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    draw = F.pow(unit_hash(F.concat(F.lit(f"{seed}#"), key_string(F.col(key), F.col(source)))), 1.0 / quality)
-    keyed = df.select(*names, n.alias("__n"), draw.alias("__draw")).withColumn("__bin", (bins - 1 - F.least(F.floor(F.col("__draw") * bins), F.lit(bins - 1))).cast("int"))
-    sums = stash(keyed.groupBy(F.col(source).alias("__src"), "__bin").agg(F.sum("__n").alias("__sum")), "mix-bins")
+    draw = -F.ln(unit_hash(F.concat(F.lit(f"{seed}#"), key_string(F.col(key), F.col(source))))) / quality
+    drawn = df.select(*names, n.alias("__n"), draw.alias("__draw"))
+    narrow = stash(drawn.select(F.col(source).alias("__src"), F.col(key).alias("__key"), "__n", "__draw"), "mix-keys")
+    index = key_bin(narrow, "__draw", bins)
+    keyed, binned = drawn.withColumn("__bin", index), narrow.withColumn("__bin", index)
+    sums = stash(binned.groupBy("__src", "__bin").agg(F.sum("__n").alias("__sum")), "mix-bins")
     targets = stash(source_targets(sums.groupBy("__src").agg(F.sum("__sum").alias("source_size")), weights, cap), "mix-targets")
     count = targets.count()
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -65,13 +81,13 @@ def mix_sources(df: DataFrame, *, size: str, quality: Column, weights: list[floa
     running = W.partitionBy("__src").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
     edges = sums.join(small(right, count), F.col("__src").eqNullSafe(F.col("__psrc"))).withColumn("__before", F.coalesce(F.sum("__sum").over(running), F.lit(0)))
     edges = edges.filter((F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__sum") >= F.col("__rest"))).select("__psrc", F.col("__bin").alias("__edge"), "__before", "__rest")
-    place = F.struct((-F.col("__draw")).alias("d"), F.col(key).alias("k"))
-    inside = keyed.select(F.col(source).alias("__src"), "__bin", "__n", place.alias("__place")).join(small(edges, count), F.col("__src").eqNullSafe(F.col("__psrc")) & (F.col("__bin") == F.col("__edge")))
+    place = lambda k: F.struct(F.col("__draw").alias("d"), F.col(k).alias("k"))
+    inside = binned.select("__src", "__bin", "__n", place("__key").alias("__place")).join(small(edges, count), F.col("__src").eqNullSafe(F.col("__psrc")) & (F.col("__bin") == F.col("__edge")))
     ordered = W.partitionBy("__src").orderBy("__place", "__n").rowsBetween(W.unboundedPreceding, -1)
     inside = inside.withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__n").over(ordered), F.lit(0)))
     cuts = inside.groupBy("__src", "__edge").agg(F.max(F.when(F.col("__ahead") + F.col("__n") / 2 <= F.col("__rest"), F.col("__place"))).alias("__cut"))
     cuts = cuts.withColumnRenamed("__src", "__csrc")
     plan = stash(right.join(small(cuts, count), F.col("__psrc").eqNullSafe(F.col("__csrc")), "left").select("__psrc", "source_size", "target", "__epochs", "__edge", "__cut"), "mix-plan")
-    chosen = F.coalesce((F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.coalesce(place <= F.col("__cut"), F.lit(False))), F.lit(False))
+    chosen = F.coalesce((F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.coalesce(place(key) <= F.col("__cut"), F.lit(False))), F.lit(False))
     met = keyed.join(small(plan, count), F.col(source).eqNullSafe(F.col("__psrc")), "left")
     return met.select(*names, "source_size", "target", (F.col("__epochs") + chosen.cast("int")).cast("long").alias("copies"))

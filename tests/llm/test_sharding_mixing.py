@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -96,3 +98,16 @@ def test_better_documents_are_drawn_more_often(spark):
     good, bad = (sum(r["copies"] for r in mixed if r["doc_id"] % 2 == k) for k in (0, 1))
     assert good > 2 * bad
     assert mixing.mix_sources(df.limit(0), size="size", quality=F.lit(1.0), weights=[1.0]).count() == 0
+
+
+def test_long_words_are_drawn_not_taken_by_id(spark):
+    """Keys of texts without blanks neither tie nor meet in one bin: the taken rows are the first in the order of -ln(u) / quality."""
+    rows = [(i, "\u6587" * 100, "a" if i < 1200 else "b") for i in range(1600)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit(1).cast("long")).withColumn("good", F.when(F.col("doc_id") % 2 == 0, 1 / 5000).otherwise(1 / 9000))
+    mixed = mixing.mix_sources(df, size="size", quality=F.col("good"), weights=[1.0, 3.0]).filter("source = 'a'").collect()
+    unit = {r["doc_id"]: (int(hashlib.md5(f"mix#{r['doc_id']}\u0001a".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for r in mixed}
+    order = sorted(mixed, key=lambda r: -math.log(unit[r["doc_id"]]) / r["good"])
+    taken = sum(r["copies"] for r in mixed)
+    assert 300 < taken < 600 and {r["doc_id"] for r in order[:taken]} == {r["doc_id"] for r in mixed if r["copies"]}
+    keys = df.select((-F.ln(F.rand(1)) / F.col("good")).alias("k"))
+    assert max(r["count"] for r in keys.groupBy(mixing.key_bin(keys, "k", 64).alias("b")).count().collect()) <= 50
