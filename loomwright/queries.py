@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import collections as coll
 from loomwright.functions import text as txt
 from loomwright.operators.grants import grants_delta_table
-from loomwright.operators.partitioning import range_bounds, sample_values
+from loomwright.operators.partitioning import SAMPLES_PER_RANGE, range_bounds, sample_values
 from loomwright.plans.config import config_dict, config_list
 from loomwright.plans.engine import Engine, content_hash
 from loomwright.plans.helpers import hierarchy, new_objects
@@ -199,8 +199,9 @@ def insert_overwrite_join_partitioned(spark, sf_dir):
 @query("select min(o_custkey) as lo, max(o_custkey) as hi, count(distinct o_custkey) as n, cast(7 as bigint) as bounds from orders")
 def partition_sample_bounds(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    values, _ = sample_values(orders, "o_custkey", 10_000_000)
-    return spark.createDataFrame([(values[0], values[-1], len(values), len(range_bounds(values, 8)))], "lo bigint, hi bigint, n bigint, bounds bigint")
+    values, _ = sample_values(orders, "o_custkey", SAMPLES_PER_RANGE * 8)
+    found = orders.select("o_custkey").distinct().agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"), F.count("o_custkey").alias("n"))
+    return found.withColumn("bounds", F.lit(len(range_bounds(values, 8))).cast("bigint"))
 
 
 @query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")

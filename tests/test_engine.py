@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright import queries
 from loomwright.operators import partitioning as parts
 from loomwright.operators.merge import AmbiguousMerge, merge_with_deletes
 from loomwright.plans.engine import Engine, content_hash, definition_verb
@@ -213,3 +214,12 @@ def test_append_and_evolution(engine, spark):
     assert sorted(map(str, (tuple(r) for r in engine.ref("t").collect()))) == ["(1, 'a', None)", "(2, None, True)", "(None, 'b', None)"]
     with pytest.raises(ValueError, match="no columns"):
         engine.append("u", spark.sql("select 2 as k, 3 as other"))
+
+
+def test_sample_bounds_count_all_keys(spark, sf_dir, monkeypatch):
+    """lo, hi and n are the table's, however few keys the sample may hold."""
+    limits = []
+    monkeypatch.setattr(queries, "sample_values", lambda df, c, limit: limits.append(limit) or parts.sample_values(df, c, min(limit, 20)))
+    found = queries.partition_sample_bounds(spark, sf_dir).first()
+    keys = {r["o_custkey"] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").collect()}
+    assert tuple(found) == (min(keys), max(keys), len(keys), 7) and limits == [800]
