@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.sources.store import default_root
+
 
 def new_objects(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of `after` that `before` has not, if there is just one."""
@@ -14,12 +18,29 @@ def new_objects(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def hierarchy(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Each child with the list of all its ancestors, nearest first, by a recursive query."""
-    view = "__hierarchy_edges"
-    edges.select(F.col(child).cast("long").alias("c"), F.col(parent).cast("long").alias("p")).createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        with recursive up(c, top, chain) as (
-            select c, p, array(p) from {view} where p is not null
-            union all
-            select up.c, e.p, array_append(up.chain, e.p) from up join {view} e on e.c = up.top where e.p is not null)
-        select c, max_by(chain, size(chain)) as chain from up group by c""")
+    """Each child with the list of all its ancestors, nearest first; the longest where it has several parents.
+
+    A round joins each unfinished chain with the chains of its last ancestor, so chains double in length, and writes them to
+    the shared folder; it ends when all have reached an ancestor without a parent.  Edges that run in a circle raise ValueError.
+    """
+    spark = edges.sparkSession
+    root = f"{default_root(spark)}/hierarchy-{uuid.uuid4().hex[:12]}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+    def kept(df: DataFrame, number: int) -> DataFrame:
+        df.write.parquet(f"{root}/round_{number}")
+        return spark.read.schema(df.schema).parquet(f"{root}/round_{number}")
+
+    pairs = edges.select(F.col(child).cast("long").alias("c"), F.col(parent).cast("long").alias("top")).filter("top is not null").distinct()
+    chains, number = kept(pairs.select("c", "top", F.array("top").alias("chain"), F.lit(True).alias("more")), 0), 0
+    while not chains.filter("more").isEmpty():
+        if not chains.filter("more and array_contains(chain, c)").isEmpty():
+            raise ValueError("a child is its own ancestor")
+        onward = chains.select(F.col("c").alias("top"), F.col("top").alias("__top"), F.col("chain").alias("__chain"), F.col("more").alias("__more"))
+        longer = chains.filter("more").join(onward, "top", "left").select(
+            "c", F.coalesce("__top", "top").alias("top"), F.when(F.col("__top").isNull(), F.col("chain")).otherwise(F.concat("chain", "__chain")).alias("chain"), F.coalesce("__more", F.lit(False)).alias("more")
+        )
+        number += 1
+        chains = kept(chains.filter("not more").unionByName(longer), number)
+    return chains.groupBy("c").agg(F.max_by("chain", F.size("chain")).alias("chain"))

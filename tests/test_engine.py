@@ -9,6 +9,7 @@ from loomwright import queries
 from loomwright.operators import partitioning as parts
 from loomwright.operators.merge import AmbiguousMerge, merge_with_deletes
 from loomwright.plans.engine import Engine, content_hash, definition_verb
+from loomwright.plans.helpers import hierarchy
 from loomwright.plans.model import Context, Model
 
 
@@ -223,3 +224,14 @@ def test_sample_bounds_count_all_keys(spark, sf_dir, monkeypatch):
     found = queries.partition_sample_bounds(spark, sf_dir).first()
     keys = {r["o_custkey"] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").collect()}
     assert tuple(found) == (min(keys), max(keys), len(keys), 7) and limits == [800]
+
+
+def test_hierarchy_of_any_depth(spark):
+    """A chain of 150, a child with two parents, null ends; circles are refused."""
+    rows = [(k, k + 1) for k in range(150)] + [(200, 150), (200, 0), (300, None), (None, 150), (301, 300)]
+    found = {r["c"]: r["chain"] for r in hierarchy(frame(spark, rows, "c long, p long"), "c", "p").collect()}
+    want = {k: list(range(k + 1, 151)) for k in range(150)} | {200: list(range(151)), None: [150], 301: [300]}
+    assert found == want
+    for circle in ([(1, 1)], [(1, 2), (2, 3), (3, 1), (0, 1)]):
+        with pytest.raises(ValueError, match="ancestor"):
+            hierarchy(frame(spark, circle, "c long, p long"), "c", "p")
