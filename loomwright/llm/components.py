@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import stash
+from loomwright.llm.common import Stashes, stash
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,21 +14,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round keeps the edges between the roots found so far; every stage is a join or a grouped minimum, and each
     round's tables are written to the shared folder.  Self-loops and repeated edges are fine; null ends are dropped.
     """
+    held = Stashes(edges.sparkSession, "cc")
     whole = edges.filter("a is not null and b is not null")
-    labels = stash(whole.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "cc-labels")
-    live = stash(whole.filter("a <> b").distinct(), "cc-edges")
+    labels = held.put(whole.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    live = held.put(whole.filter("a <> b").distinct(), "edges")
     while not live.isEmpty():
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = stash(both.groupBy("a").agg(F.min("b").alias("up")).select("a", F.least("a", "up").alias("up")), "cc-parents")
+        parents = held.put(both.groupBy("a").agg(F.min("b").alias("up")).select("a", F.least("a", "up").alias("up")), "parents")
         while True:
             higher = parents.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            jumped = stash(parents.join(higher, "up").select("a", "up", "top"), "cc-jump")
+            jumped = held.put(parents.join(higher, "up").select("a", "up", "top"), "jump")
             moved = not jumped.filter("top <> up").isEmpty()
             parents = jumped.select("a", F.col("top").alias("up"))
             if not moved:
                 break
         to_root = parents.select(F.col("a").alias("root"), "up")
-        labels = stash(labels.join(to_root, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
+        labels = held.put(labels.join(to_root, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
         ends = live.join(parents.select("a", F.col("up").alias("x")), "a").join(parents.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
-        live = stash(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-    return labels
+        live = held.put(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    done = stash(labels, "cc-done")
+    held.drop()
+    return done

@@ -3,13 +3,15 @@
 1. Each text becomes a set of hashed shingles; equal sets are one node.  A node has, for its size band, parity bits and
    the XOR sums of disjoint parts of its set.  Two sets that link agree in at least one of the parts that each puts
    forward (`Bands.signatures`), so grouping by part finds every link.
-2. Parts that up to `direct` nodes share give all their pairs.  The nodes of larger groups are dealt again: all their
-   parts are counted, and each node puts forward its rarest ones.  The pigeonhole holds for any common order, and text
-   that a whole family shares is passed over.
+2. Parts that up to `direct` nodes share give all their pairs.  The nodes of larger groups are dealt again with the
+   finest parts, one element each: all are counted, and each node puts forward its rarest ones.  The pigeonhole holds
+   for any common order, and text that a whole family shares is passed over.
 3. Candidates whose sketches differ in more bits than their sets may differ are no links.  The rest are verified on
    the sets of the texts.  Links are contracted into components.
-4. Groups that still are large give pairs with one hub first.  Where several components remain in such a group, its nodes
-   meet in blocks, sketch against sketch, and only pairs near enough leave the block to be verified.
+4. A group that still is large becomes a star around its most usual node, its hub.  Every member meets the hub's set, in
+   salted chunks, and is from then on known by its difference to the hub: two members differ in just the elements in
+   which their differences do.  Where several components remain around a hub, members of different ones meet in blocks
+   and a block lets out no more than a spanning forest of exact links between components.
 
 No pair that can link is left out, copies are never paired, and members of one component are not paired further.
 """
@@ -23,23 +25,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import small, stash
+from loomwright.llm.common import Stashes, small
 from loomwright.llm.components import connected_components
 from loomwright.llm.shingle_sets import Bands, set_digest, shingle_set, size_band
 
 #: Rows (node or doc_id, 16 bytes) that may be broadcast to pick texts out of the whole table.
 PICK_ROWS = 500_000
-SKETCHED = "doc_id long, n long, node long, signatures array<long>, own binary, upper binary"
+SKETCHED = "doc_id long, n long, node long, check long, signatures array<long>, own binary, upper binary"
+#: Rings of distance from a hub.
+RINGS = 16
 
 
 def sketch_texts(df: DataFrame, text: str, key: str, words: int, bands: Bands) -> DataFrame:
-    """SKETCHED rows: the set size, its 64-bit digest as node (null for an empty set or a null key), signatures, parity bits.
+    """SKETCHED rows: the set size, its two 64-bit digests as node and check (null for an empty set or a null key), signatures, parity bits.
 
-    A node met again in the same task carries no signatures: copies need not be grouped more than once a task.
+    A set met again in the same task carries no signatures: copies need not be grouped more than once a task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
             for doc_id, body in zip(batch["doc_id"], batch["text"], strict=True):
@@ -47,59 +51,125 @@ def sketch_texts(df: DataFrame, text: str, key: str, words: int, bands: Bands) -
                 hashes = shingle_set(body, words)
                 n = len(hashes)
                 if n == 0 or doc_id is None:
-                    out.append((doc_id, n, None, None, None, None))
+                    out.append((doc_id, n, None, None, None, None, None))
                     continue
-                node = set_digest(hashes)[0]
-                if node in seen:
-                    out.append((doc_id, n, node, None, None, None))
+                digest = set_digest(hashes)
+                if digest in seen:
+                    out.append((doc_id, n, *digest, None, None, None))
                     continue
-                seen.add(node)
+                seen.add(digest)
                 tables = bands.tables(n)
                 signatures = np.concatenate([bands.signatures(hashes, b) for b in tables])
                 bits = [bands.sketch(hashes, b) for b in tables]
-                out.append((doc_id, n, node, signatures, bits[0], bits[1] if len(bits) > 1 else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "signatures", "own", "upper"])
-            frame["doc_id"], frame["node"] = frame["doc_id"].astype("Int64"), pd.array([x[2] for x in out], "Int64")
+                out.append((doc_id, n, *digest, signatures, bits[0], bits[1] if len(bits) > 1 else None))
+            frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "check", "signatures", "own", "upper"])
+            for at, c in ((0, "doc_id"), (2, "node"), (3, "check")):
+                frame[c] = pd.array([x[at] for x in out], "Int64")
             yield frame
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SKETCHED)
 
 
+def rekeyed(rows: DataFrame) -> DataFrame | None:
+    """The rows with other nodes where sets of different second digests share a node; None where none do."""
+    clash = rows.filter("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("node", F.lit(True).alias("__met"))
+    count = clash.count()
+    if not count:
+        return None
+    met = rows.join(small(clash, count), "node", "left")
+    return met.withColumn("node", F.when(F.col("__met"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(*rows.columns)
+
+
+def star_rows(hub: int, group: pd.DataFrame, percent: int, with_hub: bool) -> pd.DataFrame:
+    """Each member's distance and difference to the hub's set, and whether they link."""
+    is_hub = group["node"].to_numpy() == hub
+    centre = np.sort(np.asarray(group["hashes"][is_hub].iloc[0], np.int64))
+    out = [(hub, hub, len(centre), 0.0, True, b"")] if with_hub else []
+    for node, own in zip(group["node"][~is_hub], group["hashes"][~is_hub], strict=True):
+        delta = np.setxor1d(centre, own, assume_unique=True)
+        total = len(centre) + len(own)
+        out.append((hub, int(node), len(own), 2 * len(delta) / (total + len(delta)), bool((100 + percent) * len(delta) <= (100 - percent) * total), delta.tobytes()))
+    return pd.DataFrame(out, columns=["hub", "node", "n", "dist", "linked", "delta"])
+
+
+def forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between the roots of a block's rows (root, n, main, side, delta): a spanning forest of the exact ones.
+
+    Rows of side 0 meet rows of side 1, or all rows meet where all are of side 2; two rows of the main root never do.
+    """
+    labels, lab = np.unique(group["root"].to_numpy(np.int64), return_inverse=True)
+    n, main, side = group["n"].to_numpy(np.int64), group["main"].to_numpy(bool), group["side"].to_numpy()
+    deltas = [np.frombuffer(x, np.int64) for x in group["delta"]]
+    sizes = np.array([len(d) for d in deltas], np.int64)
+    known, value = np.unique(np.concatenate(deltas), return_inverse=True)
+    owner = np.repeat(np.arange(len(deltas)), sizes)
+    by_value = np.argsort(value, kind="stable")
+    postings = owner[by_value]
+    first = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=len(known)))))
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    found = []
+    fewer = 0 if (side == 0).sum() <= (side == 1).sum() else 1
+    if main[side == fewer].any() and (side != 2).all():
+        fewer = 1 - fewer  # the main root's rows are met, they do not look
+    place = np.arange(len(deltas))
+    for i in np.flatnonzero(~main & ((side == fewer) | (side == 2))):
+        wanted = (lab != lab[i]) & ((side == 1 - fewer) | ((side == 2) & (main | (place > i))))
+        if not wanted.any():
+            continue
+        at = value[begin[i] : begin[i + 1]]
+        lengths = first[at + 1] - first[at]
+        ends = np.cumsum(lengths)
+        met = postings[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - lengths), lengths)]
+        both = np.bincount(met, minlength=len(deltas))
+        linked = wanted & ((100 + percent) * (sizes + sizes[i] - 2 * both) <= (100 - percent) * (n + n[i]))
+        while linked.any():
+            j = int(np.argmax(linked))
+            found.append((int(group["root"].iloc[i]), int(group["root"].iloc[j])))
+            lab[lab == lab[j]] = lab[i]
+            linked &= lab != lab[i]
+    return found
+
+
 class ParityJoin:
-    def __init__(self, df: DataFrame, text: str, key: str, words: int, percent: int, direct: int, block: int):
-        self.df, self.text, self.key, self.words, self.direct, self.block = df, text, key, words, direct, block
+    def __init__(self, df: DataFrame, text: str, key: str, words: int, percent: int, direct: int, chunk_bytes: int):
+        self.df, self.text, self.key, self.words, self.direct, self.chunk_bytes = df, text, key, words, direct, chunk_bytes
         self.bands = Bands(percent)
         self.percent = percent
+        self.kept, self.passing = Stashes(df.sparkSession, "parity"), Stashes(df.sparkSession, "parity")
 
-    # -- texts and sets of some nodes -------------------------------------------------
+    # -- sets of some nodes ------------------------------------------------------------
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of each node's first document: one row for each row of that doc_id, whose text may also be another node's."""
-        wanted = stash(nodes.join(self.contents.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("__id")), "parity-wanted")
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, n, hashes) of each node, from its first document's text; rows of that doc_id with another text are passed over."""
+        words = self.words
+        wanted = self.passing.put(nodes.join(self.contents.select("node", "digest", "check", "doc_id"), "node").select("node", "digest", "check", F.col("doc_id").alias("__id")), f"{name}-wanted")
         docs = self.df.select(F.col(self.key).cast("long").alias("__id"), F.col(self.text).alias("text"))
-        return docs.join(small(wanted, wanted.count(), PICK_ROWS), "__id").select("node", "text")
+        texts = docs.join(small(wanted, wanted.count(), PICK_ROWS), "__id").select("node", "digest", "check", "text")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for node, digest, check, body in zip(batch["node"], batch["digest"], batch["check"], batch["text"], strict=True):
+                    hashes = shingle_set(body, words)
+                    if set_digest(hashes) == (digest, check):
+                        out.append((node, len(hashes), hashes.view(np.int64)))
+                yield pd.DataFrame(out, columns=["node", "n", "hashes"])
+
+        return self.passing.put(texts.mapInPandas(run, "node long, n long, hashes array<long>").dropDuplicates(["node"]), f"{name}-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by the sets of their texts."""
-        words, percent = self.words, self.percent
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [shingle_set(x, words) for x in batch["text"]]
-                keep = [set_digest(h)[0] == node for h, node in zip(found, batch["node"], strict=True)]
-                yield pd.DataFrame({"node": batch["node"][keep], "hashes": [h.tobytes() for h, k in zip(found, keep, strict=True) if k]})
+        percent = self.percent
 
         @F.pandas_udf("boolean")
         def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-            def one(p: bytes, q: bytes) -> bool:
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            def one(u: np.ndarray, v: np.ndarray) -> bool:
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 return 100 * both >= percent * (len(u) + len(v) - both)
 
             return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = stash(self.texts(nodes).mapInPandas(sets, "node long, hashes binary").dropDuplicates(["node"]), "parity-sets")
+        held = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pairs")
         met = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("__x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("__y")), "b")
         return met.filter(linked("__x", "__y")).select("a", "b")
 
@@ -125,115 +195,136 @@ class ParityJoin:
 
     # -- candidate groups ------------------------------------------------------------
 
-    def grouped(self, members: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """From distinct (sig, node): all pairs of groups of up to `direct`, the sizes (sig, g, hub) and the members of larger ones."""
-        sizes = stash(members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("hub")).filter("g > 1"), f"{name}-sizes")
-        few = stash(members.join(sizes.filter(F.col("g") <= self.direct).select("sig"), "sig"), f"{name}-few")
-        pairs = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig").filter("a < b").select("a", "b").distinct()
-        large = stash(members.join(sizes.filter(F.col("g") > self.direct).select("sig", "hub", "g"), "sig"), f"{name}-large")
-        return pairs, sizes, large
-
-    def rarest(self, nodes: DataFrame) -> DataFrame:
-        """Distinct (sig, node): the parts that the nodes put forward when parts rarest among them come first, if shared."""
-        bands, words = self.bands, self.words
+    def grouped(self, members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """From distinct (sig, node, rare): all pairs of groups of up to `direct`, and the members of larger ones with their hub.
 
-        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for node, body in zip(batch["node"], batch["text"], strict=True):
-                    hashes = shingle_set(body, words)
-                    if set_digest(hashes)[0] != node:  # another text of the same doc_id
-                        continue
-                    for band in bands.tables(len(hashes)):
-                        out.append((node, band, bands.prefix(len(hashes), band), bands.part_keys(hashes, band).view(np.int64)))
-                yield pd.DataFrame(out, columns=["node", "band", "most", "keys"])
-
-        all_parts = self.texts(nodes).mapInPandas(parts, "node long, band int, most int, keys array<long>")
-        all_parts = stash(all_parts.dropDuplicates(["node", "band"]), "parity-parts")
-        each = all_parts.select("node", "band", "most", F.explode("keys").alias("sig"))
-        counts = stash(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "parity-counts")
-        ordered = each.join(counts, "sig").groupBy("node", "band").agg(F.array_sort(F.collect_list(F.struct("c", "sig"))).alias("p"), F.first("most").alias("most"))
-        first = ordered.select("node", F.explode(F.slice("p", F.lit(1), F.col("most"))).alias("p"))
-        return stash(first.filter("p.c > 1").select("p.sig", "node").distinct(), "parity-rarest")
-
-    def blocks(self, large: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components within large groups, near enough by parity bits: the group's nodes meet in blocks."""
-        bands, block = self.bands, self.block
-        known = large.join(labels, "node", "left").select("sig", "g", "node", F.coalesce("root", "node").alias("root"))
-        known = stash(known, "parity-open")
-        open_sigs = stash(known.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig"), "parity-open-sigs")
-        held = known.join(open_sigs, "sig").join(self.contents.select("node", "n", "own", "upper"), "node")
-        chunks = F.ceil(F.col("g") / block).cast("int")
-        held = held.withColumn("__c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("__k", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        held = held.select("sig", F.least("__c", "__k").alias("lo"), F.greatest("__c", "__k").alias("hi"), "__c", "node", "root", "n", "own", "upper")
+        The hub is the node with fewest rare parts of its own, the one most like the rest.
+        """
+        sizes = self.passing.put(members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("rare").alias("least")).filter("g > 1"), f"{name}-sizes")
+        few = self.passing.put(members.join(sizes.filter(F.col("g") <= self.direct).select("sig"), "sig"), f"{name}-few")
+        pairs = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig").filter("a < b").select("a", "b").distinct()
+        many = self.passing.put(members.join(sizes.filter(F.col("g") > self.direct).select("sig", "least"), "sig"), f"{name}-many")
+        hubs = many.filter("rare = least").groupBy("sig").agg(F.min("node").alias("hub"))
+        large = self.passing.put(many.join(hubs, "sig").select("hub", "node").distinct(), f"{name}-large")
+        return pairs, large
+
+    def rarest(self, held: DataFrame) -> DataFrame:
+        """Distinct (sig, node, rare): the elements that the nodes put forward when those rarest among them come first, if shared."""
+        each = held.select("node", "n", F.explode("hashes").alias("sig"))
+        counts = self.passing.put(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "counts")
+        ordered = each.join(counts, "sig").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "sig"))).alias("p"), F.first("n").alias("n"))
+        most = (F.col("n") + 1 + F.floor(-F.lit(self.percent) * F.col("n") / 100)).cast("int")
+        rare = F.size(F.filter("p", lambda p: p["c"] <= self.direct))
+        first = ordered.select("node", rare.alias("rare"), F.explode(F.slice("p", F.lit(1), most)).alias("p"))
+        return self.passing.put(first.filter("p.c > 1").select("p.sig", "node", "rare"), "rarest")
+
+    # -- large groups ------------------------------------------------------------------
+
+    def stars(self, large: DataFrame, held: DataFrame) -> DataFrame:
+        """(hub, node, n, dist, linked, delta) of every member of every hub, the hub itself included."""
+        percent = self.percent
+        members = large.filter("node <> hub").join(held, "node")
+        chunks = self.passing.put(members.groupBy("hub").agg(F.ceil(F.sum(F.col("n") * 8) / self.chunk_bytes).cast("int").alias("chunks")), "star-chunks")
+        small_chunks = small(chunks, chunks.count())
+        dealt = members.join(small_chunks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("salt"), "node", "hashes")
+        hubs = chunks.join(held.select(F.col("node").alias("hub"), "hashes"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.col("hub").alias("node"), "hashes")
+
+        def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            return star_rows(int(key[0]), group, percent, key[1] == 0)
+
+        found = dealt.unionByName(hubs).groupBy("hub", "salt").applyInPandas(compare, "hub long, node long, n long, dist double, linked boolean, delta binary")
+        return self.passing.put(found, "stars")
+
+    def blocks(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between roots around one hub: members of different roots meet in blocks of about chunk_bytes.
+
+        Jaccard distance is a metric, so members whose distances to the hub differ by more than links allow need not meet:
+        they are dealt by ring of distance, and by whether they belong to the hub's most frequent root, whose members do
+        not meet each other.  A hub with few members is one block.
+        """
+        percent, limit = self.percent, self.chunk_bytes
+        known = stars.join(labels, "node", "left").select("hub", "n", "dist", "delta", "node", F.coalesce("root", "node").alias("root"))
+        known = self.passing.put(known, "around")
+        roots = known.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("delta") + 64).alias("w"))
+        open_hubs = roots.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"), F.max(F.struct("c", "root"))["root"].alias("top")).filter("k > 1").select("hub", "w", "top")
+        open_hubs = self.passing.put(open_hubs, "open")
+        placed = known.join(small(open_hubs, open_hubs.count()), "hub").withColumn("main", F.col("root") == F.col("top"))
+        whole = F.col("w") <= limit
+        ring = F.least(F.floor(F.col("dist") * RINGS), F.lit(RINGS - 1)).cast("int")
+        placed = placed.withColumn("cell", F.when(whole, F.lit(0)).otherwise(2 * ring + F.col("main").cast("int")))
+        cells = placed.groupBy("hub", "cell").agg(F.ceil(F.sum(F.octet_length("delta") + 64) / limit).cast("int").alias("chunks"), F.min("main").alias("main"))
+        cells = self.passing.put(cells, "cells")
+        reach = (100 - percent) * RINGS // 100 + 1
+        a = cells.select("hub", F.col("cell").alias("x"), F.col("chunks").alias("xn"), F.col("main").alias("xm"))
+        b = cells.select("hub", F.col("cell").alias("y"), F.col("chunks").alias("yn"), F.col("main").alias("ym"))
+        meets = (F.col("x") <= F.col("y")) & ~(F.col("xm") & F.col("ym")) & (F.abs(F.shiftright("x", 1) - F.shiftright("y", 1)) <= reach)
+        pairs = self.passing.put(a.join(b, "hub").filter(meets).select("hub", "x", "y", "xn", "yn"), "cell-pairs")
+        own = placed.join(cells.select("hub", "cell", "chunks"), ["hub", "cell"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        own = own.select("hub", "cell", "k", "root", "n", "main", "delta")
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        one, two = (own.join(pairs, (own["hub"] == pairs["hub"]) & (own["cell"] == pairs[c])).drop(pairs["hub"]) for c in ("x", "y"))
+        rest = ["root", "n", "main", "delta"]
+        within = one.filter("x = y").withColumn("j", upto("yn")).select("hub", "x", "y", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), F.when(F.col("k") == F.col("j"), 2).otherwise((F.col("k") > F.col("j")).cast("int")).alias("side"), *rest)
+        left = one.filter("x <> y").withColumn("j", upto("yn")).select("hub", "x", "y", F.col("k").alias("i"), "j", F.lit(0).alias("side"), *rest)
+        right = two.filter("x <> y").withColumn("i", upto("xn")).select("hub", "x", "y", "i", F.col("k").alias("j"), F.lit(1).alias("side"), *rest)
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            tables: dict[int, list[tuple[int, bytes]]] = {}
-            for i, (n, own, upper) in enumerate(zip(group["n"], group["own"], group["upper"], strict=True)):
-                tables.setdefault(size_band(n), []).append((i, own))
-                if upper is not None:
-                    tables.setdefault(size_band(n) + 1, []).append((i, upper))
-            node, root, n, side = (group[c].to_numpy() for c in ("node", "root", "n", "__c"))
-            lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-            for rows in tables.values():
-                at = np.array([i for i, _ in rows])
-                bits = np.frombuffer(b"".join(b for _, b in rows), np.uint64).reshape(len(rows), -1)
-                for k in range(len(rows)):
-                    i = at[k]
-                    if lo != hi and side[i] != lo:
-                        continue
-                    mask = (root[at] != root[i]) & ((side[at] == hi) if lo != hi else (node[at] > node[i]))
-                    total = n[at] + n[i]
-                    j = np.flatnonzero(mask & (100 * np.minimum(n[at], n[i]) >= bands.p * np.maximum(n[at], n[i])))
-                    far = np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                    for x in at[j[far <= total[j] * (100 - bands.p) // (100 + bands.p)]]:
-                        found.append((min(node[i], node[x]), max(node[i], node[x])))
-            return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-
-        return held.groupBy("sig", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
+            return pd.DataFrame(forest(group, percent), columns=["a", "b"], dtype="int64")
+
+        return within.unionByName(left).unionByName(right).groupBy("hub", "x", "y", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
     # -- the whole -------------------------------------------------------------------
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """The sketched rows and (node, root) of the nodes that link with another."""
-        rows = self.rows = stash(sketch_texts(self.df, self.text, self.key, self.words, self.bands), "parity-rows")
-        first = rows.filter("own is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("own").alias("own"), F.min("upper").alias("upper"))
+        rows = self.kept.put(sketch_texts(self.df, self.text, self.key, self.words, self.bands), "rows")
+        rows = rows.withColumn("digest", F.col("node"))
+        if (apart := rekeyed(rows)) is not None:
+            rows = self.kept.put(apart, "rows-apart")
+        first = rows.filter("own is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "digest", "check", "own", "upper")])
         least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        self.contents = stash(first.join(least, "node"), "parity-contents")
+        self.contents = self.passing.put(first.join(least, "node"), "contents")
         each = rows.select("node", F.explode("signatures").alias("sig"))
-        shared = stash(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "parity-shared")
+        shared = self.passing.put(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "shared")
         several = shared.filter("c > 2").select("sig")
-        members = stash(each.join(small(several, shared.filter("c > 2").count(), PICK_ROWS), "sig").select("sig", "node").distinct(), "parity-members")
-        pairs, _, large = self.grouped(members, "parity-one")
-        candidates = shared.filter("c = 2").select("a", "b").union(pairs)
-        second = None
+        members = self.passing.put(each.join(small(several, shared.filter("c > 2").count(), PICK_ROWS), "sig").select("sig", "node", F.lit(0).alias("rare")).distinct(), "members")
+        pairs, large = self.grouped(members, "one")
+        candidates, around = shared.filter("c = 2").select("a", "b").union(pairs), None
         if not large.isEmpty():
-            pairs, _, second = self.grouped(self.rarest(large.select("node").distinct()), "parity-two")
-            stars = second.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-            candidates = candidates.union(pairs).union(stars)
-        near = stash(self.near(candidates.distinct()), "parity-near")
-        links = stash(self.verified(near), "parity-links")
-        labels = connected_components(links)
-        if second is not None and not second.isEmpty():
-            more = stash(self.blocks(second, labels), "parity-blocks")
+            held = self.sets(large.select("node").distinct(), "large")
+            pairs, hubs = self.grouped(self.rarest(held), "two")
+            candidates = candidates.union(pairs)
+            if not hubs.isEmpty():
+                around = self.stars(hubs, held)
+        near = self.passing.put(self.near(candidates.distinct()), "near")
+        links = self.verified(near)
+        if around is not None:
+            links = links.union(around.filter("linked and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        labels = self.kept.put(connected_components(self.passing.put(links, "links")), "labels")
+        if around is not None:
+            more = self.passing.put(self.blocks(around, labels), "forest")
             if not more.isEmpty():
-                links = links.union(stash(self.verified(more), "parity-more-links"))
-                labels = connected_components(links)
+                tops = connected_components(more)
+                loose = tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+                joined = labels.unionByName(loose).join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+                labels = self.kept.put(joined.select("node", F.coalesce("top", "root").alias("root")), "labels")
+        self.passing.drop()
         return rows, labels
 
 
-def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, direct: int = 16, block: int = 256) -> DataFrame:
+def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, direct: int = 16, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id): the set's size and the smallest doc_id that links reach, itself included.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the text's distinct `words`-word shingles, the whole
     sequence when it is shorter.  Two documents link when 100 * intersection >= percent * union.  Null, empty and blank
     texts have an empty set and link with nothing; a row without doc_id links with nothing and has a null component.
-    Rows that repeat a doc_id are one document.  Other columns are ignored.  Sets are held as 64-bit hashes, and equal sets
-    are known by a 64-bit digest.
+    Rows that repeat a doc_id are one document while their texts' sets are equal; otherwise each text links on its own.
+    An empty table gives no rows; other columns are ignored.  Sets are held as 64-bit hashes, and equal sets are known by
+    two 64-bit digests.
     """
-    rows, labels = ParityJoin(df, text, key, words, percent, direct, block).run()
+    join = ParityJoin(df, text, key, words, percent, direct, chunk_bytes)
+    rows, labels = join.run()
     rooted = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
-    rooted = stash(rooted.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "parity-rooted")
-    ids = stash(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "parity-ids")
+    rooted = join.kept.put(rooted.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
+    ids = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

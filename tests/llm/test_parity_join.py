@@ -45,14 +45,14 @@ def corpus(seed, families, members, edits, size):
     return rows
 
 
-@pytest.mark.parametrize("seed,direct,block", [(1, 16, 256), (2, 2, 4), (3, 3, 8)])
-def test_components_against_brute_force(spark, seed, direct, block):
+@pytest.mark.parametrize("seed,direct,chunk_bytes", [(1, 16, 8 << 20), (2, 2, 4_000), (3, 3, 20_000)])
+def test_components_against_brute_force(spark, seed, direct, chunk_bytes):
     """Families with few edits link, with many they do not; small limits send them through every stage."""
     rows = corpus(seed, 12, 14, 6, 160)
     shared = " ".join(f"common{k}" for k in range(60))
     rows += [(len(rows) + k, f"{shared} " + " ".join(f"own{k}n{j}" for j in range(60))) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(df, direct=direct, block=block).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(df, direct=direct, chunk_bytes=chunk_bytes).collect()}
     assert found == brute(rows)
 
 
@@ -115,3 +115,73 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 202), (200, 202), (None, 3)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({found[i] for i in range(61)}) == 1 and found[200] == found[201] == found[202] != found[0] and found[100] == 100
+
+
+def plain_roots(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        x, y = find(int(i)), find(int(j))
+        root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("chunk_bytes", [8 << 20, 60_000])
+def test_large_family_with_many_components(spark, chunk_bytes):
+    """5,000 variants of one text: those with few edits are one component, those with more stand alone or in twos and threes."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(64)]
+    rows = []
+    while len(rows) < 5_000:
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            words[rng.randrange(64)] = f"e{rng.randrange(40)}"
+        for _ in range(rng.choice([1, 1, 3])):
+            mine = list(words)
+            if rng.random() < 0.5:
+                mine[rng.choice([0, 63])] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(mine)))
+    ids = {}
+    sets = [sorted({ids.setdefault(s, len(ids)) for s in sets_of(t)}) for _, t in rows]
+    held = np.zeros((len(rows), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, s] = 1
+    both, n = (held @ held.T), held.sum(axis=1)
+    want = plain_roots(len(rows), 100 * both >= 80 * (n[:, None] + n[None, :] - both))
+    assert len(set(want)) > 500
+    found = {r["doc_id"]: r["component_id"] for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()}
+    assert [found[i] for i in range(len(rows))] == want
+
+
+@pytest.mark.parametrize("sides", [True, False])
+def test_a_block_lets_out_a_forest(sides):
+    rng = np.random.default_rng(1)
+    deltas = [np.unique(rng.integers(0, 40, rng.integers(0, 24))) for _ in range(300)]
+    main = rng.random(300) < 0.4
+    root = np.where(main, 0, np.arange(1, 301) // 2 + 1)
+    side = np.where(main, 0, 1) if sides else np.full(300, 2)
+    group = parity_join.pd.DataFrame({"root": root, "n": 60, "main": main, "side": side, "delta": [d.astype(np.int64).tobytes() for d in deltas]})
+    found = parity_join.forest(group, 80)
+    linked = np.array([[180 * len(np.setxor1d(a, b)) <= 20 * 120 and not (sides and side[i] == side[j]) for j, b in enumerate(deltas)] for i, a in enumerate(deltas)])
+    linked &= ~(main[:, None] & main[None, :])
+    linked |= root[:, None] == root[None, :]
+    want = plain_roots(300, linked)
+    by_edges = np.eye(302, dtype=bool)
+    for a, b in found:
+        by_edges[min(a, b), max(a, b)] = True
+    tops = plain_roots(302, by_edges)
+    assert len({(want[i], tops[root[i]]) for i in range(300)}) == len(set(want)) == len({tops[r] for r in root})
+    assert len(found) == len(set(root)) - len(set(want))
+
+
+def test_nodes_that_share_a_digest_are_parted(spark):
+    rows = [(1, 3, 7, 10), (2, 3, 7, 11), (3, 3, 7, 10), (4, 5, 8, 10), (5, 0, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, node long, check long")
+    found = {r["doc_id"]: r["node"] for r in parity_join.rekeyed(df).collect()}
+    assert found[1] == found[3] != found[2] and found[4] == 8 and found[5] is None
+    assert parity_join.rekeyed(df.filter("doc_id <> 2")) is None
