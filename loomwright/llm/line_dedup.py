@@ -1,19 +1,24 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run is a table (h1, h2, n_docs) of 128-bit line hashes with the number of documents that hold the line, sorted by
-hash.  Every batch of documents adds a run of level 0; `fanout` runs of a level are merged into one of the next, so a
-hash is rewritten a logarithmic number of times.  Hashes that a run already shows in enough documents are settled: a new
-batch anti-joins them away before it adds its own.
+A run is a table (h1, h2, n_docs) of 128-bit line hashes with the number of documents that hold the line, bucketed and
+sorted by hash, so that a batch meets it without a shuffle of the run.  Every batch of documents adds a run of level 0;
+`fanout` runs of a level are merged into one of the next, so a hash is rewritten a logarithmic number of times.  Hashes
+that a run already shows in enough documents are settled: a new batch anti-joins them away before it adds its own.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BLANKS, KeyRanges, ascii_lower, fresh_path, remove_path, stash
+from loomwright.llm.common import BLANKS, KeyRanges, ascii_lower, fresh_path, list_path, remove_path
 
 HASH = ["h1", "h2"]
+#: Documents with more common lines than this look them up by halving.
+FEW_LINES = 32
 
 
 def line_list(text: Column) -> Column:
@@ -33,27 +38,56 @@ def key_hash(key: Column) -> Column:
 def line_hashes(df: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
     """One row (key, h1, h2) for each document and distinct line key of at least min_chars code points."""
     keys = F.filter(line_keys(F.col(text)), lambda k: F.char_length(k) >= min_chars)
-    each = df.select(F.col(key).alias("__id"), F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h"))
+    each = df.select(F.col(key).alias("__id"), F.explode(F.transform(F.array_distinct(keys), key_hash)).alias("h"))
     return each.select("__id", "h.h1", "h.h2")
 
 
+def is_in(value: Column, ordered: Column) -> Column:
+    """Whether a long is in an ascending array: by halving where the array is long, so a text's work grows little faster than its lines."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(27))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ordered, at + step - 1) < value, at + step).otherwise(at))
+    return F.when(F.size(ordered) <= FEW_LINES, F.array_contains(ordered, value)).otherwise(F.coalesce(F.get(ordered, below) == value, F.lit(False)))
+
+
 class LineRuns:
-    """The levelled runs in the shared folder.  The driver holds their paths only."""
+    """The levelled runs under a folder, `path/level_<n>/<run>`.  A folder that has runs is opened as it was left.
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
+    The driver holds the runs' paths only.  Each run is a bucketed table of the session over its folder; close() drops
+    the tables and leaves the files.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4, path: str | None = None, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.path = path or fresh_path(spark, "line-runs")
         self.levels: list[list[str]] = []
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths)
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = fresh_path(self.spark, f"line-run-{level}")
-        run.sortWithinPartitions(*HASH).write.parquet(path)
+        self.tables: dict[str, str] = {}
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for level in list_path(spark, self.path):
+            if m := re.fullmatch(r"level_(\d+)", level):
+                for run in list_path(spark, f"{self.path}/{level}"):
+                    if any(n == "_SUCCESS" for n in list_path(spark, f"{self.path}/{level}/{run}")):
+                        self.buckets = int(run.split("_")[1])
+                        self._hold(f"{self.path}/{level}/{run}", int(m[1]))
+
+    def _hold(self, path: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
+    def _table(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            self.tables[path] = f"line_run_{uuid.uuid4().hex}"
+            buckets = int(path.rpartition("/")[2].split("_")[1])
+            self.spark.sql(f"create table {self.tables[path]} (h1 bigint, h2 bigint, n_docs bigint) using parquet clustered by (h1, h2) sorted by (h1, h2) into {buckets} buckets location '{path}'")
+        return self.spark.table(self.tables[path])
+
+    def _write(self, run: DataFrame, level: int) -> None:
+        path = f"{self.path}/level_{level}/run_{self.buckets}_{uuid.uuid4().hex[:12]}"
+        name = f"line_run_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).format("parquet").saveAsTable(name)
+        self.tables[path] = name
+        self._hold(path, level)
+
     @property
     def paths(self) -> list[str]:
         return [p for level in self.levels for p in level]
@@ -61,9 +95,9 @@ class LineRuns:
     def add(self, hashes: DataFrame) -> None:
         """Add a batch's hashes (one row for each document and line), without those that are settled already."""
         run = hashes.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"))
-        if self.paths:
-            settled = self._read(self.paths).filter(F.col("n_docs") >= self.min_docs).select(*HASH)
-            run = run.join(settled, HASH, "left_anti")
+        for path in self.paths:
+            settled = self._table(path).filter(F.col("n_docs") >= self.min_docs).select(*HASH)
+            run = run.join(settled.hint("merge"), HASH, "left_anti")
         self._write(run, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
@@ -72,42 +106,54 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         """Merge a level's runs into one of the next level; the old ones go once the new one is written."""
-        old, self.levels[level] = self.levels[level], []
+        old = self.levels[level]
         self._write(self._merged(old), level + 1)
+        self.levels[level] = []
         for path in old:
+            self._drop(path)
             remove_path(self.spark, path)
 
     def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
+        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
 
     def common(self) -> DataFrame:
         """Hashes of the lines that at least min_docs documents hold."""
         return self._merged(self.paths).filter(F.col("n_docs") >= self.min_docs).select(*HASH)
 
+    def _drop(self, path: str) -> None:
+        if name := self.tables.pop(path, None):
+            self.spark.sql(f"drop table if exists {name}")
+
+    def close(self) -> None:
+        for path in list(self.tables):
+            self._drop(path)
+
 
-def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 8, fanout: int = 4, path: str | None = None) -> DataFrame:
     """Add n_lines, n_dropped (long) and kept_text: the text without lines whose key at least min_docs documents hold.
 
     Batches are ranges of the integer key.  Every row is a document, so repeated rows count again; a line counts once in
     a document.  Null and empty texts have one empty line; empty keys always stay.  A document that loses every line has
     an empty kept text.  The key may be null or repeat: it only carries a document's common hashes back to its text.
+    With `path`, the runs stay there, and documents of earlier calls count as well.  An empty table gives no rows;
+    columns named like the outputs are replaced.
     """
     spark = df.sparkSession
-    hashes = stash(line_hashes(df, text, key, min_chars), "line-hashes")
-    runs = LineRuns(spark, min_docs, fanout)
-    bounds = KeyRanges(hashes, "__id", batches).bounds
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = hashes
-        if low is not None:
-            part = part.filter(F.col("__id") >= low)
-        if high is not None:
-            part = part.filter((F.col("__id") < high) | F.col("__id").isNull() if low is None else F.col("__id") < high)
-        runs.add(part)
-    common = stash(runs.common(), "line-common")
-    held = hashes.join(common, HASH, "left_semi").groupBy("__id").agg(F.collect_set("h1").alias("__common"))
+    place = fresh_path(spark, "line-hashes")
+    ranges = KeyRanges(df, key, batches)
+    line_hashes(df, text, key, min_chars).withColumn("batch", ranges.coarse(F.col("__id"))).write.partitionBy("batch").parquet(place)
+    hashes = spark.read.schema(f"__id {dict(df.dtypes)[key]}, h1 long, h2 long, batch int").parquet(place)
+    runs = LineRuns(spark, min_docs, fanout, path)
+    for k in range(len(ranges.bounds) + 1):
+        runs.add(hashes.filter(F.col("batch") == k))
+    found = fresh_path(spark, "line-common")
+    runs.common().write.parquet(found)
+    runs.close()
+    common = spark.read.schema("h1 long, h2 long").parquet(found)
+    held = hashes.join(common, HASH, "left_semi").groupBy("__id").agg(F.sort_array(F.collect_set("h1")).alias("__common"))
     met = df.join(held, F.col(key).eqNullSafe(F.col("__id")), "left")
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     lines, keys = line_list(F.col(text)), line_keys(F.col(text))
-    pairs = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda p: ~F.array_contains(F.col("__common"), F.xxhash64(p["key"])))
+    pairs = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda p: ~is_in(F.xxhash64(p["key"]), F.col("__common")))
     split = met.select(*names, F.size(lines).cast("long").alias("n_lines"), F.when(F.col("__common").isNull(), lines).otherwise(F.transform(pairs, lambda p: p["line"])).alias("__kept"))
     return split.select(*names, "n_lines", (F.col("n_lines") - F.size("__kept")).cast("long").alias("n_dropped"), F.array_join("__kept", "\n").alias("kept_text"))
