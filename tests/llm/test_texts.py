@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -33,6 +36,7 @@ def plain_quality(text):
     kept = not failed
     chars = sum(map(len, words))
     for n, limit in quality.COVERAGE.items():
+        limit *= max(1.0, quality.SHORT_WORDS / max(1, len(words)))
         if n:
             g = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
             inside = {i + k for i in range(len(words) - n + 1) if g[tuple(words[i : i + n])] > 1 for k in range(n)}
@@ -53,6 +57,29 @@ def test_quality(spark, sf_dir):
     assert len(found) == df.count() and quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_method_rejects_what_the_base_rules_pass(spark):
+    """A quarter of the characters inside repeated n-grams or lines, with few repeated words by the base rule; short texts may repeat a passage."""
+    word = lambda a, b: " ".join(f"w{i:04d}" for i in range(a, b))
+    passage, line = word(1000, 1040), word(2000, 2009)
+    rows = [(1, f"{word(0, 120)} {passage} {word(120, 240)} {passage} {word(240, 300)}"), (2, word(0, 400)), (3, "\n".join([word(0, 60), line, word(60, 120), line, word(120, 150)])), (4, "\n".join([line] * 4 + [word(0, 210)])), (5, f"{word(0, 300)} {line} {word(300, 600)} {line}")]
+    found = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {i: r["kept"] for i, r in found.items()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+
+
+def test_quality_sql_on_rare_blanks(spark):
+    """Vertical tabs, form feeds and carriage returns are blanks in the query and in its SQL."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a ", "bb\x0b", "c\x0c", "dd\r\n", "e\n", "\x1c", "# "]) for _ in range(rng.randint(0, 90))) for _ in range(150)] + EDGES
+    rows = [(i, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.sql(queries.ORACLES["op9_repetition_rules"])
+    names = want.columns
+    found = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).select(*names).collect()
+    assert sorted(map(tuple, found)) == sorted(want.fetchall())
+
+
 def plain_lines(texts, least=10):
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     held = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
@@ -84,6 +111,33 @@ def test_runs_are_levelled(spark):
         runs.add(spark.createDataFrame([(part, 1, 1), (part, part, 2), (part + 10, 1, 1)], "__id long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert [(r["h1"], r["h2"]) for r in runs.common().collect()] == [(1, 1)]
+    batch = spark.createDataFrame([(9, 1, 1), (9, 5, 5)], "__id long, h1 long, h2 long").groupBy("h1", "h2").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = batch.join(runs._table(runs.levels[2][0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    runs.close()
+    again = line_dedup.LineRuns(spark, min_docs=3, fanout=2, path=runs.path)
+    assert again.levels == runs.levels and [(r["h1"], r["h2"]) for r in again.common().collect()] == [(1, 1)]
+    again.add(spark.createDataFrame([(1, 3, 2), (2, 3, 2)], "__id long, h1 long, h2 long"))
+    assert sorted((r["h1"], r["h2"]) for r in again.common().collect()) == [(1, 1), (3, 2)]
+    again.close()
+
+
+def test_lines_of_earlier_calls_count(spark, tmp_path):
+    first, second = (spark.createDataFrame([(i, f"shared\nown {i}") for i in range(k, k + 6)], "doc_id long, text string") for k in (0, 10))
+    for df, dropped in ((first, 0), (second, 1)):
+        assert {r["n_dropped"] for r in line_dedup.drop_common_lines(df, path=f"{tmp_path}/runs").collect()} == {dropped}
+
+
+def test_many_lines(spark):
+    """A document of 100,000 lines that are common takes seconds, not minutes."""
+    lines = [f"line {i}" for i in range(100_000)]
+    df = spark.createDataFrame([(k, "\n".join([*lines[k:], "own"])) for k in range(3)], "doc_id long, text string")
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in line_dedup.drop_common_lines(df, min_docs=3, batches=1).collect()}
+    assert time.monotonic() - began < 60
+    assert [(found[k]["n_lines"], found[k]["n_dropped"], found[k]["kept_text"]) for k in range(3)] == [(100_001 - k, 99_999, "\n".join(lines[k:2])) for k in range(3)]
 
 
 def test_token_files(spark, tmp_path):
