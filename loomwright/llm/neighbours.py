@@ -21,14 +21,14 @@ def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 2_000)
     ranges = KeyRanges(df, key, -(-df.count() // rows_per_range))
     placed = df.withColumn("range", ranges.index(F.col(key)))
     least = placed.groupBy("range").agg(F.when(F.max(F.col(key).isNull()), None).otherwise(F.min(key)).alias("__least"))
-    least = stash(least.select(F.col("range").alias("__range"), "__least"), "next-least")
-    heads = placed.select(key, value, "range").join(small(least, ranges.count), (F.col("range") == F.col("__range")) & F.col(key).eqNullSafe(F.col("__least")))
-    heads = stash(heads.groupBy("range", key).agg(F.max(F.col(value).isNull()).alias("__none"), F.min(value).alias("__min")), "next-heads")
-    used = W.partitionBy().orderBy("range")
+    used = W.partitionBy().orderBy("range")  # one row a range, without the values
     before = F.coalesce(F.lag("range").over(used), F.max("range").over(W.partitionBy()))
+    least = stash(least.select(F.col("range").alias("__range"), "__least", before.alias("__before")), "next-least")
+    heads = placed.select(key, value, "range").join(small(least, ranges.count), (F.col("range") == F.col("__range")) & F.col(key).eqNullSafe(F.col("__least")))
+    heads = heads.groupBy("__before", "range", key).agg(F.max(F.col(value).isNull()).alias("__none"), F.min(value).alias("__min"))
     types = dict(df.dtypes)
     given = {key: F.col(key), value: F.when(~F.col("__none"), F.col("__min"))}
-    edges = heads.withColumn("__before", before).select(*[given.get(c, F.lit(None).cast(types[c])).alias(c) for c in names], F.col("__before").alias("range"), F.lit(1).alias("edge"))
+    edges = heads.select(*[given.get(c, F.lit(None).cast(types[c])).alias(c) for c in names], F.col("__before").alias("range"), F.lit(1).alias("edge"))
     both = placed.withColumn("edge", F.lit(0)).unionByName(edges)
     w = W.partitionBy("range").orderBy("edge", F.col(key).asc_nulls_first(), F.col(value).asc_nulls_first())
     return both.withColumn(f"next_{value}", F.lead(value).over(w)).withColumn("row", F.row_number().over(w))

@@ -1,11 +1,39 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm import neighbours, queries, simhash
 
 
+def plain_simhash(text, width=5):
+    """Votes counted bit by bit."""
+
+    def fold(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return seed
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [words[k : k + width] for k in range(len(words) - width + 1)] if len(words) >= width else [words] if words else []
+    votes = [0] * 64
+    for run in runs:
+        h, w = fold(run), min(15, len(run[0]))
+        for b in range(64):
+            votes[b] += w if h >> b & 1 else -w
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
+def test_fingerprints_against_plain_votes(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(10_000 + k, t) for k, t in enumerate([None, "", "one", "a b c d", "a b c d e", "A B c D e\tF\x0bg", "ÉTÉ été " * 9, "x" * 70 + " y z u v w"])]
+    found = {r["doc_id"]: r["fingerprint"] & (2**64 - 1) for r in simhash.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"], "text").collect()}
+    assert found == {i: plain_simhash(t) for i, t in docs}
+
+
 def test_fingerprints(spark):
     words = [f"word{i}" for i in range(400)]
     long = " ".join(words)
@@ -53,4 +81,7 @@ def test_op2_columns(spark, sf_dir):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_next"] == 1 - (int(r["fingerprint"], 16) ^ int(n["fingerprint"], 16)).bit_count() / 64
         assert same.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+    values = {int(r["fingerprint"], 16) for r in rows.values()}
+    for i, r in rows.items():
+        assert r["n_near"] == (sum(0 < (v ^ int(r["fingerprint"], 16)).bit_count() <= 3 for v in values) if i % 20 == 0 else None)
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.9 * len(rows)
