@@ -3,7 +3,7 @@
 Four kinds of evidence add up as log weights for each language: the text under a model of hashed byte trigrams, the language
 that the markup declares, the suffix of the address, and a prior of the host.  How far declarations and suffixes can be
 trusted, and the priors, are counted over the whole table from the texts' own posteriors, by grouped aggregation; a host's
-prior is smoothed towards its domain's and that towards the table's, and leaves the row itself out.
+prior is smoothed towards its domain's and that towards the table's.  All counts leave the row itself out.
 """
 
 from __future__ import annotations
@@ -22,12 +22,45 @@ from loomwright.llm.common import sample_by_hash, small, stash
 BUCKETS = 1 << 16
 #: The text model is fitted on about so many labelled documents, those of least key hash.
 SAMPLE_DOCS = 8_000
-_MARKUP = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+_OPENING = re.compile(r"(?i)<(?:(script|style|noscript)\b|(!--))?|&#?\w+;")
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript")}
 
 
 def visible_text(html: str) -> str:
-    """Markup's text: tags, scripts, styles, comments and entities become blanks."""
-    return _MARKUP.sub(" ", html)
+    """Markup's text: tags, scripts, styles, comments and entities become blanks.
+
+    What is not closed is taken for a plain tag, and a `<` without a `>` for text.  Every closing mark is looked for from
+    left to right and given up once there is none, so a page takes time in proportion to its length.
+    """
+    out, at, lost = [], 0, set()
+    while (m := _OPENING.search(html, at)) is not None:
+        out.append(html[at : m.start()])
+        if m[0][0] == "&":
+            at = m.end()
+            out.append(" ")
+            continue
+        kind, end = (m[1] or m[2] or "").lower(), -1
+        if kind and kind not in lost:
+            if kind == "!--":
+                end = html.find("-->", m.end()) + 3
+            else:
+                end = found.end() if (found := _CLOSING[kind].search(html, m.end())) else 2
+            if end == 2:
+                lost.add(kind)
+                end = -1
+        if end < 0 and "tag" not in lost:
+            end = html.find(">", m.start()) + 1
+            if not end:
+                lost.add("tag")
+                end = -1
+        if end < 0:
+            out.append(html[m.start() : m.end()])
+            at = m.end()
+        else:
+            out.append(" ")
+            at = end
+    out.append(html[at:])
+    return "".join(out)
 
 
 def trigram_buckets(text: str) -> np.ndarray:
@@ -76,8 +109,10 @@ def fit_text_model(labelled: DataFrame, text: str, language: str, key: str, samp
 
 
 def declared_language(html: Column) -> Column:
-    """The primary language subtag that markup declares in its html element, lower-cased; null where it declares none."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", 1))
+    """The primary language subtag that markup declares in its first html element, lower-cased; null where it declares none."""
+    at = F.regexp_instr(html, F.lit(r"(?i)<html\b"))
+    tag = F.when(at > 0, F.substring_index(F.substr(html, at), ">", 1))
+    found = F.lower(F.regexp_extract(tag, r"(?i)^<html\b.*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", 1))
     return F.when(found != "", found)
 
 
@@ -101,7 +136,7 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool, text: str = "te
     """Add language, confidence, text_language, text_confidence and language_scores (one posterior a language of the model).
 
     `rows` has the column `text` (markup: its visible text is taken) and may have declared, suffix, host and domain
-    (strings; absent or null is no evidence).  Ties go to the language first by name.  Null and empty texts say nothing:
+    (strings; absent or null is no evidence, and so is a value that no other row has).  Ties go to the language first by name.  Null and empty texts say nothing:
     the other evidence and the table's prior decide.  Rows stay one to one; the text column goes, other columns pass through, and columns named like
     the outputs are replaced.  A model without languages gives nulls; an empty table gives no rows.
     """
@@ -136,12 +171,16 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool, text: str = "te
     mass = sum(world[f"s{i}"] or 0.0 for i in langs) + k
     prior = [((world[f"s{i}"] or 0.0) + 1.0) / mass for i in langs]
     done = base
-    for kind in kinds:  # P(value | language), smoothed towards the value's own share
+    for kind in kinds:  # P(value | language) over P(value), smoothed towards 1, without the row itself
         table = stash(base.filter(F.col(kind).isNotNull()).groupBy(kind).agg(*soft), f"lang-{kind}")
-        whole = table.agg(F.sum(sum((F.col(f"s{i}") for i in langs[1:]), F.col("s0"))).alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in langs]).first()
-        share = sum((F.col(f"s{i}") for i in langs[1:]), F.col("s0")) / F.lit(float(whole["n"] or 1.0))
-        weights = [F.ln(F.greatest((F.col(f"s{i}") + trust * share) / F.lit(float((whole[f"s{i}"] or 0.0) + trust)) / share, F.lit(floor))).alias(f"{kind}{i}") for i in langs]
-        done = done.join(small(table.select(kind, *weights), table.count()), kind, "left")
+        whole = table.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in langs]).first()
+        alls = [float(whole[f"s{i}"] or 0.0) for i in langs]
+        done = done.join(small(table.select(kind, *[F.col(f"s{i}").alias(f"{kind}_s{i}") for i in langs]), table.count()), kind, "left")
+        others = [F.greatest(F.col(f"{kind}_s{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in langs]
+        share = sum(others[1:], others[0]) / F.lit(max(sum(alls) - 1.0, 1.0))
+        ratio = lambda i: (others[i] + trust * share) / (F.greatest(F.lit(alls[i]) - F.col(f"p{i}"), F.lit(0.0)) + trust) / share
+        weights = [F.when(share > 1e-12, F.ln(F.greatest(ratio(i), F.lit(floor)))).otherwise(0.0).alias(f"{kind}{i}") for i in langs]
+        done = done.select(*[c for c in done.columns if not c.startswith(f"{kind}_s")], *weights)
     if "host" in names:
         domains = stash(base.filter(F.col("domain").isNotNull()).groupBy("domain").agg(*[F.sum(f"p{i}").alias(f"d{i}") for i in langs]), "lang-domain")
         hosts = base.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min("domain").alias("domain"), *[F.sum(f"p{i}").alias(f"h{i}") for i in langs])
