@@ -5,8 +5,10 @@ filled in the order of the keys u ** (1 / quality), largest first, u being a has
 held as -ln(u) / quality, least first: the same order, and no quality is so low that keys underflow and tie.  The order
 is cut by a prefix sum: a document enters when its middle word does not pass the target.
 
-No task sorts a source.  Keys fall into bins with about as many rows each, between quantiles of all keys; the bins' sums
-show the bin in which the cut lies, and only that bin's rows are sorted.  The documents themselves are never shuffled: they meet one row per source.
+No task sorts a source.  The cut of each source is found level by level: bins between quantiles of all keys, finer ones
+while many rows are left, single keys, and among rows that tie a hash of the whole row.  At each level the sums show
+where the cut lies, and only those rows go on.  Rows alike in all columns are counted, and where the cut falls among
+them it is placed by their number.  The documents themselves are never shuffled: they meet one row per source.
 """
 
 from __future__ import annotations
@@ -58,36 +60,84 @@ def key_bin(df: DataFrame, draw: str, bins: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= F.col(draw), at + step).otherwise(at))
 
 
-def mix_sources(df: DataFrame, *, size: str, quality: Column, weights: list[float], source: str = "source", key: str = "doc_id", cap: float = 3.0, seed: str = "mix", bins: int = 4096) -> DataFrame:
+def cut_level(rows: DataFrame, level: str, edge: DataFrame, count: int, sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One level nearer to the cuts: the new edge and the rows (__src, __n, ...) at it.
+
+    `edge` has one row per source, (__psrc, __rest, __before): the words wanted and those of the rows known to come
+    first.  The new one also has the value of `level` in which the wanted words end, and __m, the number of rows there.
+    """
+    sums = rows.groupBy("__src", level).agg(F.sum("__n").alias("__sum"), F.count(F.lit(1)).alias("__m")) if sums is None else sums
+    ahead = W.partitionBy("__src").orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+    met = sums.join(small(edge, count), F.col("__src").eqNullSafe(F.col("__psrc"))).withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__sum").over(ahead), F.lit(0)))
+    here = met.filter((F.col("__ahead") < F.col("__rest")) & (F.col("__ahead") + F.col("__sum") >= F.col("__rest")))
+    found = stash(here.select("__psrc", "__rest", F.col("__ahead").alias("__before"), F.col(level).alias("__value"), "__m"), "mix-edge")
+    near = rows.join(small(found.select("__psrc", "__value"), count), F.col("__src").eqNullSafe(F.col("__psrc")) & (F.col(level) == F.col("__value")), "left_semi")
+    return found, near
+
+
+def among_equals(tied: DataFrame) -> DataFrame:
+    """Rows that are alike within a source, with __in: true for the first __take of them, by place in a stored copy.
+
+    Blocks of the copy are counted, so that only the block in which the last taken row lies is ranked.
+    """
+    held = stash(tied.withColumn("__rid", F.monotonically_increasing_id()), "mix-equal").withColumn("__block", F.shiftright("__rid", 33))
+    blocks = held.groupBy("__csrc", "__block").agg(F.count(F.lit(1)).alias("__size"))
+    ahead = W.partitionBy("__csrc").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = stash(blocks.withColumn("__first", F.coalesce(F.sum("__size").over(ahead), F.lit(0))).withColumnRenamed("__csrc", "__bsrc").withColumnRenamed("__block", "__bblock"), "mix-blocks")
+    placed = held.join(blocks, F.col("__csrc").eqNullSafe(F.col("__bsrc")) & (F.col("__block") == F.col("__bblock")))
+    whole, none = F.col("__first") + F.col("__size") <= F.col("__take"), F.col("__first") >= F.col("__take")
+    rank = F.row_number().over(W.partitionBy("__csrc", "__block").orderBy("__rid"))
+    names = tied.columns
+    return placed.filter(whole | none).select(*names, whole.alias("__in")).unionByName(placed.filter(~whole & ~none).select(*names, (F.col("__first") + rank <= F.col("__take")).alias("__in")))
+
+
+def mix_sources(df: DataFrame, *, size: str, quality: Column, weights: list[float], source: str = "source", key: str = "doc_id", cap: float = 3.0, seed: str = "mix", bins: int = 4096, few: int = 1_000_000) -> DataFrame:
     """Add source_size (long), target (double) and copies (long): how often the mixture takes each document.
 
     `size` names a long column (null: 0).  A null source is a source, last in order.  Documents without words keep their
-    epochs but count 0.  Rows with the same key, source and quality stand or fall together in the fractional part.
-    Keys are hashes, so reruns agree.  An empty table gives no rows.  Columns named like the outputs are replaced.
+    epochs but count 0.  Rows that repeat a key are drawn at the same place and then ordered by a hash of all their
+    columns (maps apart); rows alike in all of them are interchangeable, and as many enter as the target has room for.
+    Each source's words come within one document of its target.  Keys are hashes, so reruns agree.  An empty table gives
+    no rows.  Columns named like the outputs are replaced; names that begin with two underscores are the operator's own.
     """
     names = [c for c in df.columns if c not in ("source_size", "target", "copies")]
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
     draw = -F.ln(unit_hash(F.concat(F.lit(f"{seed}#"), key_string(F.col(key), F.col(source))))) / quality
-    drawn = df.select(*names, n.alias("__n"), draw.alias("__draw"))
-    narrow = stash(drawn.select(F.col(source).alias("__src"), F.col(key).alias("__key"), "__n", "__draw"), "mix-keys")
-    index = key_bin(narrow, "__draw", bins)
-    keyed, binned = drawn.withColumn("__bin", index), narrow.withColumn("__bin", index)
-    sums = stash(binned.groupBy("__src", "__bin").agg(F.sum("__n").alias("__sum")), "mix-bins")
+    drawn = df.select(*names, n.alias("__n"), draw.alias("__draw"), F.xxhash64(*[F.col(c) for c, t in df.dtypes if c in names and "map<" not in t], n).alias("__h"))
+    rows = stash(drawn.select(F.col(source).alias("__src"), "__n", "__draw", "__h"), "mix-keys")
+    binned = rows.withColumn("__bin", key_bin(rows, "__draw", bins))
+    sums = stash(binned.groupBy("__src", "__bin").agg(F.sum("__n").alias("__sum"), F.count(F.lit(1)).alias("__m")), "mix-bins")
     targets = stash(source_targets(sums.groupBy("__src").agg(F.sum("__sum").alias("source_size")), weights, cap), "mix-targets")
     count = targets.count()
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    planned = targets.withColumn("__epochs", epochs).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    right = planned.withColumnRenamed("__src", "__psrc")
-    running = W.partitionBy("__src").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    edges = sums.join(small(right, count), F.col("__src").eqNullSafe(F.col("__psrc"))).withColumn("__before", F.coalesce(F.sum("__sum").over(running), F.lit(0)))
-    edges = edges.filter((F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__sum") >= F.col("__rest"))).select("__psrc", F.col("__bin").alias("__edge"), "__before", "__rest")
-    place = lambda k: F.struct(F.col("__draw").alias("d"), F.col(k).alias("k"))
-    inside = binned.select("__src", "__bin", "__n", place("__key").alias("__place")).join(small(edges, count), F.col("__src").eqNullSafe(F.col("__psrc")) & (F.col("__bin") == F.col("__edge")))
-    ordered = W.partitionBy("__src").orderBy("__place", "__n").rowsBetween(W.unboundedPreceding, -1)
-    inside = inside.withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__n").over(ordered), F.lit(0)))
-    cuts = inside.groupBy("__src", "__edge").agg(F.max(F.when(F.col("__ahead") + F.col("__n") / 2 <= F.col("__rest"), F.col("__place"))).alias("__cut"))
-    cuts = cuts.withColumnRenamed("__src", "__csrc")
-    plan = stash(right.join(small(cuts, count), F.col("__psrc").eqNullSafe(F.col("__csrc")), "left").select("__psrc", "source_size", "target", "__epochs", "__edge", "__cut"), "mix-plan")
-    chosen = F.coalesce((F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.coalesce(place(key) <= F.col("__cut"), F.lit(False))), F.lit(False))
-    met = keyed.join(small(plan, count), F.col(source).eqNullSafe(F.col("__psrc")), "left")
-    return met.select(*names, "source_size", "target", (F.col("__epochs") + chosen.cast("int")).cast("long").alias("copies"))
+    planned = targets.select(F.col("__src").alias("__psrc"), "source_size", "target", epochs.alias("__epochs"), (F.col("target") - epochs * F.col("source_size")).alias("__rest"))
+    edge, near = cut_level(binned, "__bin", planned.select("__psrc", "__rest", F.lit(0).cast("long").alias("__before")), count, sums)
+    near = stash(near.drop("__bin"), "mix-near")
+    left = near.count()
+    while left > few:
+        binned = near.withColumn("__bin", key_bin(near, "__draw", bins))
+        edge, finer = cut_level(binned, "__bin", edge.drop("__value", "__m"), count)
+        near, before = stash(finer.drop("__bin"), "mix-near"), left
+        left = near.count()
+        if left == before:
+            break
+    edge, near = cut_level(near, "__draw", edge.drop("__value", "__m"), count)
+    draws = edge.select("__psrc", F.col("__value").alias("__cut_draw"))
+    if near.count() > few:
+        edge, near = cut_level(near.withColumn("__part", F.shiftright("__h", 44)), "__part", edge.drop("__value", "__m"), count)
+    edge, near = cut_level(near, "__h", edge.drop("__value", "__m"), count)
+    each = near.groupBy(F.col("__src").alias("__nsrc")).agg(F.max("__n").alias("__each"))
+    room = F.floor((F.col("__rest") - F.col("__before") - F.col("__each") / 2) / F.col("__each")) + 1
+    cuts = edge.join(each, F.col("__psrc").eqNullSafe(F.col("__nsrc"))).select(F.col("__psrc").alias("__csrc"), F.col("__value").alias("__cut_h"), F.least(F.greatest(room, F.lit(0)), F.col("__m")).alias("__take"), "__m")
+    cuts = stash(cuts.join(draws, F.col("__csrc").eqNullSafe(F.col("__psrc"))).drop("__psrc"), "mix-cuts")
+    plan = stash(planned.join(small(cuts, count), F.col("__psrc").eqNullSafe(F.col("__csrc")), "left").drop("__rest"), "mix-plan")
+    met = drawn.join(small(plan, count), F.col(source).eqNullSafe(F.col("__psrc")), "left")
+    place, cut = F.struct(F.col("__draw").alias("d"), F.col("__h").alias("h")), F.struct(F.col("__cut_draw").alias("d"), F.col("__cut_h").alias("h"))
+    at_cut = F.col("__cut_draw").isNotNull() & (place == cut)
+    split = at_cut & (F.col("__take") > 0) & (F.col("__take") < F.col("__m"))
+    chosen = F.col("__cut_draw").isNotNull() & ((place < cut) | (at_cut & (F.col("__take") > 0)))
+    copies = lambda taken: (F.col("__epochs") + taken.cast("int")).cast("long").alias("copies")
+    if plan.filter("__take > 0 and __take < __m").isEmpty():
+        return met.select(*names, "source_size", "target", copies(chosen))
+    tied = among_equals(met.filter(split))
+    return met.filter(~split).select(*names, "source_size", "target", copies(chosen)).unionByName(tied.select(*names, "source_size", "target", copies(F.col("__in"))))

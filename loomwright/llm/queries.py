@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomwright.llm import common, language_id, line_dedup, mixing, neighbours, parity_join, quality, sentence_pieces, sharding, simhash, token_store, warc_store
 
 SHARDS = 40
+#: Documents whose id this divides are searched for among all fingerprints.
+SEARCHED = 20
 
 
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,7 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near: for each document whose id SEARCHED divides, how many other fingerprints of the table lie within three bits; else null."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     led = neighbours.with_next(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
     moved = F.floor(F.col("n_chars") / 4).cast("int")
@@ -35,10 +38,16 @@ def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.groupBy(*key).agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("changed"))
     following = F.lead("own").over(W.partitionBy("range").orderBy("row"))
     done = rows.withColumn("after", following).filter("edge = 0")
+    done = common.stash(done.select("doc_id", "n_chars", "edited_sha256", "own", "changed", "after"), "simhash-rows")
+    asked = (F.col("doc_id") % SEARCHED == 0) & F.col("own").isNotNull()
+    met = simhash.hamming_search(done.filter(asked).select("own"), done.select("own"), column="own").filter("distance > 0")
+    near = common.stash(met.groupBy(F.col("query").alias("own")).agg(F.count(F.lit(1)).alias("__near")), "simhash-near")
+    rows = done.join(common.small(near, near.count()), "own", "left")
     as_text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return done.select(
+    return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
         simhash.likeness(F.col("own"), F.col("changed")).alias("near_edited"), simhash.likeness(F.col("own"), F.col("after")).alias("near_next"),
+        F.when(asked, F.coalesce("__near", F.lit(0))).alias("n_near"),
     )
 
 
@@ -68,7 +77,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages.select("page_id", language_id.declared_language(F.col("html")).alias("declared"), host.alias("host"), language_id.domain_of(host).alias("domain"), language_id.suffix_of(F.col("url"), host).alias("suffix"), F.col("html").alias("text")),
         model, markup=True,
     )
-    own = language_id.identify(docs.select("doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("documents").alias("domain"), "text"), model, markup=False)
+    own = language_id.identify(docs.select("doc_id", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"), F.lit("documents").alias("domain"), "text"), model, markup=False)
     columns = ["doc_id", "page_id", "language", "confidence", "text_language", "text_confidence", "declared", "host"]
     pick = lambda df, none: df.withColumn(none, F.lit(None).cast("long")).select(*columns)
     return pick(found, "doc_id").unionByName(pick(own, "page_id"))
@@ -104,8 +113,6 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op4_sentence_pieces, op5_language_id, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines)}
 
-BLANK_SET = r"[\x20\x09-\x0D]"
-
 ORACLES = {
     "op1_rendezvous_shards": r"""
         WITH RECURSIVE crc(n, k, c) AS (
@@ -132,8 +139,8 @@ ORACLES = {
         WITH docs AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(length(text), 0) AS chars FROM documents),
         keyed AS (
-            SELECT *, pow((CAST('0x' || substr(md5('mix#' || coalesce(CAST(doc_id AS VARCHAR), '\N') || chr(1) || coalesce(source, '\N')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0,
-                1.0 / (1.0 / (1.0 + CAST(abs(chars - 6 * size) AS DOUBLE) / (6 * size + 1)))) AS draw FROM docs),
+            SELECT *, -ln((CAST('0x' || substr(md5('mix#' || coalesce(CAST(doc_id AS VARCHAR), '\N') || chr(1) || coalesce(source, '\N')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+                / (1.0 / (1.0 + CAST(abs(chars - 6 * size) AS DOUBLE) / (6 * size + 1))) AS draw FROM docs),
         src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
         weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, CAST(source_size AS DOUBLE) * 3 AS cap FROM src),
         filled AS (
@@ -144,7 +151,7 @@ ORACLES = {
             SELECT source, source_size, CASE WHEN is_full THEN cap ELSE
                 ((SELECT sum(source_size) FROM src) - coalesce((SELECT sum(cap) FROM flagged WHERE is_full), 0)) * w / (SELECT sum(w) FROM flagged WHERE NOT is_full) END AS target FROM flagged),
         planned AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets),
-        ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw DESC, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed)
+        ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed)
         SELECT a.doc_id, a.size, p.source_size, CAST(p.target AS DOUBLE) AS target,
             CAST(a.size * (p.epochs + CASE WHEN a.before + a.size / 2 <= p.target - p.epochs * p.source_size AND p.target - p.epochs * p.source_size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM ahead a JOIN planned p ON a.source IS NOT DISTINCT FROM p.source""",
@@ -194,21 +201,21 @@ def _quality_oracle() -> str:
     shares = ", ".join(f"coalesce(sum(length(w)) FILTER (c{n}), 0) / sum(length(w)) AS s{n}" for n in limits)
     return rf"""
         WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
-        words AS (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT rid, regexp_extract_all(body, '[^ 	-]+') AS l FROM docs)),
+        words AS (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT rid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS l FROM docs)),
         grams AS (SELECT rid, pos, w, {grams} FROM words WINDOW p AS (PARTITION BY rid ORDER BY pos)),
         repeats AS (SELECT rid, pos, w, {repeats} FROM grams),
         covers AS (SELECT rid, w, {covers} FROM repeats),
         facts AS (SELECT rid, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, {shares} FROM covers GROUP BY rid),
-        lines AS (SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid, line),
-        dups AS (SELECT rid, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines, coalesce(sum(c * length(regexp_replace(line, '[ 	-]', '', 'g'))) FILTER (c > 1), 0) AS dup_chars FROM lines GROUP BY rid),
+        lines AS (SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line),
+        dups AS (SELECT rid, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines, coalesce(sum(c * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (c > 1), 0) AS dup_chars FROM lines GROUP BY rid),
         base AS (
             SELECT d.doc_id, coalesce(f.n_words, 0) AS n_words, coalesce(f.word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(d.body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                 coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(f.n_repeat_words, 0) AS n_repeat_words,
                 coalesce(f.n_words, 0) < 50 OR 100 * f.n_repeat_words > 50 * f.n_words AS base_failed,
                 CAST(coalesce(greatest({", ".join(f"s{n}" for n in limits)}), 0) AS DOUBLE) AS coverage, CAST(coalesce(u.dup_chars / f.word_chars, 0) AS DOUBLE) AS dup_line_share,
-                {" AND ".join(f"coalesce(s{n}, 0) <= {x}" for n, x in limits.items())} AS fine
+                greatest(1::DOUBLE, {quality.SHORT_WORDS}::DOUBLE / greatest(coalesce(f.n_words, 0), 1)) AS wider, {" AND ".join(f"coalesce(s{n}, 0) <= {x}::DOUBLE * wider" for n, x in limits.items())} AS fine
             FROM docs d LEFT JOIN facts f USING (rid) LEFT JOIN dups u USING (rid))
-        SELECT * EXCLUDE (fine), NOT base_failed AND fine AND dup_line_share <= {quality.COVERAGE[0]} AS kept FROM base"""
+        SELECT * EXCLUDE (fine, wider), NOT base_failed AND fine AND dup_line_share <= {quality.COVERAGE[0]}::DOUBLE * wider AS kept FROM base"""
 
 
 ORACLES["op9_repetition_rules"] = _quality_oracle()

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import hash52, key_string, small, unit_hash
 
+#: Rows alike in every column are given their numbers so many at a time.
+ALIKE = 100_000
+
 
 def _least(key: Column, weights: Mapping[int, float]) -> Column:
     shards = F.array(*[F.struct(F.lit(int(s)).alias("id"), F.lit(float(w)).alias("w")) for s, w in weights.items() if w > 0])
@@ -56,4 +59,5 @@ def number_slots(df: DataFrame, shard: str, order: list[str], shards: int, rows_
     local = hashed.withColumn("__at", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     joined = local.join(small(starts, shards * blocks), (F.col(shard) == F.col("__s")) & (F.col("__b") == F.col("__k")))
     first = F.col("__start") + F.col("__at")
-    return joined.select(*names, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(out))
+    steps = joined.select(*names, "__n", first.alias("__first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ALIKE).cast("long"))).alias("__step"))
+    return steps.select(*names, F.explode(F.sequence(F.col("__first") + F.col("__step"), F.col("__first") + F.least(F.col("__step") + ALIKE, F.col("__n")) - 1)).alias(out))

@@ -43,6 +43,8 @@ def test_sharding_edge_rows(spark):
     for r in slots:
         by_shard[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and len(slots) == 5
+    alike = spark.range(250_001).select(F.lit(1).alias("doc_id"), F.lit(0).alias("shard"))
+    assert sharding.number_slots(alike, "shard", ["doc_id"], 1).agg(F.count_distinct("slot"), F.min("slot"), F.max("slot")).first()[:] == (250_001, 0, 250_000)
     empty = done.limit(0).select("doc_id", "shard")
     assert sharding.number_slots(empty, "shard", ["doc_id"], 4).count() == 0
 
@@ -111,3 +113,26 @@ def test_long_words_are_drawn_not_taken_by_id(spark):
     assert 300 < taken < 600 and {r["doc_id"] for r in order[:taken]} == {r["doc_id"] for r in mixed if r["copies"]}
     keys = df.select((-F.ln(F.rand(1)) / F.col("good")).alias("k"))
     assert max(r["count"] for r in keys.groupBy(mixing.key_bin(keys, "k", 64).alias("b")).count().collect()) <= 50
+
+
+@pytest.mark.parametrize("few", [1_000_000, 20])
+def test_repeated_rows_fill_the_target(spark, few):
+    """400 rows without an id in one source, some alike in all columns, some not: the words taken come within a document of the target."""
+    rows = [(None, "w " * (100 if i % 2 else 100 + i % 7), "a") for i in range(400)] + [(i, "v " * 90, "b") for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.regexp_count("text", F.lit(r"\S+")).cast("long")).withColumn("__note", F.create_map(F.lit("k"), F.lit(1))).repartition(5)
+    for seed in ("x", "y", "z"):
+        mixed = mixing.mix_sources(df, size="size", quality=F.lit(1.0), weights=[1.0, 1.1], seed=seed, few=few, bins=16).collect()
+        assert len(mixed) == 600
+        for s in "ab":
+            mine = [r for r in mixed if r["source"] == s]
+            assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 107
+    alike = spark.createDataFrame([(7, "x y z", "a")] * 300 + [(i, "x y z", "b") for i in range(300)], DOCS).withColumn("size", F.lit(3).cast("long"))
+    mixed = mixing.mix_sources(alike.repartition(6), size="size", quality=F.lit(1.0), weights=[2.0, 3.0], few=few).collect()
+    assert sum(3 * r["copies"] for r in mixed if r["source"] == "a") == pytest.approx(1800 * 2 / 5, abs=2)
+
+
+def test_low_quality_is_spread_over_all_ids(spark):
+    df = spark.createDataFrame([(i, "w", "a") for i in range(2000)] + [(i, "w", "b") for i in range(2000, 3000)], DOCS).withColumn("size", F.lit(1).cast("long"))
+    mixed = mixing.mix_sources(df, size="size", quality=F.lit(1e-5), weights=[1.0, 1.5]).filter("source = 'a' and copies > 0").collect()
+    ids = sorted(r["doc_id"] for r in mixed)
+    assert 800 < len(ids) < 1600 and sum(i < 1000 for i in ids) == pytest.approx(len(ids) / 2, rel=0.12)
