@@ -178,7 +178,8 @@ class Transducer:
             if piece != -2:
                 out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in part[at:end].encode("utf-8", "surrogatepass")]
+                shown = part[at:end].replace(" ", BLANK) if self.escape else part[at:end]
+                out += [self.bytes[b] for b in shown.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
         return out
@@ -223,7 +224,7 @@ class Transducer:
     def unigram_path(self, part: str) -> tuple[list[int], list[int]]:
         size = len(part)
         best: list[tuple[float, int, int] | None] = [(0.0, 0, 0)] + [None] * size
-        unknown = 10.0 - min(self.scores)
+        unknown = 10.0 - min(x for x, k in zip(self.scores, self.types, strict=True) if k == NORMAL)
         for at in range(size):
             weight = best[at][0]
             for end, piece in self.from_here(part, at):
@@ -254,6 +255,9 @@ class Transducer:
         out = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
         for p in long:
             del known[p]
+        if not self.bytes and len(out) > 1:  # neighbouring unknown characters are one unknown piece
+            unknown = out == self.unknown
+            out = out[~unknown | np.concatenate(([True], ~unknown[:-1]))]
         return out
 
     def encode_part(self, part: str) -> bytes:
@@ -288,7 +292,12 @@ class Speller:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, without the dummy prefix; bytes that are no UTF-8 become replacement characters."""
+        """The text of ids, without the dummy prefix; bytes that are no UTF-8 become replacement characters.
+
+        ValueError for an id that the model does not have.
+        """
+        if len(ids) and (min(ids) < 0 or max(ids) >= len(self.said)):
+            raise ValueError(f"ids must be from 0 to {len(self.said) - 1}")
         said = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
         return said[1:] if self.prefix and said[:1] == " " else said
 
@@ -300,7 +309,10 @@ def _shared(df: DataFrame, model_path: str):
 
 
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids (array<int>) of each text; null and empty texts have none.  No shuffle; a column named `out` is replaced."""
+    """Add the ids (array<int>) of each text; null and empty texts have none.
+
+    Whole texts, row by row: repeated rows agree, and an empty table gives no rows.  No shuffle; a column named `out` is replaced.
+    """
     model = _shared(df, model_path)
 
     @F.pandas_udf("array<int>")
@@ -313,7 +325,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text of each id list; null lists give empty texts."""
+    """Add the text of each id list; null lists give empty texts, ids that the model does not have fail.  A column named `out` is replaced."""
     model = _shared(df, model_path)
 
     @F.pandas_udf("string")

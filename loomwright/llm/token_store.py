@@ -3,7 +3,7 @@
 File layout, little-endian: magic, 32-byte SHA-256 of the dictionary, frames back to back, then the index (doc_id int64,
 has_id uint8, frame offset uint64, frame length uint64, token count uint64, each as one array), and at the end the number of
 documents and the index's offset (uint64 each).  A frame holds a document's ids as unsigned 32-bit integers.  Files are rows
-of a Spark table (file, part, n_docs, n_tokens, data), so any store that Spark writes will do; the dictionary is a table of
+of a Spark table (file, part, n_docs, n_tokens, least and largest doc_id, data), so any store that Spark writes will do; the dictionary is a table of
 its own.
 """
 
@@ -14,7 +14,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import KeyRanges, sample_by_hash, small, text_batches
 
 MAGIC = b"TIDS0001"
-FILES = "file int, part int, n_docs long, n_tokens long, data binary"
+FILES = "file int, part int, n_docs long, n_tokens long, lo long, hi long, data binary"
 INDEX = (("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8"))
-#: The dictionary is trained on so many documents, of at most so many characters, those of least key hash.
+#: The dictionary is trained on pieces of so many documents, those of least key hash; a piece of at most so many
+#: characters begins at a place that the key's hash fixes, anywhere in the text.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 1 << 16
 
 
@@ -174,7 +175,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
     rows = df.count()
-    sample = sample_by_hash(df.filter(F.char_length(text) <= SAMPLE_CHARS), key, SAMPLE_DOCS, rows).select(F.col(text).alias("t"), "__h").orderBy("__h", "t").limit(SAMPLE_DOCS)
+    begin = F.pmod(F.col("__h"), F.greatest(F.char_length(text) - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    sample = sample_by_hash(df.filter(F.char_length(text) > 0), key, SAMPLE_DOCS, rows).select(F.substr(text, begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), "__h").orderBy("__h", "t").limit(SAMPLE_DOCS)
     data = train_dictionary(WordEncoder(tokenizer.value, end_id).encode([r["t"] for r in sample.collect()]))
     dictionary_hash = hashlib.sha256(data).digest()
     dictionary = spark.sparkContext.broadcast(data)
@@ -195,7 +197,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         now, part, size = None, 0, 0
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"file": [now], "part": [part], "n_docs": [len(held)], "n_tokens": [sum(n for _, _, n in held)], "data": [pack_file(held, dictionary_hash)]})
+            ids = [i for i, _, _ in held if i is not None]
+            ends = [pd.array([f(ids) if ids else None], "Int64") for f in (min, max)]
+            return pd.DataFrame({"file": [now], "part": [part], "n_docs": [len(held)], "n_tokens": [sum(n for _, _, n in held)], "lo": ends[0], "hi": ends[1], "data": [pack_file(held, dictionary_hash)]})
 
         for batch in batches:
             for file, doc_id, n, frame in zip(batch["file"], batch["doc_id"].astype("Int64"), batch["n"], batch["frame"], strict=True):
@@ -215,12 +219,40 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     dealt.mapInPandas(pack, FILES).write.parquet(f"{path}/files")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files: start counts the ids of all before it."""
+def _opened(spark: SparkSession, path: str):
+    """The dictionary, broadcast, and its hash."""
     kept = spark.read.parquet(f"{path}/dictionary").first()
     dictionary, dictionary_hash = spark.sparkContext.broadcast(bytes(kept["data"])), bytes.fromhex(kept["sha256"])
     if hashlib.sha256(dictionary.value).digest() != dictionary_hash:
         raise ValueError("the dictionary is damaged")
+    return dictionary, dictionary_hash
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of a few documents: only files whose ids may hold them are read, and only their frames unpacked.
+
+    Ids that are absent give no row, ids that repeat in the files a row each.  For many ids join with read_token_files.
+    """
+    wanted = sorted({int(i) for i in doc_ids})
+    dictionary, dictionary_hash = _opened(spark, path)
+    near = F.lit(False)
+    for i in wanted:
+        near = near | ((F.col("lo") <= i) & (F.col("hi") >= i))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary.value))
+        for batch in batches:
+            for data in batch["data"]:
+                index = file_index(data, dictionary_hash)
+                rows = np.flatnonzero(np.isin(index["doc_id"], wanted) & (index["has_id"] == 1))
+                yield pd.DataFrame({"doc_id": index["doc_id"][rows], "n_tokens": index["tokens"][rows].astype(np.int64), "ids": [read_document(data, index, k, reader) for k in rows]})
+
+    return spark.read.schema(FILES).parquet(f"{path}/files").filter(near).select("data").mapInPandas(fetch, "doc_id long, n_tokens long, ids binary")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files: start counts the ids of all before it."""
+    dictionary, dictionary_hash = _opened(spark, path)
     files = spark.read.schema(FILES).parquet(f"{path}/files")
     order = W.partitionBy().orderBy("file", "part").rowsBetween(W.unboundedPreceding, -1)
     starts = files.select("file", "part", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("first"))

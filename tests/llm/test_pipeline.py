@@ -3,6 +3,7 @@ from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from test_parity_join import brute
 from test_texts import plain_lines, plain_quality
 
@@ -34,3 +35,30 @@ def test_each_stage_against_a_plain_version(spark, sf_dir, tmp_path):
     before, after = held["SentencePiece ids"]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert len(after) == len(before) and all(list(r["ids"]) == library.encode(r["text"]) and r["n_ids"] == len(r["ids"]) for r in after)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, extra columns; and empty tables."""
+    words = lambda k, n: " ".join(f"w{k}n{j}" for j in range(n))
+    a = words(1, 80)
+    rows = [(1, a, "en", "s", 3), (2, f"{a} more", None, "s", None), (None, words(2, 70), "en", None, 1), (None, words(2, 70), "en", None, 1), (3, None, None, None, None), (4, "", "de", "s", 0), (5, " \n ", "de", "t", 3), (6, words(6, 60_000), "fr", "t", 1)]
+    rows += [(7, words(7, 90), "fr", "t", 1)] * 3 + [(8, words(8, 60), "fr", "t", 1), (8, words(9, 60), "fr", "t", 1), (9, words(8, 60), "fr", "u", 1)] + [(20 + k, f"{words(30 + k, 55)}\nshared line", "en", "u", 5) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("ids", "kept", "n_lines", "copies", "__size", "component_id", "node", "target", "__id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.count() == 0
+        done = stage(spark, docs, "")
+        done.write.parquet(f"{tmp_path}/{k}")
+        out[name] = spark.read.parquet(f"{tmp_path}/{k}").collect()
+        assert empty.columns == done.columns and (done.columns == corpus_pipeline.COLUMNS or k == 4)
+    ids = lambda name: Counter(r["doc_id"] for r in out[name])
+    every = Counter(r[0] for r in rows)
+    assert ids("quality rules") == every - Counter([3, 4, 5])
+    assert ids("line dedup") == ids("SentencePiece ids") == every
+    assert all("shared line" not in (r["text"] or "") and r["n_chars"] == len(r["text"]) for r in out["line dedup"])
+    assert ids("n-gram Jaccard join") == every - Counter([2, 7, 7, 9])
+    assert set(ids("mixing sources")) <= set(every) and max(ids("mixing sources").values()) <= 9
+    assert all((r["n_ids"] == 0) == (not r["text"]) for r in out["SentencePiece ids"])

@@ -156,6 +156,10 @@ def test_token_files(spark, tmp_path):
         assert r["start"] == start
         start += r["n_tokens"]
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in found) == want
+    some = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in token_store.read_documents(spark, f"{tmp_path}/t", [1, 4, 99]).collect())
+    assert some == Counter({(i, n, ids): c for (i, n, _, ids), c in want.items() if i in (1, 4)})
+    token_store.write_token_files(spark.createDataFrame([(i, f"long text {i} " * 2_000) for i in range(12)], "doc_id long, text string"), f"{tmp_path}/long", path, 2)
+    assert bytes(spark.read.parquet(f"{tmp_path}/long/dictionary").first()["data"])[:4] == b"\x37\xa4\x30\xec"
     token_store.write_token_files(df.limit(0), f"{tmp_path}/e", path, 2)
     assert token_store.read_token_files(spark, f"{tmp_path}/e").count() == 0
     with pytest.raises(ValueError, match="dictionary"):
@@ -223,6 +227,26 @@ def test_unigram_model_takes_the_least_path():
     assert [pieces[i][0] for i in compiled.encode("ab a")] == ["▁ab", "▁a"]
     assert [pieces[i][0] for i in compiled.encode("  aba ")] == ["▁a", "ba"]
     assert [pieces[i][0] for i in compiled.encode("aZ")] == ["▁a", "<unk>"]
+    assert [pieces[i][0] for i in compiled.encode("漢字漢字 ab")] == ["<unk>", "▁ab"]
+    with pytest.raises(ValueError, match="from 0 to 5"):
+        sentence_pieces.Speller(model).decode([1, 6])
+    with pytest.raises(ValueError, match="from 0 to 5"):
+        sentence_pieces.Speller(model).decode([-1])
+
+
+def test_unigram_models_against_the_library():
+    """Models written down by hand, scores in quarters, with and without byte pieces."""
+    rng = random.Random(7)
+    for case in range(6):
+        texts = sorted({"".join(rng.choice("▁abcé") for _ in range(rng.randint(1, 4))) for _ in range(25)} | set("ab"))
+        pieces = [("<unk>", 0.0, 2)] + [(t, -rng.randint(4, 40) / 4, 1) for t in texts if "▁" not in t[1:]]
+        if case % 2:
+            pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+        model = b"".join(_message((1, _message((1, t.encode()), (2, s), (3, k)))) for t, s, k in pieces) + _message((2, _message((3, 1)) + (b"\x98\x02\x01" if case % 2 else b""))) + _message((3, _message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
+        library, compiled = sentencepiece.SentencePieceProcessor(model_proto=model), sentence_pieces.Transducer(model)
+        for _ in range(400):
+            text = "".join(rng.choice("aabbccé zZ漢") for _ in range(rng.randint(0, 24)))
+            assert compiled.encode(text).tolist() == library.encode(text), (case, text)
 
 
 def test_op_queries_match_plain_versions(spark, sf_dir):
