@@ -16,32 +16,62 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the repetition rules keep."""
-    return quality.quality_rules(docs).filter("kept").select(*COLUMNS)
+    """Keeps the documents that the repetition rules keep.
+
+    Null, empty and blank texts have no words and go.  Each row is judged by its text alone, so repeated rows stay or go
+    together.  An empty table gives an empty one; columns other than those of documents go.
+    """
+    return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that at least ten documents hold; documents stay, with their new text and length."""
-    done = line_dedup.drop_common_lines(docs)
+    """Drops the lines that at least ten documents hold; documents stay, with their new text and length.
+
+    Every row counts as a document, repeated ones too.  Null texts become empty; blank lines stay.  A null or repeated
+    doc_id is no obstacle.  An empty table gives an empty one; columns other than those of documents go.
+    """
+    done = line_dedup.drop_common_lines(docs.select(*COLUMNS))
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group linked by shingle sets; documents without an id or words stay."""
-    groups = parity_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    gone = common.stash(groups, "pipeline-near")
-    return docs.join(common.small(gone, gone.count(), parity_join.PICK_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document of least id of each group linked by shingle sets; documents without an id or words stay.
+
+    Of rows that repeat an id with the same text one stays.  An id that repeats with several texts goes if each of them
+    links with a smaller id; else each of its texts stays once.  An empty table gives an empty one; columns other than
+    those of documents go.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = parity_join.jaccard_components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("linked"), F.count(F.lit(1)).alias("n"))
+    marked = common.stash(groups.filter("linked or n > 1"), "pipeline-near")
+    gone, twice = marked.filter("linked").select("doc_id"), marked.filter("not linked").select("doc_id")
+    kept = docs.join(common.small(gone, gone.count(), parity_join.PICK_ROWS), "doc_id", "left_anti")
+    count = twice.count()
+    if not count:
+        return kept.select(*COLUMNS)
+    again = common.small(twice, count, parity_join.PICK_ROWS)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; those that it does not take go."""
-    sized = docs.withColumn("__size", common.word_count(F.col("text")))
+    """Each document as often as the mixture takes it; those that it does not take go.
+
+    A null source is a source of its own.  Documents without words weigh nothing: they are taken in whole epochs, and in
+    the last part as their key falls.  Of rows alike in all columns as many are taken as fit.  An empty table gives an
+    empty one; columns other than those of documents go.
+    """
+    sized = docs.select(*COLUMNS).withColumn("__size", common.word_count(F.col("text")))
     mixed = mixing.mix_sources(sized, size="__size", quality=mixing.quality_by_word_length(F.col("text"), F.col("__size")), weights=[5.0, 2.0, 1.0])
     return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each text's ids and their number."""
+    """Adds each text's ids and their number.
+
+    Null and empty texts have no ids; repeated rows have the same.  An empty table gives an empty one; columns other than
+    those of documents and `ids` and `n_ids` go.
+    """
     encoded = sentence_pieces.encode_pieces(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.withColumn("n_ids", F.size("ids").cast("long"))
 
