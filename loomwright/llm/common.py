@@ -32,12 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A new path in the shared folder, in a folder of this session that is removed when its JVM ends."""
+    root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place)  # only what exists can be marked
+    fs.deleteOnExit(place)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
