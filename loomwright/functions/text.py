@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that escaping replaces, in this order, with their code.
-ESCAPES = ((chr(92), r"\x5c"), ("{", r"\x7b"), ("}", r"\x7d"), (";", r"\x3b"), ("'", r"\x27"), ("$", r"\x24"), ('"', r"\x22"), ("\n", r"\x0a"), ("\r", r"\x0d"))
+ESCAPES = (("\\", r"\x5c"), ("{", r"\x7b"), ("}", r"\x7d"), (";", r"\x3b"), ("'", r"\x27"), ("$", r"\x24"), ('"', r"\x22"), ("\n", r"\x0a"), ("\r", r"\x0d"))
 
 
 def escape_text(value: Any) -> Any:

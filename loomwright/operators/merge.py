@@ -7,11 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Changes, or inserts, of up to so many bytes are broadcast to the target.
+BROADCAST_BYTES = 64 << 20
+
 
 class AmbiguousMerge(ValueError):
     """A target row is matched by several updates or deletes."""
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and nested values by their length, other columns eight each."""
+    sized = [F.octet_length(F.col(f"`{c}`")) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) for c, t in df.dtypes if t in ("string", "binary") or "<" in t]
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for x in sized:
+        total = total + F.coalesce(x, F.lit(0))
+    return total
+
+
 def merge_with_deletes(target: DataFrame, source: DataFrame, keys: str | Sequence[str], action: str | Sequence[str], predicates: Sequence[str | Column] = (), columns: Sequence[str] | None = None, check: bool = True) -> DataFrame:
     """The table after the merge, by name: the target's columns, or `columns`.
 
@@ -19,7 +31,9 @@ def merge_with_deletes(target: DataFrame, source: DataFrame, keys: str | Sequenc
     `source`.  An update replaces all columns of its match, a delete removes it, an insert without a match is added; all other
     source rows are ignored.  With `check`, AmbiguousMerge is raised when two updates or deletes match one row.
 
-    Two joins on the keys, both equi-joins: target to changes, and inserts against target.
+    A sound set of changes has no key twice, which is seen without the target; only keys that do occur twice meet it for the
+    check.  Then the target meets updates and deletes, and inserts meet the target's keys.  Up to BROADCAST_BYTES of
+    changes are broadcast, so that the target is not shuffled; beyond that both are equi-joins.
     """
     keys = [keys] if isinstance(keys, str) else list(keys or ())
     if not keys:
@@ -29,7 +43,7 @@ def merge_with_deletes(target: DataFrame, source: DataFrame, keys: str | Sequenc
             raise ValueError("a merge has one action column")
         action = action[0]
     names = list(columns or target.columns)
-    dest, src = target.alias("target"), source.alias("source")
+    dest = target.alias("target")
 
     def matched() -> Column:
         on = F.lit(True)
@@ -39,16 +53,33 @@ def merge_with_deletes(target: DataFrame, source: DataFrame, keys: str | Sequenc
             on = on & (F.expr(p) if isinstance(p, str) else p)
         return on
 
-    changes = src.filter(F.col(f"source.`{action}`").isin("update", "delete"))
-    if check:
-        numbered = target.withColumn("__row", F.monotonically_increasing_id()).alias("target")
-        twice = numbered.join(changes.alias("source"), matched()).groupBy("target.__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    changes = source.filter(F.col(f"`{action}`").isin("update", "delete"))
+    counts = changes.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"), F.sum(row_bytes(changes)).alias("__bytes"))
+    facts = counts.agg(F.sum("__bytes").alias("size"), F.max("__n").alias("most")).first()
+    few = F.broadcast if (facts["size"] or 0) <= BROADCAST_BYTES else (lambda df: df)
+    if check and (facts["most"] or 0) > 1:
+        again = counts.filter("__n > 1").select(*[F.col(f"`{k}`").alias(f"__again{i}") for i, k in enumerate(keys)])
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__again{i}")) for i, k in enumerate(keys)]
+        on = same[0]
+        for x in same[1:]:
+            on = on & x
+        numbered = target.join(again, on, "left_semi").withColumn("__row", F.monotonically_increasing_id()).alias("target")
+        twice = numbered.join(changes.join(again, on, "left_semi").alias("source"), matched()).groupBy("target.__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if not twice.isEmpty():
             raise AmbiguousMerge("several updates or deletes match one target row")
-    marked = source.filter(F.col(action).isin("update", "delete")).withColumn("__met", F.lit(True)).alias("source")
+    marked = few(changes.withColumn("__met", F.lit(True))).alias("source")
     joined = dest.join(marked, matched(), "left")
     met = F.col("source.__met").isNotNull()
     gone = met & (F.col(f"source.`{action}`") == "delete")
     kept = joined.filter(~gone).select(*[F.when(met, F.col(f"source.`{c}`")).otherwise(F.col(f"target.`{c}`")).alias(c) for c in names])
-    inserts = source.filter(F.col(action) == "insert").alias("source").join(target.alias("target"), matched(), "left_anti").select(*[F.col(f"source.`{c}`") for c in names])
-    return kept.unionByName(inserts)
+    inserts = source.filter(F.col(f"`{action}`") == "insert")
+    size = inserts.agg(F.sum(row_bytes(inserts))).first()[0]
+    if size is None:
+        return kept
+    if predicates or size > BROADCAST_BYTES:
+        return kept.unionByName(inserts.alias("source").join(dest, matched(), "left_anti").select(*[F.col(f"source.`{c}`") for c in names]))
+    known = dest.join(F.broadcast(inserts.alias("source")), matched(), "inner").select(*[F.col(f"source.`{k}`").alias(f"__known{i}") for i, k in enumerate(keys)]).distinct()
+    on = F.col(f"`{keys[0]}`").eqNullSafe(F.col("__known0"))
+    for i, k in enumerate(keys[1:], 1):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__known{i}"))
+    return kept.unionByName(inserts.join(known, on, "left_anti").select(*[F.col(f"`{c}`") for c in names]))

@@ -17,9 +17,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Distinct values that are sampled for each range asked for.
 SAMPLES_PER_RANGE = 100
+#: From so many ranges on, the source is copied in the order of the key first.
+SORT_FROM = 16
 #: Keys of a slice that are broadcast to its sources; beyond, the semi-join shuffles.
 KEYS_TO_BROADCAST = 100_000
 
@@ -30,10 +33,12 @@ class PartitionBy:
     columns: tuple[str, ...]
     partitions: int | None = None
     concurrent: bool = False
+    sorted_copy: bool | None = None
+    validate: bool = False
 
 
 def partition_config(config: Any) -> tuple[PartitionBy | None, list[str]]:
-    """From {from, columns, partitions?, async?}; what is wrong with it is said, and makes it none or drops the number."""
+    """From {from, columns, partitions?, async?, sorted_copy?, validate?}; what is wrong with it is said, and makes it none or drops the number."""
     if config is None:
         return None, []
     if not isinstance(config, Mapping) or "from" not in config or not config.get("columns"):
@@ -44,7 +49,7 @@ def partition_config(config: Any) -> tuple[PartitionBy | None, list[str]]:
     if number is not None and (not isinstance(number, int) or isinstance(number, bool) or number < 1):
         warnings.append(f"partition_by: partitions {number!r} is ignored")
         number = None
-    return PartitionBy(config["from"], columns, number, bool(config.get("async", False))), warnings
+    return PartitionBy(config["from"], columns, number, bool(config.get("async", False)), config.get("sorted_copy"), bool(config.get("validate", False))), warnings
 
 
 def sample_values(df: DataFrame, column: str, limit: int) -> tuple[list, bool]:
@@ -117,40 +122,64 @@ def spread_order(count: int, seed: str) -> list[int]:
     return list(dict.fromkeys([0, count - 1, *middle]))
 
 
-def numbered_keys(df: DataFrame, columns: Sequence[str], shuffle_seed: str | None = None) -> DataFrame:
+def numbered_keys(df: DataFrame, columns: Sequence[str], place: str, shuffle_seed: str | None = None) -> DataFrame:
     """Distinct key tuples as __k0, __k1, ... with their position from 0: in order, or by a seeded hash.
 
-    The key table is a driver's work list, one row a query or a key of one; it is numbered in one window.
+    The keys are written to `place` in ranges of that order.  A range's rows are numbered where they are, and the ranges'
+    counts give where each begins, so no task holds more than a range.
     """
+    spark = df.sparkSession
     names = [f"__k{i}" for i in range(len(columns))]
     keys = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).distinct()
     order = [F.col(n).asc_nulls_first() for n in names]
     if shuffle_seed is not None:
-        order = [F.xxhash64(F.lit(shuffle_seed), *names), *order]
-    return keys.withColumn("__position", F.row_number().over(W.partitionBy().orderBy(*order)) - 1)
+        keys = keys.withColumn("__hash", F.xxhash64(F.lit(shuffle_seed), *names))
+        order = [F.col("__hash"), *order]
+    ranged = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged.select(*names, F.monotonically_increasing_id().alias("__row")).write.parquet(place)
+    held = spark.read.schema(StructType([*[f for f in keys.schema.fields if f.name in names], StructField("__row", LongType())])).parquet(place)
+    blocks = held.groupBy(F.shiftright("__row", 33).alias("__block")).agg(F.count(F.lit(1)).alias("__size"))
+    ahead = W.partitionBy().orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = blocks.select("__block", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__first"))
+    placed = held.withColumn("__block", F.shiftright("__row", 33)).join(F.broadcast(starts), "__block")
+    return placed.select(*names, (F.col("__first") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("__position"))
 
 
 def key_slices(spark: SparkSession, keys: DataFrame, columns: Sequence[str], per_slice: int, name: str) -> list[Slice]:
-    """Slices of `per_slice` consecutive keys each, matched null-safe; the last may have fewer."""
-    count = keys.count()
-    keys.createOrReplaceTempView(name)
+    """Slices of `per_slice` consecutive keys each, matched null-safe; the last may have fewer.
+
+    A slice's keys lie between bounds of the first column, which its sources are filtered by as well: that condition
+    reaches the files, the match with the keys does not.
+    """
     names = [f"__k{i}" for i in range(len(columns))]
+    number = F.floor(F.col("__position") / per_slice).cast("long").alias("__slice")
+    bounds = {r["__slice"]: r for r in keys.groupBy(number).agg(F.min("__k0").alias("lo"), F.max("__k0").alias("hi"), F.max(F.col("__k0").isNull()).alias("none")).collect()}
+    keys.createOrReplaceTempView(name)
 
     def one(i: int) -> Slice:
         low, high = i * per_slice, (i + 1) * per_slice - 1
         part = keys.filter(F.col("__position").between(low, high)).select(*names)
         part = F.broadcast(part) if per_slice <= KEYS_TO_BROADCAST else part
         same = " and ".join(f"k.{n} <=> `{c}`" for c, n in zip(columns, names, strict=True))
+        within = _between(columns[0], bounds[i]["lo"], bounds[i]["hi"], bounds[i]["none"])
 
         def apply(df: DataFrame) -> DataFrame:
             on = F.lit(True)
             for c, n in zip(columns, names, strict=True):
                 on = on & df[c].eqNullSafe(part[n])
-            return df.join(part, on, "left_semi")
+            return df.filter(within).join(part, on, "left_semi")
+
+        return Slice(apply, f"({within} and exists (select 1 from `{name}` k where k.__position between {low} and {high} and {same}))")
+
+    return [one(i) for i in range(len(bounds))]
 
-        return Slice(apply, f"exists (select 1 from `{name}` k where k.__position between {low} and {high} and {same})")
 
-    return [one(i) for i in range(-(-count // per_slice))]
+def _between(column: str, low: Any, high: Any, none: bool) -> str:
+    """A condition that holds for the values between two of them, and for null if it is among them; true for types without literals."""
+    if low is not None and not isinstance(low, bool | int | float | str | decimal.Decimal | dt.date):
+        return "true"
+    tests = [f"(`{column}` >= {sql_literal(low)} and `{column}` <= {sql_literal(high)})"] if low is not None else []
+    return f"({' or '.join([*tests, *([f'`{column}` is null'] if none else [])])})"
 
 
 def run_slices(spark: SparkSession, tasks: Sequence[Callable[[], None]], concurrent: bool, workers: int = 8) -> None:

@@ -24,7 +24,8 @@ from loomwright.operators.scripts import run_script
 from loomwright.plans.config import Ref, Source, table_config
 from loomwright.plans.model import Context, Model
 from loomwright.plans.relation import Relation
-from loomwright.sources.store import META, TRANSIENT, TableStore, default_root
+from loomwright.sources.journal import Journal
+from loomwright.sources.store import META, TRANSIENT, TableStore, scratch_root
 
 _SLOT = re.compile(r"\{\{\s*(?:(ref|source)\s*:\s*([\w.]+)|(partition_filter))\s*\}\}")
 CATALOG = "name string, kind string, arguments string, language string, is_aggregate string, is_secure string, comment string, created bigint"
@@ -59,24 +60,52 @@ def column_set(schema: StructType) -> set[tuple[str, str]]:
 
 
 class Engine:
-    """Models of one schema.  Table files lie under `root`, which driver and executors must share on a cluster."""
+    """Models of one schema.
+
+    Table files lie under `root`, which driver and executors must share on a cluster.  What is under a given root is
+    kept: an engine that is opened later on the same root and schema finds the tables with their versions, the routines
+    and the grants as they were left.  Policies are functions of the session and have to be given anew.  Without a root
+    everything lies in a scratch folder that goes with the session.
+    """
+
+    #: Entries of the registry that are kept.
+    REGISTRY_ENTRIES = 10
 
     def __init__(self, spark: SparkSession, root: str | None = None, schema: str | None = None):
         self.spark = spark
         self.schema = schema or f"loom_{uuid.uuid4().hex[:10]}"
-        self.store = TableStore(spark, root or default_root(spark))
-        spark.sql(f"create database if not exists `{self.schema}` location '{self.store.root}/{self.schema}'")
+        self.store = TableStore(spark, root or scratch_root(spark))
+        spark.sql(f"create database if not exists `{self.schema}` location '{self.store.root}/_catalog/{self.schema}'")  # apart from the files, which go with a folder of the database
         self.routines = Routines(spark)
         self.models: dict[str, Model] = {}
         self.sources: dict[tuple[str, str], Callable[[], DataFrame]] = {}
         self.grants: dict[str, set[tuple[str, str]]] = {}
         self.policies: dict[str, Callable[..., Column]] = {}
         self.run_id = uuid.uuid4().hex
+        self._frames: dict[tuple[str, str], DataFrame] = {}
+        self._sorted: dict[str, DataFrame] = {}
+        self._sorted_places: list[str] = []
+        self._registry = Journal(spark, f"{self.store.root}/{self.schema}/_registry")
+        self._remembered = self._registry.last() or {}
+        self.store.open(self.schema)
+        self.routines.restore(self._remembered.get("routines", []))
+        self.grants |= {name: {tuple(p) for p in pairs} for name, pairs in self._remembered.get("grants", {}).items()}
         self.materializations: dict[str, Callable[[Model, bool], Built]] = {
             "insert_overwrite": self._overwrite, "table": self._overwrite, "merge_with_deletes": self._merge, "function": partial(self._routine, "function"),
             "procedure": partial(self._routine, "procedure"), "script": self._script,
         }
 
+    def remember(self) -> None:
+        """Write routines and grants to the registry, if they have changed."""
+        now = {"routines": self.routines.dump(), "grants": {n: sorted(map(list, pairs)) for n, pairs in sorted(self.grants.items())}}
+        if now == {k: self._remembered.get(k) for k in now}:
+            return
+        numbers = [n for n, _ in self._registry.numbers()]
+        self._registry.put((numbers[-1] if numbers else 0) + 1, now)
+        self._remembered = json.loads(json.dumps(now))
+        for old in numbers[: -self.REGISTRY_ENTRIES]:
+            self._registry.drop(old)
+
     # -- declaration -----------------------------------------------------------------
 
     def add(self, *models: Model) -> Engine:
@@ -120,10 +149,17 @@ class Engine:
         return f"{model}_v{version}".lower() if version is not None and f"{model}_v{version}".lower() in self.models else model.lower()
 
     def ref(self, *names: str, version: str | None = None) -> DataFrame:
-        return self.store.read(self.relation(self._versioned(names[-1], version)))
+        name = self._versioned(names[-1], version)
+        return self._sorted[name] if name in self._sorted else self.store.read(self.relation(name))
 
     def source(self, source: str, table: str) -> DataFrame:
-        return self.sources[(source.lower(), table.lower())]()
+        """A source's frame; within one model's run it is opened once, so that all slices see the same files."""
+        key = (source.lower(), table.lower())
+        if ".".join(key) in self._sorted:
+            return self._sorted[".".join(key)]
+        if key not in self._frames:
+            self._frames[key] = self.sources[key]()
+        return self._frames[key]
 
     def read(self, name: str, role: str | None = None) -> DataFrame:
         """A table as a role may see it: its row access policy filters.  A help for co-operating users, no security border."""
@@ -131,6 +167,8 @@ class Engine:
         df = self.store.read(relation)
         policy = (self.store.metadata(relation) or {}).get("row_access_policy")
         if policy:
+            if policy["policy"] not in self.policies:
+                raise PermissionError(f"{name}: its policy {policy['policy']} is not known to this session")
             df = df.filter(self.policies[policy["policy"]](role, *[F.col(c) for c in policy["columns"]]))
         return df
 
@@ -187,6 +225,7 @@ class Engine:
             self.store.drop(self.relation(name))
         else:
             self.routines.drop(kind, name)
+            self.remember()
         return "replace"
 
     # -- bodies ----------------------------------------------------------------------
@@ -198,7 +237,11 @@ class Engine:
             if m[3]:
                 return condition
             if m[1] == "ref":
-                return self.relation(self._versioned(m[2].rpartition(".")[2], None)).sql
+                name = self._versioned(m[2].rpartition(".")[2], None)
+                if name not in self._sorted:
+                    return self.relation(name).sql
+                self._sorted[name].createOrReplaceTempView(f"__sorted_{self.schema}_{name}")
+                return f"`__sorted_{self.schema}_{name}`"
             source, _, table = m[2].rpartition(".")
             view = f"__source_{self.schema}_{source}_{table}".lower()
             self.source(source, table).createOrReplaceTempView(view)
@@ -227,16 +270,29 @@ class Engine:
         else:  # a CTE of the model's own query
             keys_from = self.spark.sql(self.render(f"{remove_select(model.body)} select * from {by.source}"))
         if len(by.columns) == 1 and (by.partitions or 0) > 1:
+            self._sort_once(keys_from, by)
             values, with_null = parts.sample_values(keys_from, by.columns[0], parts.SAMPLES_PER_RANGE * by.partitions)
             if len(values) < 2:
                 return [parts.whole()]
             return parts.range_slices(by.columns[0], parts.range_bounds(values, by.partitions), with_null)
         seed = None if by.partitions else self.run_id
-        place = f"{self.store.root}/keys/{uuid.uuid4().hex}"
-        parts.numbered_keys(keys_from, by.columns, seed).write.parquet(place)
-        keys = self.spark.read.parquet(place)
+        keys = parts.numbered_keys(keys_from, by.columns, f"{self.store.root}/keys/{uuid.uuid4().hex}", seed)
         return parts.key_slices(self.spark, keys, by.columns, by.partitions or 1, f"__keys_{model.name}_{uuid.uuid4().hex[:8]}")
 
+    def _sort_once(self, df: DataFrame, by: parts.PartitionBy) -> None:
+        """For many ranges, a copy of the source in the order of the key: each slice then reads its own row groups only.
+
+        With few ranges, and where the source is a model that is clustered by the key, reading it again is cheaper.
+        """
+        name = by.source.lower()
+        clustered = name in self.models and list(table_config(self.models[name].config).fingerprint.get("cluster_by", []))[:1] == [by.columns[0]]
+        wanted = by.sorted_copy if by.sorted_copy is not None else (by.partitions or 0) >= parts.SORT_FROM
+        if wanted and not clustered and (name in self.models or tuple(name.split(".")) in self.sources):
+            place = f"{self.store.root}/sorted/{uuid.uuid4().hex}"
+            df.repartitionByRange(F.col(by.columns[0])).sortWithinPartitions(by.columns[0]).write.parquet(place)
+            self._sorted[name] = self.spark.read.schema(df.schema).parquet(place)
+            self._sorted_places.append(place)
+
     # -- runs ------------------------------------------------------------------------
 
     def order(self, names: Iterable[str] | None = None) -> list[str]:
@@ -275,6 +331,7 @@ class Engine:
         out = {}
         for name in self.order(names):
             model = self.models[name]
+            self._frames.clear()
             self.spark.sparkContext.setJobDescription(f"{model.materialized} {model.name}")
             try:
                 for when in ("pre_outside", "pre"):
@@ -284,6 +341,10 @@ class Engine:
                     self._hooks(model, when)
             finally:
                 self.spark.sparkContext.setJobDescription(None)
+                self._frames.clear()
+                self._sorted.clear()
+                while self._sorted_places:
+                    self.store.discard(self._sorted_places.pop())
             if model.materialized != "script":
                 self._finish(model, out[name])
         return out
@@ -302,6 +363,7 @@ class Engine:
             wanted = wanted_grants(model.config["grants"])
             built.result = built.result or grant_delta(wanted, current)
             self.grants[name] = wanted
+        self.remember()
         if built.relation.type == "table" and (model.description or model.columns):
             columns = {c.lower() for c in self.ref(name).columns}
             self.store.comment(built.relation, model.description, {c.strip('"').lower(): d for c, d in model.described().items() if c.strip('"').lower() in columns})
@@ -311,7 +373,9 @@ class Engine:
         properties = {META: json.dumps(config.fingerprint, sort_keys=True), TRANSIENT: str(config.transient).lower()}
         properties |= {f"tag.{t['tag']}": str(t["value"]) for t in config.fingerprint.get("tags", ())}
         properties |= {f"contact.{k}": str(v) for k, v in config.fingerprint.get("contacts", {}).items()}
-        self.store.publish(relation, path, schema, properties, verb == "replace", config.fingerprint.get("default_ddl_collation"))
+        columns = {c.lower() for c in schema.names}
+        described = {c.strip('"').lower(): d for c, d in model.described().items() if c.strip('"').lower() in columns}
+        self.store.publish(relation, path, schema, properties, verb == "replace", config.fingerprint.get("default_ddl_collation"), model.description, described)
         self.store.prune(relation, config.fingerprint.get("data_retention_time_in_days"), config.transient)
 
     def _verb(self, model: Model, relation: Relation, schema: StructType, full_refresh: bool) -> str:
@@ -350,12 +414,21 @@ class Engine:
             if not slices:
                 self._write(self.spark.createDataFrame([], schema), f"{path}/slice_0", None)
             parts.run_slices(self.spark, [partial(load, i) for i in order], bool(by and by.concurrent and not plain))
+            if by and by.validate:
+                self._validate(model, path, schema)
         except Exception:
             self.store.discard(path)
             raise
         self._publish(model, relation, path, schema, verb)
         return Built(relation, verb, len(slices), [*config.warnings, *warnings])
 
+    def _validate(self, model: Model, path: str, schema: StructType) -> None:
+        """ValueError unless the slices together hold the rows of the whole query: no group, window or join crossed a slice."""
+        sliced = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        whole = self.frame(model, parts.whole()).select(*[f"`{n}`" for n in schema.names])
+        if content_hash(sliced).first() != content_hash(whole).first():
+            raise ValueError(f"{model.name}: the slices together are not the whole query's rows")
+
     def _merge(self, model: Model, full_refresh: bool) -> Built:
         """The first load, and a full refresh, take the query as it is; later ones merge it as changes."""
         relation = self.relation(model.name, "table")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.sources.store import default_root
+from loomwright.sources.store import scratch_root
 
 
 def new_objects(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of `after` that `before` has not, if there is just one."""
     fresh = after.subtract(before)
-    return fresh.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy())).filter("__n = 1").drop("__n")
+    return fresh.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*fresh.columns)).alias("row")).filter("n = 1").select("row.*")
 
 
 def hierarchy(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -24,9 +21,7 @@ def hierarchy(edges: DataFrame, child: str, parent: str) -> DataFrame:
     the shared folder; it ends when all have reached an ancestor without a parent.  Edges that run in a circle raise ValueError.
     """
     spark = edges.sparkSession
-    root = f"{default_root(spark)}/hierarchy-{uuid.uuid4().hex[:12]}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    root = scratch_root(spark)
 
     def kept(df: DataFrame, number: int) -> DataFrame:
         df.write.parquet(f"{root}/round_{number}")

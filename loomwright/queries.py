@@ -42,6 +42,11 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
+def _expect(holds: bool, found: object) -> None:
+    if not holds:
+        raise AssertionError(found)
+
+
 def build(e: Engine, name: str, body, **config) -> DataFrame:
     """Run one model and read its table."""
     e.add(Model(name, body, config=config)).run(name)
@@ -241,6 +246,60 @@ def table_content_hash(spark, sf_dir):
     return spark.createDataFrame([(one == two, one["hash"] == three["hash"])], "same boolean, differs boolean")
 
 
+@query("select r_regionkey, r_name from region")
+def table_full_refresh(spark, sf_dir):
+    """A full refresh replaces a table that would be kept."""
+    e = engine(spark, sf_dir)
+    e.add(Model("regions", "select r_regionkey, r_name from {{source:tpch.region}}"))
+    verbs = [e.run()["regions"].verb, e.run()["regions"].verb, e.run(full_refresh=True)["regions"].verb]
+    _expect(verbs == ["replace", "keep", "replace"], verbs)
+    return e.ref("regions")
+
+
+@query("select 1 as versions, count(*) as n from nation")
+def table_retention(spark, sf_dir):
+    """Versions older than the retention go with the next load: with zero days all but the current one."""
+    e = engine(spark, sf_dir)
+    for _ in range(3):
+        build(e, "nations", "select n_nationkey from {{source:tpch.nation}}", data_retention_time_in_days=0)
+    return e.ref("nations").agg(F.lit(len(e.store.versions(e.relation("nations")))).alias("versions"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select r_regionkey, r_name from region where upper(r_name) = 'REGION_1'")
+def table_collation(spark, sf_dir):
+    """Texts of a table with a default collation compare without regard to case; the file holds them as they are."""
+    e = engine(spark, sf_dir)
+    build(e, "regions", "select r_regionkey, r_name from {{source:tpch.region}}", default_ddl_collation="UTF8_LCASE")
+    return e.ref("regions").filter("r_name = 'ReGiOn_1'").select("r_regionkey", F.collate("r_name", "UTF8_BINARY").alias("r_name"))
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey <> 7 union all select 100, 'NEW'")
+def table_append_versions(spark, sf_dir):
+    """Appended rows are a version of their own: the one before stays as it was."""
+    e = engine(spark, sf_dir)
+    build(e, "nations", "select n_nationkey, n_name from {{source:tpch.nation}} where n_nationkey <> 7")
+    before = e.store.current(e.relation("nations"))
+    e.append("nations", spark.sql("select 100 as n_nationkey, 'NEW' as n_name"))
+    _expect(e.store.read_version(e.relation("nations"), before).count() == 24, "an older version changed")
+    return e.ref("nations")
+
+
+@query("select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_custkey")
+def insert_overwrite_validated(spark, sf_dir):
+    """Twenty ranges from a sorted copy of the source, held against the whole query before they are published."""
+    sql = "select o_custkey, count(*) as n, cast(round(sum(o_totalprice), 2) as double) as total from {{source:tpch.orders}} where {{partition_filter}} group by o_custkey"
+    return build(engine(spark, sf_dir), "customers", sql, partition_by={"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 20, "async": True, "validate": True})
+
+
+@query("select r_regionkey, r_name, 'own' as label from region")
+def table_kept_across_engines(spark, sf_dir):
+    """Another engine on the same root finds the table, though the catalog has lost it."""
+    e = engine(spark, sf_dir)
+    build(e, "regions", "select r_regionkey, r_name, 'own' as label from {{source:tpch.region}}")
+    spark.sql(f"drop table `{e.schema}`.regions")
+    return Engine(spark, e.store.root, e.schema).ref("regions")
+
+
 # -- merging -------------------------------------------------------------------------
 
 
@@ -340,6 +399,59 @@ def function_python_aggregate(spark, sf_dir):
     return e.source("tpch", "customer").groupBy("c_mktsegment").agg(e.routines.call("middle_of", "c_acctbal").alias("middle"))
 
 
+@query("select c_nationkey, max(c_acctbal) - min(c_acctbal) as span from customer group by c_nationkey")
+def function_python_aggregate_merged(spark, sf_dir):
+    """A handler with accumulate, merge and finish: states of the tasks are merged, no group meets in one."""
+    body = """
+class Span:
+    def __init__(self):
+        self.low = self.high = None
+    def accumulate(self, v):
+        if v is not None:
+            self.low = v if self.low is None else min(self.low, v)
+            self.high = v if self.high is None else max(self.high, v)
+    def merge(self, other):
+        for v in (other.low, other.high):
+            self.accumulate(v)
+    def finish(self):
+        return None if self.low is None else self.high - self.low
+"""
+    e = _function(engine(spark, sf_dir), "span_of", body, parameters="v float", returns="float", aggregate=True, function_config=[{"language": "python", "handler": "'Span'"}])
+    return e.routines.aggregate(e.source("tpch", "customer"), ["c_nationkey"], "span_of", "c_acctbal", out="span")
+
+
+@query("select n_nationkey, 'number ' || n_nationkey as a, 'text ' || n_name as b, 'both ' || n_name || n_nationkey as c from nation")
+def function_overloads(spark, sf_dir):
+    """Overloads of one name, told apart by the number and the types of their arguments."""
+    e = engine(spark, sf_dir)
+    for params, text in (("x int", "concat('number ', x)"), ("x varchar", "concat('text ', x)"), ("x varchar, y int", "concat('both ', x, y)")):
+        _function(e, "shown", text, parameters=params, returns="varchar")
+    nation = e.source("tpch", "nation")
+    call = lambda *c: e.routines.call("shown", *c, on=nation)
+    return nation.select("n_nationkey", call("n_nationkey").alias("a"), call("n_name").alias("b"), call("n_name", "n_nationkey").alias("c"))
+
+
+@query("select o_orderkey, o_orderkey + 3 as more from orders")
+def function_kept_across_engines(spark, sf_dir):
+    """Another engine on the same root knows the function and builds it no more."""
+    e = _function(engine(spark, sf_dir), "three_more", "x + 3", parameters="x int", returns="int")
+    again = Engine(spark, e.store.root, e.schema)
+    again.add(e.models["three_more"])
+    _expect(again.run("three_more")["three_more"].verb == "keep", "an unchanged function was built again")
+    return e.source("tpch", "orders").select("o_orderkey", again.routines.call("three_more", "o_orderkey").alias("more"))
+
+
+@query("select r_regionkey, 'Y' as is_secure, true as hidden, 'replace,alter,keep' as verbs from region")
+def function_secure_alter(spark, sf_dir):
+    """Secrecy alone alters a function; a secure one's body is not shown."""
+    e, verbs = engine(spark, sf_dir), []
+    for secure in (False, True, True):
+        e.add(Model("hidden_add", "x + 1", "function", {"parameters": "x int", "returns": "int", "secure": secure}))
+        verbs.append(e.run("hidden_add")["hidden_add"].verb)
+    row = next(r for r in e.routines.rows("function") if r["name"] == "hidden_add")
+    return e.source("tpch", "region").select("r_regionkey", F.lit(row["is_secure"]).alias("is_secure"), F.lit(row["body"] is None).alias("hidden"), F.lit(",".join(verbs)).alias("verbs"))
+
+
 @query("select r_name, i from region, range(1, 4) r(i)")
 def function_python_table(spark, sf_dir):
     e = _function(engine(spark, sf_dir), "count_to", "def run(n):\n    for i in range(1, n + 1):\n        yield (i,)\n", parameters="n int", returns="table(i int)", **PYTHON)
@@ -413,7 +525,7 @@ def script_python(spark, sf_dir):
     return _script(engine(spark, sf_dir), body, language="python", handler="run")
 
 
-@query("select 'keep' as first, 'replace' as second, 'select r_regionkey from region' as note")
+@query("select 'keep' as first, 'replace' as second")
 def script_drop_if(spark, sf_dir):
     e = engine(spark, sf_dir)
     build(e, "work", "select r_regionkey from {{source:tpch.region}}")
@@ -421,7 +533,7 @@ def script_drop_if(spark, sf_dir):
     for drop_if in ("select 1 from $1 where kind = 'view'", "select 1 from $1 where kind = 'table'"):
         e.add(Model("work", "select 1 as x", "script", {"script_materialization": "table", "drop_if": drop_if}))
         verbs.append(e.run("work")["work"].verb)
-    return spark.range(1).select(F.lit(verbs[0]).alias("first"), F.lit(verbs[1]).alias("second"), F.lit("select r_regionkey from region").alias("note"))
+    return spark.range(1).select(F.lit(verbs[0]).alias("first"), F.lit(verbs[1]).alias("second"))
 
 
 # -- helpers -------------------------------------------------------------------------
@@ -514,6 +626,63 @@ def row_access_policy_read(spark, sf_dir):
     return e.read("suppliers", "west")
 
 
+@query("select n_regionkey, count(*) as n from nation group by n_regionkey")
+def aggregation_policy_read(spark, sf_dir):
+    """A table whose aggregates may not show its entity keys."""
+    e = engine(spark, sf_dir)
+    build(e, "nations", "select * from {{source:tpch.nation}}", aggregation_policy={"policy": "no_single", "entity_keys": ["n_nationkey"]})
+    try:
+        e.grouped("nations", ["n_nationkey"], F.count(F.lit(1)))
+    except PermissionError:
+        return e.grouped("nations", ["n_regionkey"], F.count(F.lit(1)).alias("n"))
+    raise AssertionError("the policy let an entity key through")
+
+
+@query("select n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def join_policy_read(spark, sf_dir):
+    """A table that may be joined by its region only."""
+    e = engine(spark, sf_dir)
+    build(e, "nations", "select n_regionkey as key, n_nationkey, n_name from {{source:tpch.nation}}", join_policy={"policy": "by_region", "allowed_join_keys": ["key"]})
+    regions = e.source("tpch", "region").select(F.col("r_regionkey").alias("key"), "r_name")
+    try:
+        e.joined("nations", regions.withColumnRenamed("key", "n_nationkey"), ["n_nationkey"])
+    except PermissionError:
+        return e.joined("nations", regions, ["key"]).select("n_name", "r_name")
+    raise AssertionError("the policy let another key through")
+
+
+@query("select * from (values ('copied', 'ANALYST', 'select'), ('plain', 'NOBODY', 'none')) t(name, grantee, privilege)")
+def grants_copied(spark, sf_dir):
+    """A table that is replaced keeps its grants with copy_grants, and loses them without."""
+    e, rows = engine(spark, sf_dir), []
+    for name, copy in (("copied", True), ("plain", False)):
+        build(e, name, "select r_regionkey from {{source:tpch.region}}", grants={"select": ["analyst"]}, copy_grants=copy)
+        build(e, name, "select r_regionkey, r_name from {{source:tpch.region}}", copy_grants=copy)
+        rows += [(name, g, p) for g, p in sorted(e.grants[name]) or [("NOBODY", "none")]]
+    return spark.createDataFrame(rows, "name string, grantee string, privilege string")
+
+
+@query("select * from (values ('grant', 'WRITER', 'insert'), ('revoke', 'READER', 'select')) t(verb, grantee, privilege)")
+def grants_after_restart(spark, sf_dir):
+    """Another engine on the same root grants and revokes against what the first one left."""
+    e = engine(spark, sf_dir)
+    build(e, "regions", "select r_regionkey from {{source:tpch.region}}", grants={"select": ["analyst", "reader"]})
+    again = Engine(spark, e.store.root, e.schema).add_source("tpch", "region", f"{sf_dir}/region.parquet")
+    again.add(Model("regions", "select r_regionkey from {{source:tpch.region}}", config={"grants": {"select": ["analyst"], "insert": ["writer"]}}))
+    delta = again.run("regions")["regions"].result
+    return spark.createDataFrame([(verb, g, p) for verb, held in delta.items() for g, ps in held.items() for p in ps], "verb string, grantee string, privilege string")
+
+
+@query("select n_name as name, upper(n_name) || '_TMP' as plain, '\"' || lower(n_name) || '_TMP\"' as quoted from nation")
+def relation_suffixes(spark, sf_dir):
+    """A suffix goes inside the quotes of a quoted name; unquoted names are in upper case once normalised."""
+    from loomwright.plans.relation import Relation
+
+    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+    suffixed = lambda n: Relation(n, "main").with_suffix("_TMP").normalize().identifier
+    return spark.createDataFrame([(n, suffixed(n), suffixed(f'"{n.lower()}"')) for n in names], "name string, plain string, quoted string")
+
+
 @query("""
     with recursive up as (
         select s_suppkey as c, s_suppkey // 4 as top, cast(s_suppkey // 4 as varchar) as chain, 1 as n from supplier where s_suppkey > 0

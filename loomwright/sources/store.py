@@ -1,7 +1,11 @@
-"""Versioned tables: every load writes a new directory, and publishing points the catalog's table at it.
+"""Versioned tables: every load writes a new folder, and one entry in the table's history makes it the current version.
 
-`root/<schema>/<table>/v_<n>/slice_<i>/*.parquet`.  Readers of an older version keep their files until they are pruned, a
-failed load changes nothing, and slices of one load never share a directory.
+    root/<schema>/<table>/v_<n>/slice_<i>/*.parquet     the rows
+    root/<schema>/<table>/history/<n>.json              folders, schema and properties of version n
+
+The history decides; the catalog's table mirrors its last entry and is set right whenever the schema is opened.  Readers
+of an older version keep their files until they are pruned, a failed load changes nothing, and slices of one load never
+share a folder.  Appended rows are a version of their own that lists the older folders, too.
 """
 
 from __future__ import annotations
@@ -18,62 +22,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomwright.plans.relation import Relation
+from loomwright.sources.journal import Folder, Journal
 
 META, VERSION, TRANSIENT = "loom.metadata", "loom.version", "loom.transient"
 
 
-def default_root(spark: SparkSession) -> str:
-    """A folder that driver and executors share: beside the checkpoints if one is set, else local to this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/loom" if shared else tempfile.mkdtemp(prefix="spark-loom-")
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, beside the checkpoints, which goes when the session's JVM ends.
+
+    Where no checkpoint folder is set it is local to this machine, which only a local session may use.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not shared and held.isDefined():
+        shared = held.get()
+    if shared:
+        root = f"{shared.rstrip('/')}/loom-{uuid.uuid4().hex[:12]}"
+    elif re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = tempfile.mkdtemp(prefix="spark-loom-")
+    else:
+        raise ValueError("set spark.checkpoint.dir, or give a root that driver and executors share")
+    folder = Folder(spark, root)
+    folder.fs.mkdirs(folder.place())  # only what exists can be marked
+    folder.fs.deleteOnExit(folder.place())
+    return root
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._taken: dict[str, int] = {}
-        place = self._path(self.root)
-        self._fs(place).deleteOnExit(place)
 
     # -- files -----------------------------------------------------------------------
 
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path):
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def folder(self, relation: Relation) -> str:
         return f"{self.root}/{relation.schema}/{relation.bare}"
 
+    def files(self, relation: Relation) -> Folder:
+        return Folder(self.spark, self.folder(relation))
+
+    def history(self, relation: Relation) -> Journal:
+        return Journal(self.spark, f"{self.folder(relation)}/history")
+
     def versions(self, relation: Relation) -> list[tuple[int, float]]:
-        """(number, modification time in seconds) of the versions on disk, oldest first."""
-        path = self._path(self.folder(relation))
-        fs = self._fs(path)
-        if not fs.exists(path):
-            return []
-        found = [(f.getPath().getName(), f.getModificationTime() / 1000) for f in fs.listStatus(path)]
-        return sorted((int(n[2:]), t) for n, t in found if re.fullmatch(r"v_\d+", n))
+        """(number, time) of the versions that are kept, oldest first."""
+        return self.history(relation).numbers()
 
     def stage(self, relation: Relation) -> str:
-        """The directory of a new version."""
+        """The folder of a new version."""
         folder = self.folder(relation)
-        number = max([self._taken.get(folder, 0), *(n for n, _ in self.versions(relation))]) + 1
+        held = [int(n[2:]) for n, _ in self.files(relation).listing() if re.fullmatch(r"v_\d+", n)]
+        number = max([self._taken.get(folder, 0), *held, *(n for n, _ in self.versions(relation))]) + 1
         self._taken[folder] = number
         return f"{folder}/v_{number}"
 
     def discard(self, path: str) -> None:
-        place = self._path(path)
-        self._fs(place).delete(place, True)
-
-    def prune(self, relation: Relation, keep_days: float | None, transient: bool) -> list[int]:
-        """Delete versions that are neither current nor within the retention; transient tables keep the current one."""
-        current, gone = self.current(relation), []
-        for number, written in self.versions(relation):
-            expired = transient or (keep_days is not None and time.time() - written > keep_days * 86_400)
-            if number != current and expired:
-                self.discard(f"{self.folder(relation)}/v_{number}")
+        Folder(self.spark, path).delete()
+
+    def prune(self, relation: Relation, keep_days: float | None, transient: bool, keep_last: int = 1) -> list[int]:
+        """Forget versions that are neither among the last nor within the retention, and delete folders that no kept one has.
+
+        Transient tables keep the current version; without a retention the others keep all.
+        """
+        history, gone, kept = self.history(relation), [], set()
+        numbers = history.numbers()
+        for number, written in numbers:
+            expired = transient or (keep_days is not None and time.time() - written >= keep_days * 86_400)
+            if expired and (number, written) not in numbers[-keep_last:]:
                 gone.append(number)
+            else:
+                kept |= {f.split("/")[0] for f in history.entry(number).get("folders", ())}
+        for number in gone:
+            folders = {f.split("/")[0] for f in history.entry(number).get("folders", ())}
+            history.drop(number)
+            for f in folders - kept:
+                self.discard(f"{self.folder(relation)}/{f}")
         return gone
 
     # -- catalog ---------------------------------------------------------------------
@@ -88,39 +111,101 @@ class TableStore:
         return {r["key"]: r["value"] for r in self.spark.sql(f"show tblproperties {relation.sql}").collect()}
 
     def current(self, relation: Relation) -> int | None:
-        if self.kind(relation) != "table":
-            return None
-        return int(self.properties(relation).get(VERSION, 0)) or None
+        last = self.history(relation).last()
+        return None if last is None or last.get("dropped") else last["version"]
 
     def read(self, relation: Relation) -> DataFrame:
         return self.spark.table(relation.sql)
 
     def read_version(self, relation: Relation, number: int) -> DataFrame:
-        """A table as an older version had it, while that version is kept."""
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder(relation)}/v_{number}")
+        """A table as a version had it, while that version is kept."""
+        entry = self.history(relation).entry(number)
+        schema = StructType.fromJson(entry["schema"])
+        if not entry["folders"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder(relation)}/{f}" for f in entry["folders"]])
 
     def changes(self, relation: Relation, old: int, new: int) -> DataFrame:
         """Rows that one version has and the other has not, with an `action` of insert or delete."""
         a, b = self.read_version(relation, old), self.read_version(relation, new)
         return b.exceptAll(a).selectExpr("*", "'insert' as action").unionByName(a.exceptAll(b).selectExpr("*", "'delete' as action"))
 
-    def publish(self, relation: Relation, path: str, schema: StructType, properties: Mapping[str, str], replace: bool, collation: str | None = None) -> None:
-        """Point the table at a version: a new location if the definition stays, else a new definition."""
-        number = path.rpartition("/v_")[2]
-        given = {**properties, VERSION: number}
-        pairs = ", ".join(f"'{k}' = '{_quoted(v)}'" for k, v in sorted(given.items()))
-        if self.kind(relation) == "table" and not replace:
-            self.spark.sql(f"alter table {relation.sql} set location '{path}'")
-            self.spark.sql(f"alter table {relation.sql} set tblproperties ({pairs})")
-            self.spark.catalog.refreshTable(f"{relation.schema}.{relation.bare}")
-            return
-        self.drop(relation)
-        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
-        default = f" default collation {collation}" if collation else ""
-        self.spark.sql(f"create table {relation.sql} ({columns}) using parquet options (recursiveFileLookup 'true') location '{path}'{default} tblproperties ({pairs})")
+    def publish(self, relation: Relation, path: str, schema: StructType, properties: Mapping[str, str], replace: bool, collation: str | None = None, comment: str = "", columns: Mapping[str, str] | None = None) -> None:
+        """Make a staged folder the current version.
+
+        The entry in the history is the step that counts: before it nothing has changed, after it the version holds, even
+        if the catalog is set right only when the schema is next opened.  A new definition is tried out beforehand.
+        """
+        base = path.rpartition("/")[2]
+        number = int(base[2:])
+        folders = [f"{base}/{n}" for n, _ in self.files(relation).listing(base) if not n.startswith(("_", "."))]
+        entry = {"version": number, "base": base, "folders": folders, "schema": schema.jsonValue(), "properties": dict(properties), "collation": collation, "comment": comment, "columns": dict(columns or {})}
+        fresh = None
+        if replace or self.kind(relation) != "table":
+            fresh = Relation(f"{relation.bare}__new_{number}", relation.schema)
+            self._create(fresh, relation, entry)
+        try:
+            self.history(relation).put(number, entry)
+        except Exception:
+            if fresh:
+                self.spark.sql(f"drop table if exists {fresh.sql}")
+            raise
+        self._mirror(relation, entry, fresh)
+
+    def _create(self, named: Relation, relation: Relation, entry: Mapping) -> None:
+        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in StructType.fromJson(entry["schema"]).fields)
+        default = f" default collation {entry['collation']}" if entry.get("collation") else ""
+        self.spark.sql(f"create table {named.sql} ({columns}) using parquet options (recursiveFileLookup 'true') location '{self.folder(relation)}/{entry['base']}'{default} tblproperties ({_pairs(entry)})")
+
+    def _mirror(self, relation: Relation, entry: Mapping, fresh: Relation | None = None) -> None:
+        """The catalog's table as the entry says: the definition under its temporary name takes over, or the old one moves on."""
+        if fresh:
+            if kind := self.kind(relation):
+                self.spark.sql(f"drop {kind} if exists {relation.sql}")
+            self.spark.sql(f"alter table {fresh.sql} rename to {relation.sql}")
+        else:
+            self.spark.sql(f"alter table {relation.sql} set location '{self.folder(relation)}/{entry['base']}'")
+            self.spark.sql(f"alter table {relation.sql} set tblproperties ({_pairs(entry)})")
+        self.spark.catalog.refreshTable(f"{relation.schema}.{relation.bare}")
+
+    def open(self, schema: str) -> list[str]:
+        """Set the catalog's tables of a schema right by their histories; returns the tables that were not.
+
+        Appended rows whose entry holds are put in their place, and definitions that were only tried out go.
+        """
+        mended = []
+        for t in self.spark.catalog.listTables(schema):
+            if re.search(r"__new_\d+$", t.name):
+                self.spark.sql(f"drop table if exists `{schema}`.`{t.name}`")
+        for name, _ in Folder(self.spark, f"{self.root}/{schema}").listing():
+            relation = Relation(f'"{name}"', schema, None, "table")
+            entry = self.history(relation).last() if not name.startswith("_") else None
+            if entry is None:
+                continue
+            self._settle(relation, entry)
+            there = self.kind(relation)
+            if entry.get("dropped"):
+                if there == "table" and self.properties(relation).get(VERSION):
+                    self.spark.sql(f"drop table {relation.sql}")
+                    mended.append(name)
+            elif there != "table" or self.properties(relation).get(VERSION) != str(entry["version"]):
+                if there:
+                    self.spark.sql(f"drop {there} {relation.sql}")
+                self._create(relation, relation, entry)
+                if entry["comment"] or entry["columns"]:
+                    self.comment(relation, entry["comment"], entry["columns"])
+                mended.append(name)
+        return mended
+
+    def _settle(self, relation: Relation, entry: Mapping) -> None:
+        """Put appended rows where the entry says they are."""
+        files = self.files(relation)
+        for place, staged in (entry.get("staged") or {}).items():
+            if not files.exists(place) and files.exists(staged):
+                files.rename(staged, place)
 
     def append(self, relation: Relation, df: DataFrame, evolve: bool) -> list[str]:
-        """Add rows to the current version in a folder of their own; returns the columns that were added.
+        """Add rows as a new version that lists the older folders, too; returns the columns that were added.
 
         Columns are matched by name and absent ones are null.  New columns need `evolve`, else ValueError.
         """
@@ -130,15 +215,25 @@ class TableStore:
             raise ValueError(f"{relation.sql} has no columns {[f.name for f in fresh]}")
         there = {c.lower() for c in df.columns}
         columns = [F.col(f"`{f.name}`").cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in known.fields]
-        df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]).write.parquet(f"{self.folder(relation)}/v_{self.current(relation)}/append_{uuid.uuid4().hex[:12]}")
+        last = self.history(relation).last()
+        number = int(self.stage(relation).rpartition("/v_")[2])
+        staged, place = f"staged_{number}_{uuid.uuid4().hex[:8]}", f"{last['base']}/append_{number}"
+        df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]).write.parquet(f"{self.folder(relation)}/{staged}")
+        schema = StructType([*known.fields, *fresh])
+        entry = {**last, "version": number, "folders": [*last["folders"], place], "schema": schema.jsonValue(), "staged": {place: staged}}
+        self.history(relation).put(number, entry)
+        self._settle(relation, entry)
         if fresh:
             self.spark.sql(f"alter table {relation.sql} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fresh)})")
-        self.spark.catalog.refreshTable(f"{relation.schema}.{relation.bare}")
+        self._mirror(relation, entry)
         return [f.name for f in fresh]
 
     def drop(self, relation: Relation) -> None:
-        """Drop a table or view by its actual kind; its versions stay on disk."""
+        """Drop a table or view by its actual kind; a table's versions stay on disk."""
         if kind := self.kind(relation):
+            if kind == "table" and (last := self.history(relation).last()) and not last.get("dropped"):
+                number = int(self.stage(relation).rpartition("/v_")[2])
+                self.history(relation).put(number, {"version": number, "dropped": True})
             self.spark.sql(f"drop {kind} if exists {relation.sql}")
 
     def comment(self, relation: Relation, text: str, columns: Mapping[str, str]) -> None:
@@ -151,5 +246,10 @@ class TableStore:
         return json.loads(kept) if kept else None
 
 
+def _pairs(entry: Mapping) -> str:
+    """Properties as SQL, the version among them."""
+    return ", ".join(f"'{k}' = '{_quoted(v)}'" for k, v in sorted({**entry["properties"], VERSION: entry["version"]}.items()))
+
+
 def _quoted(text: object) -> str:
     return str(text).replace("\\", "\\\\").replace("'", "\\'")

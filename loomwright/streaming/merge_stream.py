@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,26 +11,33 @@ from pyspark.sql.types import StructType
 
 from loomwright.operators.merge import merge_with_deletes
 from loomwright.plans.engine import Engine
+from loomwright.sources.store import META, TRANSIENT
 
 
-def stream_changes(engine: Engine, path: str, schema: StructType, model: str, keys: Sequence[str], action: str, checkpoint: str | None = None, files_per_batch: int = 1000) -> int:
+def stream_changes(engine: Engine, path: str, schema: StructType, model: str, keys: Sequence[str], action: str, checkpoint: str | None = None, files_per_batch: int = 1000, keep_versions: int = 2) -> int:
     """Merge what is new under a Parquet path into a model's table, and return the number of batches.
 
-    Runs what is there and ends.  The checkpoint remembers what was merged; a batch that is run again changes nothing
-    more, because its updates and deletes find their rows as they left them and its inserts find theirs.
+    Runs what is there and ends.  Each batch is a version of the table that carries the batch's number, so a batch that
+    runs again after a loss is passed over.  Of the versions outside the table's retention `keep_versions` stay.
     """
     relation = engine.relation(model, "table")
+    place = checkpoint or f"{engine.store.root}/streams/{model}"
+    label = f"loom.batch.{hashlib.md5(place.encode()).hexdigest()[:12]}"
     done: list[int] = []
 
     def merge(batch: DataFrame, number: int) -> None:
+        properties = engine.store.history(relation).last()["properties"]
+        if int(properties.get(label, -1)) >= number:
+            return
         target = engine.store.read(relation)
         result = merge_with_deletes(target, batch, keys, action)
         staged = engine.store.stage(relation)
         result.write.parquet(f"{staged}/slice_0")
-        engine.store.publish(relation, staged, target.schema, {}, replace=False)
+        engine.store.publish(relation, staged, target.schema, {**properties, label: str(number)}, replace=False)
+        days = (json.loads(properties[META]) if META in properties else {}).get("data_retention_time_in_days", 0)
+        engine.store.prune(relation, days, properties.get(TRANSIENT) == "true", keep_versions)
         done.append(number)
 
     changes = engine.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    place = checkpoint or f"{engine.store.root}/streams/{model}"
     changes.writeStream.foreachBatch(merge).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     return len(done)
