@@ -70,16 +70,17 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     once.write.parquet(f"{path}/payloads")
 
 
-def archive_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Each record's headers beside its payload (has_block: whether the payload belongs into the record)."""
-    headers = spark.read.parquet(f"{path}/headers")
+def archive_parts(spark: SparkSession, path: str, headers: DataFrame | None = None) -> DataFrame:
+    """The headers of all records, or of those given, beside their payload (has_block: whether the payload belongs into the record)."""
+    headers = spark.read.parquet(f"{path}/headers") if headers is None else headers
     return headers.join(spark.read.parquet(f"{path}/payloads"), "sha256")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(record): every record's bytes as a WARC file has them, with the two line ends that close it."""
-    block = F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b""))
-    return archive_parts(spark, path).select(F.concat("warc_header", "http_header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    headers = spark.read.parquet(f"{path}/headers")
+    whole = archive_parts(spark, path, headers.filter("has_block")).select(F.concat("warc_header", "http_header", "payload", F.lit(b"\r\n\r\n")).alias("record"))
+    return whole.unionByName(headers.filter("not has_block").select(F.concat("warc_header", "http_header", F.lit(b"\r\n\r\n")).alias("record")))
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -101,24 +102,39 @@ def _page(urn: str) -> int | None:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record, rebuilt and parsed.
 
-    A revisit's payload is the stored one that it refers to.  Payloads are held against both digests; a damaged one fails.
+    Responses are rebuilt with their payload, which is held against both digests; a damaged one fails.  A revisit has no
+    payload of its own: it takes size and digest from the response of the same stored payload, so however many revisits
+    a payload has, its bytes are read once.  A revisit whose payload no response has, or whose digest differs, fails.
     """
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+    schema = "sha256 string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def row(sha256: str, record: bytes) -> tuple:
+        fields, _, found = parse_record(record)
+        refers = _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
+        return sha256, _page(fields["warc-record-id"]), len(found), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], refers, fields["warc-target-uri"], found
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([x[:7] for x in rows], columns=names)
+        for at, c in ((1, "page_id"), (5, "refers_to")):
+            out[c] = pd.array([x[at] for x in rows], "Int64")
+        return out
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for sha256, has_block, header, http, payload in zip(batch["sha256"], batch["has_block"], batch["warc_header"], batch["http_header"], batch["payload"], strict=True):
-                fields, _, found = parse_record(b"".join((header, http, payload if has_block else b"", b"\r\n\r\n")))
-                whole = found if has_block else payload
-                digest = base64.b32encode(hashlib.sha1(whole).digest()).decode()
-                if hashlib.sha256(whole).hexdigest() != sha256 or fields["warc-payload-digest"] != f"sha1:{digest}":
+            rows = [row(h, b"".join((warc, http, payload, b"\r\n\r\n"))) for h, warc, http, payload in zip(batch["sha256"], batch["warc_header"], batch["http_header"], batch["payload"], strict=True)]
+            for sha256, _, _, digest, *_, found in rows:
+                if hashlib.sha256(found).hexdigest() != sha256 or base64.b32encode(hashlib.sha1(found).digest()).decode() != digest:
                     raise ValueError(f"damaged payload {sha256}")
-                refers = _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-                out.append((_page(fields["warc-record-id"]), len(whole), digest, fields["warc-type"], refers, fields["warc-target-uri"]))
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-            for at, c in ((0, "page_id"), (4, "refers_to")):
-                frame[c] = pd.array([x[at] for x in out], "Int64")
-            yield frame
-
-    return archive_parts(spark, path).select("sha256", "has_block", "warc_header", "http_header", "payload").mapInPandas(read, schema)
+            yield frame(rows)
+
+    def revisits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield frame([row(h, b"".join((warc, http, b"\r\n\r\n"))) for h, warc, http in zip(batch["sha256"], batch["warc_header"], batch["http_header"], strict=True)])
+
+    headers = spark.read.parquet(f"{path}/headers")
+    own = stash(archive_parts(spark, path, headers.filter("has_block")).select("sha256", "warc_header", "http_header", "payload").mapInPandas(responses, schema), "warc-responses")
+    facts = own.select("sha256", F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest")).dropDuplicates(["sha256"])
+    others = headers.filter("not has_block").select("sha256", "warc_header", "http_header").mapInPandas(revisits, schema).join(facts, "sha256", "left")
+    sound = F.when(F.col("__digest") == F.col("payload_digest"), F.col("__bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "sha256")).cast("long"))
+    return own.drop("sha256").unionByName(others.withColumn("payload_bytes", sound).select(*names[1:]))

@@ -20,3 +20,18 @@ def test_key_ranges_follow_the_key(spark):
         assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] < cut.count <= ranges + cuts
         assert [r["r"] for r in rows if r["k"] is None] == [0]
     assert common.KeyRanges(df.limit(0), "k", 9).count >= 1
+
+
+def test_broadcasts_stop_at_the_limit(spark):
+    """At the limit a table is hinted for a broadcast, one row above it is not."""
+    small, large = spark.range(10), spark.range(10)
+    plan = lambda n: large.join(common.small(small, n), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(common.BROADCAST_ROWS) and "broadcast" not in plan(common.BROADCAST_ROWS + 1)
+
+
+def test_tables_of_a_computation_go_together(spark):
+    held = common.Stashes(spark, "test")
+    paths = [held.put(spark.range(3), n).inputFiles()[0].rpartition("/")[0] for n in "ab"]
+    assert all(common.list_path(spark, p) for p in paths)
+    held.drop()
+    assert not any(common.list_path(spark, p) for p in paths)

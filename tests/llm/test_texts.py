@@ -180,6 +180,11 @@ def test_archive(spark, tmp_path):
     assert payload.decode() == "é" * 90_000 and int(fields["content-length"]) == len(http) + 4 + 180_000
     with pytest.raises(ValueError, match="length"):
         warc_store.parse_record(records[0] + b"x")
+    held = spark.read.parquet(f"{tmp_path}/w/payloads")
+    spark.read.parquet(f"{tmp_path}/w/headers").write.parquet(f"{tmp_path}/bad/headers")
+    held.withColumn("payload", F.when(F.length("payload") == 4, F.lit(b"sane")).otherwise(F.col("payload"))).write.parquet(f"{tmp_path}/bad/payloads")
+    with pytest.raises(Exception, match="damaged"):
+        warc_store.read_archive(spark, f"{tmp_path}/bad").collect()
     warc_store.write_archive(df, f"{tmp_path}/m", min_bytes=4)
     assert {r["record_type"] for r in warc_store.read_archive(spark, f"{tmp_path}/m").filter("payload_bytes < 4").collect()} == {"response"}
     warc_store.write_archive(df.limit(0), f"{tmp_path}/n")
