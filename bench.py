@@ -9,7 +9,6 @@ import time
 from pyspark.sql import SparkSession
 
 from loomwright import queries as core
-from loomwright.operators.merge import merge_with_deletes
 from loomwright.plans.engine import Engine
 from loomwright.plans.model import Model
 
@@ -29,10 +28,14 @@ def sliced(spark: SparkSession, sql: str, **by) -> None:
     e.add(Model("t", sql, config=config)).run("t")
 
 
-def merge(spark: SparkSession, percent: int) -> None:
-    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
-    changes = orders.filter(f"o_orderkey % 100 < {percent}").selectExpr("o_orderkey", "o_totalprice * 2 as o_totalprice", "'update' as act")
-    merge_with_deletes(orders.selectExpr("o_orderkey", "o_totalprice", "'insert' as act"), changes, "o_orderkey", "act").write.format("noop").mode("overwrite").save()
+def merge(spark: SparkSession, percent: int) -> float:
+    """A merge model's second run: changes of so many percent of the orders, the new version written and published."""
+    e = core.engine(spark, SF_DIR)
+    config = {"unique_key": "o_orderkey", "merge_action": "act"}
+    e.add(Model("target", "select o_orderkey, o_totalprice, 'insert' as act from {{source:tpch.orders}}", "merge_with_deletes", config)).run("target")
+    began = time.perf_counter()
+    e.add(Model("target", f"select o_orderkey, o_totalprice * 2 as o_totalprice, 'update' as act from {{{{source:tpch.orders}}}} where o_orderkey % 100 < {percent}", "merge_with_deletes", config)).run("target")
+    return time.perf_counter() - began
 
 
 def rebuild(e: Engine) -> None:
@@ -60,8 +63,8 @@ def main() -> None:
     seconds = {}
     for name, task in tasks.items():
         began = time.perf_counter()
-        task()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        took = task()  # those that have to set something up first say how long the rest took
+        seconds[name] = round(took if isinstance(took, float) else time.perf_counter() - began, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -174,10 +174,13 @@ class TableStore:
         Appended rows whose entry holds are put in their place, and definitions that were only tried out go.
         """
         mended = []
+        held = Folder(self.spark, f"{self.root}/{schema}").listing()
+        if not held:
+            return mended
         for t in self.spark.catalog.listTables(schema):
             if re.search(r"__new_\d+$", t.name):
                 self.spark.sql(f"drop table if exists `{schema}`.`{t.name}`")
-        for name, _ in Folder(self.spark, f"{self.root}/{schema}").listing():
+        for name, _ in held:
             relation = Relation(f'"{name}"', schema, None, "table")
             entry = self.history(relation).last() if not name.startswith("_") else None
             if entry is None:
