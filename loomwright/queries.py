@@ -571,6 +571,43 @@ def mapping_lookup(spark, sf_dir):
     )
 
 
+@query("""
+    select 'contact.owner' as key, 'team' as value union all select 'tag.layer', 'mart' union all select 'retention', '3' union all select 'extension', '9' union all select 'regions', cast(count(*) as varchar) from region""")
+def table_properties(spark, sf_dir):
+    """What a table's configuration leaves with it: contacts and tags as properties, the rest in its metadata."""
+    e = engine(spark, sf_dir)
+    config = {"contacts": {"owner": "team"}, "tags": [{"tag": "layer", "value": "mart"}, "no tag"], "data_retention_time_in_days": 3, "max_data_extension_time_in_days": 9, "tmp_relation_type": "view"}
+    n = build(e, "regions", "select * from {{source:tpch.region}}", **config).count()
+    held, stored = e.store.properties(e.relation("regions")), e.store.metadata(e.relation("regions"))
+    rows = [(k, held[k]) for k in ("contact.owner", "tag.layer")]
+    rows += [("retention", str(stored["data_retention_time_in_days"])), ("extension", str(stored["max_data_extension_time_in_days"])), ("regions", str(n))]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+@query("select n_nationkey, n_nationkey * 3 + 1 as y from nation")
+def function_imports_and_header(spark, sf_dir):
+    """A handler that imports a file of its own, defined after a header statement that its body needs."""
+    import os
+    import tempfile
+
+    e = engine(spark, sf_dir)
+    folder = tempfile.mkdtemp(prefix="spark-imports-")
+    with open(os.path.join(folder, "loom_triple.py"), "w", encoding="utf-8") as f:
+        f.write("def triple(x):\n    return 3 * x\n")
+    body = "def run(x):\n    from loom_triple import triple\n    return triple(x) + 1\n"
+    config = {"parameters": "x int", "returns": "int", "sql_header": "set loom.header = seen", "function_config": [{"language": "python", "handler": "'run'"}, f"imports = ('{folder}/loom_triple.py')"]}
+    e.add(Model("triple_one", body, "function", config)).run()
+    _expect(spark.conf.get("loom.header") == "seen", "the header did not run")
+    return e.source("tpch", "nation").select("n_nationkey", e.routines.call("triple_one", "n_nationkey").alias("y"))
+
+
+@query("select c_custkey, c_name as whole, len([c_name]) as parts, [c_name][1] as head from customer")
+def unjoin_strings(spark, sf_dir):
+    """A text as a list of itself, and joined again."""
+    parts = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", coll.unjoin_strings(F.col("c_name")).alias("l"))
+    return parts.select("c_custkey", coll.join_strings(F.col("l")).alias("whole"), F.size("l").cast("long").alias("parts"), F.get("l", F.lit(0)).alias("head"))
+
+
 @query("select o_custkey, array_to_string(array_agg(o_orderkey order by o_orderkey), ', ') as keys from orders group by o_custkey")
 def join_strings(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
