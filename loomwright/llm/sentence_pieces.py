@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled from a model file: the normaliser (escaped blanks, dummy prefix, extra blanks), the pieces as arcs over a prefix
-tree, and for characters that no piece covers a chain of byte arcs.  An input is composed with these arcs state by
+Compiled from a model file: the normaliser (its character map as a transducer over bytes; escaped blanks, dummy prefix,
+extra blanks), the pieces as arcs over a prefix tree, and for characters that no piece covers a chain of byte arcs.  An input is composed with these arcs state by
 state and the path of least weight in the tropical semiring (min, +) is its encoding.
 
 For a unigram model an arc weighs its piece's negative log probability and a state is a position.  A BPE model has no such
@@ -58,6 +58,58 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class CharMap:
+    """A model's character map: a transducer over UTF-8 bytes that always takes the longest rule, and copies a character without one.
+
+    The file holds it as the size of a double array, its 32-bit units, and the texts to write, each ended by a zero byte.
+    A unit has a label (bits 0-7, and 31 for a unit that is a value), a mark that a rule ends here (8) and the way to its
+    children (10 on, times 256 where bit 9 is set).
+    """
+
+    def __init__(self, data: bytes):
+        size = struct.unpack_from("<I", data)[0]
+        self.units = np.frombuffer(data, "<u4", size // 4, 4).tolist()
+        self.texts = data[4 + size :]
+        single = {chr(c): found[1] for c in range(128) if (found := self.rule(bytes([c]), 0))}
+        pairs = any((found := self.rule(bytes([a, b]), 0)) and found[0] == 2 for a in range(128) for b in range(128))
+        self.ascii = None if pairs else str.maketrans(single)
+
+    def rule(self, data: bytes, at: int) -> tuple[int, str] | None:
+        """Length and text of the longest rule that begins at a byte."""
+        units, found, begin = self.units, None, at
+        unit = units[0]
+        node = (unit >> 10) << ((unit & 512) >> 6)
+        while at < len(data):
+            node ^= data[at]
+            if node >= len(units):
+                break
+            unit = units[node]
+            if unit & 0x800000FF != data[at]:
+                break
+            at += 1
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                found = at - begin, units[node] & 0x7FFFFFFF
+        if found is None:
+            return None
+        return found[0], self.texts[found[1] : self.texts.index(0, found[1])].decode("utf-8")
+
+    def apply(self, text: str) -> str:
+        if self.ascii is not None and text.isascii():
+            return text.translate(self.ascii)
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            found = self.rule(data, at)
+            if found is None:
+                lead = data[at]
+                found = (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4), ""
+                out.append(data[at : at + found[0]].decode("utf-8"))
+            else:
+                out.append(found[1])
+            at += found[0]
+        return "".join(out)
+
+
 class Transducer:
     """A compiled model.  Encodings of parts are remembered in two generations of at most `held`: what comes often stays."""
 
@@ -80,12 +132,13 @@ class Transducer:
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are compiled")
-        if normaliser.get(2):
-            raise ValueError("models with a character map of their own are not compiled")
+        self.charmap = CharMap(normaliser[2]) if normaliser.get(2) else None
         self.prefix, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
         self.texts = [t.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else t for t, k in zip(self.texts, self.types, strict=True)]
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.types, strict=True)) if k in (NORMAL, USER_DEFINED)}
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.types, strict=True)) if k == BYTE}
+        if self.charmap and USER_DEFINED in self.types:
+            raise ValueError("models with a character map and pieces of the user's own are not compiled")
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.arcs: dict[str, int] = {}
         for text, i in self.ids.items():
@@ -105,6 +158,8 @@ class Transducer:
     # -- the parts of the composition ------------------------------------------------
 
     def normalise(self, text: str) -> str:
+        if self.charmap:
+            text = self.charmap.apply(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:

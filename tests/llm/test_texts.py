@@ -254,6 +254,24 @@ def test_unigram_models_against_the_library():
             assert compiled.encode(text).tolist() == library.encode(text), (case, text)
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_models_with_a_character_map(rule):
+    """The library's own maps, compiled here: normal forms, case, full-width letters, marks that join, control characters."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+    pieces = [("<unk>", 0.0, 2)] + [(t, -k / 4, 1) for k, t in enumerate(["▁", "a", "b", "fi", "f", "i", "é", "▁a", "株", "1", "2", "⁄", "가", "s"], 1)]
+    head = b"".join(_message((1, _message((1, t.encode()), (2, x), (3, k)))) for t, x, k in pieces) + _message((2, _message((3, 1))))
+    size, varint = len(spec), []
+    while size > 127:
+        varint.append(size & 127 | 128)
+        size >>= 7
+    model = head + bytes([3 << 3 | 2, *varint, size]) + spec
+    library, compiled = sentencepiece.SentencePieceProcessor(model_proto=model), sentence_pieces.Transducer(model)
+    rng = random.Random(4)
+    for _ in range(1500):
+        text = "".join(rng.choice(["a", "B", "ﬁ", "é", "e\u0301", "Ａ", "㍿", "½", "\t", "\n", " ", "\u3000", "\u200b", "\u1100\u1161", "ß", "\x01", "Z", "ſ"]) for _ in range(rng.randint(0, 16)))
+        assert compiled.encode(text).tolist() == library.encode(text), text
+
+
 def test_op_queries_match_plain_versions(spark, sf_dir):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     lines = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in queries.op10_common_lines(spark, sf_dir).collect()}
