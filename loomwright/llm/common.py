@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,11 +122,18 @@ def sample_by_hash(df: DataFrame, key: str, wanted: int, rows: int) -> DataFrame
     return df.withColumn("__h", hash52(key_string(F.col(key)))).filter(F.col("__h") < int((1 << 52) * min(1.0, wanted / max(1, rows))))
 
 
+def constants(values: list, kind: str) -> Column:
+    """An array of numbers that is one literal in the plan, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 class KeyRanges:
     """Cuts an integer key into about `ranges` ranges in key order, at most LIMIT.
 
     Up to CUTS bounds with about as many rows between them are collected; each of those ranges is then cut evenly by
-    value.  `index` gives a row's range from 0 and never decreases with the key; nulls are in range 0.
+    value.  `index` gives a row's range from 0 and never decreases with the key.  A key that fills several ranges alone,
+    and the null key, which comes first, are cut by a second hash where one is given: no range holds many more rows
+    than its share.
     """
 
     CUTS, LIMIT = 1024, 1 << 20
@@ -132,13 +141,21 @@ class KeyRanges:
     def __init__(self, df: DataFrame, key: str, ranges: int):
         ranges = max(1, min(ranges, self.LIMIT))
         coarse = min(ranges, self.CUTS)
-        self.parts = -(-ranges // coarse)
-        shares = [i / coarse for i in range(coarse + 1)]
-        got = df.agg(F.percentile_approx(F.col(key).cast("long"), shares, max(10_000, 20 * coarse)).alias("cuts")).first()["cuts"] if ranges > 1 else None
-        edges = sorted(set(got or [0]))
+        shares, got, nulls = [i / coarse for i in range(coarse + 1)], None, 0
+        if ranges > 1:
+            value = F.col(key).cast("long")
+            facts = df.agg(F.percentile_approx(value, shares, max(10_000, 20 * coarse)).alias("cuts"), F.count(F.lit(1)).alias("n"), F.count(value).alias("known")).first()
+            got, nulls = facts["cuts"], -(-ranges * (facts["n"] - facts["known"]) // max(1, facts["n"]))
+        times = Counter(got or [0])
+        alone = {v: -(-(n - 1) * ranges // coarse) for v, n in times.items() if n > 2}
+        edges = sorted({*times, *(v + 1 for v in alone if v + 1 < 1 << 63)})
         self.bounds = edges[1:-1]
         self.edges = [edges[0], *self.bounds, edges[-1] + 1]
-        self.count = (len(self.edges) - 1) * self.parts
+        self.parts = [alone.get(e, -(-ranges // coarse)) for e in self.edges[:-1]]
+        self.alone = [e in alone for e in self.edges[:-1]]
+        self.nulls = nulls
+        self.starts = [nulls + x for x in accumulate([0, *self.parts[:-1]])]
+        self.count = max(1, nulls + sum(self.parts))
 
     def coarse(self, key: Column) -> Column:
         """How many bounds are at most the key.  By halving, so many bounds stay cheap."""
@@ -151,11 +168,16 @@ class KeyRanges:
 
         return pick(0, len(self.bounds)).cast("int")
 
-    def index(self, key: Column) -> Column:
+    def index(self, key: Column, tie: Column | None = None) -> Column:
+        """A row's range.  `tie` is a hash, by which rows of a key that fills several ranges are told apart."""
         main = self.coarse(key)
-        if self.parts == 1:
-            return main
-        edges = F.array(*[F.lit(float(e)) for e in self.edges])
-        left, right = F.get(edges, main), F.get(edges, main + 1)
-        inner = F.floor((key.cast("double") - left) / (right - left) * self.parts)
-        return main * self.parts + F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.lit(self.parts - 1)), F.lit(0)).cast("int")
+        share = F.lit(0.0) if tie is None else F.pmod(tie, F.lit(1 << 20)) / float(1 << 20)
+        if max(self.parts) == 1:
+            found = main + self.nulls
+        else:
+            edges = constants([float(e) for e in self.edges], "double")
+            left, right = F.get(edges, main), F.get(edges, main + 1)
+            size = F.get(constants(self.parts, "int"), main)
+            part = F.when(F.get(constants([int(x) for x in self.alone], "int"), main) == 1, share).otherwise((key.cast("double") - left) / (right - left))
+            found = F.get(constants(self.starts, "int"), main) + F.coalesce(F.least(F.greatest(F.floor(part * size), F.lit(0)), size - 1), F.lit(0)).cast("int")
+        return F.when(key.isNull(), F.floor(share * self.nulls).cast("int")).otherwise(found) if self.nulls else found

@@ -12,6 +12,8 @@ from loomwright.llm.common import KeyRanges, small, stash
 def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 2_000) -> DataFrame:
     """Add next_<value>: the value in the next row by (key, value), nulls first; the first row's after the last.
 
+    Where a key, or null, fills several ranges, its rows go by a hash of the value first.
+
     Columns added besides: `range` and `row`, which number the rows in that order, and `edge`.  Rows are cut into ranges
     of the key, and each range ends in a copy of the first row of the next range that has rows (edge = 1; key and value
     are filled, other columns null), so that windows by range, ordered by row, see every neighbour.  Drop those rows at
@@ -19,7 +21,7 @@ def with_next(df: DataFrame, key: str, value: str, rows_per_range: int = 2_000)
     """
     names = df.columns
     ranges = KeyRanges(df, key, -(-df.count() // rows_per_range))
-    placed = df.withColumn("range", ranges.index(F.col(key)))
+    placed = df.withColumn("range", ranges.index(F.col(key), F.xxhash64(value)))
     least = placed.groupBy("range").agg(F.when(F.max(F.col(key).isNull()), None).otherwise(F.min(key)).alias("__least"))
     used = W.partitionBy().orderBy("range")  # one row a range, without the values
     before = F.coalesce(F.lag("range").over(used), F.max("range").over(W.partitionBy()))

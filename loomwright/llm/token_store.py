@@ -166,7 +166,8 @@ def read_document(data: bytes, index: dict[str, np.ndarray], row: int, reader: z
 def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", key: str = "doc_id", docs_per_file: int = 5_000, part_bytes: int = 64 << 20) -> None:
     """Encode every text and write path/dictionary and path/files, documents in ascending key order (nulls first).
 
-    Null texts are empty and hold the end id alone; repeated keys follow each other.  Files are ranges of the integer key;
+    Null texts are empty and hold the end id alone; repeated keys follow each other.  Files are ranges of the integer key, and of a hash of
+    the text where a key fills several;
     a range beyond `part_bytes` has several parts.  Texts are encoded and compressed where they are read, so only frames are
     shuffled.  An empty table writes no files.
     """
@@ -213,7 +214,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         if held:
             yield done()
 
-    placed = df.select(files.index(F.col(key)).alias("file"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    placed = df.select(files.index(F.col(key), F.xxhash64(text)).alias("file"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     frames = placed.mapInPandas(encode, "file int, doc_id long, n long, frame binary")
     dealt = frames.repartition(min(files.count, 4096), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "frame")
     dealt.mapInPandas(pack, FILES).write.parquet(f"{path}/files")
