@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -346,14 +346,15 @@ class Speller:
             elif number == 3:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of ids, without the dummy prefix; bytes that are no UTF-8 become replacement characters.
 
         ValueError for an id that the model does not have.
         """
-        if len(ids) and (min(ids) < 0 or max(ids) >= len(self.said)):
+        at = np.asarray(ids, np.int64)
+        if len(at) and (at.min() < 0 or at.max() >= len(self.said)):
             raise ValueError(f"ids must be from 0 to {len(self.said) - 1}")
-        said = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
+        said = b"".join(map(self.said.__getitem__, at.tolist())).decode("utf-8", "replace")
         return said[1:] if self.prefix and said[:1] == " " else said
 
 
@@ -387,6 +388,6 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         speller = Speller(model.value)
         for lists in batches:
-            yield pd.Series(["" if x is None else speller.decode(x.tolist() if hasattr(x, "tolist") else list(x)) for x in lists], dtype=object)
+            yield pd.Series(["" if x is None else speller.decode(x) for x in lists], dtype=object)
 
     return df.withColumn(out, decode(F.col(ids)))
