@@ -178,7 +178,7 @@ class TableStore:
         if not held:
             return mended
         for t in self.spark.catalog.listTables(schema):
-            if re.search(r"__new_\d+$", t.name):
+            if not t.isTemporary and re.search(r"__new_\d+$", t.name):
                 self.spark.sql(f"drop table if exists `{schema}`.`{t.name}`")
         for name, _ in held:
             relation = Relation(f'"{name}"', schema, None, "table")
