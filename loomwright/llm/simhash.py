@@ -80,7 +80,8 @@ def hamming_search(queries: DataFrame, fingerprinted: DataFrame, radius: int = 3
         keys = [F.struct(F.lit(t).alias("t"), value.bitwiseAND(F.lit(_mask(edges, chosen))).alias("k")) for t, chosen in enumerate(keep)]
         return df.select(F.col(column).alias(name)).filter(value.isNotNull()).distinct().select(name, F.explode(F.array(*keys)).alias("b"))
 
-    met = tables(queries, "query").join(tables(fingerprinted, "found"), "b")
+    # merged, as Spark would judge a broadcast by the fingerprints before each became a row of every table
+    met = tables(queries, "query").hint("merge").join(tables(fingerprinted, "found"), "b")
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
     return met.filter(distance <= radius).select("query", "found", distance.alias("distance")).distinct()
 
