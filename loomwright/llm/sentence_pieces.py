@@ -140,11 +140,15 @@ class Transducer:
         if self.charmap and USER_DEFINED in self.types:
             raise ValueError("models with a character map and pieces of the user's own are not compiled")
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
-        self.arcs: dict[str, int] = {}
+        self.arcs: dict[str, list] = {}  # by character: [piece or -1, the arcs on from there or None]
         for text, i in self.ids.items():
-            for k in range(1, len(text)):
-                self.arcs.setdefault(text[:k], -1)
-            self.arcs[text] = i
+            arcs, state = self.arcs, None
+            for c in text:
+                if arcs is None:
+                    arcs = state[1] = {}
+                state = arcs.setdefault(c, [-1, None])
+                arcs = state[1]
+            state[0] = i
         apart = self.escape and not any(re.search("[^ ] ", t) for t in self.ids)
         edge = "" if "\n" in "".join(self.ids) else "\n"
         self.part = re.compile(f" *[^ {edge}]+| +|\n") if apart else re.compile("(?s).+")
@@ -213,11 +217,14 @@ class Transducer:
 
     def from_here(self, part: str, at: int) -> list[tuple[int, int]]:
         """Arcs that leave a position, (end, piece), longest first; where no piece covers its character, bytes (piece -2)."""
-        arcs, size, found, end = self.arcs.get, len(part), [], at + 1
-        while end <= size and (piece := arcs(part[at:end])) is not None:
+        arcs, size, found, end = self.arcs, len(part), [], at
+        while end < size and (state := arcs.get(part[end])) is not None:
+            end += 1
+            piece, arcs = state
             if piece >= 0:
                 found.append((end, piece))
-            end += 1
+            if arcs is None:
+                break
         if not found or found[0][0] > at + 1:
             found.insert(0, (at + 1, -2))
         found.reverse()
@@ -302,11 +309,10 @@ class Transducer:
         if len(self.known) > self.held:
             self.older, self.known = self.known, {}
         known, older, long = self.known, self.older, []
-        for p in set(parts):
-            if p not in known:
-                known[p] = ids if (ids := older.get(p)) is not None else self.encode_part(p)
-                if len(p) > 64:
-                    long.append(p)
+        for p in set(parts).difference(known):
+            known[p] = ids if (ids := older.get(p)) is not None else self.encode_part(p)
+            if len(p) > 64:
+                long.append(p)
         out = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
         for p in long:
             del known[p]
@@ -320,6 +326,12 @@ class Transducer:
         if len(self.cores) > self.held:
             self.older_cores, self.cores = self.cores, {}
         inside, cores, start, out = self.inside, self.cores, 0, []
+        if len(part) <= 32 and part[1:].isalpha():  # few such parts fall apart
+            if (ids := cores.get(part)) is None:
+                if (ids := self.older_cores.get(part)) is None:
+                    ids = array("I", self.path(part)).tobytes()
+                cores[part] = ids
+            return ids
         cuts = [k for k, pair in enumerate(zip(part, part[1:]), 1) if pair not in inside]
         for at in [*cuts, len(part)]:
             core = part[start:at]

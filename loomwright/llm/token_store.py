@@ -14,6 +14,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -59,7 +60,8 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.older_runs: dict[str, bytes] = {}
-        self.simple = re.compile(rf"(?!.*<\|)[!-&(-~{self.LATIN}]+").fullmatch if self._is_known_kind(json.loads(tokenizer_json)) else lambda _: None
+        self.plain = self._is_known_kind(json.loads(tokenizer_json))
+        self.simple = re.compile(rf"(?!.*<\|)[!-&(-~{self.LATIN}]+").fullmatch if self.plain else lambda _: None
         self.split = re.compile(rf"[a-z{self.LATIN}]+|[0-9]|[^a-z0-9{self.LATIN}]+").findall
         self.letter = self._byte_letters()
 
@@ -77,41 +79,42 @@ class WordEncoder:
         spare = iter(range(256, 512))
         return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
+    def _run(self, run: str) -> bytes:
+        """Ids of a run in lower case, straight from the model."""
+        letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
+        if len(self.runs) > self.held:
+            self.older_runs, self.runs = self.runs, {}
+        if (ids := self.older_runs.get(run)) is None:
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self.runs[run] = ids
+        return ids
+
     def _by_runs(self, word: str) -> bytes:
         """Ids of a simple word, run by run."""
-        out = []
-        for run in self.split(word.lower()):
-            if (ids := self.runs.get(run)) is None:
-                if len(self.runs) > self.held:
-                    self.older_runs, self.runs = self.runs, {}
-                if (ids := self.older_runs.get(run)) is None:
-                    letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
-                    ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-                self.runs[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        runs = self.runs
+        return b"".join([ids if (ids := runs.get(run)) is not None else self._run(run) for run in self.split(word.lower())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as bytes of unsigned 32-bit integers."""
-        split = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
-        out = []
-        for words in split:
+        out, plain = [], self.plain
+        for text in texts:
+            words = (text or "").encode("utf-8", "surrogatepass").split()
             if len(self.known) > self.held:
                 self.older, self.known = self.known, {}
             known, older, rest, long = self.known, self.older, {}, []
-            for w in set(words):
-                if w in known:
-                    continue
+            for w in set(words).difference(known):
                 if (ids := older.get(w)) is not None:
                     known[w] = ids
+                elif len(w) > 64:
+                    long.append(w)
+                    rest[w] = w.decode("utf-8", "replace")
+                elif plain and w.isalpha():  # ASCII letters alone are one run
+                    run = w.lower().decode()
+                    known[w] = ids if (ids := self.runs.get(run)) is not None else self._run(run)
+                elif self.simple(word := w.decode("utf-8", "replace")):
+                    known[w] = self._by_runs(word)
                 else:
-                    word = w.decode("utf-8", "replace")
-                    if len(w) > 64:
-                        long.append(w)
-                    if len(w) <= 64 and self.simple(word):
-                        known[w] = self._by_runs(word)
-                    else:
-                        rest[w] = word
+                    rest[w] = word
             if rest:
                 got = self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False)
                 known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, got, strict=True)}
