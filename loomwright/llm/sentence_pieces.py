@@ -14,6 +14,7 @@ composed once.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 from array import array
@@ -370,6 +371,12 @@ class Speller:
         return said[1:] if self.prefix and said[:1] == " " else said
 
 
+@functools.lru_cache(maxsize=1)
+def compiled_model(model: bytes) -> Transducer:
+    """The transducer of a worker, kept with the parts that it remembers from task to task."""
+    return Transducer(model)
+
+
 def _shared(df: DataFrame, model_path: str):
     text_batches(df.sparkSession)
     with open(model_path, "rb") as f:
@@ -385,7 +392,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = Transducer(model.value)
+        compiled = compiled_model(model.value)
         for texts in batches:
             yield pd.Series([compiled.encode(x).view("<i4") for x in texts])
 

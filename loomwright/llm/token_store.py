@@ -9,6 +9,7 @@ its own.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -124,6 +125,12 @@ class WordEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(tokenizer_json: str, end_id: int) -> WordEncoder:
+    """The encoder of a worker, kept with the words that it remembers from task to task."""
+    return WordEncoder(tokenizer_json, end_id)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary; too few or too small samples give one of raw content, none an empty one."""
     try:
@@ -188,7 +195,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     files = KeyRanges(df, key, -(-rows // docs_per_file))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordEncoder(tokenizer.value, end_id)
+        words = word_encoder(tokenizer.value, end_id)
         writer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary.value))
         for batch in batches:
             for at in range(0, len(batch), 256):
