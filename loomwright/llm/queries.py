@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm import common, language_id, line_dedup, mixing, neighbours, parity_join, quality, sentence_pieces, sharding, simhash, token_store, warc_store
+from loomwright.llm import common, language_id, lexical_search, line_dedup, mixing, neighbours, parity_join, quality, sentence_pieces, sharding, simhash, spelling, token_store, toxicity, warc_store
 
 SHARDS = 40
 #: Documents whose id this divides are searched for among all fingerprints.
@@ -111,7 +111,23 @@ def op10_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op4_sentence_pieces, op5_language_id, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lexical_search.lexical_search(docs, items, multiplicity=False)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rendezvous_shards, op2_simhash_fingerprints, op3_mixed_sources, op4_sentence_pieces, op5_language_id, op6_parity_sketch_join, op7_warc_archive, op8_token_files, op9_repetition_rules, op10_common_lines, op11_spelling_variants, op12_lexical_search, op13_toxicity)}
 
 ORACLES = {
     "op1_rendezvous_shards": r"""
@@ -190,6 +206,47 @@ ORACLES = {
         SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id""",
 }
 
+ORACLES["op11_spelling_variants"] = r"""
+    WITH RECURSIVE crc(n, k, c) AS (
+        SELECT n, 0, n FROM range(256) r(n)
+        UNION ALL
+        SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+    tbl AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+    runs AS (
+        SELECT rid, doc_id, run, count(*) AS c FROM (
+            SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+        GROUP BY rid, doc_id, run),
+    hashed AS (
+        SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM runs, tbl),
+    slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, c FROM hashed),
+    words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+    holes AS (SELECT word, n, i, length(word) AS len, substr(word, 1, CAST(i - 1 AS BIGINT)) || substr(word, CAST(i + 1 AS BIGINT)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+        SELECT DISTINCT word, other, m FROM (
+            SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION ALL SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.rest = w.word
+            UNION ALL SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.rest = w.word)),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+    facts AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+        FROM words w LEFT JOIN best b USING (word)),
+    led(word, last) AS (SELECT word, word FROM facts UNION ALL SELECT l.word, f.form FROM led l JOIN facts f ON l.last = f.word WHERE f.form IS NOT NULL),
+    ends AS (SELECT l.word, l.last AS root FROM led l JOIN facts f ON l.last = f.word WHERE f.form IS NULL)
+    SELECT f.word, f.form, e.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM facts f JOIN ends e USING (word)"""
+
+ORACLES["op12_lexical_search"] = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS l FROM documents),
+    facts AS (SELECT count(*) FILTER (len(l) > 0) AS docs, CAST(sum(len(l)) AS BIGINT) AS terms FROM docs),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    held AS (SELECT rid, doc_id, term, n, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(l) AS BIGINT) AS n, unnest(l) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY rid, doc_id, term, n),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM facts) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held GROUP BY term),
+    valued AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * f.docs) // f.terms))) AS v FROM held JOIN weights USING (term), facts f),
+    scored AS (SELECT item_id, rid, doc_id, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN valued USING (term) GROUP BY item_id, rid, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
 
 def _quality_oracle() -> str:
     """Repetition rules with windows over words: one column a length for grams, their repeats and the words that these cover."""
