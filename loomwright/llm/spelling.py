@@ -4,6 +4,10 @@ The vocabulary is cut into ranges of sorted words, and each is a compact trie: n
 children lie side by side and an edge's number gives its child.  The tries are broadcast in rounds of bounded size.  Each
 word walks every trie of a round depth-first beside its own automaton of distance one; accepting nodes are its
 neighbours.  Spark adds up their numbers and picks the most frequent one.
+
+Every trie is there twice, of the words and of the words turned round, so that the walk is narrow: the first half of a word is
+followed without an edit in the one, the second half in the other, and edits begin where few nodes are left.  A neighbour
+that shares the first half is found in the first kind of tries and any other in the second, so none is found twice.
 """
 
 from __future__ import annotations
@@ -36,6 +40,19 @@ class Trie:
 
     def __init__(self, first: array, labels: array, counts: array):
         self.first, self.labels, self.counts = first, labels, counts
+        self.least, self.greatest = (self._edge(side) for side in (0, -1))
+
+    def _edge(self, side: int) -> str:
+        """The least or the greatest word."""
+        node, said = 0, ""
+        while self.first[node] < self.first[node + 1] and (side or not self.counts[node]):
+            e = self.first[node + 1] - 1 if side else self.first[node]
+            node, said = e + 1, said + chr(self.labels[e])
+        return said
+
+    def may_hold(self, head: str) -> bool:
+        """Whether words that begin so lie between the least and the greatest one."""
+        return self.least[: len(head)] <= head <= self.greatest[: len(head)]
 
     @classmethod
     def build(cls, words: list[str], counts: list[int]) -> Trie:
@@ -68,19 +85,26 @@ class Trie:
             at += size * number
         return cls(*parts)
 
-    def near(self, word: str) -> list[tuple[str, int]]:
-        """(neighbour, count) of the words that one inserted, deleted or replaced code point makes of `word`.
+    def near(self, word: str, plain: int = 0) -> list[tuple[str, int]]:
+        """(neighbour, count) of the words that one inserted, deleted or replaced code point, after the first `plain` ones, makes of `word`.
 
         The automaton's states are two sets of positions as bits: those reached without an edit and those reached with
         one.  Beyond the last node that needs no edit only the letters that the word goes on with can follow.
         """
         first, labels, counts = self.first, self.labels, self.counts
         letters = list(map(ord, word))
+        node = 0
+        for c in letters[:plain]:
+            low, high = first[node], first[node + 1]
+            e = bisect_left(labels, c, low, high)
+            if e == high or labels[e] != c:
+                return []
+            node = e + 1
         masks: dict[int, int] = {}
         for i, c in enumerate(letters):
             masks[c] = masks.get(c, 0) | 2 << i
         end = 1 << len(letters)
-        found, todo = [], [(0, 1, 2, "")]
+        found, todo = [], [(node, 1 << plain, 2 << plain, word[:plain])]
         while todo:
             node, exact, edited, said = todo.pop()
             if edited & end and counts[node] and not exact & end:
@@ -105,6 +129,19 @@ class Trie:
         return found
 
 
+def neighbours(word: str, onward: list[Trie], back: list[Trie]) -> list[tuple[str, int]]:
+    """(neighbour, count) in tries of words and in tries of words turned round."""
+    half = len(word) // 2
+    head, turned = word[:half], word[::-1]
+    tail = turned[: len(word) - half]
+    found = [x for t in onward if t.may_hold(head) for x in t.near(word, half)]
+    for t in back:
+        if not t.may_hold(tail):
+            continue
+        found += [(v[::-1], n) for v, n in t.near(turned, len(tail)) if v[::-1][:half] != head]
+    return found
+
+
 def variant_counts(df: DataFrame, text: str, key: str, slip_every: int) -> DataFrame:
     """(word, n): how often each run of letters occurs, A-Z lower-cased.
 
@@ -140,7 +177,7 @@ def variant_counts(df: DataFrame, text: str, key: str, slip_every: int) -> DataF
 
 
 def build_tries(words: DataFrame, total: int) -> DataFrame:
-    """(trie, size, data): tries of at most TRIE_WORDS words each, over ranges of the sorted words."""
+    """(trie, back, size, data): tries of at most TRIE_WORDS words each, over ranges of the sorted words and of the words turned round."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names: list[str] = []
@@ -159,8 +196,12 @@ def build_tries(words: DataFrame, total: int) -> DataFrame:
         if names:
             yield done(len(names))
 
-    ranges = words.select("word", "n").repartitionByRange(-(-total // TRIE_WORDS), "word").sortWithinPartitions("word")
-    return ranges.mapInPandas(build, "size long, data binary").withColumn("trie", F.monotonically_increasing_id())
+    def tries(df: DataFrame, back: bool) -> DataFrame:
+        ranges = df.repartitionByRange(-(-total // TRIE_WORDS), "word").sortWithinPartitions("word")
+        return ranges.mapInPandas(build, "size long, data binary").withColumn("back", F.lit(back))
+
+    both = tries(words.select("word", "n"), False).unionByName(tries(words.select(F.reverse("word").alias("word"), "n"), True))
+    return both.withColumn("trie", F.monotonically_increasing_id())
 
 
 def neighbour_facts(words: DataFrame, held: Stashes) -> DataFrame:
@@ -180,14 +221,14 @@ def neighbour_facts(words: DataFrame, held: Stashes) -> DataFrame:
     asked = held.put(words.select("word").repartition(-(-total // TASK_WORDS), "word"), "asked")
     found: DataFrame | None = None
     for number, chosen in enumerate(rounds):
-        sent = spark.sparkContext.broadcast([bytes(r["data"]) for r in tries.filter(F.col("trie").isin(chosen)).select("data").collect()])
+        sent = spark.sparkContext.broadcast([(r["back"], bytes(r["data"])) for r in tries.filter(F.col("trie").isin(chosen)).select("back", "data").collect()])
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            shards = [Trie.load(data) for data in sent.value]
+            onward, back = ([Trie.load(data) for turned, data in sent.value if turned == kind] for kind in (False, True))
             for batch in batches:
                 rows = []
                 for word in batch["word"]:
-                    met = [x for shard in shards for x in shard.near(word)]
+                    met = neighbours(word, onward, back)
                     if met:
                         form, n = min(met, key=lambda x: (-x[1], x[0]))
                         rows.append((word, len(met), n, form))
