@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,22 +34,29 @@ INDEX = (("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8
 #: The dictionary is trained on pieces of so many documents, those of least key hash; a piece of at most so many
 #: characters begins at a place that the key's hash fixes, anywhere in the text.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 1 << 16
+#: Tasks that pack files at most; each packs its files one after the other.
+PACK_TASKS = 32_768
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+    """Ids of texts.  With a tokenizer that never joins across ASCII white space each distinct word is encoded once.
 
     A word goes through the whole tokenizer, unless the tokenizer is of the known kind below and the word holds only
     printable ASCII and Latin letters.  Such a word's pre-tokens are its runs of letters, single digits and runs of the
     rest in lower case, so the library's model gets each distinct run once.  Words and runs are remembered in two
     generations of at most `held`: when the younger one is full it becomes the older, which is forgotten.  So memory is
-    bounded and what comes often stays; words beyond 64 bytes are not remembered.
+    bounded and what comes often stays; words beyond 64 bytes are not remembered.  Texts of a tokenizer that may join
+    across white space go through it whole.
     """
 
     #: What is known of the tokenizers whose words may be taken apart.
     NORMALIZERS = ["NFC", "Replace", "Lowercase"]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     LATIN = "À-ÖØ-öø-įĲ-ſ"
+    #: Steps of other tokenizers that cut at white space, and those before them that do not look beyond a blank.
+    CUTS, KEEPS_BLANKS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}, {"NFC", "Lowercase", "StripAccents", "BertNormalizer"}
+    #: Bytes that end a word as a pre-token of their own.
+    ENDS = frozenset(b".,;:!?")
 
     def __init__(self, tokenizer_json: str, end_id: int, held: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,9 +69,12 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.older_runs: dict[str, bytes] = {}
-        self.plain = self._is_known_kind(json.loads(tokenizer_json))
+        spec = json.loads(tokenizer_json)
+        self.plain = self._is_known_kind(spec)
+        self.by_words = self.plain or self._cuts_at_blanks(spec)
         self.simple = re.compile(rf"(?!.*<\|)[!-&(-~{self.LATIN}]+").fullmatch if self.plain else lambda _: None
         self.split = re.compile(rf"[a-z{self.LATIN}]+|[0-9]|[^a-z0-9{self.LATIN}]+").findall
+        self.letters = re.compile(rf"([A-Za-z{self.LATIN}]+)([.,;:!?]?)").fullmatch
         self.letter = self._byte_letters()
 
     def _is_known_kind(self, spec: dict) -> bool:
@@ -73,6 +84,14 @@ class WordEncoder:
         special = all(t["content"].startswith("<|") and t["special"] for t in spec.get("added_tokens", []))
         return kinds == self.NORMALIZERS and plain and special
 
+    def _cuts_at_blanks(self, spec: dict) -> bool:
+        """Whether what a tokenizer makes of a text is surely what it makes of its words, one after the other."""
+        normal, steps = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+        kinds = {n.get("type") for n in (normal.get("normalizers", [normal]) if normal else [])}
+        first = (steps.get("pretokenizers") or [steps])[0].get("type")
+        added = any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+        return first in self.CUTS and kinds <= self.KEEPS_BLANKS and not added and not spec.get("truncation") and not spec.get("padding")
+
     @staticmethod
     def _byte_letters() -> list[str]:
         """The letter that byte-level models use for each byte: itself if printable, else one from 256 on."""
@@ -83,7 +102,7 @@ class WordEncoder:
     def _run(self, run: str) -> bytes:
         """Ids of a run in lower case, straight from the model."""
         letters = run if run.isascii() else "".join([self.letter[b] for b in run.encode()])
-        if len(self.runs) > self.held:
+        if len(self.runs) > 2 * self.held:
             self.older_runs, self.runs = self.runs, {}
         if (ids := self.older_runs.get(run)) is None:
             ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -95,11 +114,22 @@ class WordEncoder:
         runs = self.runs
         return b"".join([ids if (ids := runs.get(run)) is not None else self._run(run) for run in self.split(word.lower())])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _of_letters(self, letters: str, mark: str) -> bytes:
+        """Ids of letters, which are one run, and of a mark that ends them."""
+        run = letters.lower()
+        ids = found if (found := self.runs.get(run)) is not None else self._run(run)
+        if not mark:
+            return ids
+        return ids + (found if (found := self.runs.get(mark)) is not None else self._run(mark))
+
+    def encode(self, texts: list[bytes | str | None]) -> list[bytes]:
         """Each text's ids and the end id, as bytes of unsigned 32-bit integers."""
-        out, plain = [], self.plain
+        if not self.by_words:
+            whole = [t.decode("utf-8", "replace") if isinstance(t, bytes) else t or "" for t in texts]
+            return [np.array(e.ids, "<u4").tobytes() + self.end for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        out, plain, ends, end = [], self.plain, self.ENDS, self.end
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
+            words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).split()
             if len(self.known) > self.held:
                 self.older, self.known = self.known, {}
             known, older, rest, long = self.known, self.older, {}, []
@@ -110,8 +140,11 @@ class WordEncoder:
                     long.append(w)
                     rest[w] = w.decode("utf-8", "replace")
                 elif plain and w.isalpha():  # ASCII letters alone are one run
-                    run = w.lower().decode()
-                    known[w] = ids if (ids := self.runs.get(run)) is not None else self._run(run)
+                    known[w] = self._of_letters(w.decode(), "")
+                elif plain and w[-1] in ends and w[:-1].isalpha():
+                    known[w] = self._of_letters(w[:-1].decode(), chr(w[-1]))
+                elif plain and (m := self.letters(word := w.decode("utf-8", "replace"))):
+                    known[w] = self._of_letters(m[1], m[2])
                 elif self.simple(word := w.decode("utf-8", "replace")):
                     known[w] = self._by_runs(word)
                 else:
@@ -119,7 +152,7 @@ class WordEncoder:
             if rest:
                 got = self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False)
                 known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, got, strict=True)}
-            out.append(b"".join(map(known.__getitem__, words)) + self.end)
+            out.append(b"".join(map(known.__getitem__, words)) + end)
             for w in long:
                 del known[w]
         return out
@@ -194,14 +227,14 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     spark.createDataFrame([(dictionary_hash.hex(), bytearray(data))], "sha256 string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     files = KeyRanges(df, key, -(-rows // docs_per_file))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_encoder(tokenizer.value, end_id)
         writer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary.value))
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                ids = words.encode(part["text"].tolist())
-                yield pd.DataFrame({"file": part["file"], "doc_id": part["doc_id"].astype("Int64"), "n": [len(x) // 4 for x in ids], "frame": [writer.compress(x) for x in ids]})
+                part = batch.slice(at, 256)
+                ids = words.encode(part.column(2).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([writer.compress(x) for x in ids], pa.binary())], names=["file", "doc_id", "n", "frame"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int | None, bytes, int]] = []
@@ -225,8 +258,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             yield done()
 
     placed = df.select(files.index(F.col(key), F.xxhash64(text)).alias("file"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frames = placed.mapInPandas(encode, "file int, doc_id long, n long, frame binary")
-    dealt = frames.repartition(min(files.count, 4096), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "frame")
+    frames = placed.mapInArrow(encode, "file int, doc_id long, n long, frame binary")
+    dealt = frames.repartition(min(files.count, PACK_TASKS), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "frame")
     dealt.mapInPandas(pack, FILES).write.parquet(f"{path}/files")
 
 

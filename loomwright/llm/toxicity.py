@@ -33,9 +33,10 @@ LOOKALIKES = {
 }
 #: Signs that are letters only between others, for at a word's end they are punctuation.
 INSIDE = set("!|+(")
-#: Costs, in nats: a sign for a letter; a digit that is no letter; a sign that is none; a blot for any letter; letters that
-#: are joined across a sign, or across a blank; a blank kept between single letters; a letter drawn out.
-FOR_LETTER, STILL_DIGIT, STILL_SIGN, BLOT, ACROSS_SIGN, ACROSS_BLANK, APART, DRAWN = 1.0, 2.0, 0.5, 3.5, 4.0, 0.5, 1.0, 0.5
+#: Costs, in nats: a sign for a letter; a digit in a word that is no letter; a sign that is none, at a word's end, and elsewhere;
+#: a blot for any letter; a sign between single letters that is none, and one between longer parts; a blank between single
+#: letters that is none, and one that is kept; a letter drawn out.
+FOR_LETTER, STILL_DIGIT, STILL_SIGN, SIGN_INSIDE, BLOT, ACROSS_SIGN, PARTS, ACROSS_BLANK, APART, DRAWN = 1.0, 8.0, 0.5, 8.0, 3.5, 2.0, 12.0, 0.5, 3.0, 0.5
 #: Weight of the shorter context in the character model.
 BACKING = 20.0
 
@@ -137,7 +138,7 @@ def lattice(stretch: str, spaced: bool = False) -> list[list[Reading]]:
         if c.isalpha():
             out.append([(run, 0.0)] if len(run) < 3 else [(c, DRAWN), (c * 2, DRAWN)])
         elif c in LOOKALIKES and (c not in INSIDE or between):
-            still = STILL_DIGIT if c.isdigit() else STILL_SIGN
+            still = STILL_DIGIT if c.isdigit() else SIGN_INSIDE if after.isalpha() else STILL_SIGN
             meant = [(x * k, FOR_LETTER) for x in LOOKALIKES[c] for k in range(1, min(len(run), 2) + 1)]
             out.append([(run, still), *meant])
         elif c == "*" and between and len(run) <= 2:
@@ -146,7 +147,8 @@ def lattice(stretch: str, spaced: bool = False) -> list[list[Reading]]:
         elif c in " \t":
             out.append([(run, APART), ("", ACROSS_BLANK)])
         elif between and before.isalpha() and after.isalpha():
-            out.append([(run, 0.0), ("", ACROSS_SIGN)])
+            alone = not stretch[max(0, at - 2) : at - 1].isalnum() and not stretch[end + 1 : end + 2].isalnum()
+            out.append([(run, 0.0), ("", ACROSS_SIGN if alone else PARTS)])
         else:
             out.append([(run, 0.0)])
         at = end
