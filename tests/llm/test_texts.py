@@ -130,6 +130,79 @@ def test_lines_of_earlier_calls_count(spark, tmp_path):
         assert {r["n_dropped"] for r in line_dedup.drop_common_lines(df, path=f"{tmp_path}/runs").collect()} == {dropped}
 
 
+def shared_lines(spark, ids, lines="shared", own=True):
+    return spark.createDataFrame([(i, f"{lines}\nown {i}" if own else lines) for i in ids], "doc_id long, text string")
+
+
+def dropped(df, **options):
+    return sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.drop_common_lines(df, **options).collect())
+
+
+def test_runs_are_asked_with_another_threshold(spark, tmp_path):
+    """Counts of settled lines go on: 40 holders and two more are 42, at a threshold of 30 as at one of 43."""
+    path = f"{tmp_path}/runs"
+    for part in range(4):
+        line_dedup.drop_common_lines(shared_lines(spark, range(part * 10, part * 10 + 10)), min_docs=10, path=path, batches=2, fanout=2)
+    more = shared_lines(spark, (100, 101))
+    assert dropped(more, min_docs=30, path=path) == [(100, 1), (101, 1)]
+    assert dropped(shared_lines(spark, (102,)), min_docs=43, path=path) == [(102, 1)] and dropped(shared_lines(spark, (103,)), min_docs=45, path=path) == [(103, 0)]
+
+
+def test_a_load_made_again_counts_once(spark, tmp_path, monkeypatch):
+    """A crash between batches, or the same call again: finished batches are passed over."""
+    path, five = f"{tmp_path}/runs", shared_lines(spark, range(5))
+    real, calls = line_dedup.LineRuns.add, []
+
+    def fail(self, *args, **kwargs):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", fail)
+    with pytest.raises(OSError):
+        line_dedup.drop_common_lines(five, min_docs=6, path=path, batches=4)
+    monkeypatch.undo()
+    for _ in range(2):
+        assert {n for _, n in dropped(five, min_docs=6, path=path, batches=3)} == {0}
+    assert {n for _, n in dropped(five, min_docs=5, path=path)} == {1}
+    assert {n for _, n in dropped(five, min_docs=6, path=path, load="second")} == {1}
+
+
+@pytest.mark.parametrize("step", ["written", "said"])
+def test_a_crash_while_compacting(spark, tmp_path, monkeypatch, step):
+    """Whether the merged run is written, or the manifest has it and the old runs are still there: lines count once."""
+    path = f"{tmp_path}/runs"
+    runs = line_dedup.LineRuns(spark, min_docs=6, fanout=2, path=path)
+    batch = lambda low: spark.createDataFrame([(i, 1, 1) for i in range(low, low + 2)], "__id long, h1 long, h2 long")
+    runs.add(batch(0))
+
+    def stop(*args, **kwargs):
+        raise OSError("lost")
+
+    real, said = line_dedup.LineRuns._say, []
+    if step == "written":
+        monkeypatch.setattr(line_dedup.LineRuns, "_say", lambda self: stop() if said else (said.append(1), real(self))[1])
+    else:
+        monkeypatch.setattr(line_dedup.LineRuns, "_remove", stop)
+    with pytest.raises(OSError):
+        runs.add(batch(2))
+    monkeypatch.undo()
+    again = line_dedup.LineRuns(spark, min_docs=6, fanout=2, path=path)
+    again.add(spark.createDataFrame([(9, 1, 1)], "__id long, h1 long, h2 long"))
+    assert again.common().count() == 0
+    again.add(spark.createDataFrame([(10, 1, 1)], "__id long, h1 long, h2 long"))
+    assert again.common().count() == 1
+    again.close()
+
+
+def test_one_key_of_many_texts(spark):
+    """Rows that share a key, or have none, carry their own common lines only."""
+    rows = [(None if i % 2 else 7, f"line {i % 20}\nown {i}") for i in range(400)] + [(7, "line 3\nown 3")] * 3
+    found = line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 403 and {r["kept_text"] for r in found.filter("doc_id is null").collect()} == {f"own {i}" for i in range(1, 400, 2)}
+
+
 def test_many_lines(spark):
     """A document of 100,000 lines that are common takes seconds, not minutes."""
     lines = [f"line {i}" for i in range(100_000)]
