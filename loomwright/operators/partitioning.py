@@ -1,5 +1,9 @@
 """One query loaded in slices: key ranges, batches of keys, or key by key.
 
+The source is read once and written by slice (Layout), and a slice opens its folder, or its row groups of one where there are
+very many.  What else a query reads is filtered by the slice's range, or meets the keys of the slice, which lie by slice as
+well.  Slices are numbers until they run: ten thousand of them are planned like ten.
+
 The result is the union of the slices' results.  It equals the whole query's if no group, window or join of the query
 crosses a slice, which only the author of the query can promise.  Slices never overlap and cover every row, nulls too.
 """
@@ -17,12 +21,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from loomwright.sources.journal import Folder
 
 #: Distinct values that are sampled for each range asked for.
 SAMPLES_PER_RANGE = 100
-#: From so many ranges on, the source is copied in the order of the key first.
-SORT_FROM = 16
+#: From so many ranges on, the source is written by slice first; below, each range reads the source.
+COPY_FROM = 3
+#: The columns that hold a row's slice and folder in a layout, and folders of a layout at most.
+SLICE, FOLDER, FOLDERS = "__slice", "__folder", 512
 #: Keys of a slice that are broadcast to its sources; beyond, the semi-join shuffles.
 KEYS_TO_BROADCAST = 100_000
 
@@ -87,14 +95,18 @@ def sql_literal(value: Any) -> str:
 
 @dataclass(frozen=True)
 class Slice:
-    """One slice: how it filters a frame, and the same as an SQL condition."""
+    """One slice: how it filters a frame, and the same as an SQL condition, which is made when it is asked for."""
 
     apply: Callable[[DataFrame], DataFrame]
-    condition: str
+    said: Callable[[], str]
+
+    @property
+    def condition(self) -> str:
+        return self.said()
 
 
 def whole() -> Slice:
-    return Slice(lambda df: df, "true")
+    return Slice(lambda df: df, lambda: "true")
 
 
 def range_slices(column: str, bounds: Sequence, with_null: bool) -> list[Slice]:
@@ -111,7 +123,7 @@ def range_slices(column: str, bounds: Sequence, with_null: bool) -> list[Slice]:
             keep, said = keep & test, f"{said} and {text}"
         if null:
             keep, said = keep | F.col(column).isNull(), f"({said} or `{column}` is null)"
-        return Slice(lambda df: df.filter(keep), f"({said})")
+        return Slice(lambda df: df.filter(keep), lambda: f"({said})")
 
     return [one(low, high, with_null and high is None) for low, high in zip([None, *bounds], [*bounds, None], strict=True)]
 
@@ -145,41 +157,113 @@ def numbered_keys(df: DataFrame, columns: Sequence[str], place: str, shuffle_see
     return placed.select(*names, (F.col("__first") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("__position"))
 
 
-def key_slices(spark: SparkSession, keys: DataFrame, columns: Sequence[str], per_slice: int, name: str) -> list[Slice]:
+def slice_of_range(column: str, bounds: Sequence, with_null: bool) -> Column:
+    """The number of a row's range, as range_slices has them: how many bounds are at most the value; null where the row is in none."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(column) >= F.lit(bounds[mid]), pick(mid + 1, high)).otherwise(pick(low, mid))
+
+    return F.when(F.col(column).isNull(), F.lit(len(bounds) if with_null else None).cast("int")).otherwise(pick(0, len(bounds)))
+
+
+class KeyBatches:
     """Slices of `per_slice` consecutive keys each, matched null-safe; the last may have fewer.
 
-    A slice's keys lie between bounds of the first column, which its sources are filtered by as well: that condition
-    reaches the files, the match with the keys does not.
+    The numbered keys are written once more with their slice, in its order, so that a slice reads its own row groups.
     """
-    names = [f"__k{i}" for i in range(len(columns))]
-    number = F.floor(F.col("__position") / per_slice).cast("long").alias("__slice")
-    bounds = {r["__slice"]: r for r in keys.groupBy(number).agg(F.min("__k0").alias("lo"), F.max("__k0").alias("hi"), F.max(F.col("__k0").isNull()).alias("none")).collect()}
-    keys.createOrReplaceTempView(name)
-
-    def one(i: int) -> Slice:
-        low, high = i * per_slice, (i + 1) * per_slice - 1
-        part = keys.filter(F.col("__position").between(low, high)).select(*names)
-        part = F.broadcast(part) if per_slice <= KEYS_TO_BROADCAST else part
-        same = " and ".join(f"k.{n} <=> `{c}`" for c, n in zip(columns, names, strict=True))
-        within = _between(columns[0], bounds[i]["lo"], bounds[i]["hi"], bounds[i]["none"])
-
-        def apply(df: DataFrame) -> DataFrame:
-            on = F.lit(True)
-            for c, n in zip(columns, names, strict=True):
-                on = on & df[c].eqNullSafe(part[n])
-            return df.filter(within).join(part, on, "left_semi")
-
-        return Slice(apply, f"({within} and exists (select 1 from `{name}` k where k.__position between {low} and {high} and {same}))")
-
-    return [one(i) for i in range(len(bounds))]
-
-
-def _between(column: str, low: Any, high: Any, none: bool) -> str:
-    """A condition that holds for the values between two of them, and for null if it is among them; true for types without literals."""
-    if low is not None and not isinstance(low, bool | int | float | str | decimal.Decimal | dt.date):
-        return "true"
-    tests = [f"(`{column}` >= {sql_literal(low)} and `{column}` <= {sql_literal(high)})"] if low is not None else []
-    return f"({' or '.join([*tests, *([f'`{column}` is null'] if none else [])])})"
+
+    def __init__(self, keys: DataFrame, columns: Sequence[str], per_slice: int, place: str, name: str):
+        self.spark, self.columns, self.per_slice, self.place, self.name = keys.sparkSession, list(columns), per_slice, place, name
+        self.names = [f"__k{i}" for i in range(len(columns))]
+        self.views: list[str] = []
+        by_slice = keys.select(*self.names, F.floor(F.col("__position") / per_slice).cast("int").alias(SLICE))
+        self.schema = by_slice.schema
+        by_slice.sortWithinPartitions(SLICE).write.parquet(place)
+        self.total = self.numbered().count()
+        self.count = -(-self.total // per_slice)
+
+    def numbered(self) -> DataFrame:
+        """All keys with their slice."""
+        return self.spark.read.schema(self.schema).parquet(self.place)
+
+    def keys(self, i: int) -> DataFrame:
+        return self.numbered().filter(F.col(SLICE) == i).drop(SLICE)
+
+    def same(self, df: DataFrame, keys: DataFrame) -> Column:
+        on = F.lit(True)
+        for c, n in zip(self.columns, self.names, strict=True):
+            on = on & df[c].eqNullSafe(keys[n])
+        return on
+
+    def slices(self) -> Sequence[Slice]:
+        few = F.broadcast if self.per_slice <= KEYS_TO_BROADCAST else (lambda df: df)
+
+        def apply(i: int, df: DataFrame) -> DataFrame:
+            part = few(self.keys(i))
+            return df.join(part, self.same(df, part), "left_semi")
+
+        def condition(i: int) -> str:
+            view = f"{self.name}_{i}"
+            self.keys(i).createOrReplaceTempView(view)
+            self.views.append(view)
+            same = " and ".join(f"k.{n} <=> `{c}`" for c, n in zip(self.columns, self.names, strict=True))
+            return f"exists (select 1 from `{view}` k where {same})"
+
+        return LazySlices(self.count, apply, condition)
+
+
+class LazySlices(Sequence):
+    """Slices that are made when they are asked for."""
+
+    def __init__(self, count: int, apply: Callable[[int, DataFrame], DataFrame], condition: Callable[[int], str]):
+        self.count, self.apply, self.condition = count, apply, condition
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i: int) -> Slice:
+        if not 0 <= i < self.count:
+            raise IndexError(i)
+        return Slice(lambda df: self.apply(i, df), lambda: self.condition(i))
+
+
+class Layout:
+    """A source written once with its rows by slice, in up to FOLDERS folders of consecutive slices, and in their order within."""
+
+    def __init__(self, df: DataFrame, number: Column | KeyBatches, columns: Sequence[str], count: int, place: str):
+        self.spark, self.place, self.schema, self.count = df.sparkSession, place, df.schema, count
+        names = [F.col(f"`{c}`") for c in df.columns]
+        if isinstance(number, KeyBatches):
+            keys = number.numbered()
+            keys = F.broadcast(keys) if number.total <= KEYS_TO_BROADCAST else keys
+            numbered = df.join(keys, number.same(df, keys)).select(*names, SLICE)
+        else:
+            numbered = df.select(*names, number.cast("int").alias(SLICE)).filter(F.col(SLICE).isNotNull())
+        folder = F.floor(F.col(SLICE) * F.lit(min(count, FOLDERS)).cast("long") / F.lit(count)).cast("int")
+        placed = numbered.withColumn(FOLDER, folder).hint("rebalance", F.col(FOLDER))
+        placed.sortWithinPartitions(FOLDER, SLICE, *columns).write.partitionBy(FOLDER).parquet(place)
+
+    def folder(self, i: int) -> int:
+        return i * min(self.count, FOLDERS) // self.count
+
+    def condition(self, i: int, null: bool) -> str:
+        """A row of numbered() is in the slice; with `null` also one that an outer join has not filled."""
+        return f"({SLICE} = {i} and {FOLDER} = {self.folder(i)}{f' or {SLICE} is null' if null else ''})"
+
+    def numbered(self) -> DataFrame:
+        """All rows with their slice and its folder; a condition on them reaches the files."""
+        more = [StructField(SLICE, IntegerType()), StructField(FOLDER, IntegerType())]
+        return self.spark.read.schema(StructType([*self.schema.fields, *more])).parquet(self.place)
+
+    def open(self, i: int) -> DataFrame:
+        """The rows of a slice; where none of a folder's slices has rows there is no folder."""
+        path = f"{self.place}/{FOLDER}={self.folder(i)}"
+        if not Folder(self.spark, path).exists(""):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField(SLICE, IntegerType())])).parquet(path).filter(F.col(SLICE) == i).drop(SLICE)
 
 
 def run_slices(spark: SparkSession, tasks: Sequence[Callable[[], None]], concurrent: bool, workers: int = 8) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
@@ -18,14 +19,14 @@ from pyspark.sql.types import StructType
 from loomwright.functions.text import remove_select
 from loomwright.operators import partitioning as parts
 from loomwright.operators.grants import grant_delta, wanted_grants
-from loomwright.operators.merge import merge_with_deletes
+from loomwright.operators.merge import write_delta
 from loomwright.operators.routines import Routines, rows_frame, version_alias
 from loomwright.operators.scripts import run_script
 from loomwright.plans.config import Ref, Source, table_config
 from loomwright.plans.model import Context, Model
 from loomwright.plans.relation import Relation
 from loomwright.sources.journal import Journal
-from loomwright.sources.store import META, TRANSIENT, TableStore, scratch_root
+from loomwright.sources.store import META, ROWS, TRANSIENT, ConcurrentWrite, Load, TableStore, scratch_root
 
 _SLOT = re.compile(r"\{\{\s*(?:(ref|source)\s*:\s*([\w.]+)|(partition_filter))\s*\}\}")
 CATALOG = "name string, kind string, arguments string, language string, is_aggregate string, is_secure string, comment string, created bigint"
@@ -68,8 +69,8 @@ class Engine:
     everything lies in a scratch folder that goes with the session.
     """
 
-    #: Entries of the registry that are kept.
-    REGISTRY_ENTRIES = 10
+    #: Entries of the registry that are kept, and times that a load is made while other writers are first.
+    REGISTRY_ENTRIES, ATTEMPTS = 10, 5
 
     def __init__(self, spark: SparkSession, root: str | None = None, schema: str | None = None):
         self.spark = spark
@@ -83,8 +84,15 @@ class Engine:
         self.policies: dict[str, Callable[..., Column]] = {}
         self.run_id = uuid.uuid4().hex
         self._frames: dict[tuple[str, str], DataFrame] = {}
-        self._sorted: dict[str, DataFrame] = {}
-        self._sorted_places: list[str] = []
+        self._pins: dict[str, dict | None] = {}
+        self._loading = False
+        self._counting = threading.Lock()
+        self._layout: parts.Layout | None = None
+        self._layout_name, self._layout_frame, self._layout_null = "", None, False
+        self._places: list[str] = []
+        self._views: list[str] = []
+        self._batches: parts.KeyBatches | None = None
+        self._read: dict[str, DataFrame] = {}
         self._registry = Journal(spark, f"{self.store.root}/{self.schema}/_registry")
         self._remembered = self._registry.last() or {}
         self.store.open(self.schema)
@@ -149,14 +157,25 @@ class Engine:
         return f"{model}_v{version}".lower() if version is not None and f"{model}_v{version}".lower() in self.models else model.lower()
 
     def ref(self, *names: str, version: str | None = None) -> DataFrame:
+        """A model's rows.  Within the load of one model every table is read as it was when the load began."""
         name = self._versioned(names[-1], version)
-        return self._sorted[name] if name in self._sorted else self.store.read(self.relation(name))
+        if not self._loading:
+            return self.store.read(self.relation(name))
+        if name not in self._read:
+            self._read[name] = self.store.read(self.relation(name), self._pin(name))
+        return self._read[name]
+
+    def _pin(self, name: str) -> dict | None:
+        """The version of a table that this load reads; outside of a load the last one."""
+        if not self._loading:
+            return self.store.entry(self.relation(name))
+        if name not in self._pins:
+            self._pins[name] = self.store.entry(self.relation(name))
+        return self._pins[name]
 
     def source(self, source: str, table: str) -> DataFrame:
         """A source's frame; within one model's run it is opened once, so that all slices see the same files."""
         key = (source.lower(), table.lower())
-        if ".".join(key) in self._sorted:
-            return self._sorted[".".join(key)]
         if key not in self._frames:
             self._frames[key] = self.sources[key]()
         return self._frames[key]
@@ -194,7 +213,8 @@ class Engine:
 
     def catalog(self) -> DataFrame:
         """One row for each table, view, function and procedure."""
-        rows = [{"name": t.name, "kind": "view" if "VIEW" in t.tableType else "table", "comment": t.description} for t in self.spark.catalog.listTables(self.schema) if not t.isTemporary]
+        held = [t for t in self.spark.catalog.listTables(self.schema) if not t.isTemporary and not t.name.endswith(ROWS)]
+        rows = [{"name": t.name, "kind": "view" if "VIEW" in t.tableType and not self.store.entry(self.relation(t.name)) else "table", "comment": t.description} for t in held]
         return rows_frame(self.spark, [*rows, *self.routines.rows()], CATALOG)
 
     def relation_type(self, name: str) -> str | None:
@@ -230,18 +250,26 @@ class Engine:
 
     # -- bodies ----------------------------------------------------------------------
 
-    def render(self, sql: str, condition: str = "true") -> str:
-        """SQL with its references as names of tables and views, and its slots as the slice's condition."""
+    def render(self, sql: str, condition: str = "true", number: int | None = None) -> str:
+        """SQL with its references as names of tables and views, and its slots as the slice's condition.
+
+        With the number of a slice the load's source is its layout, which has the slice as a column more.
+        """
 
         def one(m: re.Match) -> str:
             if m[3]:
                 return condition
             if m[1] == "ref":
                 name = self._versioned(m[2].rpartition(".")[2], None)
-                if name not in self._sorted:
+                if number is not None and name == self._layout_name:
+                    return self._layout_view()
+                if not (self._loading and self._pin(name)):
                     return self.relation(name).sql
-                self._sorted[name].createOrReplaceTempView(f"__sorted_{self.schema}_{name}")
-                return f"`__sorted_{self.schema}_{name}`"
+                view = f"__ref_{self.schema}_{name}"
+                self.ref(name).createOrReplaceTempView(view)
+                return f"`{view}`"
+            if number is not None and m[2].lower() == self._layout_name:
+                return self._layout_view()
             source, _, table = m[2].rpartition(".")
             view = f"__source_{self.schema}_{source}_{table}".lower()
             self.source(source, table).createOrReplaceTempView(view)
@@ -249,49 +277,86 @@ class Engine:
 
         return _SLOT.sub(one, sql)
 
-    def frame(self, model: Model, slice_: parts.Slice | None = None) -> DataFrame:
-        """The model's query, whole or for one slice."""
+    def _layout_view(self) -> str:
+        view = f"__slices_{self.schema}_{self._layout_name.replace('.', '_')}"
+        with self._counting:
+            if view not in self._views:
+                self._layout.numbered().createOrReplaceTempView(view)
+                self._views.append(view)
+        return f"`{view}`"
+
+    def frame(self, model: Model, slice_: parts.Slice | None = None, number: int | None = None) -> DataFrame:
+        """The model's query, whole or for one slice; with its number also from the slice's own folder."""
         if isinstance(model.body, str):
+            if number is not None and self._layout and self._layout_serves(model.body):
+                try:
+                    return self.spark.sql(self.render(model.body, self._slice_condition(number), number)).drop(parts.SLICE, parts.FOLDER)
+                except AnalysisException:  # the slot stands where the source is not, or the extra column does not fit
+                    pass
             return self.spark.sql(self.render(model.body, slice_.condition if slice_ else "true"))
-        context = Context(self, slice_ or parts.whole())
+        context = Context(self, slice_ or parts.whole(), number)
         df = model.body(context)
         if slice_ is not None and not context.used_slot:
             raise ValueError(f"{model.name}: partition_by is set, but the body does not slice its sources")
         return df
 
-    def _slices(self, model: Model, by: parts.PartitionBy) -> list[parts.Slice]:
+    def _slice_condition(self, number: int) -> str:
+        """A row's slice is the number; rows without one, of outer joins, go where null keys go, if null is a key."""
+        return self._layout.condition(number, self._layout_null and number == self._layout.count - 1)
+
+    def _layout_serves(self, sql: str) -> bool:
+        """Whether the query reads the load's source alone, and passes no star to a function but count.
+
+        Only then does a condition on the number of the slice mean the same as one on its columns.
+        """
+        read = {self._slot_name(m) for m in _SLOT.finditer(sql) if not m[3]}
+        starred = re.sub(r"count\s*\(\s*\*\s*\)", "", sql, flags=re.I)
+        return read == {self._layout_name} and not re.search(r"\(\s*(?:[\w`]+\s*\.\s*)?\*|,\s*(?:[\w`]+\s*\.\s*)?\*\s*\)", starred)
+
+    def _slot_name(self, m: re.Match) -> str:
+        return self._versioned(m[2].rpartition(".")[2], None) if m[1] == "ref" else m[2].lower()
+
+    def laid_out(self, df: DataFrame, number: int) -> DataFrame | None:
+        """The rows of a slice where `df` is the load's source as it was opened; else none."""
+        return self._layout.open(number) if self._layout and df is self._layout_frame else None
+
+    def _slices(self, model: Model, by: parts.PartitionBy) -> Sequence[parts.Slice]:
         """The model's slices; one whole slice when a range split finds fewer than two values."""
         if isinstance(model.body, str) and not any(m[3] for m in _SLOT.finditer(model.body)):
             raise ValueError(f"{model.name}: partition_by is set, but the query has no partition_filter")
-        if by.source.lower() in self.models:
-            keys_from = self.ref(by.source)
-        elif tuple(by.source.lower().split(".")) in self.sources:
-            keys_from = self.source(*by.source.split("."))
+        name, known = by.source.lower(), True
+        if name in self.models:
+            name = self._versioned(name, None)
+            keys_from = self.ref(name)
+        elif tuple(name.split(".")) in self.sources:
+            keys_from = self.source(*name.split("."))
         else:  # a CTE of the model's own query
+            known = False
             keys_from = self.spark.sql(self.render(f"{remove_select(model.body)} select * from {by.source}"))
         if len(by.columns) == 1 and (by.partitions or 0) > 1:
-            self._sort_once(keys_from, by)
             values, with_null = parts.sample_values(keys_from, by.columns[0], parts.SAMPLES_PER_RANGE * by.partitions)
             if len(values) < 2:
                 return [parts.whole()]
-            return parts.range_slices(by.columns[0], parts.range_bounds(values, by.partitions), with_null)
+            bounds = parts.range_bounds(values, by.partitions)
+            if known and (by.sorted_copy if by.sorted_copy is not None else len(bounds) + 1 >= parts.COPY_FROM):
+                self._lay_out(name, keys_from, parts.slice_of_range(by.columns[0], bounds, with_null), by.columns, len(bounds) + 1, with_null)
+            return parts.range_slices(by.columns[0], bounds, with_null)
         seed = None if by.partitions else self.run_id
-        keys = parts.numbered_keys(keys_from, by.columns, f"{self.store.root}/keys/{uuid.uuid4().hex}", seed)
-        return parts.key_slices(self.spark, keys, by.columns, by.partitions or 1, f"__keys_{model.name}_{uuid.uuid4().hex[:8]}")
-
-    def _sort_once(self, df: DataFrame, by: parts.PartitionBy) -> None:
-        """For many ranges, a copy of the source in the order of the key: each slice then reads its own row groups only.
-
-        With few ranges, and where the source is a model that is clustered by the key, reading it again is cheaper.
-        """
-        name = by.source.lower()
-        clustered = name in self.models and list(table_config(self.models[name].config).fingerprint.get("cluster_by", []))[:1] == [by.columns[0]]
-        wanted = by.sorted_copy if by.sorted_copy is not None else (by.partitions or 0) >= parts.SORT_FROM
-        if wanted and not clustered and (name in self.models or tuple(name.split(".")) in self.sources):
-            place = f"{self.store.root}/sorted/{uuid.uuid4().hex}"
-            df.repartitionByRange(F.col(by.columns[0])).sortWithinPartitions(by.columns[0]).write.parquet(place)
-            self._sorted[name] = self.spark.read.schema(df.schema).parquet(place)
-            self._sorted_places.append(place)
+        keys = parts.numbered_keys(keys_from, by.columns, self._scratch("keys"), seed)
+        batches = self._batches = parts.KeyBatches(keys, by.columns, by.partitions or 1, self._scratch("keys"), f"__keys_{model.name}_{uuid.uuid4().hex[:8]}")
+        if known and batches.count > 1 and by.sorted_copy is not False:
+            self._lay_out(name, keys_from, batches, by.columns, batches.count, False)
+        return batches.slices()
+
+    def _scratch(self, what: str) -> str:
+        """A path that goes when the model's run ends."""
+        self._places.append(f"{self.store.root}/{what}/{uuid.uuid4().hex}")
+        return self._places[-1]
+
+    def _lay_out(self, name: str, df: DataFrame, number: Any, columns: Sequence[str], count: int, with_null: bool) -> None:
+        """Write the load's source by slice.  What reads it without a slice still reads it as it was."""
+        self._layout = parts.Layout(df, number, columns, count, self._scratch("slices"))
+        self._layout_name, self._layout_frame, self._layout_null = name, df, with_null
 
     # -- runs ------------------------------------------------------------------------
 
@@ -336,19 +401,36 @@ class Engine:
             try:
                 for when in ("pre_outside", "pre"):
                     self._hooks(model, when)
-                out[name] = self.materializations[model.materialized](model, full_refresh)
+                out[name] = self._load(model, full_refresh)
                 for when in ("post", "post_outside"):
                     self._hooks(model, when)
             finally:
                 self.spark.sparkContext.setJobDescription(None)
                 self._frames.clear()
-                self._sorted.clear()
-                while self._sorted_places:
-                    self.store.discard(self._sorted_places.pop())
+                while self._places:
+                    self.store.discard(self._places.pop())
             if model.materialized != "script":
                 self._finish(model, out[name])
         return out
 
+    def _load(self, model: Model, full_refresh: bool) -> Built:
+        """Build one model; a table's body, all its slices and its retries apart, reads the versions of this moment."""
+        self._loading = model.materialized in ("insert_overwrite", "table", "merge_with_deletes")
+        try:
+            for name in self.dependencies(model) if self._loading else ():
+                self._pin(name)
+            return self.materializations[model.materialized](model, full_refresh)
+        finally:
+            self._loading, self._layout, self._layout_frame = False, None, None
+            self._pins.clear()
+            self._read.clear()
+            while self._views:
+                self.spark.catalog.dropTempView(self._views.pop())
+            if self._batches:
+                for view in self._batches.views:
+                    self.spark.catalog.dropTempView(view)
+                self._batches = None
+
     def _hooks(self, model: Model, when: str) -> None:
         for hook in model.hooks.get(when, ()):
             hook(self) if callable(hook) else self.spark.sql(self.render(hook))
@@ -368,15 +450,16 @@ class Engine:
             columns = {c.lower() for c in self.ref(name).columns}
             self.store.comment(built.relation, model.description, {c.strip('"').lower(): d for c, d in model.described().items() if c.strip('"').lower() in columns})
 
-    def _publish(self, model: Model, relation: Relation, path: str, schema: StructType, verb: str) -> None:
+    def _publish(self, model: Model, relation: Relation, load: Load, schema: StructType, verb: str, **more: Any) -> None:
         config = table_config(model.config)
         properties = {META: json.dumps(config.fingerprint, sort_keys=True), TRANSIENT: str(config.transient).lower()}
         properties |= {f"tag.{t['tag']}": str(t["value"]) for t in config.fingerprint.get("tags", ())}
         properties |= {f"contact.{k}": str(v) for k, v in config.fingerprint.get("contacts", {}).items()}
         columns = {c.lower() for c in schema.names}
         described = {c.strip('"').lower(): d for c, d in model.described().items() if c.strip('"').lower() in columns}
-        self.store.publish(relation, path, schema, properties, verb == "replace", config.fingerprint.get("default_ddl_collation"), model.description, described)
+        self.store.publish(relation, load, schema, properties, verb == "replace", config.fingerprint.get("default_ddl_collation"), model.description, described, **more)
         self.store.prune(relation, config.fingerprint.get("data_retention_time_in_days"), config.transient)
+        self.store.sweep(relation)
 
     def _verb(self, model: Model, relation: Relation, schema: StructType, full_refresh: bool) -> str:
         config = table_config(model.config)
@@ -388,38 +471,61 @@ class Engine:
         properties = self.store.properties(relation)
         stored = json.loads(properties[META]) if META in properties else None
         current = json.loads(json.dumps(config.fingerprint))
-        return definition_verb(kind, full_refresh, properties.get(TRANSIENT) == "true", config.transient, stored, current, column_set(self.store.read(relation).schema), column_set(schema))
+        held = StructType.fromJson(self.store.entry(relation)["schema"]) if self.store.entry(relation) else self.spark.table(relation.sql).schema
+        return definition_verb(kind, full_refresh, properties.get(TRANSIENT) == "true", config.transient, stored, current, column_set(held), column_set(schema))
 
-    def _write(self, df: DataFrame, path: str, cluster_by: list[str] | None) -> None:
+    def _write(self, load: Load, df: DataFrame, cluster_by: list[str] | None, part: str = "slice_0") -> None:
         if cluster_by:
             df = df.repartitionByRange(*[F.expr(c) for c in cluster_by]).sortWithinPartitions(*[F.expr(c) for c in cluster_by])
-        df.write.parquet(path)
+        added = self.store.write(load, df, part)
+        with self._counting:
+            load.counted = load.counted.plus(added)
+
+    def _again(self, model: Model, full_refresh: bool, build: Callable[[Model, bool, Load], Built]) -> Built:
+        """Build, and build anew if another writer was first; a load that fails takes its own files with it."""
+        for attempt in range(self.ATTEMPTS):
+            load = self.store.stage(self.relation(model.name, "table"))
+            try:
+                return build(model, full_refresh, load)
+            except ConcurrentWrite:
+                self.store.discard(load)
+                if attempt + 1 == self.ATTEMPTS:
+                    raise
+                self._frames.clear()
+                self._pins.clear()
+                self._read.clear()
+                self._layout = self._layout_frame = None
+            except Exception:
+                self.store.discard(load)
+                raise
+        raise AssertionError("no attempt was made")
 
     def _overwrite(self, model: Model, full_refresh: bool) -> Built:
+        return self._again(model, full_refresh, self._overwrite_once)
+
+    def _overwrite_once(self, model: Model, full_refresh: bool, load: Load) -> Built:
         relation = self.relation(model.name, "table")
         config = table_config(model.config)
         by, warnings = parts.partition_config(model.config.get("partition_by"))
         slices = self._slices(model, by) if by else [None]
-        plain = len(slices) == 1 and (slices[0] is None or slices[0].condition == "true")
-        schema = self.frame(model, slices[0] if slices else None).schema if by else self.frame(model).schema
+        plain = len(slices) == 1
+        schema = self.frame(model, slices[0] if len(slices) else None).schema if by else self.frame(model).schema
         verb = self._verb(model, relation, schema, full_refresh)
-        path = self.store.stage(relation)
         names = schema.names
 
-        def load(i: int) -> None:
-            self._write(self.frame(model, slices[i]).select(*[f"`{n}`" for n in names]), f"{path}/slice_{i}", config.fingerprint.get("cluster_by"))
+        def one(i: int) -> None:
+            self._write(load, self.frame(model, slices[i], i if self._layout else None).select(*[f"`{n}`" for n in names]), config.fingerprint.get("cluster_by"), f"slice_{i}")
 
         order = parts.spread_order(len(slices), self.run_id) if by and by.concurrent else list(range(len(slices)))
-        try:
-            if not slices:
-                self._write(self.spark.createDataFrame([], schema), f"{path}/slice_0", None)
-            parts.run_slices(self.spark, [partial(load, i) for i in order], bool(by and by.concurrent and not plain))
-            if by and by.validate:
-                self._validate(model, path, schema)
-        except Exception:
-            self.store.discard(path)
-            raise
-        self._publish(model, relation, path, schema, verb)
+        if not len(slices):
+            self._write(load, self.spark.createDataFrame([], schema), None)
+        parts.run_slices(self.spark, [partial(one, i) for i in order], bool(by and by.concurrent and not plain))
+        if by and by.validate:
+            self._validate(model, load.path, schema)
+        own = self._pins.get(relation.bare)
+        before = own or (self.store.entry(relation) if config.fingerprint.get("change_tracking") else None)
+        log = self.store.log_overwrite(relation, load, before, schema) if before and verb == "keep" and config.fingerprint.get("change_tracking") else None
+        self._publish(model, relation, load, schema, verb, log=log, base=before if own or log else None)
         return Built(relation, verb, len(slices), [*config.warnings, *warnings])
 
     def _validate(self, model: Model, path: str, schema: StructType) -> None:
@@ -431,17 +537,21 @@ class Engine:
 
     def _merge(self, model: Model, full_refresh: bool) -> Built:
         """The first load, and a full refresh, take the query as it is; later ones merge it as changes."""
+        return self._again(model, full_refresh, self._merge_once)
+
+    def _merge_once(self, model: Model, full_refresh: bool, load: Load) -> Built:
         relation = self.relation(model.name, "table")
         changes = self.frame(model)
-        path = self.store.stage(relation)
-        if full_refresh or self.store.kind(relation) != "table":
-            self._write(changes, f"{path}/slice_0", None)
-            self._publish(model, relation, path, changes.schema, "replace")
+        entry = self._pin(relation.bare)
+        if full_refresh or not entry:
+            if self.relation_type(model.name) not in (None, "table"):
+                self.drop_relation(model.name)
+            self._write(load, changes, None)
+            self._publish(model, relation, load, changes.schema, "replace")
             return Built(relation, "replace", 1)
-        target = self.store.read(relation)
-        result = merge_with_deletes(target, changes, model.config["unique_key"], model.config["merge_action"], model.config.get("incremental_predicates", ()))
-        self._write(result, f"{path}/slice_0", None)
-        self._publish(model, relation, path, target.schema, "keep")
+        tracked = bool(table_config(model.config).fingerprint.get("change_tracking"))
+        delta = write_delta(self.store, relation, entry, load, changes, model.config["unique_key"], model.config["merge_action"], model.config.get("incremental_predicates", ()), tracked)
+        self._publish(model, relation, load, StructType.fromJson(entry["schema"]), "keep", base=entry, folders=delta.folders, marks=delta.marks, marked=delta.marked, log=delta.log)
         return Built(relation, "keep", 1)
 
     def _routine(self, kind: str, model: Model, full_refresh: bool) -> Built:

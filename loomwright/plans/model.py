@@ -46,6 +46,8 @@ class Context:
 
     engine: Engine
     slice_: Slice = field(default_factory=whole)
+    #: The number of the slice where the load's source lies by slice.
+    number: int | None = None
     used_slot: bool = False
 
     @property
@@ -59,6 +61,7 @@ class Context:
         return self.engine.source(source, table)
 
     def slice(self, df: DataFrame) -> DataFrame:
-        """The rows of df that belong to the slice."""
+        """The rows of df that belong to the slice: of the source as it was opened, what lies in the slice's folder."""
         self.used_slot = True
-        return self.slice_.apply(df)
+        own = None if self.number is None else self.engine.laid_out(df, self.number)
+        return self.slice_.apply(df) if own is None else own

@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,14 +41,44 @@ class Folder:
         self.fs.delete(self.place(name), True)
 
     def put(self, name: str, text: str) -> None:
-        """A file that is there whole or not at all; FileExistsError if it is there already."""
+        """A file that is there whole or not at all; FileExistsError if it is there already.
+
+        The whole text is written under another name, and one step that fails where the name is taken gives it its own: a
+        link on local disks, the name node's rename without overwriting on HDFS and behind viewfs.  In other stores the
+        file is created without overwriting, which keeps writers apart where the store itself makes creation conditional.
+        """
+        scheme = self.fs.getUri().getScheme()
+        taken = FileExistsError(f"{self.path}/{name}: another writer was first")
+        if scheme not in ("file", "hdfs", "viewfs"):
+            self._create(name, text, taken)
+            return
         part = f".{name}.{uuid.uuid4().hex[:8]}"
-        out = self.fs.create(self.place(part), True)
+        self._create(part, text, taken)
+        try:
+            if scheme == "file":
+                at = lambda n: self._jvm.java.nio.file.Paths.get(self.fs.makeQualified(self.place(n)).toUri())
+                self._jvm.java.nio.file.Files.createLink(at(name), at(part))
+            else:
+                hadoop = self._jvm.org.apache.hadoop.fs
+                never = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+                never[0] = getattr(hadoop.Options.Rename, "NONE")
+                hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self.place(part), self.place(name), never)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise taken from None
+            raise
+        finally:
+            self.delete(part)
+
+    def _create(self, name: str, text: str, taken: FileExistsError) -> None:
+        try:
+            out = self.fs.create(self.place(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise taken from None
+            raise
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        if self.exists(name) or not self.rename(part, name):
-            self.delete(part)
-            raise FileExistsError(f"{self.path}/{name}: another writer was first")
 
     def get(self, name: str) -> str:
         data = self.fs.open(self.place(name))

@@ -1,11 +1,18 @@
-"""Versioned tables: every load writes a new folder, and one entry in the table's history makes it the current version.
+"""Versioned tables: a load writes folders that only it can name, and one entry in the table's history publishes them.
 
-    root/<schema>/<table>/v_<n>/slice_<i>/*.parquet     the rows
-    root/<schema>/<table>/history/<n>.json              folders, schema and properties of version n
+    root/<schema>/<table>/load_<token>/slice_<i>/*.parquet    rows
+    root/<schema>/<table>/marks_<token>/*.parquet             rows of earlier loads that are gone: file and position
+    root/<schema>/<table>/log_<token>/*.parquet               what an overwrite changed, where changes are tracked
+    root/<schema>/<table>/history/<n>.json                    folders, marks, log, schema and properties of version n
 
-The history decides; the catalog's table mirrors its last entry and is set right whenever the schema is opened.  Readers
-of an older version keep their files until they are pruned, a failed load changes nothing, and slices of one load never
-share a folder.  Appended rows are a version of their own that lists the older folders, too.
+The history decides.  A version lists the folders whose rows it has and the marks of those that are gone, so an append adds a
+folder, and a merge a folder and marks; no file is written twice or changed.  Writers do not wait for each other: each
+takes the next free number when it publishes, and whoever finds it taken looks at what has happened meanwhile.
+Overwrites and appends go on from there; a merge, or an overwrite that has read its own table, was made from a version that
+is no longer the last, raises ConcurrentWrite, and is made anew.  A failed load deletes its own folders and no others.
+
+The catalog mirrors the last entry, and is set right whenever the schema is opened: a table over the folders, or a view
+that leaves marked rows out.
 """
 
 from __future__ import annotations
@@ -16,15 +23,29 @@ import tempfile
 import time
 import uuid
 from collections.abc import Mapping
+from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from loomwright.plans.relation import Relation
 from loomwright.sources.journal import Folder, Journal
 
 META, VERSION, TRANSIENT = "loom.metadata", "loom.version", "loom.transient"
+#: Where a row lies: its file's name, which no other file has, and its position there.
+FILE, POSITION = "__file", "__position"
+#: Marked rows that are broadcast to a read; beyond, the join with them shuffles.
+MARKS_TO_BROADCAST = 200_000
+#: Hours after which a folder that no version lists is taken for what a lost writer has left.
+ORPHAN_HOURS = 24
+#: Suffix of the tables that stand behind views.
+ROWS = "__rows"
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has published a version since this one's was read."""
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -48,10 +69,78 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def fingerprint(columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row, as decimals: their sums over rows are a hash of the multiset that adds up over parts."""
+    named = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*named).cast("decimal(38,0)"), F.xxhash64(F.lit("loom"), *named).cast("decimal(38,0)")
+
+
+def hashable(schema: StructType) -> bool:
+    return not re.search(r"map<|variant", schema.simpleString())
+
+
+@dataclass
+class Counted:
+    """Rows of a multiset and its hash, which add up; the hash is None where the columns cannot be hashed."""
+
+    rows: int = 0
+    hash: tuple[int, int] | None = (0, 0)
+
+    def plus(self, other: Counted, sign: int = 1) -> Counted:
+        both = self.hash is not None and other.hash is not None
+        return Counted(self.rows + sign * other.rows, tuple(a + sign * b for a, b in zip(self.hash, other.hash, strict=True)) if both else None)
+
+    def json(self) -> dict:
+        return {"rows": self.rows, "hash": None if self.hash is None else [str(h) for h in self.hash]}
+
+    @classmethod
+    def of(cls, entry: Mapping) -> Counted | None:
+        held = entry.get("counted")
+        return held and cls(held["rows"], held["hash"] and tuple(map(int, held["hash"])))
+
+
+class Watch:
+    """Counts and hashes rows while they are written, so that no other scan is needed."""
+
+    def __init__(self, df: DataFrame, columns: list[str] | None = None):
+        self.seen = Observation()
+        columns = columns or df.columns
+        self.hashed = hashable(df.select(*[F.col(f"`{c}`") for c in columns]).schema)
+        sums = [F.coalesce(F.sum(h), F.lit(0)).alias(f"h{i}") for i, h in enumerate(fingerprint(columns))] if self.hashed else []
+        self.df = df.observe(self.seen, F.count(F.lit(1)).alias("rows"), *sums)
+
+    @property
+    def found(self) -> Counted:
+        got = self.seen.get
+        return Counted(got["rows"], (int(got["h0"]), int(got["h1"])) if self.hashed else None)
+
+
+@dataclass
+class Load:
+    """What a writer has staged: its folder's path and token, and the version that it began from (0: none)."""
+
+    folder: str
+    token: str
+    base: int
+    counted: Counted = field(default_factory=Counted)
+    published: bool = False
+
+    @property
+    def path(self) -> str:
+        return f"{self.folder}/load_{self.token}"
+
+    @property
+    def marks(self) -> str:
+        return f"{self.folder}/marks_{self.token}"
+
+    @property
+    def log(self) -> str:
+        return f"{self.folder}/log_{self.token}"
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._taken: dict[str, int] = {}
 
     # -- files -----------------------------------------------------------------------
 
@@ -68,16 +157,29 @@ class TableStore:
         """(number, time) of the versions that are kept, oldest first."""
         return self.history(relation).numbers()
 
-    def stage(self, relation: Relation) -> str:
-        """The folder of a new version."""
-        folder = self.folder(relation)
-        held = [int(n[2:]) for n, _ in self.files(relation).listing() if re.fullmatch(r"v_\d+", n)]
-        number = max([self._taken.get(folder, 0), *held, *(n for n, _ in self.versions(relation))]) + 1
-        self._taken[folder] = number
-        return f"{folder}/v_{number}"
-
-    def discard(self, path: str) -> None:
-        Folder(self.spark, path).delete()
+    def entry(self, relation: Relation) -> dict | None:
+        """The current version's entry, None where there is no table."""
+        last = self.history(relation).last()
+        return None if last is None or last.get("dropped") else last
+
+    def stage(self, relation: Relation) -> Load:
+        """A place for a load that begins now."""
+        numbers = self.versions(relation)
+        return Load(self.folder(relation), uuid.uuid4().hex[:16], numbers[-1][0] if numbers else 0)
+
+    def discard(self, path: str | Load) -> None:
+        """Delete a path, or all that a load has written, unless a version has it."""
+        if isinstance(path, Load) and path.published:
+            return
+        folders = [Folder(self.spark, p) for p in ((path.path, f"{path.path}c", path.marks, path.log) if isinstance(path, Load) else (path,))]
+        for wait in (0.0, 0.2, 0.5, 1.0):  # tasks of a failed job may still be writing
+            for f in folders:
+                f.delete()
+            if not isinstance(path, Load):
+                return
+            time.sleep(wait)
+            if wait and not any(f.exists("") for f in folders):
+                return
 
     def prune(self, relation: Relation, keep_days: float | None, transient: bool, keep_last: int = 1) -> list[int]:
         """Forget versions that are neither among the last nor within the retention, and delete folders that no kept one has.
@@ -91,167 +193,316 @@ class TableStore:
             if expired and (number, written) not in numbers[-keep_last:]:
                 gone.append(number)
             else:
-                kept |= {f.split("/")[0] for f in history.entry(number).get("folders", ())}
+                kept |= _held(history.entry(number))
         for number in gone:
-            folders = {f.split("/")[0] for f in history.entry(number).get("folders", ())}
+            folders = _held(history.entry(number))
             history.drop(number)
             for f in folders - kept:
                 self.discard(f"{self.folder(relation)}/{f}")
         return gone
 
-    # -- catalog ---------------------------------------------------------------------
+    def sweep(self, relation: Relation, hours: float = ORPHAN_HOURS) -> list[str]:
+        """Delete folders that no version lists and that are older than any load that may still be running."""
+        old = [n for n, t in self.files(relation).listing() if re.match(r"(load|marks|log)_", n) and time.time() - t >= hours * 3600]
+        if not old:
+            return []
+        history = self.history(relation)
+        held = set().union(*(_held(history.entry(n)) for n, _ in history.numbers()))
+        gone = [n for n in old if n not in held]
+        for n in gone:
+            self.discard(f"{self.folder(relation)}/{n}")
+        return gone
+
+    # -- reading ---------------------------------------------------------------------
 
     def kind(self, relation: Relation) -> str | None:
         """table, view or None."""
+        return "table" if self.entry(relation) else self._catalog_kind(relation)
+
+    def _catalog_kind(self, relation: Relation) -> str | None:
         if not self.spark.catalog.tableExists(f"{relation.schema}.{relation.bare}"):
             return None
         return "view" if "VIEW" in self.spark.catalog.getTable(f"{relation.schema}.{relation.bare}").tableType else "table"
 
     def properties(self, relation: Relation) -> dict[str, str]:
+        if entry := self.entry(relation):
+            return {**entry["properties"], VERSION: str(entry["version"])}
         return {r["key"]: r["value"] for r in self.spark.sql(f"show tblproperties {relation.sql}").collect()}
 
     def current(self, relation: Relation) -> int | None:
-        last = self.history(relation).last()
-        return None if last is None or last.get("dropped") else last["version"]
+        entry = self.entry(relation)
+        return entry and entry["version"]
 
-    def read(self, relation: Relation) -> DataFrame:
-        return self.spark.table(relation.sql)
+    def read(self, relation: Relation, entry: Mapping | None = None) -> DataFrame:
+        """The table's rows as a version has them, the last one's where none is given; other relations as the catalog has them."""
+        entry = entry or self.entry(relation)
+        return self.rows(relation, entry) if entry else self.spark.table(relation.sql)
 
-    def read_version(self, relation: Relation, number: int) -> DataFrame:
-        """A table as a version had it, while that version is kept."""
-        entry = self.history(relation).entry(number)
+    def rows(self, relation: Relation, entry: Mapping, positions: bool = False) -> DataFrame:
+        """The rows of a version; with `positions` also where each lies."""
         schema = StructType.fromJson(entry["schema"])
+        names, where = [F.col(f"`{n}`") for n in schema.names], [F.col(FILE), F.col(POSITION)] if positions else []
         if not entry["folders"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder(relation)}/{f}" for f in entry["folders"]])
+            df = self.spark.createDataFrame([], StructType(schema.fields))
+            return df.select("*", F.lit("").alias(FILE), F.lit(0).cast("long").alias(POSITION)) if positions else df
+        df = self._parquet(relation, entry["folders"], schema)
+        if positions or entry.get("marks"):
+            df = df.select(*names, F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POSITION))
+        if entry.get("marks"):
+            marks = self._parquet(relation, entry["marks"], f"{FILE} string, {POSITION} long")
+            df = df.join(F.broadcast(marks) if entry["marked"] <= MARKS_TO_BROADCAST else marks, [FILE, POSITION], "left_anti")
+        if positions or entry.get("marks"):
+            df = df.select(*names, *where)
+        if entry.get("collation"):
+            texts = {f.name for f in schema.fields if isinstance(f.dataType, StringType)}
+            df = df.select(*[F.collate(F.col(f"`{n}`"), entry["collation"]).alias(n) if n in texts else F.col(f"`{n}`") for n in schema.names], *where)
+        return df
+
+    def _parquet(self, relation: Relation, folders: list[str], schema: StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder(relation)}/{f}" for f in folders])
+
+    def read_version(self, relation: Relation, number: int) -> DataFrame:
+        """A table as a version had it, while that version is kept."""
+        return self.rows(relation, self.history(relation).entry(number))
 
     def changes(self, relation: Relation, old: int, new: int) -> DataFrame:
-        """Rows that one version has and the other has not, with an `action` of insert or delete."""
-        a, b = self.read_version(relation, old), self.read_version(relation, new)
-        return b.exceptAll(a).selectExpr("*", "'insert' as action").unionByName(a.exceptAll(b).selectExpr("*", "'delete' as action"))
+        """Rows that one version has and the other has not, with an `action` of insert or delete.
+
+        Where each version between them has a log, only those are read: what they add and take away is netted by row.  Else
+        both versions are compared whole.
+        """
+        history = self.history(relation)
+        last = history.entry(new)
+        logs = [history.entry(n).get("log") for n, _ in history.numbers() if old < n <= new]
+        if old > new or not all(logs) or len(logs) != new - old:
+            a, b = self.read_version(relation, old), self.rows(relation, last)
+            return b.exceptAll(a).selectExpr("*", "'insert' as action").unionByName(a.exceptAll(b).selectExpr("*", "'delete' as action"))
+        schema = StructType.fromJson(last["schema"])
+        named = [F.col(f"`{n}`") for n in schema.names]
+        net = self.spark.createDataFrame([], schema).withColumn("__n", F.lit(0).cast("long"))
+        for folders, sign in ((sum((x.get("inserts", []) for x in logs), []), 1), (sum((x.get("deletes", []) for x in logs), []), -1)):
+            if folders:
+                rows = self._parquet(relation, folders, StructType([*schema.fields, *StructType.fromDDL(f"{FILE} string").fields]) if sign < 0 else schema)
+                net = net.unionByName((rows.filter(F.col(FILE).isNotNull()) if sign < 0 else rows).select(*named, F.lit(sign).cast("long").alias("__n")))
+        if folders := sum((x.get("net", []) for x in logs), []):
+            net = net.unionByName(self._parquet(relation, folders, StructType([*schema.fields, *StructType.fromDDL("__n long").fields])))
+        left = net.groupBy(*named).agg(F.sum("__n").alias("__n")).filter(F.col("__n") != 0)
+        each = left.select(*named, F.when(F.col("__n") > 0, "insert").otherwise("delete").alias("action"), F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int"))).alias("__copy"))
+        return each.drop("__copy")
+
+    def same_rows(self, one: Relation, other: Relation) -> bool | None:
+        """Whether two tables hold the same rows, from their histories alone; None where a history does not say."""
+        found = [Counted.of(e) if e else None for e in map(self.entry, (one, other))]
+        columns = [[c.lower() for c in StructType.fromJson(e["schema"]).names] if e else None for e in map(self.entry, (one, other))]
+        if None in found or columns[0] != columns[1]:
+            return None
+        if found[0].rows != found[1].rows:
+            return False
+        return None if None in (found[0].hash, found[1].hash) else found[0].hash == found[1].hash
+
+    # -- writing ---------------------------------------------------------------------
+
+    def write(self, load: Load, df: DataFrame, part: str = "slice_0") -> Counted:
+        """Write rows into a part of the load's folder, and count them on the way; parts may be written at the same time."""
+        watch = Watch(df)
+        watch.df.write.parquet(f"{load.path}/{part}")
+        return watch.found
+
+    def log_overwrite(self, relation: Relation, load: Load, before: Mapping, schema: StructType) -> dict:
+        """Write what an overwrite changes: each row that has become more or less frequent, and by how much."""
+        named = [F.col(f"`{n}`") for n in schema.names]
+        then = StructType.fromJson(before["schema"])
+        if {(f.name, f.dataType) for f in then.fields} != {(f.name, f.dataType) for f in schema.fields}:
+            return {}
+        now = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(load.path).select(*named, F.lit(1).cast("long").alias("__n"))
+        both = now.unionByName(self.rows(relation, {**before, "collation": None}).select(*named, F.lit(-1).cast("long").alias("__n")))
+        both.groupBy(*named).agg(F.sum("__n").alias("__n")).filter(F.col("__n") != 0).write.parquet(load.log)
+        return {"net": [_name(load.log)]}
+
+    def publish(self, relation: Relation, load: Load, schema: StructType, properties: Mapping[str, str], replace: bool, collation: str | None = None, comment: str = "", columns: Mapping[str, str] | None = None, log: Mapping | None = None, base: Mapping | None = None, folders: list[str] | None = None, marks: list[str] | None = None, marked: int = 0) -> int:
+        """Make what a load has written a version of its own, the current one; returns its number.
+
+        With `base` it was made from that version (a merge, or an overwrite of rows read from the table itself), and
+        ConcurrentWrite is raised if another one has been published since.  The entry in the history is the step that
+        counts: before it nothing has changed, after it the version holds, even if the catalog is set right only when the schema
+        is next opened.  A new definition is tried out beforehand.
+        """
+        entry = {
+            "version": load.base + 1, "folders": [_name(load.path)] if folders is None else folders, "marks": marks or [], "marked": marked, "schema": schema.jsonValue(), "properties": dict(properties), "collation": collation,
+            "comment": comment, "columns": dict(columns or {}), "counted": load.counted.json(), "log": dict(log) if log else None,
+        }
+        if replace:
+            self._try_out(relation, entry, load.token)
+        self._put(relation, entry, base and base["version"])
+        load.published = True
+        self._mirror(relation)
+        return entry["version"]
+
+    def _put(self, relation: Relation, entry: dict, base: int | None) -> None:
+        """The entry under the next free number."""
+        history = self.history(relation)
+        while True:
+            numbers = history.numbers()
+            last = numbers[-1][0] if numbers else 0
+            if base is not None and base != last:
+                raise ConcurrentWrite(f"{relation.sql}: version {last} has been published since version {base} was read")
+            entry["version"] = last + 1
+            try:
+                history.put(last + 1, entry)
+                return
+            except FileExistsError:
+                continue
 
-    def publish(self, relation: Relation, path: str, schema: StructType, properties: Mapping[str, str], replace: bool, collation: str | None = None, comment: str = "", columns: Mapping[str, str] | None = None) -> None:
-        """Make a staged folder the current version.
+    def append(self, relation: Relation, df: DataFrame, evolve: bool) -> list[str]:
+        """Add rows as a new version that lists the older folders, too; returns the columns that were added.
 
-        The entry in the history is the step that counts: before it nothing has changed, after it the version holds, even
-        if the catalog is set right only when the schema is next opened.  A new definition is tried out beforehand.
+        Columns are matched by name and absent ones are null.  New columns need `evolve`, else ValueError.  Versions that others
+        publish meanwhile are kept; ConcurrentWrite is raised if one of them has changed the columns or dropped the table.
         """
-        base = path.rpartition("/")[2]
-        number = int(base[2:])
-        folders = [f"{base}/{n}" for n, _ in self.files(relation).listing(base) if not n.startswith(("_", "."))]
-        entry = {"version": number, "base": base, "folders": folders, "schema": schema.jsonValue(), "properties": dict(properties), "collation": collation, "comment": comment, "columns": dict(columns or {})}
-        fresh = None
-        if replace or self.kind(relation) != "table":
-            fresh = Relation(f"{relation.bare}__new_{number}", relation.schema)
-            self._create(fresh, relation, entry)
+        load, last = self.stage(relation), self.entry(relation)
+        if last is None:
+            raise ValueError(f"{relation.sql} is no table of this store")
+        known = StructType.fromJson(last["schema"])
+        fresh = [f for f in df.schema.fields if f.name.lower() not in {k.name.lower() for k in known.fields}]
+        if fresh and not evolve:
+            raise ValueError(f"{relation.sql} has no columns {[f.name for f in fresh]}")
+        there = {c.lower() for c in df.columns}
+        columns = [F.col(f"`{f.name}`").cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in known.fields]
+        schema = StructType([*known.fields, *fresh])
         try:
-            self.history(relation).put(number, entry)
+            added = self.write(load, df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]))
+            while True:
+                now = self.entry(relation)
+                if now is None or now["schema"] != last["schema"]:
+                    raise ConcurrentWrite(f"{relation.sql}: its columns have changed since the rows were made")
+                held = Counted.of(now)
+                counted = Counted(held.rows + added.rows, None) if held and fresh else held and held.plus(added)
+                entry = {**now, "folders": [*now["folders"], _name(load.path)], "schema": schema.jsonValue(), "counted": counted and counted.json(), "log": {"inserts": [_name(load.path)]}}
+                try:
+                    self._put(relation, entry, now["version"])
+                    break
+                except ConcurrentWrite:
+                    continue
         except Exception:
-            if fresh:
-                self.spark.sql(f"drop table if exists {fresh.sql}")
+            self.discard(load)
             raise
-        self._mirror(relation, entry, fresh)
+        self._mirror(relation)
+        return [f.name for f in fresh]
+
+    def drop(self, relation: Relation) -> None:
+        """Drop a table or view by its actual kind; a table's versions stay on disk."""
+        if self.entry(relation):
+            self._put(relation, {"dropped": True}, None)
+        self._forget(relation)
+
+    # -- catalog ---------------------------------------------------------------------
+
+    def _forget(self, relation: Relation) -> None:
+        if kind := self._catalog_kind(relation):
+            self.spark.sql(f"drop {kind} if exists {relation.sql}")
+        self.spark.sql(f"drop table if exists {Relation(relation.bare + ROWS, relation.schema).sql}")
+
+    def _location(self, relation: Relation, folders: list[str]) -> str:
+        names = folders or ["none"]
+        return f"{self.folder(relation)}/{names[0] if len(names) == 1 else '{' + ','.join(names) + '}'}"
 
     def _create(self, named: Relation, relation: Relation, entry: Mapping) -> None:
-        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in StructType.fromJson(entry["schema"]).fields)
+        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}{_comment(entry, f.name)}" for f in StructType.fromJson(entry["schema"]).fields)
         default = f" default collation {entry['collation']}" if entry.get("collation") else ""
-        self.spark.sql(f"create table {named.sql} ({columns}) using parquet options (recursiveFileLookup 'true') location '{self.folder(relation)}/{entry['base']}'{default} tblproperties ({_pairs(entry)})")
-
-    def _mirror(self, relation: Relation, entry: Mapping, fresh: Relation | None = None) -> None:
-        """The catalog's table as the entry says: the definition under its temporary name takes over, or the old one moves on."""
-        if fresh:
-            if kind := self.kind(relation):
-                self.spark.sql(f"drop {kind} if exists {relation.sql}")
-            self.spark.sql(f"alter table {fresh.sql} rename to {relation.sql}")
-        else:
-            self.spark.sql(f"alter table {relation.sql} set location '{self.folder(relation)}/{entry['base']}'")
-            self.spark.sql(f"alter table {relation.sql} set tblproperties ({_pairs(entry)})")
-        self.spark.catalog.refreshTable(f"{relation.schema}.{relation.bare}")
+        comment = f" comment '{_quoted(entry['comment'])}'" if entry.get("comment") else ""
+        self.spark.sql(f"create table {named.sql} ({columns}) using parquet options (recursiveFileLookup 'true') location '{_quoted(self._location(relation, entry['folders']))}'{comment}{default} tblproperties ({_pairs(entry)})")
+
+    def _try_out(self, relation: Relation, entry: Mapping, token: str) -> None:
+        """Raises what the catalog has against a definition."""
+        tried = Relation(f"{relation.bare}__new_{token}", relation.schema)
+        self._create(tried, relation, entry)
+        self.spark.sql(f"drop table if exists {tried.sql}")
+
+    def _mirror(self, relation: Relation) -> None:
+        """Set the catalog right by the history; if another version comes meanwhile, by that one."""
+        while entry := self.entry(relation):
+            self._forget(relation)
+            if not entry.get("marks"):
+                self._create(relation, relation, entry)
+            else:
+                held = Relation(relation.bare + ROWS, relation.schema)
+                self._create(held, relation, entry)
+                fields = StructType.fromJson(entry["schema"]).fields
+                names = ", ".join(f"`{f.name.replace('`', '``')}`" for f in fields)
+                marks = f"parquet.`{self._location(relation, entry['marks'])}`"
+                shown = ", ".join(f"`{f.name.replace('`', '``')}`{_comment(entry, f.name)}" for f in fields)
+                comment = f" comment '{_quoted(entry['comment'])}'" if entry.get("comment") else ""
+                self.spark.sql(f"""
+                    create view {relation.sql} ({shown}){comment} tblproperties ({_pairs(entry)}) as
+                    select {names} from (select *, _metadata.file_name as {FILE}, _metadata.row_index as {POSITION} from {held.sql}) r
+                    left anti join (select {FILE}, {POSITION} from {marks}) m on r.{FILE} = m.{FILE} and r.{POSITION} = m.{POSITION}""")
+            if self.current(relation) == entry["version"]:
+                return
+
+    def _mirrored(self, relation: Relation) -> str | None:
+        """The version that the catalog shows."""
+        if not self._catalog_kind(relation):
+            return None
+        return {r["key"]: r["value"] for r in self.spark.sql(f"show tblproperties {relation.sql}").collect()}.get(VERSION)
 
     def open(self, schema: str) -> list[str]:
         """Set the catalog's tables of a schema right by their histories; returns the tables that were not.
 
-        Appended rows whose entry holds are put in their place, and definitions that were only tried out go.
+        Definitions that were only tried out go, and so does what lost writers have left.
         """
         mended = []
         held = Folder(self.spark, f"{self.root}/{schema}").listing()
         if not held:
             return mended
         for t in self.spark.catalog.listTables(schema):
-            if not t.isTemporary and re.search(r"__new_\d+$", t.name):
+            if not t.isTemporary and re.search(r"__new_[0-9a-f]{16}$", t.name):
                 self.spark.sql(f"drop table if exists `{schema}`.`{t.name}`")
         for name, _ in held:
             relation = Relation(f'"{name}"', schema, None, "table")
             entry = self.history(relation).last() if not name.startswith("_") else None
             if entry is None:
                 continue
-            self._settle(relation, entry)
-            there = self.kind(relation)
+            self.sweep(relation)
+            shown = self._mirrored(relation)
             if entry.get("dropped"):
-                if there == "table" and self.properties(relation).get(VERSION):
-                    self.spark.sql(f"drop table {relation.sql}")
+                if shown:
+                    self._forget(relation)
                     mended.append(name)
-            elif there != "table" or self.properties(relation).get(VERSION) != str(entry["version"]):
-                if there:
-                    self.spark.sql(f"drop {there} {relation.sql}")
-                self._create(relation, relation, entry)
-                if entry["comment"] or entry["columns"]:
-                    self.comment(relation, entry["comment"], entry["columns"])
+            elif shown != str(entry["version"]):
+                self._mirror(relation)
                 mended.append(name)
         return mended
 
-    def _settle(self, relation: Relation, entry: Mapping) -> None:
-        """Put appended rows where the entry says they are."""
-        files = self.files(relation)
-        for place, staged in (entry.get("staged") or {}).items():
-            if not files.exists(place) and files.exists(staged):
-                files.rename(staged, place)
-
-    def append(self, relation: Relation, df: DataFrame, evolve: bool) -> list[str]:
-        """Add rows as a new version that lists the older folders, too; returns the columns that were added.
-
-        Columns are matched by name and absent ones are null.  New columns need `evolve`, else ValueError.
-        """
-        known = self.read(relation).schema
-        fresh = [f for f in df.schema.fields if f.name.lower() not in {k.name.lower() for k in known.fields}]
-        if fresh and not evolve:
-            raise ValueError(f"{relation.sql} has no columns {[f.name for f in fresh]}")
-        there = {c.lower() for c in df.columns}
-        columns = [F.col(f"`{f.name}`").cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in known.fields]
-        last = self.history(relation).last()
-        number = int(self.stage(relation).rpartition("/v_")[2])
-        staged, place = f"staged_{number}_{uuid.uuid4().hex[:8]}", f"{last['base']}/append_{number}"
-        df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]).write.parquet(f"{self.folder(relation)}/{staged}")
-        schema = StructType([*known.fields, *fresh])
-        entry = {**last, "version": number, "folders": [*last["folders"], place], "schema": schema.jsonValue(), "staged": {place: staged}}
-        self.history(relation).put(number, entry)
-        self._settle(relation, entry)
-        if fresh:
-            self.spark.sql(f"alter table {relation.sql} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fresh)})")
-        self._mirror(relation, entry)
-        return [f.name for f in fresh]
-
-    def drop(self, relation: Relation) -> None:
-        """Drop a table or view by its actual kind; a table's versions stay on disk."""
-        if kind := self.kind(relation):
-            if kind == "table" and (last := self.history(relation).last()) and not last.get("dropped"):
-                number = int(self.stage(relation).rpartition("/v_")[2])
-                self.history(relation).put(number, {"version": number, "dropped": True})
-            self.spark.sql(f"drop {kind} if exists {relation.sql}")
-
     def comment(self, relation: Relation, text: str, columns: Mapping[str, str]) -> None:
-        self.spark.sql(f"comment on table {relation.sql} is '{_quoted(text)}'")
-        for name, said in columns.items():
-            self.spark.sql(f"alter table {relation.sql} alter column `{name}` comment '{_quoted(said)}'")
+        """Describe a table in the catalog; the descriptions of a version's entry are in it already."""
+        if self._catalog_kind(relation) == "table":
+            self.spark.sql(f"comment on table {relation.sql} is '{_quoted(text)}'")
+            for name, said in columns.items():
+                self.spark.sql(f"alter table {relation.sql} alter column `{name}` comment '{_quoted(said)}'")
 
     def metadata(self, relation: Relation) -> dict | None:
         kept = self.properties(relation).get(META)
         return json.loads(kept) if kept else None
 
 
+def _name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def _held(entry: Mapping[str, Any]) -> set[str]:
+    """The folders that an entry needs."""
+    log = entry.get("log") or {}
+    return {f.split("/")[0] for fs in (entry.get("folders", ()), entry.get("marks", ()), *log.values()) for f in fs}
+
+
+def _comment(entry: Mapping, column: str) -> str:
+    said = {c.lower(): d for c, d in (entry.get("columns") or {}).items()}.get(column.lower())
+    return f" comment '{_quoted(said)}'" if said else ""
+
+
 def _pairs(entry: Mapping) -> str:
     """Properties as SQL, the version among them."""
-    return ", ".join(f"'{k}' = '{_quoted(v)}'" for k, v in sorted({**entry["properties"], VERSION: entry["version"]}.items()))
+    return ", ".join(f"'{_quoted(k)}' = '{_quoted(v)}'" for k, v in sorted({**entry["properties"], VERSION: entry["version"]}.items()))
 
 
 def _quoted(text: object) -> str:

@@ -9,34 +9,53 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from loomwright.operators.merge import merge_with_deletes
+from loomwright.operators.merge import write_delta
 from loomwright.plans.engine import Engine
-from loomwright.sources.store import META, TRANSIENT
+from loomwright.sources.store import META, TRANSIENT, ConcurrentWrite
 
 
 def stream_changes(engine: Engine, path: str, schema: StructType, model: str, keys: Sequence[str], action: str, checkpoint: str | None = None, files_per_batch: int = 1000, keep_versions: int = 2) -> int:
     """Merge what is new under a Parquet path into a model's table, and return the number of batches.
 
     Runs what is there and ends.  Each batch is a version of the table that carries the batch's number, so a batch that
-    runs again after a loss is passed over.  Of the versions outside the table's retention `keep_versions` stay.
+    runs again after a loss is passed over; it writes its own rows and marks only, and is merged anew if another writer publishes
+    first.  Of the versions outside the table's retention `keep_versions` stay.
     """
     relation = engine.relation(model, "table")
     place = checkpoint or f"{engine.store.root}/streams/{model}"
     label = f"loom.batch.{hashlib.md5(place.encode()).hexdigest()[:12]}"
     done: list[int] = []
 
-    def merge(batch: DataFrame, number: int) -> None:
-        properties = engine.store.history(relation).last()["properties"]
+    def once(batch: DataFrame, number: int) -> bool:
+        entry = engine.store.entry(relation)
+        if entry is None:
+            raise ValueError(f"{model} has no table; run it first")
+        properties = entry["properties"]
         if int(properties.get(label, -1)) >= number:
-            return
-        target = engine.store.read(relation)
-        result = merge_with_deletes(target, batch, keys, action)
-        staged = engine.store.stage(relation)
-        result.write.parquet(f"{staged}/slice_0")
-        engine.store.publish(relation, staged, target.schema, {**properties, label: str(number)}, replace=False)
-        days = (json.loads(properties[META]) if META in properties else {}).get("data_retention_time_in_days", 0)
-        engine.store.prune(relation, days, properties.get(TRANSIENT) == "true", keep_versions)
-        done.append(number)
+            return False
+        config = json.loads(properties[META]) if META in properties else {}
+        load = engine.store.stage(relation)
+        try:
+            delta = write_delta(engine.store, relation, entry, load, batch, keys, action, tracked=bool(config.get("change_tracking")))
+            engine.store.publish(
+                relation, load, StructType.fromJson(entry["schema"]), {**properties, label: str(number)}, False, entry.get("collation"), entry.get("comment", ""), entry.get("columns"),
+                log=delta.log, base=entry, folders=delta.folders, marks=delta.marks, marked=delta.marked,
+            )
+        except Exception:
+            engine.store.discard(load)
+            raise
+        engine.store.prune(relation, config.get("data_retention_time_in_days", 0), properties.get(TRANSIENT) == "true", keep_versions)
+        return True
+
+    def merge(batch: DataFrame, number: int) -> None:
+        for attempt in range(engine.ATTEMPTS):
+            try:
+                if once(batch, number):
+                    done.append(number)
+                return
+            except ConcurrentWrite:
+                if attempt + 1 == engine.ATTEMPTS:
+                    raise
 
     changes = engine.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     changes.writeStream.foreachBatch(merge).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()

@@ -94,10 +94,14 @@ def test_ranges_cover_without_overlap(spark, kind, values, p):
 @pytest.mark.parametrize("n,p,batches", [(10, 4, 3), (9, 4, 3), (8, 4, 2), (6, 4, 2), (5, 4, 2), (1, 4, 1), (0, 4, 0)])
 def test_key_batches(spark, tmp_path, n, p, batches):
     df = spark.createDataFrame([(None if i == 0 else i, i % 2) for i in range(n)] * 2, "a int, b int")
-    slices = parts.key_slices(spark, parts.numbered_keys(df, ["a", "b"], f"{tmp_path}/keys"), ["a", "b"], p, f"keys_{n}_{p}")
+    held = parts.KeyBatches(parts.numbered_keys(df, ["a", "b"], f"{tmp_path}/keys"), ["a", "b"], p, f"{tmp_path}/slices", f"keys_{n}_{p}")
+    slices = held.slices()
     df.createOrReplaceTempView("keyed")
     assert len(slices) == batches and sum(s.apply(df).count() for s in slices) == 2 * n
     assert sum(spark.sql(f"select * from keyed where {s.condition}").count() for s in slices) == 2 * n
+    if n:
+        layout = parts.Layout(df, held, ["a"], batches, f"{tmp_path}/layout")
+        assert [layout.open(i).count() for i in range(batches)] == [s.apply(df).count() for s in slices]
 
 
 MERGE = "k int, a int, v string, act string"
@@ -346,7 +350,7 @@ def test_sliced_loads_of_a_sorted_copy(engine):
     by = {"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 20, "async": True, "validate": True}
     engine.add(Model("t", sql, config={"partition_by": by}), Model("u", sql.replace("{{source:tpch.orders}}", "{{ref:w}}"), config={"partition_by": {**by, "from": "w"}}), Model("w", "select * from {{source:tpch.orders}}"))
     assert engine.run("t")["t"].slices == 20
-    assert engine.run("w", "u")["u"].slices == 20 and not engine._sorted
+    assert engine.run("w", "u")["u"].slices == 20 and not engine._places and not engine._views
     assert content_hash(engine.ref("t")).first() == content_hash(engine.ref("u")).first()
     crossing = "select count(*) as n from {{source:tpch.orders}} where {{partition_filter}}"
     with pytest.raises(ValueError, match="whole query"):
