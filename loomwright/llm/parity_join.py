@@ -10,8 +10,13 @@
    the sets of the texts.  Links are contracted into components.
 4. A group that still is large becomes a star around its most usual node, its hub.  Every member meets the hub's set, in
    salted chunks, and is from then on known by its difference to the hub: two members differ in just the elements in
-   which their differences do.  Where several components remain around a hub, members of different ones meet in blocks
-   and a block lets out no more than a spanning forest of exact links between components.
+   which their differences do.  Where several components remain around a hub, its members meet in one block if that is
+   small, and the block lets out no more than a spanning forest of exact links between components.
+5. A larger family is centred on what most of its members hold, so that a difference is what is a member's own.  Two members
+   whose differences are short enough together surely link, and then both link with the one that is nearest to the centre;
+   any other two that link share elements of their differences, so again each puts forward its rarest ones, as many as the
+   pigeonhole asks for.  Members of a template that do not link share none, and never meet.  Small groups give their
+   pairs, larger ones are blocks, and what is larger still is a family again, with shorter differences.
 
 No pair that can link is left out, copies are never paired, and members of one component are not paired further.
 """
@@ -32,8 +37,8 @@ from loomwright.llm.shingle_sets import Bands, set_digest, shingle_set, size_ban
 #: Rows (node or doc_id, 16 bytes) that may be broadcast to pick texts out of the whole table.
 PICK_ROWS = 500_000
 SKETCHED = "doc_id long, n long, node long, check long, signatures array<long>, own binary, upper binary"
-#: Rings of distance from a hub.
-RINGS = 16
+#: Rings of distance from a hub, and times that a family is taken apart by its members' own elements before rings are.
+RINGS, LEVELS = 16, 6
 
 
 def sketch_texts(df: DataFrame, text: str, key: str, words: int, bands: Bands) -> DataFrame:
@@ -99,7 +104,7 @@ def forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """
     labels, lab = np.unique(group["root"].to_numpy(np.int64), return_inverse=True)
     n, main, side = group["n"].to_numpy(np.int64), group["main"].to_numpy(bool), group["side"].to_numpy()
-    deltas = [np.frombuffer(x, np.int64) for x in group["delta"]]
+    deltas = [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.asarray(x, np.int64) for x in group["delta"]]
     sizes = np.array([len(d) for d in deltas], np.int64)
     known, value = np.unique(np.concatenate(deltas), return_inverse=True)
     owner = np.repeat(np.arange(len(deltas)), sizes)
@@ -236,23 +241,105 @@ class ParityJoin:
         return self.passing.put(found, "stars")
 
     def blocks(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links (a, b) between roots around one hub: members of different roots meet in blocks of about chunk_bytes.
-
-        Jaccard distance is a metric, so members whose distances to the hub differ by more than links allow need not meet:
-        they are dealt by ring of distance, and by whether they belong to the hub's most frequent root, whose members do
-        not meet each other.  A hub with few members is one block.
-        """
-        percent, limit = self.percent, self.chunk_bytes
+        """Links (a, b) between roots around the hubs: in one block where a hub's members are few, else by elements they share."""
         known = stars.join(labels, "node", "left").select("hub", "n", "dist", "delta", "node", F.coalesce("root", "node").alias("root"))
         known = self.passing.put(known, "around")
         roots = known.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("delta") + 64).alias("w"))
         open_hubs = roots.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"), F.max(F.struct("c", "root"))["root"].alias("top")).filter("k > 1").select("hub", "w", "top")
         open_hubs = self.passing.put(open_hubs, "open")
         placed = known.join(small(open_hubs, open_hubs.count()), "hub").withColumn("main", F.col("root") == F.col("top"))
-        whole = F.col("w") <= limit
+        found = self.block_links(placed.filter(F.col("w") <= self.chunk_bytes), ["hub"])
+        if open_hubs.filter(F.col("w") > self.chunk_bytes).isEmpty():
+            return found.distinct()
+
+        @F.pandas_udf("array<long>")
+        def elements(x: pd.Series) -> pd.Series:
+            return x.map(lambda d: np.frombuffer(d, np.int64))
+
+        wide = placed.filter(F.col("w") > self.chunk_bytes).select(F.col("hub").alias("fam"), "node", "n", "dist", "root", (~F.col("main")).alias("loose"), elements("delta").alias("delta"))
+        rows: DataFrame | None = self.passing.put(wide, "wide")
+        for level in range(LEVELS):
+            links, rows = self.narrowed(rows, level)
+            found = found.unionByName(links)
+            if rows is None:
+                return found.distinct()
+        return found.unionByName(self.ringed(rows)).distinct()
+
+    def block_links(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Links (a, b) between roots of the rows (root, n, main, delta) of each block."""
+        percent = self.percent
+
+        def meet(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(forest(group, percent), columns=["a", "b"], dtype="int64")
+
+        side = [] if "side" in rows.columns else [F.lit(2).alias("side")]
+        return rows.select(*rows.columns, *side).groupBy(*by).applyInPandas(meet, "a long, b long")
+
+    def narrowed(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
+        """Links between roots of (fam, node, n, dist, root, loose, delta), and the families that are left to be taken apart; None if none are.
+
+        Members that are not loose are known to be connected.  A member's slack x is (100 + percent) * size of its
+        difference - (100 - percent) * n: two members whose slacks add up to 0 at most surely link, and others link only if
+        they share at least half that sum / (100 + percent) elements.
+        """
+        up, down = 100 + self.percent, 100 - self.percent
+        name = f"narrow-{level}"
+        counts = rows.select("fam", F.explode("delta").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("c"))
+        sizes = self.passing.put(rows.groupBy("fam").agg(F.count(F.lit(1)).alias("g")), f"{name}-sizes")
+        families = sizes.count()
+        flips = counts.join(small(sizes, families), "fam").filter(2 * F.col("c") > F.col("g")).groupBy("fam").agg(F.collect_list("e").alias("flip"))
+        flips = self.passing.put(flips, f"{name}-flips")
+        flip = F.coalesce("flip", F.array().cast("array<long>"))
+        apart = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+        centred = rows.join(small(flips, flips.count(), 1000), "fam", "left").withColumn("delta", apart(F.col("delta"), flip)).drop("flip")
+        centred = self.passing.put(centred.withColumn("x", (up * F.size("delta") - down * F.col("n")).cast("long")), f"{name}-centred")
+        least = centred.groupBy("fam").agg(F.min(F.struct("x", "node", "root", "loose")).alias("m"), F.bool_and("loose").alias("alone"), F.min(F.when(~F.col("loose"), F.col("x"))).alias("tied"))
+        least = self.passing.put(least, f"{name}-least")
+        held = centred.join(small(least, families), "fam")
+        sure = F.col("x") + F.col("m.x") <= 0
+        links = held.filter(sure & (F.col("root") != F.col("m.root"))).select(F.col("root").alias("a"), F.col("m.root").alias("b"))
+        joined = ~F.col("m.loose") | F.col("alone") | F.coalesce(F.col("tied") + F.col("m.x") <= 0, F.lit(False))
+        held = self.passing.put(held.withColumn("loose", F.col("loose") & ~(joined & (sure | (F.col("node") == F.col("m.node"))))), f"{name}-held")
+        first = self.passing.put(held.filter("loose").groupBy("fam").agg(F.min("x").alias("xo")), f"{name}-loose")
+        open_ = held.join(small(first, first.count()), "fam")
+        shared = F.greatest(F.lit(1), F.ceil((F.col("x") + F.when(F.col("loose"), F.col("m.x")).otherwise(F.col("xo"))) / (2 * up))).cast("int")
+        own = open_.select("fam", "node", "loose", (F.size("delta") - shared + 1).alias("most"), F.explode("delta").alias("e"))
+        rare = own.groupBy("fam", "e").agg(F.count(F.lit(1)).alias("c"))
+        ordered = own.join(rare, ["fam", "e"]).groupBy("fam", "node", "loose", "most").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("p"))
+        forward = ordered.filter("most > 0").select("fam", "node", "loose", F.explode(F.slice("p", F.lit(1), F.col("most"))).alias("p")).filter("p.c > 1").select("fam", "node", "loose", "p.e")
+        members = self.passing.put(forward, f"{name}-members")
+        size = open_.select("fam", "node", (8 * F.size("delta") + 64).alias("w"))
+        facts = members.join(size, ["fam", "node"]).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("g"), F.max("loose").alias("any"), F.bit_xor(F.xxhash64("node")).alias("digest"), F.sum("w").alias("w")).filter("g > 1 and any")
+        groups = facts.groupBy("fam", "g", "digest", "w").agg(F.min("e").alias("e"))  # groups of the same members meet once
+        groups = self.passing.put(groups, f"{name}-groups")
+        met = members.join(groups, ["fam", "e"])
+        few = self.passing.put(met.filter(F.col("g") <= self.direct).select("fam", "e", "node", "loose"), f"{name}-few")
+        one, other = (few.select("fam", "e", F.col("node").alias(c), F.col("loose").alias(f"loose_{c}")) for c in "ab")
+        pairs = one.join(other, ["fam", "e"]).filter("a < b and (loose_a or loose_b)").select("fam", "a", "b").distinct()
+        side = lambda c: open_.select("fam", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}"), F.col("delta").alias(f"delta_{c}"))
+        both = pairs.join(side("a"), ["fam", "a"]).join(side("b"), ["fam", "b"]).filter("root_a <> root_b")
+        linked = both.filter(up * F.size(apart(F.col("delta_a"), F.col("delta_b"))) <= down * (F.col("n_a") + F.col("n_b")))
+        links = links.unionByName(linked.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        fam = F.xxhash64("fam", "e", F.lit(level)).alias("fam")
+        many = met.filter(F.col("g") > self.direct).select("fam", "e", "node", "w").join(open_.select("fam", "node", "n", "dist", "root", "loose", "delta"), ["fam", "node"])
+        many = self.passing.put(many.select(fam, "node", "n", "dist", "root", "loose", "delta", "w"), f"{name}-many")
+        blocks = many.filter(F.col("w") <= self.chunk_bytes).select("fam", "root", "n", (~F.col("loose")).alias("main"), "delta")
+        links = self.passing.put(links.unionByName(self.block_links(blocks, ["fam"])).distinct(), f"{name}-links")
+        rest = many.filter(F.col("w") > self.chunk_bytes).drop("w")
+        return links, None if rest.isEmpty() else rest
+
+    def ringed(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) between roots within families that are still large: members meet in blocks of about chunk_bytes.
+
+        Jaccard distance is a metric, so members whose distances to their hub differ by more than links allow need not meet:
+        they are dealt by ring of distance, and by whether they are loose, for the others do not meet each other.
+        """
+        percent, limit = self.percent, self.chunk_bytes
+        placed = rows.select(F.col("fam").alias("hub"), "node", "n", "dist", "root", (~F.col("loose")).alias("main"), "delta")
+        weight = 8 * F.size("delta") + 64
         ring = F.least(F.floor(F.col("dist") * RINGS), F.lit(RINGS - 1)).cast("int")
-        placed = placed.withColumn("cell", F.when(whole, F.lit(0)).otherwise(2 * ring + F.col("main").cast("int")))
-        cells = placed.groupBy("hub", "cell").agg(F.ceil(F.sum(F.octet_length("delta") + 64) / limit).cast("int").alias("chunks"), F.min("main").alias("main"))
+        placed = placed.withColumn("cell", 2 * ring + F.col("main").cast("int"))
+        cells = placed.groupBy("hub", "cell").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("chunks"), F.min("main").alias("main"))
         cells = self.passing.put(cells, "cells")
         reach = (100 - percent) * RINGS // 100 + 1
         a = cells.select("hub", F.col("cell").alias("x"), F.col("chunks").alias("xn"), F.col("main").alias("xm"))
@@ -268,10 +355,7 @@ class ParityJoin:
         left = one.filter("x <> y").withColumn("j", upto("yn")).select("hub", "x", "y", F.col("k").alias("i"), "j", F.lit(0).alias("side"), *rest)
         right = two.filter("x <> y").withColumn("i", upto("xn")).select("hub", "x", "y", "i", F.col("k").alias("j"), F.lit(1).alias("side"), *rest)
 
-        def meet(group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(forest(group, percent), columns=["a", "b"], dtype="int64")
-
-        return within.unionByName(left).unionByName(right).groupBy("hub", "x", "y", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+        return self.block_links(within.unionByName(left).unionByName(right), ["hub", "x", "y", "i", "j"])
 
     # -- the whole -------------------------------------------------------------------
 

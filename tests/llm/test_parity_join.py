@@ -158,6 +158,45 @@ def test_large_family_with_many_components(spark, chunk_bytes):
     assert [found[i] for i in range(len(rows))] == want
 
 
+def template_family(rng, size, words=60, own=8, pairs=0.0):
+    """Texts of one template at a similarity of about 0.77, each with words of its own; a share of them comes twice, a word changed."""
+    rows = []
+    while len(rows) < size:
+        text = [f"t{k}" for k in range(words)] + [f"own{len(rows)}x{k}" for k in range(own)]
+        rows.append((len(rows), " ".join(text)))
+        if rng.random() < pairs and len(rows) < size:
+            rows.append((len(rows), " ".join([*text[:-1], "else"])))
+    return rows
+
+
+def test_members_that_do_not_link_do_not_meet(spark, monkeypatch):
+    """Rows that reach the last groupings of a family with no links grow in proportion to its members, not with their square."""
+    met = {}
+    real, ringed = parity_join.ParityJoin.block_links, parity_join.ParityJoin.ringed
+    for size in (500, 1000, 2000):
+        seen = []
+        monkeypatch.setattr(parity_join.ParityJoin, "block_links", lambda self, rows, by, seen=seen: (seen.append(rows.count()), real(self, rows, by))[1])
+        monkeypatch.setattr(parity_join.ParityJoin, "ringed", lambda self, rows, seen=seen: (seen.append(rows.count()), ringed(self, rows))[1])
+        df = spark.createDataFrame(template_family(random.Random(1), size), "doc_id long, text string")
+        found = parity_join.jaccard_components(df, chunk_bytes=64 << 10).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in found) and len(found) == size
+        met[size] = sum(seen)
+    assert met[2000] <= 2.5 * max(met[1000], 1) and met[1000] <= 2.5 * max(met[500], 1), met
+
+
+@pytest.mark.parametrize("levels", [0, 6])
+def test_pairs_within_a_template(spark, monkeypatch, levels):
+    """Copies with a word changed are found among a thousand texts of the same template; by rings alone as well."""
+    monkeypatch.setattr(parity_join, "LEVELS", levels)
+    rows = template_family(random.Random(2), 800, pairs=0.3)
+    rng = random.Random(3)
+    for k in range(120):  # subfamilies with a second template of their own, larger than what is paired at once
+        rows.append((1000 + k, " ".join([f"t{j}" for j in range(60)] + [f"sub{k % 3}x{j}" for j in range(12)] + [f"mine{k}x{j}" for j in range(rng.choice([1, 2, 9, 14]))])))
+    want = brute(rows)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=32 << 10).collect()}
+    assert found == want and 150 < sum(c != i for i, (_, c) in want.items())
+
+
 @pytest.mark.parametrize("sides", [True, False])
 def test_a_block_lets_out_a_forest(sides):
     rng = np.random.default_rng(1)
