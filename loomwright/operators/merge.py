@@ -114,7 +114,8 @@ def write_delta(store: TableStore, relation: Relation, entry: Mapping, load: Loa
     The changes are written once, with a number each.  They meet the table in one join, which reads its keys and what the
     predicates name (all columns only where the rows that go are logged) and gives a place and a change's number for each
     match: these are the marks.  Updates and unmatched inserts are the new rows.  Changes of up to BROADCAST_BYTES are
-    broadcast.  When COMPACT_SHARE of the rows is marked, or COMPACT_FOLDERS folders make up the table, it is written anew.
+    broadcast.  Where the table has statistics of its first key, files outside of the changes' range are not opened.  When
+    COMPACT_SHARE of the rows is marked, or COMPACT_FOLDERS folders make up the table, it is written anew.
     """
     keys = [keys] if isinstance(keys, str) else list(keys or ())
     if not keys:
@@ -131,6 +132,10 @@ def write_delta(store: TableStore, relation: Relation, entry: Mapping, load: Loa
         wanted = source.filter(F.col(f"`{action}`").isin("insert", "update", "delete")).withColumn("__change", F.monotonically_increasing_id())
         wanted.observe(seen, F.coalesce(F.sum(row_bytes(wanted)), F.lit(0)).alias("size")).write.parquet(scratch)
         changes = spark.read.schema(wanted.schema).parquet(scratch)
+        within = None
+        if keys[0] in (entry.get("stats") or {}).get("columns", []):
+            ends = changes.agg(F.min(f"`{keys[0]}`").alias("lo"), F.max(f"`{keys[0]}`").alias("hi"), F.max(F.col(f"`{keys[0]}`").isNull()).alias("none")).first()
+            within = keys[0], ends["lo"], ends["hi"], bool(ends["none"])
         few = F.broadcast if seen.get["size"] <= BROADCAST_BYTES else (lambda df: df)
         on = F.lit(True)
         for k in keys:
@@ -138,7 +143,7 @@ def write_delta(store: TableStore, relation: Relation, entry: Mapping, load: Loa
         for p in predicates:
             on = on & (F.expr(p) if isinstance(p, str) else p)
         said, inserted = F.col(f"source.`{action}`"), F.col(f"source.`{action}`") == "insert"
-        met = store.rows(relation, {**entry, "collation": None}, positions=True).alias("target").join(few(changes.alias("source")), on)
+        met = store.rows(relation, {**entry, "collation": None}, positions=True, within=within).alias("target").join(few(changes.alias("source")), on)
         old = [F.when(~inserted, F.col(f"target.`{c}`")).alias(c) for c in names] if tracked else []
         hits = met.select(*[F.when(~inserted, F.col(f"target.{c}")).alias(c) for c in (FILE, POSITION)], F.col("source.__change").alias("__change"), said.alias("__action"), *old)
         watch = Watch(hits, names) if tracked else None
@@ -165,6 +170,7 @@ def write_delta(store: TableStore, relation: Relation, entry: Mapping, load: Loa
         total = (before.rows if before else 0) + entry.get("marked", 0) + added.rows
         if delta.marked > COMPACT_SHARE * total or len(delta.folders) > COMPACT_FOLDERS:
             _compact(store, relation, entry, load, delta)
+        store.describe(load, StructType.fromJson(entry["schema"]), (entry.get("stats") or {}).get("columns", []), f"{store.folder(relation)}/{delta.folders[-1]}")
         return delta
     finally:
         store.discard(scratch)

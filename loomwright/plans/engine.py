@@ -522,6 +522,7 @@ class Engine:
         parts.run_slices(self.spark, [partial(one, i) for i in order], bool(by and by.concurrent and not plain))
         if by and by.validate:
             self._validate(model, load.path, schema)
+        self.store.describe(load, schema, config.fingerprint.get("cluster_by", []))
         own = self._pins.get(relation.bare)
         before = own or (self.store.entry(relation) if config.fingerprint.get("change_tracking") else None)
         log = self.store.log_overwrite(relation, load, before, schema) if before and verb == "keep" and config.fingerprint.get("change_tracking") else None
@@ -541,12 +542,14 @@ class Engine:
 
     def _merge_once(self, model: Model, full_refresh: bool, load: Load) -> Built:
         relation = self.relation(model.name, "table")
-        changes = self.frame(model)
         entry = self._pin(relation.bare)
+        changes = self.frame(model)
         if full_refresh or not entry:
             if self.relation_type(model.name) not in (None, "table"):
                 self.drop_relation(model.name)
-            self._write(load, changes, None)
+            config, keys = table_config(model.config), model.config.get("unique_key") or []
+            self._write(load, changes, config.fingerprint.get("cluster_by"))
+            self.store.describe(load, changes.schema, config.fingerprint.get("cluster_by") or ([keys] if isinstance(keys, str) else list(keys)))
             self._publish(model, relation, load, changes.schema, "replace")
             return Built(relation, "replace", 1)
         tracked = bool(table_config(model.config).fingerprint.get("change_tracking"))

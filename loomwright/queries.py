@@ -300,6 +300,63 @@ def table_kept_across_engines(spark, sf_dir):
     return Engine(spark, e.store.root, e.schema).ref("regions")
 
 
+def _beside(e: Engine, sf_dir: str) -> Engine:
+    """Another engine on the same root and schema, as another session would have it."""
+    other = Engine(e.spark, e.store.root, e.schema)
+    for t in TABLES:
+        other.add_source("tpch", t, f"{sf_dir}/{t}.parquet")
+    return other
+
+
+@query(PRICING.format(table="lineitem"))
+def insert_overwrite_two_writers(spark, sf_dir):
+    """Another engine publishes while a load is at work; the load fails and takes no files but its own."""
+    e = engine(spark, sf_dir)
+    build(e, "pricing", PRICING.format(table="{{source:tpch.lineitem}}") + " having l_returnflag = 'N'")
+    other, source = _beside(e, sf_dir), "{{source:tpch.lineitem}}"
+
+    def body(c: Context) -> DataFrame:
+        other.add(Model("pricing", PRICING.format(table=source))).run("pricing")
+        stop = F.when(F.col("sum_qty") > 0, F.raise_error(F.lit("this load fails")))
+        return spark.sql(e.render(PRICING.format(table=source))).withColumn("n", stop.cast("bigint"))
+
+    try:
+        e.add(Model("pricing", body)).run("pricing")
+    except Exception as error:  # noqa: BLE001
+        _expect("this load fails" in str(error), error)
+    return e.ref("pricing")
+
+
+@query("select o_custkey, n_name, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by o_custkey, n_name")
+def insert_overwrite_pinned(spark, sf_dir):
+    """All slices read the other tables as they were when the load began, though another engine publishes between them."""
+    e = engine(spark, sf_dir)
+    build(e, "homes", "select c_custkey, n_name from {{source:tpch.customer}} join {{source:tpch.nation}} on c_nationkey = n_nationkey")
+    other, seen = _beside(e, sf_dir), []
+
+    def body(c: Context) -> DataFrame:
+        seen.append(c.number)
+        if len(seen) == 3:
+            other.add(Model("homes", "select c_custkey, 'moved' as n_name from {{source:tpch.customer}}")).run("homes")
+        rows = c.slice(c.source("tpch", "orders")).join(c.ref("homes"), F.col("o_custkey") == F.col("c_custkey"))
+        return rows.groupBy("o_custkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+    return build(e, "placed", body, partition_by={"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 4})
+
+
+@query(BY_CUSTOMER.format(table="orders"))
+def insert_overwrite_many_batches(spark, sf_dir):
+    """Batches of a hundred keys: keys and source are written once by batch, and each batch reads its own."""
+    return build(engine(spark, sf_dir), "customers", by_customer, partition_by={"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 100, "async": True})
+
+
+@query("select o_orderpriority, o_orderstatus, count(*) as n from orders where o_orderkey % 2 = 0 group by o_orderpriority, o_orderstatus")
+def query_without_select(spark, sf_dir):
+    """A query's own tables with another last select."""
+    sql = "with even as (select * from {{source:tpch.orders}} where o_orderkey % 2 = 0) select max(o_orderkey) from even"
+    return spark.sql(engine(spark, sf_dir).render(f"{txt.remove_select(sql)} select o_orderpriority, o_orderstatus, count(*) as n from even group by o_orderpriority, o_orderstatus"))
+
+
 # -- merging -------------------------------------------------------------------------
 
 
@@ -361,10 +418,61 @@ def merge_with_deletes_stream(spark, sf_dir):
     e = engine(spark, sf_dir)
     e.add(Model("target", FIRST.format(table="{{source:tpch.orders}}"), "merge_with_deletes", {"unique_key": "o_orderkey", "merge_action": "act"})).run("target")
     build(e, "changes", SECOND.format(table="{{source:tpch.orders}}"))
-    stream_changes(e, e.store.folder(e.relation("changes")) + "/v_1/slice_0", e.ref("changes").schema, "target", ["o_orderkey"], "act")
+    relation = e.relation("changes")
+    stream_changes(e, f"{e.store.folder(relation)}/{e.store.entry(relation)['folders'][0]}/slice_0", e.ref("changes").schema, "target", ["o_orderkey"], "act")
+    return e.ref("target")
+
+
+@query(MERGED)
+def merge_two_writers(spark, sf_dir):
+    """Another engine merges its changes while this one's are made: the merge is made anew, and both sets of changes hold."""
+    e, source, config = engine(spark, sf_dir), "{{source:tpch.orders}}", {"unique_key": "o_orderkey", "merge_action": "act"}
+    e.add(Model("target", FIRST.format(table=source), "merge_with_deletes", config)).run("target")
+    other, left = _beside(e, sf_dir), [1]
+
+    def body(c: Context) -> DataFrame:
+        if left:
+            left.pop()
+            other.add(Model("target", f"select * from ({SECOND.format(table=source)}) where act <> 'delete'", "merge_with_deletes", config)).run("target")
+        return spark.sql(e.render(f"select * from ({SECOND.format(table=source)}) where act = 'delete'"))
+
+    e.add(Model("target", body, "merge_with_deletes", config)).run("target")
+    _expect(e.store.current(e.relation("target")) == 3, e.store.versions(e.relation("target")))
     return e.ref("target")
 
 
+ONE_PERCENT = "select o_orderkey, o_totalprice * 2 as price, 'update' as act from {table} where o_orderkey % 100 = 7"
+
+
+@query("select o_orderkey, case when o_orderkey % 100 = 7 then o_totalprice * 2 else o_totalprice end as price, case when o_orderkey % 100 = 7 then 'update' else 'insert' end as act from orders where o_orderkey % 10 <> 3")
+def merge_on_read(spark, sf_dir):
+    """Changes of one row in a hundred add marks and their own rows; the files of the table stay as they are."""
+    e, source = engine(spark, sf_dir), "{{source:tpch.orders}}"
+    df = _merged(e, FIRST.format(table=source), ONE_PERCENT.format(table=source), unique_key="o_orderkey", merge_action="act")
+    first, last = (e.store.history(e.relation("target")).entry(n) for n in (1, 2))
+    _expect(last["folders"][:1] == first["folders"] and len(last["marks"]) == 1, last)
+    return df
+
+
+@query("select o_orderkey, o_totalprice as price, 'insert' as act from orders where o_orderkey % 10 <> 3")
+def merge_time_travel(spark, sf_dir):
+    """The version before a merge, whose rows were marked since."""
+    e, source = engine(spark, sf_dir), "{{source:tpch.orders}}"
+    _merged(e, FIRST.format(table=source), ONE_PERCENT.format(table=source), unique_key="o_orderkey", merge_action="act")
+    return e.store.read_version(e.relation("target"), 1)
+
+
+@query(f"""
+    with second as ({SECOND.format(table='orders')}), first as ({FIRST.format(table='orders')})
+    select o_orderkey, price, act, 'insert' as action from second where act in ('insert', 'update')
+    union all select f.o_orderkey, f.price, f.act, 'delete' from first f join second s on f.o_orderkey = s.o_orderkey and s.act in ('update', 'delete')""")
+def merge_change_log(spark, sf_dir):
+    """What a merge has changed, from the log that it wrote."""
+    e, source = engine(spark, sf_dir), "{{source:tpch.orders}}"
+    _merged(e, FIRST.format(table=source), SECOND.format(table=source), unique_key="o_orderkey", merge_action="act", change_tracking=True)
+    return e.store.changes(e.relation("target"), 1, 2)
+
+
 # -- functions, procedures, scripts --------------------------------------------------
 
 PYTHON = {"function_config": [{"language": "python", "handler": "'run'"}]}
@@ -475,6 +583,30 @@ def function_replace_on_change(spark, sf_dir):
     return spark.range(1).select(e.routines.call("grow", "id").alias("now"), F.lit(",".join(verbs)).alias("verbs"))
 
 
+@query("select o_orderkey, o_orderkey + 1 as v1, o_orderkey + 1 as v2 from orders")
+def function_version_alias_of_column(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.add(Model("after_v2", "x + 1", "function", {"parameters": "x int", "returns": "int", "overload_version": "1"}, version="2", latest_version="2")).run()
+    return e.source("tpch", "orders").select("o_orderkey", e.routines.call("after_v1", "o_orderkey").alias("v1"), e.routines.call("after_v2", "o_orderkey").alias("v2"))
+
+
+@query("select c_custkey, c_nationkey * 3 as tripled from customer")
+def function_fallback_on_clash(spark, sf_dir):
+    """A definition that the catalog refuses leaves the function as it was."""
+    e = _function(engine(spark, sf_dir), "tripled_of", "x * 3", parameters="x int", returns="int")
+    try:
+        _function(e, "tripled_of", "x * * ", parameters="x int", returns="int")
+    except Exception:  # noqa: BLE001
+        return e.source("tpch", "customer").select("c_custkey", e.routines.call("tripled_of", F.col("c_nationkey").cast("bigint")).alias("tripled"))
+    raise AssertionError("a broken body was taken")
+
+
+@query("select n_name, x, x * x as square from nation, range(1, 4) r(x) where n_regionkey = 2")
+def function_sql_table_of_rows(spark, sf_dir):
+    e = _function(engine(spark, sf_dir), "squares_upto", "select x, x * x as square from (select explode(sequence(1, upto)) as x)", parameters="upto int", returns="table(x int, square int)")
+    return spark.sql(e.render("select n_name, s.x, s.square from {{source:tpch.nation}}, lateral squares_upto(3) s where n_regionkey = 2"))
+
+
 @query("select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey where r_regionkey >= 2 group by r_name")
 def procedure_sql(spark, sf_dir):
     e = engine(spark, sf_dir)
@@ -511,6 +643,13 @@ def script_block(spark, sf_dir):
     return _script(engine(spark, sf_dir), "begin declare i bigint default 0; declare total bigint default 0; while i < 5 do set i = i + 1; set total = total + i; end while; select total, i as n; end")
 
 
+@query("select n_regionkey, count(*) as n, cast(2 as bigint) as least from nation where n_regionkey >= 2 group by n_regionkey")
+def script_block_over_table(spark, sf_dir):
+    """A block whose variable is set from one table's rows and bounds another's."""
+    sql = "begin declare least bigint default 0; set least = (select max(r_regionkey) - 2 from {{source:tpch.region}}); select n_regionkey, count(*) as n, any_value(least) as least from {{source:tpch.nation}} where n_regionkey >= least group by n_regionkey; end"
+    return _script(engine(spark, sf_dir), sql)
+
+
 @query("select 'N' as flag, count(*) as n from lineitem where l_returnflag = 'N' union all select 'R', count(*) from lineitem where l_returnflag = 'R'")
 def script_async(spark, sf_dir):
     e = engine(spark, sf_dir)

@@ -3,7 +3,8 @@
     root/<schema>/<table>/load_<token>/slice_<i>/*.parquet    rows
     root/<schema>/<table>/marks_<token>/*.parquet             rows of earlier loads that are gone: file and position
     root/<schema>/<table>/log_<token>/*.parquet               what an overwrite changed, where changes are tracked
-    root/<schema>/<table>/history/<n>.json                    folders, marks, log, schema and properties of version n
+    root/<schema>/<table>/stats_<token>/*.parquet             least and greatest value and nulls of a load's files, for some columns
+    root/<schema>/<table>/history/<n>.json                    folders, marks, log, statistics, schema and properties of version n
 
 The history decides.  A version lists the folders whose rows it has and the marks of those that are gone, so an append adds a
 folder, and a merge a folder and marks; no file is written twice or changed.  Writers do not wait for each other: each
@@ -40,6 +41,8 @@ FILE, POSITION = "__file", "__position"
 MARKS_TO_BROADCAST = 200_000
 #: Hours after which a folder that no version lists is taken for what a lost writer has left.
 ORPHAN_HOURS = 24
+#: Files that a read names one by one after a look at the statistics; where more are left, folders are read whole.
+FILES_NAMED = 20_000
 #: Suffix of the tables that stand behind views.
 ROWS = "__rows"
 
@@ -124,6 +127,9 @@ class Load:
     base: int
     counted: Counted = field(default_factory=Counted)
     published: bool = False
+    #: Columns with statistics of the load's files, once they are written.
+    described: list[str] = field(default_factory=list)
+    described_at: str = ""
 
     @property
     def path(self) -> str:
@@ -137,6 +143,10 @@ class Load:
     def log(self) -> str:
         return f"{self.folder}/log_{self.token}"
 
+    @property
+    def stats(self) -> str:
+        return f"{self.folder}/stats_{self.token}"
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -171,7 +181,7 @@ class TableStore:
         """Delete a path, or all that a load has written, unless a version has it."""
         if isinstance(path, Load) and path.published:
             return
-        folders = [Folder(self.spark, p) for p in ((path.path, f"{path.path}c", path.marks, path.log) if isinstance(path, Load) else (path,))]
+        folders = [Folder(self.spark, p) for p in ((path.path, f"{path.path}c", path.marks, path.log, path.stats) if isinstance(path, Load) else (path,))]
         for wait in (0.0, 0.2, 0.5, 1.0):  # tasks of a failed job may still be writing
             for f in folders:
                 f.delete()
@@ -203,7 +213,7 @@ class TableStore:
 
     def sweep(self, relation: Relation, hours: float = ORPHAN_HOURS) -> list[str]:
         """Delete folders that no version lists and that are older than any load that may still be running."""
-        old = [n for n, t in self.files(relation).listing() if re.match(r"(load|marks|log)_", n) and time.time() - t >= hours * 3600]
+        old = [n for n, t in self.files(relation).listing() if re.match(r"(load|marks|log|stats)_", n) and time.time() - t >= hours * 3600]
         if not old:
             return []
         history = self.history(relation)
@@ -238,14 +248,19 @@ class TableStore:
         entry = entry or self.entry(relation)
         return self.rows(relation, entry) if entry else self.spark.table(relation.sql)
 
-    def rows(self, relation: Relation, entry: Mapping, positions: bool = False) -> DataFrame:
-        """The rows of a version; with `positions` also where each lies."""
+    def rows(self, relation: Relation, entry: Mapping, positions: bool = False, within: tuple[str, Any, Any, bool] | None = None) -> DataFrame:
+        """The rows of a version; with `positions` also where each lies.
+
+        `within` (column, least, greatest, with nulls) leaves out files that hold no such values by their statistics; other rows of
+        the files that are left stay.
+        """
         schema = StructType.fromJson(entry["schema"])
         names, where = [F.col(f"`{n}`") for n in schema.names], [F.col(FILE), F.col(POSITION)] if positions else []
-        if not entry["folders"]:
+        paths = self.holding(relation, entry, *within) if within else entry["folders"]
+        if not paths:
             df = self.spark.createDataFrame([], StructType(schema.fields))
             return df.select("*", F.lit("").alias(FILE), F.lit(0).cast("long").alias(POSITION)) if positions else df
-        df = self._parquet(relation, entry["folders"], schema)
+        df = self._parquet(relation, paths, schema)
         if positions or entry.get("marks"):
             df = df.select(*names, F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POSITION))
         if entry.get("marks"):
@@ -258,6 +273,50 @@ class TableStore:
             df = df.select(*[F.collate(F.col(f"`{n}`"), entry["collation"]).alias(n) if n in texts else F.col(f"`{n}`") for n in schema.names], *where)
         return df
 
+    def holding(self, relation: Relation, entry: Mapping, column: str, low: Any, high: Any, nulls: bool) -> list[str]:
+        """The files that may hold values of a column from `low` to `high`, or nulls; folders without statistics whole."""
+        held = entry.get("stats") or {"columns": [], "by": {}}
+        if column not in held["columns"] or not held["by"] or entry.get("collation"):
+            return entry["folders"]
+        kind = next(f.dataType.simpleString() for f in StructType.fromJson(entry["schema"]).fields if f.name == column)
+        stats = self._parquet(relation, list(held["by"].values()), f"file string, `lo_{column}` {kind}, `hi_{column}` {kind}, `nulls_{column}` long")
+        met = F.lit(False)
+        if low is not None:
+            met = met | ((F.col(f"lo_{column}") <= F.lit(high)) & (F.col(f"hi_{column}") >= F.lit(low)))
+        if nulls:
+            met = met | (F.col(f"nulls_{column}") > 0)
+        found = [r["file"] for r in stats.filter(met).select("file").limit(FILES_NAMED + 1).collect()]
+        rest = [f for f in entry["folders"] if f not in held["by"]]
+        if len(found) > FILES_NAMED:
+            return entry["folders"]
+        return [*rest, *found]
+
+    def describe(self, load: Load, schema: StructType, columns: list[str], path: str | None = None) -> None:
+        """Write the statistics of a load's files; only the named columns are read.  Other types than whole numbers, decimals, dates and texts have none."""
+        kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+        columns = [c for c in columns if re.fullmatch(r"(tiny|small|big)?int|date|decimal\(.*\)|string", kinds.get(c, ""))]
+        if not columns:
+            return
+        df = self.spark.read.schema(StructType([f for f in schema.fields if f.name in columns])).option("recursiveFileLookup", "true").parquet(path or load.path)
+        facts = [x for c in columns for x in (F.min(f"`{c}`").alias(f"lo_{c}"), F.max(f"`{c}`").alias(f"hi_{c}"), F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"nulls_{c}"))]
+        file = F.regexp_extract("_metadata.file_path", r"(load_[0-9a-f]+/.*)$", 1).alias("file")
+        df.groupBy(file).agg(*facts).coalesce(1).write.parquet(load.stats)
+        load.described, load.described_at = columns, _name(path or load.path)
+
+    def within(self, relation: Relation, column: str, low: Any, high: Any) -> DataFrame:
+        """The rows whose column lies from `low` to `high`; files that hold none, by their statistics, are not opened."""
+        entry = self.entry(relation)
+        if entry is None:
+            raise ValueError(f"{relation.sql} is no table of this store")
+        return self.rows(relation, entry, within=(column, low, high, False)).filter(F.col(f"`{column}`").between(F.lit(low), F.lit(high)))
+
+    def _stats(self, load: Load, folders: list[str], before: Mapping | None) -> dict | None:
+        """The statistics of a version: its own load's and those that older folders have for the same columns."""
+        by = {f: s for f, s in ((before or {}).get("by") or {}).items() if f in folders and (not load.described or load.described == before["columns"])}
+        if load.described_at in folders:
+            by[load.described_at] = _name(load.stats)
+        return {"columns": load.described or (before or {}).get("columns", []), "by": by} if by else None
+
     def _parquet(self, relation: Relation, folders: list[str], schema: StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder(relation)}/{f}" for f in folders])
 
@@ -330,6 +389,7 @@ class TableStore:
         entry = {
             "version": load.base + 1, "folders": [_name(load.path)] if folders is None else folders, "marks": marks or [], "marked": marked, "schema": schema.jsonValue(), "properties": dict(properties), "collation": collation,
             "comment": comment, "columns": dict(columns or {}), "counted": load.counted.json(), "log": dict(log) if log else None,
+            "stats": self._stats(load, [_name(load.path)] if folders is None else folders, (base or {}).get("stats")),
         }
         if replace:
             self._try_out(relation, entry, load.token)
@@ -371,13 +431,14 @@ class TableStore:
         schema = StructType([*known.fields, *fresh])
         try:
             added = self.write(load, df.select(*columns, *[F.col(f"`{f.name}`") for f in fresh]))
+            self.describe(load, schema, (last.get("stats") or {}).get("columns", []))
             while True:
                 now = self.entry(relation)
                 if now is None or now["schema"] != last["schema"]:
                     raise ConcurrentWrite(f"{relation.sql}: its columns have changed since the rows were made")
                 held = Counted.of(now)
                 counted = Counted(held.rows + added.rows, None) if held and fresh else held and held.plus(added)
-                entry = {**now, "folders": [*now["folders"], _name(load.path)], "schema": schema.jsonValue(), "counted": counted and counted.json(), "log": {"inserts": [_name(load.path)]}}
+                entry = {**now, "folders": [*now["folders"], _name(load.path)], "schema": schema.jsonValue(), "counted": counted and counted.json(), "log": {"inserts": [_name(load.path)]}, "stats": self._stats(load, [*now["folders"], _name(load.path)], now.get("stats"))}
                 try:
                     self._put(relation, entry, now["version"])
                     break
@@ -491,8 +552,8 @@ def _name(path: str) -> str:
 
 def _held(entry: Mapping[str, Any]) -> set[str]:
     """The folders that an entry needs."""
-    log = entry.get("log") or {}
-    return {f.split("/")[0] for fs in (entry.get("folders", ()), entry.get("marks", ()), *log.values()) for f in fs}
+    log, stats = entry.get("log") or {}, (entry.get("stats") or {}).get("by", {})
+    return {f.split("/")[0] for fs in (entry.get("folders", ()), entry.get("marks", ()), stats.values(), *log.values()) for f in fs}
 
 
 def _comment(entry: Mapping, column: str) -> str:
