@@ -17,13 +17,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import key_string, small, stash, unit_hash
+from loomwright.llm.common import WORD_REGEX, key_string, small, stash, unit_hash
 
+#: Bins of each of a text's marks at most.
+BINS = 16
 
-def quality_by_word_length(text: Column, size: Column) -> Column:
-    """A stand-in for a quality score: 1 where words are six characters long with their blank, towards 0 away from it."""
-    chars = F.coalesce(F.char_length(text), F.lit(0))
-    return 1.0 / (1.0 + F.abs(chars - 6 * size) / (6 * size + 1))
+
+def quality_bins(text: Column) -> list[Column]:
+    """Four marks of a text as small whole numbers: its shares of signs, of capitals and of distinct words, and its words' length."""
+    body = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(body, F.lit(WORD_REGEX), F.lit(0))
+    n, chars = F.size(words) + 1, F.char_length(body)
+    share = lambda x, y, most: F.least(F.lit(most), F.floor(x / y).cast("int"))
+    signs, capitals = (F.regexp_count(body, F.lit(r)) for r in (r"[#*$%&|<>!]", "[A-Z]"))
+    return [share(8 * signs, n, 7), share(16 * capitals, chars + 1, 7), share(8 * F.size(F.array_distinct(words)), n, 8), share(chars, n, 15)]
+
+
+def fit_quality(df: DataFrame, labels: DataFrame, bins: list[str], key: str = "doc_id", label: str = "quality") -> Column:
+    """The likelihood that a row is labelled 1, from its bins, by counts of both labels in each bin (naive Bayes, each count one more).
+
+    All labelled rows count; a key with several labels has the largest, null keys and labels are none.  What is collected
+    is a row for each bin and label.  Without labels every row has the same quality.
+    """
+    marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__lkey")).agg(F.max(label).cast("int").alias("__label"))
+    each = df.select(key, *bins).join(marks, F.col(key) == F.col("__lkey"))
+    told = each.select("__label", F.explode(F.array(*[F.struct(F.lit(i).alias("mark"), F.col(b).cast("int").alias("bin")) for i, b in enumerate(bins)])).alias("x"))
+    counts = {(r["mark"], r["bin"], r["__label"]): r["count"] for r in told.groupBy("x.mark", "x.bin", "__label").count().collect()}
+    of = [sum(n for (mark, _, label_), n in counts.items() if mark == 0 and label_ == k) for k in (0, 1)]
+    odds: Column = F.lit((of[1] + 1) / (of[0] + 1))
+    for i, b in enumerate(bins):
+        ratios = [((counts.get((i, k, 1), 0) + 1) / (of[1] + BINS)) / ((counts.get((i, k, 0), 0) + 1) / (of[0] + BINS)) for k in range(BINS)]
+        odds = odds * F.get(F.array(*map(F.lit, ratios)), F.col(b))
+    return odds / (1 + odds)
 
 
 def source_targets(sources: DataFrame, weights: list[float], cap: float) -> DataFrame:

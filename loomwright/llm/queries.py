@@ -52,10 +52,10 @@ def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.char_length("text").alias("chars"))
-    good = 1.0 / (1.0 + F.abs(F.coalesce(F.col("chars"), F.lit(0)) - 6 * F.col("size")) / (6 * F.col("size") + 1))
-    mixed = mixing.mix_sources(sized, size="size", quality=good, weights=[5.0, 2.0, 1.0])
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    marks = [m.alias(f"b{i}") for i, m in enumerate(mixing.quality_bins(F.col("text")))]
+    sized = common.stash(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), *marks), "mix-marks")
+    mixed = mixing.mix_sources(sized, size="size", quality=mixing.fit_quality(sized, labels, ["b0", "b1", "b2", "b3"]), weights=[5.0, 2.0, 1.0])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -152,11 +152,24 @@ ORACLES = {
             CAST(g.shard AS INTEGER) AS grown_shard
         FROM sized d JOIN old o ON o.doc_id IS NOT DISTINCT FROM d.doc_id JOIN grown g ON g.doc_id IS NOT DISTINCT FROM d.doc_id""",
     "op3_mixed_sources": r"""
-        WITH docs AS (
-            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(length(text), 0) AS chars FROM documents),
+        WITH split AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        docs AS (
+            SELECT rid, doc_id, source, CAST(len(l) AS BIGINT) AS size, least(7, 8 * len(regexp_extract_all(body, '[#*$%&|<>!]')) // (len(l) + 1)) AS b0,
+                least(7, 16 * len(regexp_extract_all(body, '[A-Z]')) // (length(body) + 1)) AS b1, least(8, 8 * len(list_distinct(l)) // (len(l) + 1)) AS b2, least(15, length(body) // (len(l) + 1)) AS b3
+            FROM split),
+        marks AS (SELECT doc_id, max(quality) AS y FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+        told AS (SELECT d.*, m.y FROM docs d JOIN marks m ON d.doc_id = m.doc_id),
+        n AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM told),
+        r0 AS (SELECT k, ((count(t.y) FILTER (t.y = 1) + 1)::DOUBLE / (any_value(n1) + 16)::DOUBLE) / ((count(t.y) FILTER (t.y = 0) + 1)::DOUBLE / (any_value(n0) + 16)::DOUBLE) AS r FROM range(16) x(k) CROSS JOIN n LEFT JOIN told t ON t.b0 = k GROUP BY k),
+        r1 AS (SELECT k, ((count(t.y) FILTER (t.y = 1) + 1)::DOUBLE / (any_value(n1) + 16)::DOUBLE) / ((count(t.y) FILTER (t.y = 0) + 1)::DOUBLE / (any_value(n0) + 16)::DOUBLE) AS r FROM range(16) x(k) CROSS JOIN n LEFT JOIN told t ON t.b1 = k GROUP BY k),
+        r2 AS (SELECT k, ((count(t.y) FILTER (t.y = 1) + 1)::DOUBLE / (any_value(n1) + 16)::DOUBLE) / ((count(t.y) FILTER (t.y = 0) + 1)::DOUBLE / (any_value(n0) + 16)::DOUBLE) AS r FROM range(16) x(k) CROSS JOIN n LEFT JOIN told t ON t.b2 = k GROUP BY k),
+        r3 AS (SELECT k, ((count(t.y) FILTER (t.y = 1) + 1)::DOUBLE / (any_value(n1) + 16)::DOUBLE) / ((count(t.y) FILTER (t.y = 0) + 1)::DOUBLE / (any_value(n0) + 16)::DOUBLE) AS r FROM range(16) x(k) CROSS JOIN n LEFT JOIN told t ON t.b3 = k GROUP BY k),
+        rated AS (
+            SELECT d.*, ((n1 + 1)::DOUBLE / (n0 + 1)::DOUBLE) * r0.r * r1.r * r2.r * r3.r AS odds
+            FROM docs d, n, r0, r1, r2, r3 WHERE r0.k = d.b0 AND r1.k = d.b1 AND r2.k = d.b2 AND r3.k = d.b3),
         keyed AS (
             SELECT *, -ln((CAST('0x' || substr(md5('mix#' || coalesce(CAST(doc_id AS VARCHAR), '\N') || chr(1) || coalesce(source, '\N')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-                / (1.0 / (1.0 + CAST(abs(chars - 6 * size) AS DOUBLE) / (6 * size + 1))) AS draw FROM docs),
+                / (odds / (1 + odds)) AS draw FROM rated),
         src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
         weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, CAST(source_size AS DOUBLE) * 3 AS cap FROM src),
         filled AS (

@@ -31,13 +31,33 @@ def test_each_stage_against_a_plain_version(spark, sf_dir, tmp_path):
     copies = Counter(r["doc_id"] for r in after)
     words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in before}
     assert max(copies.values()) <= 3 and set(copies) <= set(words)
-    assert abs(sum(words[i] * n for i, n in copies.items()) - sum(words.values())) < 0.2 * sum(words.values())
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in before:
+        sizes[r["source"]] += words[r["doc_id"]]
+        taken[r["source"]] += words[r["doc_id"]] * copies[r["doc_id"]]
+        largest[r["source"]] = max(largest[r["source"]], words[r["doc_id"]])
+    for source, target in plain_targets(sizes).items():
+        assert abs(taken[source] - target) <= largest[source], source
     before, after = held["SentencePiece ids"]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert len(after) == len(before) and all(list(r["ids"]) == library.encode(r["text"]) and r["n_ids"] == len(r["ids"]) for r in after)
 
 
-def test_stages_on_odd_rows(spark, tmp_path):
+def plain_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Each source's words by weight, none above cap times its own: sources that are full are set aside until none overflows."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full: set = set()
+    while True:
+        left = sum(sizes.values()) - sum(cap * sizes[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[o] for o in order if o not in full) for s in order if s not in full}
+        over = {s for s, x in share.items() if x > cap * sizes[s]}
+        if not over:
+            return {**share, **{s: cap * sizes[s] for s in full}}
+        full |= over
+
+
+def test_stages_on_odd_rows(spark, tmp_path, sf_dir):
     """Nulls in every column, empty and very long texts, ties, repeated rows and ids, extra columns; and empty tables."""
     words = lambda k, n: " ".join(f"w{k}n{j}" for j in range(n))
     a = words(1, 80)
@@ -48,9 +68,9 @@ def test_stages_on_odd_rows(spark, tmp_path):
         docs = docs.withColumn(c, F.lit("clash"))
     out = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        empty = stage(spark, docs.limit(0), "")
+        empty = stage(spark, docs.limit(0), sf_dir)
         assert empty.count() == 0
-        done = stage(spark, docs, "")
+        done = stage(spark, docs, sf_dir)
         done.write.parquet(f"{tmp_path}/{k}")
         out[name] = spark.read.parquet(f"{tmp_path}/{k}").collect()
         assert empty.columns == done.columns and (done.columns == corpus_pipeline.COLUMNS or k == 4)

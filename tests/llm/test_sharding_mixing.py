@@ -136,3 +136,19 @@ def test_low_quality_is_spread_over_all_ids(spark):
     mixed = mixing.mix_sources(df, size="size", quality=F.lit(1e-5), weights=[1.0, 1.5]).filter("source = 'a' and copies > 0").collect()
     ids = sorted(r["doc_id"] for r in mixed)
     assert 800 < len(ids) < 1600 and sum(i < 1000 for i in ids) == pytest.approx(len(ids) / 2, rel=0.12)
+
+
+def test_quality_is_learnt_from_labels(spark):
+    """Fitted on two thirds of the labelled rows it tells the others' labels; without labels all rows are alike."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    names = ["b0", "b1", "b2", "b3"]
+    marked = docs.select("doc_id", *[m.alias(n) for n, m in zip(names, mixing.quality_bins(F.col("text")), strict=True)])
+    assert marked.filter(" or ".join(f"{n} is null or {n} < 0 or {n} > 15" for n in names)).count() == 0
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    twice = labels.filter(~held).unionByName(spark.createDataFrame([(None, 1, 0), (10**9, 0, 0)], labels.select("doc_id", "quality", "toxic").schema))
+    rows = marked.withColumn("q", mixing.fit_quality(marked, twice, names)).join(labels.filter(held), "doc_id").collect()
+    good, bad = ([r["q"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert len(bad) > 5 and sum(a > b for a in good for b in bad) > 0.99 * len(good) * len(bad)
+    odd = spark.createDataFrame([(1, None), (1, ""), (None, " \n"), (2, "x" * 100_000), (3, "A! " * 50_000)], "doc_id long, text string")
+    odd = odd.select("doc_id", *[m.alias(n) for n, m in zip(names, mixing.quality_bins(F.col("text")), strict=True)])
+    assert {r["q"] for r in odd.withColumn("q", mixing.fit_quality(odd, labels.limit(0), names)).select("q").collect()} == {0.5}
