@@ -58,11 +58,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mixture takes it; those that it does not take go.
 
     A null source is a source of its own.  Documents without words weigh nothing: they are taken in whole epochs, and in
-    the last part as their key falls.  Of rows alike in all columns as many are taken as fit.  An empty table gives an
-    empty one; columns other than those of documents go.
+    the last part as their key falls, by a quality that is fitted on the labels of sf_dir.  Of rows alike in all columns as many
+    are taken as fit.  An empty table gives an empty one; columns other than those of documents go.
     """
-    sized = docs.select(*COLUMNS).withColumn("__size", common.word_count(F.col("text")))
-    mixed = mixing.mix_sources(sized, size="__size", quality=mixing.quality_by_word_length(F.col("text"), F.col("__size")), weights=[5.0, 2.0, 1.0])
+    names = ["__b0", "__b1", "__b2", "__b3"]
+    marks = dict(zip(names, mixing.quality_bins(F.col("text")), strict=True))
+    sized = docs.select(*COLUMNS).withColumns({"__size": common.word_count(F.col("text")), **marks})
+    quality = mixing.fit_quality(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"), names)
+    mixed = mixing.mix_sources(sized, size="__size", quality=quality, weights=[5.0, 2.0, 1.0])
     return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
