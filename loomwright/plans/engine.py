@@ -22,6 +22,7 @@ from loomwright.operators.grants import grant_delta, wanted_grants
 from loomwright.operators.merge import write_delta
 from loomwright.operators.routines import Routines, rows_frame, version_alias
 from loomwright.operators.scripts import run_script
+from loomwright.plans.aggregates import build_aggregate
 from loomwright.plans.config import Ref, Source, table_config
 from loomwright.plans.model import Context, Model
 from loomwright.plans.relation import Relation
@@ -99,7 +100,7 @@ class Engine:
         self.routines.restore(self._remembered.get("routines", []))
         self.grants |= {name: {tuple(p) for p in pairs} for name, pairs in self._remembered.get("grants", {}).items()}
         self.materializations: dict[str, Callable[[Model, bool], Built]] = {
-            "insert_overwrite": self._overwrite, "table": self._overwrite, "merge_with_deletes": self._merge, "function": partial(self._routine, "function"),
+            "insert_overwrite": self._overwrite, "table": self._overwrite, "merge_with_deletes": self._merge, "incremental_aggregate": self._aggregate, "function": partial(self._routine, "function"),
             "procedure": partial(self._routine, "procedure"), "script": self._script,
         }
 
@@ -384,7 +385,9 @@ class Engine:
 
     def dependencies(self, model: Model) -> list[str]:
         found = [d.lower() for d in model.depends_on]
-        if isinstance(model.body, str):
+        if model.materialized == "incremental_aggregate":
+            found.append(str(model.body).strip().lower())
+        elif isinstance(model.body, str):
             found += [m[2].rpartition(".")[2].lower() for m in _SLOT.finditer(model.body) if m[1] == "ref"]
         by = model.config.get("partition_by")
         if isinstance(by, Mapping) and str(by.get("from", "")).lower() in self.models:
@@ -415,7 +418,7 @@ class Engine:
 
     def _load(self, model: Model, full_refresh: bool) -> Built:
         """Build one model; a table's body, all its slices and its retries apart, reads the versions of this moment."""
-        self._loading = model.materialized in ("insert_overwrite", "table", "merge_with_deletes")
+        self._loading = model.materialized in ("insert_overwrite", "table", "merge_with_deletes", "incremental_aggregate")
         try:
             for name in self.dependencies(model) if self._loading else ():
                 self._pin(name)
@@ -557,6 +560,15 @@ class Engine:
         self._publish(model, relation, load, StructType.fromJson(entry["schema"]), "keep", base=entry, folders=delta.folders, marks=delta.marks, marked=delta.marked, log=delta.log)
         return Built(relation, "keep", 1)
 
+    def _aggregate(self, model: Model, full_refresh: bool) -> Built:
+        def once(model: Model, full_refresh: bool, load: Load) -> Built:
+            if self.relation_type(model.name) not in (None, "table"):
+                self.drop_relation(model.name)
+            verb, _ = build_aggregate(self, model, full_refresh, load)
+            return Built(self.relation(model.name, "table"), verb, 1)
+
+        return self._again(model, full_refresh, once)
+
     def _routine(self, kind: str, model: Model, full_refresh: bool) -> Built:
         if self.relation_type(model.name) not in (None, kind):
             self.drop_relation(model.name)

@@ -14,6 +14,7 @@ from loomwright.functions import collections as coll
 from loomwright.functions import text as txt
 from loomwright.operators.grants import grants_delta_table
 from loomwright.operators.partitioning import SAMPLES_PER_RANGE, range_bounds, sample_values
+from loomwright.plans.aggregates import read_aggregate
 from loomwright.plans.config import config_dict, config_list
 from loomwright.plans.engine import Engine, content_hash
 from loomwright.plans.helpers import hierarchy, new_objects
@@ -473,6 +474,23 @@ def merge_change_log(spark, sf_dir):
     return e.store.changes(e.relation("target"), 1, 2)
 
 
+@query(f"""
+    with merged as ({MERGED}) select m.o_orderkey % 7 as g, count(*) as n, cast(sum(cast(round(price) as bigint)) as bigint) as total, min(price) as least, max(price) as most
+    from merged m group by m.o_orderkey % 7""")
+def aggregate_incremental(spark, sf_dir):
+    """Sums, counts and extremes by group, kept from the log of a merge; groups whose extremes went are grouped anew."""
+    e, source = engine(spark, sf_dir), "{{source:tpch.orders}}"
+    config = {"unique_key": "o_orderkey", "merge_action": "act", "change_tracking": True}
+    shaped = "select o_orderkey, o_orderkey % 7 as g, price, cast(round(price) as bigint) as whole, act from ({sql})"
+    kept = Model("sums", "target", "incremental_aggregate", {"group_by": ["g"], "aggregates": {"n": ["count"], "total": ["sum", "whole"], "least": ["min", "price"], "most": ["max", "price"]}})
+    verbs = []
+    for sql in (FIRST, SECOND):
+        e.add(Model("target", shaped.format(sql=sql.format(table=source)), "merge_with_deletes", config), kept)
+        verbs.append(e.run("target", "sums")["sums"].verb)
+    _expect(verbs == ["replace", "keep"], verbs)
+    return read_aggregate(e, kept)
+
+
 # -- functions, procedures, scripts --------------------------------------------------
 
 PYTHON = {"function_config": [{"language": "python", "handler": "'run'"}]}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import merge, partitioning
+from loomwright.plans import aggregates
 from loomwright.plans.engine import Engine, content_hash
 from loomwright.plans.model import Context, Model
 from loomwright.sources import store as stores
@@ -209,6 +210,33 @@ def test_merges_against_a_simulator(spark, tmp_path, monkeypatch):
     assert e.store.same_rows(relation, e.relation("copy")) is False
 
 
+def test_aggregates_are_kept_from_changes(spark, tmp_path):
+    """After random merges and appends the kept groups are those of the whole table; deleted extremes are found anew."""
+    rng = random.Random(11)
+    e = Engine(spark, f"{tmp_path}/r", "kept")
+    config = {**MERGE, "change_tracking": True}
+    wanted = {"n": ["count"], "known": ["count", "v"], "total": ["sum", "v"], "least": ["min", "v"], "most": ["max", "d"], "weight": ["sum", "x"]}
+    model = Model("sums", "t", "incremental_aggregate", {"group_by": ["g", "h"], "aggregates": wanted})
+    row = lambda k, act: f"({k}L, {rng.choice(['null', 1, 2, 3])}, {rng.choice(['null', chr(39) + 'a' + chr(39)])}, {rng.choice(['null', rng.randrange(-5, 9)])}, {rng.randrange(100)}.25BD, {rng.random()}D, '{act}')"
+    verbs = []
+    for step in range(7):
+        if step == 4:
+            e.append("t", spark.sql(f"select * from values {row(500, 'x')}, {row(501, 'x')} t(k, g, h, v, d, x, act)"))
+        elif step != 6:
+            keys = rng.sample(range(40), 30 if not step else 8)
+            values = ", ".join(row(k, "insert" if not step else rng.choice(["insert", "update", "delete"])) for k in keys)
+            e.add(Model("t", f"select k, cast(g as int) as g, cast(h as string) as h, cast(v as bigint) as v, cast(d as decimal(10,2)) as d, x, act from values {values} t(k, g, h, v, d, x, act)", "merge_with_deletes", config)).run("t")
+        verbs.append(e.add(model).run("sums")["sums"].verb)
+        want = e.ref("t").groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("known"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("d").alias("most"), F.round(F.sum("x"), 9).alias("weight"))
+        got = aggregates.read_aggregate(e, model)
+        assert rows(got.withColumn("weight", F.round("weight", 9))) == rows(want), step
+    assert verbs == ["replace", "keep", "keep", "keep", "keep", "keep", "none"]
+    e.add(Model("t", "select 1L as k, 1 as g, 'a' as h, 2L as v, cast(3 as decimal(10,2)) as d, 0.5D as x, 'insert' as act", "merge_with_deletes", config)).run("t", full_refresh=True)
+    assert e.run("sums")["sums"].verb == "replace" and rows(aggregates.read_aggregate(e, model).select("g", "n", "total")) == [(1, 1, 2)]
+    with pytest.raises(ValueError, match="cannot be kept"):
+        e.add(Model("bad", "t", "incremental_aggregate", {"group_by": "g", "aggregates": {"m": ["median", "v"]}})).run("bad")
+
+
 def test_changes_read_the_log_alone(spark, tmp_path):
     """With the tables' own files gone, changes of a tracked merge can still be read."""
     e = Engine(spark, f"{tmp_path}/r", "logged")
