@@ -19,7 +19,7 @@ from loomwright.plans.config import config_dict, config_list
 from loomwright.plans.engine import Engine, content_hash
 from loomwright.plans.helpers import hierarchy, new_objects
 from loomwright.plans.model import Context, Model
-from loomwright.streaming.merge_stream import stream_changes
+from loomwright.streaming.merge_stream import live_rows, stream_changes, stream_ordered
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +424,21 @@ def merge_with_deletes_stream(spark, sf_dir):
     return e.ref("target")
 
 
+@query("""
+    with changes as (select event_id % 400 as k, value as v, case when event_id % 5 = 0 then 'delete' when event_id % 2 = 0 then 'update' else 'insert' end as act, event_id as seq from events)
+    select k, arg_max(v, seq) as v, max(seq) as seq from changes group by k having arg_max(act, seq) <> 'delete'""")
+def merge_stream_ordered(spark, sf_dir):
+    """Changes that come in the order of a hash, in several batches: of each key the last by its own sequence holds."""
+    e = engine(spark, sf_dir)
+    act = "case when event_id % 5 = 0 then 'delete' when event_id % 2 = 0 then 'update' else 'insert' end"
+    sql = f"select event_id % 400 as k, value as v, {act} as act, event_id as seq, event_id as at from {{{{source:tpch.events}}}}"
+    build(e, "state", f"select * from ({sql}) where false")
+    changes, path = build(e, "changes", sql), f"{e.store.root}/incoming"
+    changes.repartitionByRange(4, F.hash("seq")).write.parquet(path)
+    stream_ordered(e, path, changes.schema, "state", ["k"], "act", "seq", "at", 1 << 60, files_per_batch=1)
+    return live_rows(e, "state", "act").select("k", "v", "seq")
+
+
 @query(MERGED)
 def merge_two_writers(spark, sf_dir):
     """Another engine merges its changes while this one's are made: the merge is made anew, and both sets of changes hold."""

@@ -14,7 +14,7 @@ from loomwright.plans.model import Context, Model
 from loomwright.sources import store as stores
 from loomwright.sources.journal import Folder
 from loomwright.sources.store import ConcurrentWrite, TableStore
-from loomwright.streaming.merge_stream import stream_changes
+from loomwright.streaming.merge_stream import live_rows, stream_changes, stream_ordered
 
 MERGE = {"unique_key": "k", "merge_action": "act"}
 
@@ -375,3 +375,31 @@ def test_content_hash_of_slices_adds_up(spark, tmp_path):
     e.run()
     assert e.store.same_rows(e.relation("a"), e.relation("b")) is True and e.store.same_rows(e.relation("a"), e.relation("c")) is False
     assert content_hash(e.ref("a")).first() == content_hash(e.ref("b")).first() and TableStore(spark, e.store.root).same_rows(e.relation("a"), e.relation("nothing")) is None
+
+
+CHANGES = "k long, v string, act string, seq long, at long"
+
+
+@pytest.mark.parametrize("lateness", [10**9, 40])
+def test_changes_in_any_order(spark, tmp_path, lateness):
+    """Shuffled and repeated changes give what their own order gives; those that are too late are passed over."""
+    rng = random.Random(9)
+    changes = [(rng.choice([None, *range(12)]), f"v{i}", rng.choice(["insert", "update", "delete"]), i, i) for i in range(150)]
+    late = [c for i, c in enumerate(changes) if i in (20, 70, 111)]
+    sent = [c for c in changes if c not in late]
+    jumbled = sorted([*sent, *rng.sample(sent, 40)], key=lambda c: c[4] + rng.randrange(30))
+    batches = [jumbled[i : i + 40] for i in range(0, len(jumbled), 40)]
+    batches[-1] = [*batches[-1], *late]
+    e = Engine(spark, f"{tmp_path}/r", f"ordered_{lateness}").add(Model("t", lambda c: c.spark.createDataFrame([], CHANGES)))
+    e.run()
+    for batch in batches:
+        spark.createDataFrame(batch, CHANGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert stream_ordered(e, f"{tmp_path}/in", spark.createDataFrame([], CHANGES).schema, "t", ["k"], "act", "seq", "at", lateness, f"{tmp_path}/c", 1) == 1
+    in_time = changes if lateness > 1000 else [c for c in changes if c not in late or c[4] >= max(x[4] for b in batches[:-1] for x in b) - lateness]
+    want = {}
+    for c in sorted(in_time, key=lambda c: c[3]):
+        want[c[0]] = c
+    assert rows(live_rows(e, "t", "act")) == sorted((c for c in want.values() if c[2] != "delete"), key=str)
+    remembered = e.ref("t").filter("act = 'delete'").count()
+    assert remembered == sum(c[2] == "delete" and (lateness > 1000 or c[4] >= 149 - lateness) for c in want.values())
+    assert stream_ordered(e, f"{tmp_path}/in", e.ref("t").schema, "t", ["k"], "act", "seq", "at", lateness, f"{tmp_path}/c") == 0
