@@ -43,10 +43,11 @@ class PartitionBy:
     concurrent: bool = False
     sorted_copy: bool | None = None
     validate: bool = False
+    prove: bool = False
 
 
 def partition_config(config: Any) -> tuple[PartitionBy | None, list[str]]:
-    """From {from, columns, partitions?, async?, sorted_copy?, validate?}; what is wrong with it is said, and makes it none or drops the number."""
+    """From {from, columns, partitions?, async?, sorted_copy?, validate?, prove?}; what is wrong with it is said, and makes it none or drops the number."""
     if config is None:
         return None, []
     if not isinstance(config, Mapping) or "from" not in config or not config.get("columns"):
@@ -57,7 +58,7 @@ def partition_config(config: Any) -> tuple[PartitionBy | None, list[str]]:
     if number is not None and (not isinstance(number, int) or isinstance(number, bool) or number < 1):
         warnings.append(f"partition_by: partitions {number!r} is ignored")
         number = None
-    return PartitionBy(config["from"], columns, number, bool(config.get("async", False)), config.get("sorted_copy"), bool(config.get("validate", False))), warnings
+    return PartitionBy(config["from"], columns, number, bool(config.get("async", False)), config.get("sorted_copy"), bool(config.get("validate", False)), bool(config.get("prove", False))), warnings
 
 
 def sample_values(df: DataFrame, column: str, limit: int) -> tuple[list, bool]:

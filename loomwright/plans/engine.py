@@ -26,6 +26,7 @@ from loomwright.plans.aggregates import build_aggregate
 from loomwright.plans.config import Ref, Source, table_config
 from loomwright.plans.model import Context, Model
 from loomwright.plans.relation import Relation
+from loomwright.plans.safety import slice_safety
 from loomwright.sources.journal import Journal
 from loomwright.sources.store import META, ROWS, TRANSIENT, ConcurrentWrite, Load, TableStore, scratch_root
 
@@ -510,6 +511,8 @@ class Engine:
         relation = self.relation(model.name, "table")
         config = table_config(model.config)
         by, warnings = parts.partition_config(model.config.get("partition_by"))
+        if by and by.prove and (told := slice_safety(self, model))[0] != "safe":
+            raise ValueError(f"{model.name}: its slices are not proven to be the whole query: {': '.join(told)}")
         slices = self._slices(model, by) if by else [None]
         plain = len(slices) == 1
         schema = self.frame(model, slices[0] if len(slices) else None).schema if by else self.frame(model).schema

@@ -351,6 +351,19 @@ def insert_overwrite_many_batches(spark, sf_dir):
     return build(engine(spark, sf_dir), "customers", by_customer, partition_by={"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 100, "async": True})
 
 
+@query("select o_custkey, o_orderkey, o_totalprice - avg(o_totalprice) over (partition by o_custkey) > 0 as above from orders")
+def insert_overwrite_proven(spark, sf_dir):
+    """The plan proves that no window crosses a slice before anything is loaded; of a query that it cannot prove nothing is."""
+    e = engine(spark, sf_dir)
+    by = {"from": "tpch.orders", "columns": ["o_custkey"], "partitions": 4, "prove": True}
+    try:
+        build(e, "crossing", "select o_orderstatus, count(*) as n from {{source:tpch.orders}} where {{partition_filter}} group by o_orderstatus", partition_by=by)
+    except ValueError as error:
+        _expect("not proven" in str(error) and e.relation_type("crossing") is None, error)
+    sql = "select o_custkey, o_orderkey, o_totalprice - avg(o_totalprice) over (partition by o_custkey) > 0 as above from {{source:tpch.orders}} where {{partition_filter}}"
+    return build(e, "inside", sql, partition_by=by)
+
+
 @query("select o_orderpriority, o_orderstatus, count(*) as n from orders where o_orderkey % 2 = 0 group by o_orderpriority, o_orderstatus")
 def query_without_select(spark, sf_dir):
     """A query's own tables with another last select."""
