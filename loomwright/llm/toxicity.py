@@ -107,11 +107,10 @@ def trigram_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(text).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def character_model(counts: Mapping[int, int]) -> np.ndarray:
+def character_model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Costs (negative logarithms) of a symbol after two others, as [a, b, c], backing off to shorter contexts."""
     n = np.zeros(SYMBOLS**3)
-    for gram, times in counts.items():
-        n[gram] = times
+    n[grams] = counts
     n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
     one = (n.sum((0, 1)) + 1) / (n.sum() + SYMBOLS)
     pairs = n.sum(0)
@@ -294,12 +293,12 @@ def training_rows(df: DataFrame, reader_of: tuple, name: str) -> DataFrame:
     return df.mapInArrow(read, "key long, toxic int, ids array<int>, values array<double>")
 
 
-def fit_weights(rows: list, size: int, rounds: int = ROUNDS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_weights(rows: pa.Table, size: int, rounds: int = ROUNDS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression of `toxic` on the rows' features by gradient steps of own width (Adam); the same for the same rows."""
-    y = np.array([r["toxic"] for r in rows], float)
-    starts = np.repeat(np.arange(len(rows)), [len(r["ids"]) for r in rows])
-    columns = np.array([k for r in rows for k in r["ids"]], np.int64)
-    values = np.array([v for r in rows for v in r["values"]])
+    y = rows["toxic"].to_numpy().astype(float)
+    ids, values = rows["ids"].combine_chunks(), rows["values"].combine_chunks().flatten().to_numpy()
+    starts = np.repeat(np.arange(len(rows)), ids.value_lengths().to_numpy())
+    columns = ids.flatten().to_numpy().astype(np.int64)
     weights, first, second = (np.zeros(size + 1) for _ in range(3))
     for step in range(1, rounds + 1):
         score = np.bincount(starts, values * weights[columns], len(rows)) + weights[-1]
@@ -324,7 +323,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     """
     spark: SparkSession = docs.sparkSession
     held = Stashes(spark, "toxicity")
-    characters = character_model({r["gram"]: r["n"] for r in held.put(trigram_counts(docs, text), "characters").collect()}).astype("<f8").tobytes()
+    grams = held.put(trigram_counts(docs, text), "characters").toArrow()
+    characters = character_model(grams["gram"].to_numpy(), grams["n"].to_numpy()).astype("<f8").tobytes()
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter("key is not null and toxic in (0, 1)").filter(~held_out(F.col("key")))
     total = marks.count()
     chosen = marks.filter(hash52(key_string(F.col("key"))) < int((1 << 52) * min(1.0, train_docs / max(1, total))))
@@ -341,7 +341,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     chosen_features = told.withColumn("told", F.col("toxic") * ratio).filter("told > 0 and toxic > 1").orderBy(F.col("told").desc(), "feature").limit(features)
     names = sorted(r["feature"] for r in chosen_features.collect())
     places = {f: i for i, f in enumerate(names)}
-    read = sorted(training_rows(train, (characters, places), uuid.uuid4().hex).collect(), key=lambda r: (r["key"], r["toxic"], r["ids"], r["values"]))
+    read = training_rows(train, (characters, places), uuid.uuid4().hex).orderBy("key", "toxic", "ids", "values").toArrow()
     weights, bias = fit_weights(read, len(names))
     held.drop()
     return Toxicity(characters, {f: float(w) for f, w in zip(names, weights, strict=True)}, bias, uuid.uuid4().hex)
