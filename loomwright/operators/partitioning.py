@@ -1,7 +1,7 @@
 """One query loaded in slices: key ranges, batches of keys, or key by key.
 
-The source is read once and written by slice (Layout), and a slice opens its folder, or its row groups of one where there are
-very many.  What else a query reads is filtered by the slice's range, or meets the keys of the slice, which lie by slice as
+The source is read once and written by slice (Layout), unless it is small or the ranges are very few, and a slice opens its
+folder, or its row groups of one where there are very many.  What else a query reads is filtered by the slice's range, or meets the keys of the slice, which lie by slice as
 well.  Slices are numbers until they run: ten thousand of them are planned like ten.
 
 The result is the union of the slices' results.  It equals the whole query's if no group, window or join of the query
@@ -27,8 +27,8 @@ from loomwright.sources.journal import Folder
 
 #: Distinct values that are sampled for each range asked for.
 SAMPLES_PER_RANGE = 100
-#: From so many ranges on, the source is written by slice first; below, each range reads the source.
-COPY_FROM = 3
+#: The source is written by slice first for so many ranges, or for COPY_FROM where it has COPY_BYTES; else each range reads it.
+COPY_ALWAYS, COPY_FROM, COPY_BYTES = 16, 3, 256 << 20
 #: The columns that hold a row's slice and folder in a layout, and folders of a layout at most.
 SLICE, FOLDER, FOLDERS = "__slice", "__folder", 512
 #: Keys of a slice that are broadcast to its sources; beyond, the semi-join shuffles.
@@ -170,6 +170,11 @@ def slice_of_range(column: str, bounds: Sequence, with_null: bool) -> Column:
     return F.when(F.col(column).isNull(), F.lit(len(bounds) if with_null else None).cast("int")).otherwise(pick(0, len(bounds)))
 
 
+def worth_a_copy(df: DataFrame, ranges: int) -> bool:
+    """Whether a source is written by slice for so many ranges: by their number, and by the size that the plan knows of its files."""
+    return ranges >= COPY_ALWAYS or (ranges >= COPY_FROM and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= COPY_BYTES)
+
+
 class KeyBatches:
     """Slices of `per_slice` consecutive keys each, matched null-safe; the last may have fewer.
 

@@ -340,7 +340,7 @@ class Engine:
             if len(values) < 2:
                 return [parts.whole()]
             bounds = parts.range_bounds(values, by.partitions)
-            if known and (by.sorted_copy if by.sorted_copy is not None else len(bounds) + 1 >= parts.COPY_FROM):
+            if known and (by.sorted_copy if by.sorted_copy is not None else parts.worth_a_copy(keys_from, len(bounds) + 1)):
                 self._lay_out(name, keys_from, parts.slice_of_range(by.columns[0], bounds, with_null), by.columns, len(bounds) + 1, with_null)
             return parts.range_slices(by.columns[0], bounds, with_null)
         seed = None if by.partitions else self.run_id

@@ -284,9 +284,11 @@ def test_statistics_leave_files_out(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sql", [True, False])
-def test_a_publish_between_slices_does_not_show(spark, tmp_path, sql):
+@pytest.mark.parametrize("copied", [True, False])
+def test_a_publish_between_slices_does_not_show(spark, tmp_path, monkeypatch, sql, copied):
     """All slices read the versions of the moment when the load began, though another engine publishes after the first."""
-    e, other = two(spark, tmp_path, f"pinned_{sql}", Model("side", "select 1 as x"))
+    monkeypatch.setattr(partitioning, "COPY_BYTES", 0 if copied else 1 << 40)
+    e, other = two(spark, tmp_path, f"pinned_{sql}_{copied}", Model("side", "select 1 as x"))
     e.run()
     e.add(Model("src", "select id as k from range(12)")).run("src")
     seen = []
@@ -308,8 +310,10 @@ def test_a_publish_between_slices_does_not_show(spark, tmp_path, sql):
     assert rows(e.ref("t")) == sorted(((k, 1) for k in range(12)), key=str) and other.ref("side").first()["x"] == 2 and e.ref("side").first()["x"] == 2
 
 
-def test_the_source_is_read_once(spark, tmp_path):
+def test_the_source_is_read_once(spark, tmp_path, monkeypatch):
     """Rows that the source hands out are counted: all slices together cost one scan, and one for the keys."""
+    assert not partitioning.worth_a_copy(spark.range(1000), 8) and partitioning.worth_a_copy(spark.range(1000), 16)
+    monkeypatch.setattr(partitioning, "COPY_BYTES", 0)
     e = Engine(spark, f"{tmp_path}/r", "once")
     read = spark.sparkContext.accumulator(0)
 
@@ -337,8 +341,9 @@ BODIES = [
 
 
 @pytest.mark.parametrize("by", [{"partitions": 3}, {}, {"partitions": 2, "columns": ["k", "v"], "async": True}])
-def test_bodies_see_their_slice_and_the_whole(spark, tmp_path, by):
+def test_bodies_see_their_slice_and_the_whole(spark, tmp_path, monkeypatch, by):
     """Whatever a query does beside its slot, the slices together are the whole query's rows, nulls too."""
+    monkeypatch.setattr(partitioning, "COPY_BYTES", 0)
     e = Engine(spark, f"{tmp_path}/r", "bodies")
     source = lambda: spark.range(90).selectExpr("nullif(id % 6, 5) as k", "id % 2 as v")
     e.add_source("s", "t", source).add_source("s", "o", source)
